@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from otflow.llm import bpe, exact_dedup, simhash, suffix_dedup, toxicity, training_order, url_filter, warc
+from otflow.llm import bpe, decontaminate, exact_dedup, license_scan, simhash, suffix_dedup, toxicity, training_order, url_filter, warc
 from otflow.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
@@ -33,6 +37,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(pages))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -97,7 +105,18 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_exact_dedup, op3_byte_bpe, op5_suffix_dedup, op6_url_filter, op8_toxicity, op9_warc_revisits, op10_training_order)
+    for f in (
+        op1_simhash,
+        op2_exact_dedup,
+        op3_byte_bpe,
+        op4_decontamination,
+        op5_suffix_dedup,
+        op6_url_filter,
+        op7_license_scan,
+        op8_toxicity,
+        op9_warc_revisits,
+        op10_training_order,
+    )
 }
 
 ORACLE_SQL = {
