@@ -1,4 +1,103 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries: each operator applied to the packet view of a folder of tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from otflow.functions import columns as X
+from otflow.operators import correlate, features, flows, grouping, policy, registers
+from otflow.plans import oracles
+from otflow.sources.packet_view import packets as packet_view
+from otflow.sources.telemetry_view import anchors as telemetry_anchors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.without_ignored(packet_view(spark, sf_dir))
+
+
+def _register(name: str, prepare: Callable[[DataFrame], DataFrame], run: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(prepare(_view(spark, sf_dir)))
+
+
+def on_packets(name: str, run: Callable[[DataFrame], DataFrame]) -> None:
+    _register(name, lambda p: p, run)
+
+
+def on_flows(name: str, run: Callable[[DataFrame], DataFrame]) -> None:
+    _register(name, flows.assemble, run)
+
+
+def on_edges(name: str, run: Callable[[DataFrame], DataFrame]) -> None:
+    _register(name, features.edge_packets, run)
+
+
+def on_anchors(name: str, run: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    _register(name, flows.assemble, lambda f: run(f, telemetry_anchors(f)))
+
+
+def on_observations(name: str, run: Callable[[DataFrame], DataFrame], *series: str) -> None:
+    _register(name, registers.observations, lambda o: run(registers.with_series(o, *series)))
+
+
+SIDES = ("client.ip client_ip", "client.port client_port", "server.ip server_ip", "server.port server_port")
+SHORT = ("server_ip", "register", "kind")
+
+on_flows("flow_assembly", lambda f: f.select("canonical_id", *flows.KEY, "first_us", "last_us", "packets", "bytes"))
+on_packets("flow_normalized", lambda p: p.select(X.normalized_tuple().alias("t")).groupBy("t.ip_a", "t.port_a").agg(F.count(F.lit(1)).alias("packets")))
+on_flows("orient_client_server", lambda f: flows.orient(f).selectExpr("canonical_id", *SIDES))
+on_flows("orient_incremental", lambda f: flows.orient(f, use_syn=False).selectExpr("canonical_id", *SIDES))
+on_packets(
+    "service_port_flag",
+    lambda p: p.groupBy(F.col("dst_port").alias("port"), X.is_service_port(F.col("dst_port")).alias("is_service"), X.is_ephemeral(F.col("dst_port")).alias("is_ephemeral")).agg(F.count(F.lit(1)).alias("packets")),
+)
+on_flows("policy_interesting", lambda f: f.select("canonical_id", policy.interesting().alias("interesting"), policy.interesting_incremental().alias("incremental")))
+on_flows("group_modbus", lambda f: grouping.grouped(grouping.modbus(f)))
+on_flows("group_http_monitor", lambda f: grouping.grouped(grouping.http_monitor(f)))
+on_flows("group_mqtt", lambda f: grouping.grouped(grouping.mqtt(f)))
+on_flows("group_opcua", lambda f: grouping.grouped(grouping.opcua(f)))
+on_flows("group_collapsed", grouping.collapsed)
+on_flows("individual_flows", lambda f: grouping.individual(f.where(policy.interesting())).select("client_ip", "server_ip", "server_port", "protocol", "port_min", "packets", "bytes"))
+on_flows("stage_edges", lambda f: grouping.run_stages(f)[0])
+on_flows("stage_consumed", lambda f: grouping.run_stages(f)[1].groupBy("stage").agg(F.count(F.lit(1)).alias("flows")))
+
+on_edges("feat_totals", features.totals)
+on_edges("feat_directional", features.directional)
+on_edges("feat_dominant_protocol", lambda e: features.mode_first(e, "edge", "high_level_protocol", "protocol_label"))
+on_edges("feat_tcp_flags", lambda e: features.distinct_in_order(e, F.col("tcp_flags"), "tcp_flags"))
+on_edges("feat_retransmits", features.retransmits)
+on_edges("feat_mac", features.macs)
+on_edges("feat_http_first", features.first_values)
+on_edges("feat_mqtt", features.mqtt)
+on_edges("feat_opcua", features.opcua)
+on_edges("rtt_mean", features.mean_rtt)
+on_edges("client_ports", features.client_ports)
+on_edges("majority_port", lambda e: features.mode_first(e.withColumn("port", F.when(F.col("side") == "out", F.col("src_port")).when(F.col("side") == "in", F.col("dst_port"))), "edge", "port", "port"))
+on_edges("edge_features", features.edge_rows)
+
+on_anchors("corr_candidates", correlate.candidates)
+on_anchors("corr_exact", lambda f, a: correlate.candidates(f, a).where("tier < 2").drop("tier"))
+on_anchors("corr_service_endpoint", lambda f, a: correlate.candidates(f, a).where("tier >= 2").drop("tier"))
+on_anchors("corr_session_port", correlate.session_matches)
+on_anchors("corr_stats", correlate.correlation_stats)
+on_anchors("session_coverage", lambda f, a: correlate.session_coverage(a))
+on_anchors("process_lookup", lambda f, a: correlate.process_lookup(f.withColumnRenamed("canonical_id", "conn_id"), a))
+on_anchors("verify_bruteforce", correlate.brute_force)
+on_anchors("verify_diff", correlate.verify)
+
+on_observations("asof_request", lambda o: o.where("not is_request").select("client_ip", "server_ip", "register", "access", "ts_us", "request_us"))
+on_observations("register_stats", registers.statistics)
+on_observations("register_state_changes", registers.state_changes, *SHORT)
+on_observations("register_bucket_distinct", registers.bucket_distinct, *SHORT)
+on_observations("register_top_values", registers.top_values, *SHORT)
+on_observations("register_rle", registers.run_lengths, *SHORT)
+on_observations("obs_table", lambda o: o.select("series", "access", "value", "function", "ts_us", "packet_index"))
+on_observations("obs_stats", registers.observation_statistics)
+on_observations("write_ack", registers.acknowledged)
+on_packets("signal_opcua", lambda p: registers.signal_statistics(registers.opcua_signals(p)))
+on_packets("signal_mqtt", lambda p: registers.signal_statistics(registers.mqtt_signals(p)))
