@@ -63,7 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups = materialize(groups, f"radix-groups{depth}").withColumn("next", F.monotonically_increasing_id())
         split = (
             active.withColumn("digit", digit)
-            .join(groups, ["gid", "digit"], "left")
+            .join(groups.hint("merge"), ["gid", "digit"], "left")
             .select(
                 "doc_id",
                 "n",
