@@ -73,7 +73,8 @@ def guid(*parts: Column) -> Column:
 
 def signal_guid(protocol: Column, host: Column, port: Column, *ids: Column) -> Column:
     """Like guid, but ids keep their case."""
-    h = F.md5(F.concat_ws("|", F.lit("ICSSignal"), protocol, host, port.cast("string"), *ids))
+    named = [F.nullif(i.cast("string"), F.lit("")) for i in ids]
+    h = F.md5(F.concat_ws("|", F.lit("ICSSignal"), F.lower(F.trim(protocol)), F.lower(F.trim(host)), port.cast("string"), *named))
     return F.concat(F.lit("{"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit("}"))
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from otflow.functions import columns as X
-from otflow.operators import correlate, features, flows, grouping, policy, registers
+from otflow.operators import correlate, features, flows, graph, grouping, policy, registers, timeline
 from otflow.plans import oracles
+from otflow.plans.oracles_graph import GRAPH_SQL
 from otflow.sources.packet_view import packets as packet_view
 from otflow.sources.telemetry_view import anchors as telemetry_anchors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | GRAPH_SQL
 
 
 def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,3 +102,27 @@ on_observations("obs_stats", registers.observation_statistics)
 on_observations("write_ack", registers.acknowledged)
 on_packets("signal_opcua", lambda p: registers.signal_statistics(registers.opcua_signals(p)))
 on_packets("signal_mqtt", lambda p: registers.signal_statistics(registers.mqtt_signals(p)))
+
+on_flows("guid_node", graph.endpoint_nodes)
+on_flows("node_dedupe", lambda f: graph.service_nodes(grouping.run_stages(f, {})[0]))
+on_observations("guid_signal", graph.signal_nodes)
+on_observations("read_write_edges", graph.access_edges)
+on_anchors("edge_staging_merge", lambda f, a: graph.merge_staged(graph.staged_edges(f, a)))
+on_flows("summary_before_after", lambda f: graph.summary(f, grouping.run_stages(f)[0]))
+on_flows("cypher_text", lambda f: graph.node_statements(graph.service_nodes(grouping.grouped(grouping.modbus(f))), "NetworkService", 1, {"host": "host", "port": "port", "protocol": "protocol", "service_name": "serviceName", "ip": "ipAddress"}))
+on_observations("sdt_timeline", timeline.timelines, *SHORT)
+on_observations("value_encoding", lambda o: o.groupBy("series").agg(X.value_text(F.sum("value").cast("double") / 4).alias("quarter_text"), X.value_text(F.max("value").cast("double")).alias("max_text")), *SHORT)
+
+
+def _halves(obs: DataFrame) -> DataFrame:
+    """Summaries of the even and the odd packets, to be merged again."""
+    parts = []
+    for k in (0, 1):
+        half = obs.where(F.col("packet_index") % 2 == k)
+        parts.append(registers.statistics(half).join(timeline.timelines(half).select("series", "timeline"), "series"))
+    return parts[0].unionByName(parts[1])
+
+
+on_observations("summary_merge", lambda o: timeline.merge_summaries(_halves(o)), *SHORT)
+on_packets("best_process", lambda p: correlate.best_process(p.select(F.col("dst_ip").alias("group_id"), F.col("dst_port").alias("port"), F.col("src_mac").alias("process_guid")).where("process_guid <> ''")))
+on_packets("tcp_flag_text", lambda p: p.groupBy(X.tcp_flag_text((F.col("packet_index") % 64).cast("int")).alias("flags")).agg(F.count(F.lit(1)).alias("packets")))
