@@ -93,7 +93,7 @@ def collapsed_members(flows: DataFrame, min_ports: int = C.MIN_CLIENT_PORTS) ->
 STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {"modbus": modbus, "http_monitor": http_monitor, "mqtt": mqtt, "opcua": opcua}
 
 
-def run_stages(flows: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> tuple[DataFrame, DataFrame]:
+def run_stages(flows: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]] | None = None, min_ports: int = C.MIN_CLIENT_PORTS) -> tuple[DataFrame, DataFrame]:
     """Edges of all stages with a stage column, and what each stage consumed (canonical_id, stage).
 
     The consumed table of a stage is what later stages leave out.
@@ -107,8 +107,8 @@ def run_stages(flows: DataFrame, stages: dict[str, Callable[[DataFrame], DataFra
         used = members(own).select("canonical_id", F.lit(name).alias("stage"))
         consumed.append(used)
         left = left.join(used, "canonical_id", "left_anti")
-    edges.append(accepted(collapsed(left)).withColumn("stage", F.lit("collapsed")))
-    used = collapsed_members(left).select("canonical_id", F.lit("collapsed").alias("stage"))
+    edges.append(accepted(collapsed(left, min_ports)).withColumn("stage", F.lit("collapsed")))
+    used = collapsed_members(left, min_ports).select("canonical_id", F.lit("collapsed").alias("stage"))
     consumed.append(used)
     alone = left.join(used, "canonical_id", "left_anti").where(policy.interesting())
     edges.append(individual(alone).withColumn("stage", F.lit("individual")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from otflow import constants as C
-from otflow.plans.oracles import FLOWS, ORIENTED, P, _GROUP, _GUID, _HOST, _MATCH, _MODBUS, _OBS, _STAGE_EDGES, _STAGES, _to_port, policy
+from otflow.plans.oracles import FLOWS, ORIENTED, P, _GROUP, _GUID, _HOST, _MATCH, _MODBUS, _OBS, _STAGE_EDGES, _STAGES, _to_port, policy, svc
 
 _SERVICE = "case when port <= 0 then 'Ephemeral Service' " + " ".join(f"when port = {p} then '{n}'" for p, n in C.SERVICE_NAMES.items()) + " else 'Port ' || port end"
 _SIGNAL_GUID = r"'{' || regexp_replace(md5(concat_ws('|', 'ICSSignal', 'modbus', lower(host), '502', unit::varchar, kind, register::varchar)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '}'"
@@ -12,6 +12,8 @@ _MODBUS_GUID = _GUID("'NetworkService'", "host", "502")
 _COUNTS = ", ".join(f"count(*) filter (where stage = '{n}') {n}_edges" for n in ("modbus", "http_monitor", "mqtt", "opcua", "collapsed", "individual"))
 _FLAGS = " || ".join(f"case when b & {1 << k} <> 0 then '{c}' else '' end" for k, c in enumerate("FSRPAUEC"))
 
+_set = lambda c: f"coalesce(array_to_string(list_sort(list(distinct {c}) filter (where {c} is not null)), ','), '')"
+
 GRAPH_SQL = {
     "guid_node": f"""with {FLOWS}, n as (select {_HOST('ip')} host, ip, first_us from (select src_ip ip, first_us from fl union all select dst_ip, first_us from fl))
         select host, string_agg(distinct ip, ',' order by ip) addresses, min(first_us) first_us, {_GUID("'NetworkEndpoint'", 'host')} guid from n group by host""",
@@ -42,4 +44,11 @@ GRAPH_SQL = {
     "best_process": f"""with {P}, q as (select dst_ip group_id, src_mac process_guid, count(*) matches, min(dst_port) port from p where src_mac <> '' group by 1, 2)
         select group_id, process_guid, matches, port from (select *, row_number() over (partition by group_id order by matches desc, port, process_guid) r from q) where r = 1""",
     "tcp_flag_text": f"""with {P}, b as (select packet_index % 64 b from p) select {_FLAGS} flags, count(*) packets from b group by 1""",
+    "flow_stats": f"""with {P}, q as (select *, canonical_id = src_ip || ':' || src_port || '->' || dst_ip || ':' || dst_port || ':' || protocol ahead, case when {svc('dst_port')} then src_port when {svc('src_port')} then dst_port end client_port from p),
+        s as (select canonical_id, count(*) packet_count, sum(size)::bigint total_bytes, min(ts_us) first_us, max(ts_us) last_us, arg_min(ahead, o) oa, count(*) filter (where ahead) na,
+          {_set('high_level_protocol')} protocols_seen, count(*) filter (where tcp_flags like '%S%') syn_packets, count(*) filter (where tcp_flags like '%F%') fin_packets, count(*) filter (where tcp_flags like '%R%') rst_packets,
+          count(*) filter (where payload_len > 0) with_payload, sum(payload_len)::bigint payload_bytes, {_set('modbus_function')} modbus_functions, {_set('modbus_unit_id')} modbus_units,
+          {_set('modbus_registers[1]')} modbus_registers, {_set('http_method')} http_methods, {_set('http_host')} http_hosts, {_set('tls_sni')} tls_snis, count(distinct client_port) client_ports, count(distinct pcap_file) files from q group by 1)
+        select * exclude (oa, na), case when oa then na else packet_count - na end forward_packets, packet_count - case when oa then na else packet_count - na end reverse_packets,
+          round(case when oa then na else packet_count - na end / packet_count, 6) directionality_ratio, round(payload_bytes / nullif(with_payload, 0), 2) mean_payload, (last_us - first_us) / 1e6 duration_s from s""",
 }

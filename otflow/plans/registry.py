@@ -13,6 +13,7 @@ from otflow.plans import oracles
 from otflow.plans.oracles_graph import GRAPH_SQL
 from otflow.sources.packet_view import packets as packet_view
 from otflow.sources.telemetry_view import anchors as telemetry_anchors
+from otflow.streaming import flows as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | GRAPH_SQL
@@ -126,3 +127,4 @@ def _halves(obs: DataFrame) -> DataFrame:
 on_observations("summary_merge", lambda o: timeline.merge_summaries(_halves(o)), *SHORT)
 on_packets("best_process", lambda p: correlate.best_process(p.select(F.col("dst_ip").alias("group_id"), F.col("dst_port").alias("port"), F.col("src_mac").alias("process_guid")).where("process_guid <> ''")))
 on_packets("tcp_flag_text", lambda p: p.groupBy(X.tcp_flag_text((F.col("packet_index") % 64).cast("int")).alias("flags")).agg(F.count(F.lit(1)).alias("packets")))
+on_packets("flow_stats", streaming.flow_stats)
