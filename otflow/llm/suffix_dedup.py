@@ -6,13 +6,16 @@ are sorted: the positions whose hashed 18-byte gram is the least of some
 50-byte string holds an anchor whose gram repeats. Ranks then grow round by
 round, and what is unique leaves:
 
-1. anchors are ranked by (gram, its surroundings as far as windows reach): an
+1. anchors are sorted by (gram, its surroundings as far as windows reach): an
    anchor whose whole surroundings also stand in a smaller document is settled;
-2. unsettled anchors that share a gram are ranked by strings of about 34 bytes
-   to the left and right;
+2. unsettled anchors that share a gram are sorted together again with their
+   surroundings and ranked by strings of about 34 bytes to the left and right;
 3. what still repeats is ranked by the 50-byte windows themselves.
 
-The hashes are polynomial over whole strings (64 bits, and 32 more in round 1).
+Rounds 2 and 3 run within the sorted groups of a gram. A gram with very many
+unsettled anchors leaves them and goes on as single windows, which Spark
+aggregates and joins. The hashes are polynomial over whole strings (64 bits,
+and 32 more in round 1).
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ from otflow.llm.common import discard, materialize, mix64, release, slices, utf8
 
 LENGTH = 50
 GRAM = 18
+#: Bytes between an anchor and the far end of the strings of round 2.
+HALF = (LENGTH - GRAM + 1) // 2
+#: Unsettled anchors of one gram that are ranked in one task.
+GROUP_LIMIT = 20_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -98,7 +105,7 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, check, doc, at, settled) of the anchors of a batch.
+    """Rows (key, doc, info) of the anchors of a batch; info packs check, settled and at.
 
     Rows of equal gram and surroundings are pre-aggregated: those of a larger
     document than the batch's smallest are settled here, under a key that
@@ -121,14 +128,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])) if len(key) else np.zeros(0, bool)
         settled = doc > doc[first][np.cumsum(first) - 1]
         key = np.where(settled, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), key)
-        yield pa.record_batch(
-            [pa.array(key.view(np.int64)), pa.array(check), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(settled)],
-            names=["key", "check", "doc", "at", "settled"],
-        )
+        info = (check.astype(np.int64) << 32) | (settled.astype(np.int64) << 31) | at
+        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(doc), pa.array(info)], names=["key", "doc", "info"])
 
 
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Settled and unsettled anchors from rows sorted by (settled, key, check, doc).
+    """Settled and unsettled anchors from rows sorted by (key, check, doc).
 
     Keeps no group: of the last one, what later rows depend on is carried over
     as ghosts, which are the rows of its first class while it has no second,
@@ -138,7 +143,8 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        done, key, check, doc, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("settled", "key", "check", "doc", "at"))
+        key, doc, info = (batch.column(c).to_numpy() for c in ("key", "doc", "info"))
+        done, check, at = (info >> 31 & 1).astype(bool), (info >> 32).astype(np.int32), (info & 0x7FFFFFFF).astype(np.int32)
         if done.any():
             n = int(done.sum())
             yield _settlement(doc[done], at[done], check[done], key[done], np.ones(n, bool))
@@ -172,81 +178,147 @@ def _settlement(doc, at, check, key, full) -> pa.RecordBatch:
     return pa.record_batch([pa.array(doc), pa.array(at), pa.array(check), pa.array(key, mask=full), pa.array(full)], names=["doc", "at", "check", "key", "full"])
 
 
-def _side_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, side, doc, at, context, left) of unsettled anchors: the strings left and right of the anchor."""
-    half = (LENGTH - GRAM + 1) // 2
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc, at, left, context) of unsettled anchors: their surroundings, and how far these reach to the left."""
     for batch in slices(batches, 500):
-        hashes, sides, docs, places, lefts, contexts = ([] for _ in range(6))
-        for doc_id, data, found, checks in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2), batch.column(3)):
-            at, check = found.values.to_numpy().astype(np.int64), checks.values.to_numpy()
-            at, check = (x[at + GRAM <= len(data)] for x in (at, check))
+        keys, docs, places, lefts, contexts = ([] for _ in range(5))
+        for doc_id, data, at, check, key in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), *(batch.column(k) for k in (2, 3, 4))):
+            at, check, key = (x.values.to_numpy() for x in (at, check, key))
+            inside = at + GRAM <= len(data)
+            at, check, key = at[inside].astype(np.int64), check[inside], key[inside]
             text = Text(data)
-            at = at[text.checks(at) == check]  # not those of another row with this doc_id
+            own = text.checks(at) == check  # not those of another row with this doc_id
+            at, key = at[own], key[own]
             begin, end = text.surroundings(at)
-            around = [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-            for side, lo, hi in ((0, at - half, at + GRAM), (1, at, at + LENGTH - half + 1)):
-                fits = np.flatnonzero((lo >= 0) & (hi <= len(data)))
-                hashes.append(text.hashes(lo[fits], hi[fits]))
-                sides.append(np.full(len(fits), side, np.int8))
-                docs.append(np.full(len(fits), doc_id, np.int64))
-                places.append(at[fits].astype(np.int32))
-                lefts.append((at - begin)[fits].astype(np.int32))
-                contexts += [around[i] for i in fits.tolist()]
-        if hashes:
-            columns = [pa.array(np.concatenate(c)) for c in ([h.view(np.int64) for h in hashes], sides, docs, places, lefts)]
-            yield pa.record_batch([*columns, pa.array(contexts, pa.binary())], names=["hash", "side", "doc", "at", "left", "context"])
+            keys.append(key)
+            docs.append(np.full(len(at), doc_id, np.int64))
+            places.append(at.astype(np.int32))
+            lefts.append((at - begin).astype(np.int8))
+            contexts += [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+        if keys:
+            columns = [pa.array(np.concatenate(c)) for c in (keys, docs, places, lefts)]
+            yield pa.record_batch([*columns, pa.array(contexts, pa.binary())], names=["key", "doc", "at", "left", "context"])
+
+
+def _later(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row whether a row of a smaller document, and whether one of any other document, has its hash."""
+    order = np.lexsort((doc, hashes))
+    h, d = hashes[order], doc[order]
+    first = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+    group = np.cumsum(first) - 1
+    least, most = d[first], d[np.append(first[1:], True)] if len(d) else d
+    late, shared = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    late[order], shared[order] = d > least[group], (most > least)[group]
+    return late, shared
+
+
+def _windows(text: Text, base: np.ndarray, size: np.ndarray, left: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, offset and hash of the windows that begin offset bytes before the rows' anchors."""
+    begin = left[rows, None] - offsets[None, :]
+    row, column = np.nonzero((begin >= 0) & (begin + LENGTH <= size[rows, None]))
+    at = base[rows[row]] + begin[row, column]
+    return rows[row], offsets[column], text.hashes(at, at + LENGTH)
+
+
+def _joined(contexts: list[bytes]) -> tuple[Text, np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    return Text(b"".join(contexts)), np.cumsum(size) - size, size
+
+
+def _ranked(key: np.ndarray, doc: np.ndarray, at: np.ndarray, left: np.ndarray, contexts: list[bytes]) -> pa.RecordBatch:
+    """(doc, at, end, check) of the runs of bytes to remove, from whole groups of a gram."""
+    text, base, size = _joined(contexts)
+    salt = mix64(key.view(np.uint64))
+    rows, offsets, hashes = [], [], []
+    for lo, hi, reach in ((left - HALF, left + GRAM, np.arange(HALF, LENGTH - GRAM + 1)), (left, left + LENGTH - HALF + 1, np.arange(HALF))):
+        fits = np.flatnonzero((lo >= 0) & (hi <= size))
+        _, shared = _later(text.hashes(base[fits] + lo[fits], base[fits] + hi[fits]) ^ salt[fits], doc[fits])
+        row, offset, found = _windows(text, base, size, left, fits[shared], reach)
+        rows.append(row)
+        offsets.append(offset)
+        hashes.append(found)
+    row, offset, found = map(np.concatenate, (rows, offsets, hashes))
+    late, _ = _later(found ^ salt[row], doc[row])
+    row, offset = row[late], offset[late]
+    order = np.lexsort((offset, row))
+    row, offset = row[order], offset[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)) if len(row) else np.zeros(0, bool)
+    first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)) if len(row) else np.zeros(0, np.int64)
+    row, near, far = row[first], offset[first], offset[last]
+    begin, end = at[row] - far, at[row] - near + LENGTH
+    shift = base[row] + left[row] - at[row]
+    check = (text.hashes(begin + shift, end + shift) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+    return pa.record_batch([pa.array(doc[row]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(check)], names=["doc", "at", "end", "check"])
+
+
+def _rank_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_ranked over batches sorted by key; the last group of a batch waits for the next one."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        key = table["key"].to_numpy()
+        cut = int(np.argmax(key == key[-1]))
+        rest = table.slice(cut)
+        if cut:
+            yield _ranked(*_columns(table.slice(0, cut)))
+    if rest is not None:
+        yield _ranked(*_columns(rest))
+
+
+def _columns(table: pa.Table) -> tuple:
+    numbers = [table[c].to_numpy().astype(np.int64) for c in ("key", "doc", "at", "left")]
+    return (*numbers, table["context"].to_pylist())
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, doc, at) of the windows around anchors on the side that repeats."""
-    half = (LENGTH - GRAM + 1) // 2
-    for batch in slices(batches, 20_000):
-        contexts = utf8(batch.column(4))
-        text = Text(b"".join(contexts))
-        size = np.fromiter(map(len, contexts), np.int64, len(contexts))
-        base = np.cumsum(size) - size
-        side, doc, at, left = (batch.column(c).to_numpy() for c in range(4))
-        for which, offset in ((0, np.arange(half, LENGTH - GRAM + 1)), (1, np.arange(half))):
-            rows = np.flatnonzero(side == which)
-            begin = left[rows, None] - offset[None, :]
-            row, column = np.nonzero((begin >= 0) & (begin + LENGTH <= size[rows, None]))
-            begin, row = begin[row, column].astype(np.int64), rows[row]
-            hashes = text.hashes(base[row] + begin, base[row] + begin + LENGTH)
-            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(doc[row]), pa.array((at[row] - left[row] + begin).astype(np.int32))], names=["hash", "doc", "at"])
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, at, full, check: where removal is due in document doc.
-
-    full: the surroundings of the anchor at byte at (check is that of
-    Text.checks); else the 50 bytes from byte at (check is 32 bits of their
-    hash).
+    """(hash, doc, at) of all windows around anchors of hot grams."""
+    for batch in slices(batches, 5000):
+        _, doc, at, left, contexts = _columns(pa.Table.from_batches([batch]))
+        text, base, size = _joined(contexts)
+        row, offset, hashes = _windows(text, base, size, left, np.arange(len(doc)), np.arange(LENGTH - GRAM + 1))
+        yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(doc[row]), pa.array((at[row] - offset).astype(np.int32))], names=["hash", "doc", "at"])
+
+
+def _hot_windows(contexts: DataFrame) -> DataFrame:
+    """(doc, at, end, check) from the windows of hot grams, by partial aggregation and a join that may be split."""
+    windows = materialize(contexts.mapInArrow(_window_rows, "hash long, doc long, at int"), "windows")
+    least = windows.groupBy("hash").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("hash", "a")
+    check = F.col("hash").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("check")
+    return windows.join(least, "hash").where("doc > a").select("doc", "at", (F.col("at") + LENGTH).alias("end"), check)
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """doc, at, end, check: where removal is due in document doc.
+
+    With an end the bytes from at to end (check is 31 bits of their hash), else
+    the surroundings of the anchor at byte at (check is that of Text.checks).
     """
     spark = docs.sparkSession
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as binary) text").where("doc_id is not null")
-    rows = source.mapInArrow(_anchor_rows, "key long, check int, doc long, at int, settled boolean")
+    rows = source.mapInArrow(_anchor_rows, "key long, doc long, info long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(n, "key").sortWithinPartitions("settled", "key", "check", "doc")
+    rows = rows.repartition(n, "key").sortWithinPartitions("key", F.shiftright("info", 32), "doc")
     ranked = materialize(rows.mapInArrow(_first_round, "doc long, at int, check int, key long, full boolean"), "anchors")
-    del rows
     release(spark)
 
     # Only positions and hashes are gathered for a document, fewer than its bytes.
-    wanted = ranked.where("not full").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "check"))).alias("wanted"))
-    texts = source.join(wanted, source["doc_id"] == wanted["doc"]).select("doc_id", "text", "wanted.at", "wanted.check")
-    sides = materialize(texts.mapInArrow(_side_rows, "hash long, side byte, doc long, at int, left int, context binary"), "sides")
-    del texts
+    wanted = ranked.where("not full").groupBy("doc").agg(F.collect_list(F.struct("at", "check", "key")).alias("wanted"))
+    texts = source.join(wanted.hint("merge"), source["doc_id"] == wanted["doc"]).select("doc_id", "text", "wanted.at", "wanted.check", "wanted.key")
+    contexts = materialize(texts.mapInArrow(_context_rows, "key long, doc long, at int, left byte, context binary"), "contexts")
     release(spark)
 
-    shared = sides.groupBy("side", "hash").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("side", "hash")
-    again = sides.join(shared, ["side", "hash"], "left_semi").select("side", "doc", "at", "left", "context")
-    windows = materialize(again.mapInArrow(_window_rows, "hash long, doc long, at int"), "windows")
-    discard(sides)
+    hot = materialize(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("key"), "hot-grams")
+    some_hot = not hot.isEmpty()
+    cold = contexts.join(hot, "key", "left_anti") if some_hot else contexts
+    runs = cold.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_rank_rows, "doc long, at int, end int, check int")
+    if some_hot:
+        runs = runs.unionByName(_hot_windows(contexts.join(hot, "key", "left_semi")))
+    runs = materialize(runs, "runs")
+    discard(contexts)
     release(spark)
-
-    least = windows.groupBy("hash").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("hash", "a")
-    late = windows.join(least, "hash").where("doc > a").select("doc", "at", F.lit(False).alias("full"), F.col("hash").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("check"))
-    return ranked.where("full").select("doc", "at", "full", "check").unionByName(late)
+    return ranked.where("full").select("doc", "at", F.lit(None).cast("int").alias("end"), "check").unionByName(runs)
 
 
 def _removed(data: bytes, entries) -> np.ndarray:
@@ -255,24 +327,22 @@ def _removed(data: bytes, entries) -> np.ndarray:
     cover = np.zeros(n + 1, np.int64)
     if entries is not None and n >= LENGTH:
         text = Text(data)
-        at, full, check = (np.asarray(entries.field(k).to_numpy(zero_copy_only=False)) for k in range(3))
-        at = at.astype(np.int64)
-        for kind in (True, False):
-            end_of = GRAM if kind else LENGTH
-            own = (full == kind) & (at + end_of <= n)
-            p, c = at[own], check[own]
-            if kind:
-                p = p[text.checks(p) == c]
-                begin, end = text.surroundings(p)
-            else:
-                p = p[(text.hashes(p, p + LENGTH) & np.uint64(0x7FFFFFFF)).astype(np.int32) == c]
-                begin, end = p, p + LENGTH
-            np.add.at(cover, begin, 1)
-            np.add.at(cover, end, -1)
+        at, end, check = (entries.field(k) for k in range(3))
+        anchor = end.is_null().to_numpy(zero_copy_only=False)
+        at, end, check = at.to_numpy().astype(np.int64), end.fill_null(0).to_numpy().astype(np.int64), check.to_numpy()
+        own = anchor & (at + GRAM <= n)
+        p = at[own]
+        p = p[text.checks(p) == check[own]]
+        begin, until = text.surroundings(p)
+        own = ~anchor & (end <= n)
+        b, e = at[own], end[own]
+        good = (text.hashes(b, e) & np.uint64(0x7FFFFFFF)).astype(np.int32) == check[own]
+        np.add.at(cover, np.concatenate([begin, b[good]]), 1)
+        np.add.at(cover, np.concatenate([until, e[good]]), -1)
     return np.cumsum(cover)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept.
 
     Every byte goes that a 50-byte string covers which also starts in a document
@@ -282,8 +352,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of rows that share one, none is smaller. Further columns are not read.
     """
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as binary) text")
-    entries = repeated(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("at", "full", "check")).alias("entries"))
-    joined = source.join(entries, source["doc_id"] == entries["doc"], "left").select("doc_id", "text", "entries")
+    entries = repeated(docs, id_col, text_col, group_limit).groupBy("doc").agg(F.collect_list(F.struct("at", "end", "check")).alias("entries"))
+    joined = source.join(entries.hint("merge"), source["doc_id"] == entries["doc"], "left").select("doc_id", "text", "entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
