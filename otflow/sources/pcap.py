@@ -94,8 +94,8 @@ class PcapSource(DataSource):
     def name(cls) -> str:
         return "pcap"
 
-    def schema(self) -> StructType:
-        return StructType.fromDDL(PACKET)
+    def schema(self) -> str:
+        return PACKET
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return PcapReader(schema, self.options)
@@ -149,8 +149,9 @@ def read_captures(spark, path: str):
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
+    arrow = to_arrow_schema(StructType.fromDDL(PACKET))
+
     def run(batches):
-        arrow = to_arrow_schema(StructType.fromDDL(PACKET))
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = list(packet_rows(name, content))
