@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -44,9 +45,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that no live DataFrame needs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files that no live DataFrame needs.
+
+    What a step leaves behind in the driver is found garbage by the second
+    collection only.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def discard(df: DataFrame) -> None:

@@ -111,7 +111,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     document than the batch's smallest are settled here, under a key that
     spreads them.
     """
-    for batch in slices(batches, 5000):
+    for batch in slices(batches, 3000):
         key, check, doc, at = [], [], [], []
         for doc_id, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             text = Text(data)
@@ -129,7 +129,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled = doc > doc[first][np.cumsum(first) - 1]
         key = np.where(settled, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), key)
         info = (check.astype(np.int64) << 32) | (settled.astype(np.int64) << 31) | at
-        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(doc), pa.array(info)], names=["key", "doc", "info"])
+        out = pa.record_batch([pa.array(key.view(np.int64)), pa.array(doc), pa.array(info)], names=["key", "doc", "info"])
+        del key, check, doc, at, order, first, settled, info
+        yield from slices([out], 100_000)
 
 
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
