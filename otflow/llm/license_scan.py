@@ -86,12 +86,13 @@ def scan_texts(texts: list[bytes], templates: Templates, words: WordHash) -> lis
     # Each text begins on the coarsest block's edge, so windows don't depend on what stands before it.
     room = np.array([-(-len(r) // grid) * grid for r in runs], np.int64)
     first = np.cumsum(room) - room
-    hashes = np.zeros(int(room.sum()), np.uint64)
+    # Windows of the last text may reach beyond its end.
+    hashes = np.zeros(int(room.sum()) + WINDOW_BLOCKS * grid, np.uint64)
     filled = np.zeros(len(hashes), bool)
     for at, run in zip(first.tolist(), runs):
         hashes[at : at + len(run)] = run
         filled[at : at + len(run)] = True
-    if not len(hashes):
+    if not filled.any():
         return []
     found: set[tuple[int, int]] = set()
     for band in range(BANDS):
@@ -100,9 +101,10 @@ def scan_texts(texts: list[bytes], templates: Templates, words: WordHash) -> lis
         for (block, window), members in templates.by_geometry.items():
             while size < block:
                 level, size = level.reshape(-1, 2).min(1), size * 2
-            least = level
-            for k in range(1, window // block):
-                least = np.minimum(least[: len(level) - k], level[k:]) if k < len(level) else least
+            reach = window // block
+            least = level[: len(level) - reach + 1]
+            for k in range(1, reach):
+                least = np.minimum(least, level[k : k + len(least)])
             for t in members:
                 found.update((t, at * block) for at in np.flatnonzero(least == templates.bands[t, band]).tolist())
     best: dict[tuple[int, int], tuple[int, int]] = {}
