@@ -43,21 +43,14 @@ def is_outer(ip: Column) -> Column:
     return ip.startswith("172.16.")
 
 
-def octet(ip: Column, k: int) -> Column:
-    return F.split_part(ip, F.lit("."), F.lit(k)).try_cast("int") if hasattr(Column, "try_cast") else F.expr("null")
-
-
 def is_internal(ip: Column) -> Column:
     """Private IPv4 ranges, loopback and link-local included."""
-    a, b = octet(ip, 1), octet(ip, 2)
-    found = ip.startswith("10.") | ip.startswith("192.168.") | ip.startswith("127.") | ip.startswith("169.254.")
-    return found | ((a == 172) & b.between(16, 31))
+    return ip.rlike(r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.)")
 
 
 def is_broadcast(ip: Column) -> Column:
     """Ends in .255, multicast or unspecified."""
-    a = octet(ip, 1)
-    return ip.endswith(".255") | F.coalesce(a.between(224, 239), F.lit(False)) | (ip == "0.0.0.0") | F.lower(ip).startswith("ff")
+    return ip.rlike(r"\.255$|^(22[4-9]|23\d)\.|^0\.0\.0\.0$|^[fF][fF]")
 
 
 def is_ipv4(text: Column) -> Column:

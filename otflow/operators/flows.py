@@ -60,10 +60,6 @@ def assemble(packets: DataFrame) -> DataFrame:
     return flows.select("canonical_id", "origin.*", *[c for c in flows.columns if c not in ("canonical_id", "origin")])
 
 
-def swapped(ends: str) -> Column:
-    return F.struct(F.col(f"{ends}.dst_ip").alias("src_ip"), F.col(f"{ends}.dst_port").alias("src_port"), F.col(f"{ends}.src_ip").alias("dst_ip"), F.col(f"{ends}.src_port").alias("dst_port"), F.col(f"{ends}.protocol").alias("protocol"))
-
-
 def orient(flows: DataFrame, use_syn: bool = True) -> DataFrame:
     """flows with client and server (structs of ip and port), null where neither SYN nor ports tell.
 
@@ -71,55 +67,57 @@ def orient(flows: DataFrame, use_syn: bool = True) -> DataFrame:
     only one has it. The incremental variant leaves SYNs out.
     """
     a, b = X.is_service_port(F.col("src_port")), X.is_service_port(F.col("dst_port"))
-    end = lambda ip, port: F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"))
-    source, target = end("src_ip", "src_port"), end("dst_ip", "dst_port")
+    source, target = _end("src_ip", "src_port"), _end("dst_ip", "dst_port")
     client = F.when(~a & b, source).when(a & ~b, target)
     server = F.when(~a & b, target).when(a & ~b, source)
     if use_syn:
-        client = F.when(F.col("syn").isNotNull(), end("syn.src_ip", "syn.src_port")).otherwise(client)
-        server = F.when(F.col("syn").isNotNull(), end("syn.dst_ip", "syn.dst_port")).otherwise(server)
+        client = F.when(F.col("syn").isNotNull(), _end("syn.src_ip", "syn.src_port")).otherwise(client)
+        server = F.when(F.col("syn").isNotNull(), _end("syn.dst_ip", "syn.dst_port")).otherwise(server)
     return flows.withColumns({"client": client, "server": server})
 
 
-def orient_mqtt(flows: DataFrame) -> DataFrame:
-    """client and server of MQTT flows: the broker's port, else the first CONNECT."""
-    end = lambda ip, port: F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"))
-    to = F.col("dst_port").isin(*C.MQTT_PORTS)
-    back = F.col("src_port").isin(*C.MQTT_PORTS)
-    return _by_port(flows, to, back, end("mqtt_connect.src_ip", "mqtt_connect.src_port"), end("mqtt_connect.dst_ip", "mqtt_connect.dst_port"), F.col("mqtt_connect").isNotNull())
+def _end(ip: str, port: str) -> Column:
+    return F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"))
 
 
-def orient_opcua(flows: DataFrame) -> DataFrame:
-    """client and server of OPC UA flows: the server's port, else the first HEL, else the first OPN."""
-    end = lambda ip, port: F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"))
-    opened = F.coalesce("opcua_hello", "opcua_open")
-    flows = flows.withColumn("_opened", opened)
-    out = _by_port(flows, F.col("dst_port") == C.OPCUA_PORT, F.col("src_port") == C.OPCUA_PORT, end("_opened.src_ip", "_opened.src_port"), end("_opened.dst_ip", "_opened.dst_port"), F.col("_opened").isNotNull())
-    return out.drop("_opened")
+def port_ends(ports: tuple[int, ...], opened: Column | None = None) -> tuple[Column, Column]:
+    """client and server by the side that holds one of the ports.
 
+    Where both or none do: the side that opened (a struct of a connection's
+    columns, null if unknown), or without such a struct the origin's source.
+    """
+    to, back = F.col("dst_port").isin(*ports), F.col("src_port").isin(*ports)
+    source, target = _end("src_ip", "src_port"), _end("dst_ip", "dst_port")
+    if opened is None:
+        reverse = back & ~to
+        return F.when(reverse, target).otherwise(source), F.when(reverse, source).otherwise(target)
+    pick = lambda side: F.when(opened.isNotNull(), F.struct(opened[f"{side}_ip"].alias("ip"), opened[f"{side}_port"].alias("port")))
+    client = F.when(to & ~back, source).when(back & ~to, target).otherwise(pick("src"))
+    server = F.when(to & ~back, target).when(back & ~to, source).otherwise(pick("dst"))
+    return client, server
 
-def _by_port(flows, to, back, client, server, known):
-    end = lambda ip, port: F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"))
-    source, target = end("src_ip", "src_port"), end("dst_ip", "dst_port")
-    return flows.withColumns(
-        {
-            "client": F.when(to & ~back, source).when(back & ~to, target).when(known, client),
-            "server": F.when(to & ~back, target).when(back & ~to, source).when(known, server),
-        }
-    )
+
+def mqtt_ends() -> tuple[Column, Column]:
+    """The broker's port, else who sent the first CONNECT."""
+    return port_ends(C.MQTT_PORTS, F.col("mqtt_connect"))
+
+
+def opcua_ends() -> tuple[Column, Column]:
+    """The server's port, else who sent the first HEL, else the first OPN."""
+    return port_ends((C.OPCUA_PORT,), F.coalesce("opcua_hello", "opcua_open"))
 
 
-def is_modbus(flows: DataFrame) -> Column:
+def is_modbus() -> Column:
     return (F.col("src_port") == C.MODBUS_PORT) | (F.col("dst_port") == C.MODBUS_PORT) | F.col("modbus_label")
 
 
-def is_monitor(flows: DataFrame) -> Column:
+def is_monitor() -> Column:
     return ((F.col("src_port") == C.MONITOR_PORT) | (F.col("dst_port") == C.MONITOR_PORT)) & F.col("monitor")
 
 
-def is_mqtt(flows: DataFrame) -> Column:
+def is_mqtt() -> Column:
     return F.col("src_port").isin(*C.MQTT_PORTS) | F.col("dst_port").isin(*C.MQTT_PORTS) | F.col("mqtt_connect").isNotNull()
 
 
-def is_opcua(flows: DataFrame) -> Column:
+def is_opcua() -> Column:
     return (F.col("src_port") == C.OPCUA_PORT) | (F.col("dst_port") == C.OPCUA_PORT) | F.col("opcua_hello").isNotNull() | F.col("opcua_open").isNotNull()

@@ -1,16 +1,16 @@
 """Grouping flows into client-service edges, stage by stage.
 
 Stages run in order: modbus, http_monitor, mqtt, opcua, collapsed, individual.
-What a stage has consumed is an explicit table (canonical_id, stage) that later
-stages anti-join; Modbus and monitor stages consume every flow they group, even
+What a stage has consumed is an explicit table (canonical_id, stage); Modbus and monitor stages consume every flow they group, even
 where policy or scope rejects the group, MQTT and OPC UA only what they emit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from otflow import constants as C
@@ -20,13 +20,13 @@ from otflow.operators import policy
 GROUP = ("client_ip", "server_ip", "server_port", "protocol")
 
 
-def grouped(oriented: DataFrame) -> DataFrame:
-    """Edges of oriented flows: one row per client, server, port and protocol."""
+def grouped(oriented: DataFrame, *also: str) -> DataFrame:
+    """Edges of oriented flows: one row per client, server, port and protocol, and of the columns also."""
     sides = oriented.where("client is not null").select(
         F.col("client.ip").alias("client_ip"), F.col("client.port").alias("client_port"), F.col("server.ip").alias("server_ip"), F.col("server.port").alias("server_port"),
-        "protocol", "canonical_id", "packets", "bytes", "layer", "first_us", "last_us",
+        "protocol", "canonical_id", "packets", "bytes", "layer", "first_us", "last_us", *also,
     )
-    return sides.groupBy(*GROUP).agg(
+    return sides.groupBy(*GROUP, *also).agg(
         F.count(F.lit(1)).alias("flows"),
         F.count_distinct("client_port").alias("client_ports"),
         F.min("client_port").alias("port_min"),
@@ -39,43 +39,47 @@ def grouped(oriented: DataFrame) -> DataFrame:
     )
 
 
-def accepted(groups: DataFrame) -> DataFrame:
-    """Groups that the policy accepts as one connection from client port 0."""
+def accepted(groups: DataFrame, exempt: Column | None = None) -> DataFrame:
+    """Groups that are exempt or that the policy accepts as one connection from client port 0."""
     as_flow = groups.withColumns({"src_ip": F.col("client_ip"), "dst_ip": F.col("server_ip"), "src_port": F.lit(0), "dst_port": F.col("server_port")})
-    return as_flow.where(policy.interesting()).select(*groups.columns)
+    return as_flow.where(policy.interesting() if exempt is None else exempt | policy.interesting()).select(*groups.columns)
 
 
-def members(oriented: DataFrame) -> DataFrame:
-    """canonical_id with the edge's key of every oriented flow."""
-    return oriented.where("client is not null").select(
-        "canonical_id", F.col("client.ip").alias("client_ip"), F.col("server.ip").alias("server_ip"), F.col("server.port").alias("server_port"), "protocol"
-    )
-
+@dataclass(frozen=True)
+class Stage:
+    """A protocol's way to pick flows and to tell client from server, as expressions on a flow's row.
 
-def modbus(flows: DataFrame) -> DataFrame:
-    """Modbus flows that hold port 502 on a side, which is the server's."""
-    return _to_port(flows.where(fl.is_modbus(flows)), C.MODBUS_PORT)
+    always: takes its flows even where an earlier stage has consumed them;
+    checked: the policy is applied to the group; else to each flow.
+    """
 
+    name: str
+    where: Callable[[], Column]
+    ends: Callable[[], tuple[Column, Column]]
+    always: bool = False
+    checked: bool = False
 
-def http_monitor(flows: DataFrame) -> DataFrame:
-    return _to_port(flows.where(fl.is_monitor(flows)), C.MONITOR_PORT)
+    def oriented(self, flows: DataFrame) -> DataFrame:
+        client, server = self.ends()
+        picked = flows.where(self.where() if self.checked else self.where() & policy.interesting())
+        return picked.withColumns({"client": client, "server": server})
 
 
-def _to_port(flows: DataFrame, port: int) -> DataFrame:
-    """Flows with the port on a side, oriented to it; of both sides the earliest packet's target is the server."""
-    end = lambda ip, p: F.struct(F.col(ip).alias("ip"), F.col(p).alias("port"))
-    back = (F.col("src_port") == port) & (F.col("dst_port") != port)
-    source, target = end("src_ip", "src_port"), end("dst_ip", "dst_port")
-    held = flows.where((F.col("src_port") == port) | (F.col("dst_port") == port))
-    return held.withColumns({"client": F.when(back, target).otherwise(source), "server": F.when(back, source).otherwise(target)})
+def _holds(port: int) -> Column:
+    return (F.col("src_port") == port) | (F.col("dst_port") == port)
 
 
-def mqtt(flows: DataFrame) -> DataFrame:
-    return fl.orient_mqtt(flows.where(fl.is_mqtt(flows) & policy.interesting()))
+#: Protocol stages in their order. New protocols are further entries.
+STAGES = (
+    Stage("modbus", lambda: fl.is_modbus() & _holds(C.MODBUS_PORT), lambda: fl.port_ends((C.MODBUS_PORT,)), always=True, checked=True),
+    Stage("http_monitor", lambda: fl.is_monitor() & _holds(C.MONITOR_PORT), lambda: fl.port_ends((C.MONITOR_PORT,)), always=True, checked=True),
+    Stage("mqtt", fl.is_mqtt, fl.mqtt_ends),
+    Stage("opcua", fl.is_opcua, fl.opcua_ends),
+)
 
 
-def opcua(flows: DataFrame) -> DataFrame:
-    return fl.orient_opcua(flows.where(fl.is_opcua(flows) & policy.interesting()))
+def stage(name: str) -> Stage:
+    return next(s for s in STAGES if s.name == name)
 
 
 def collapsed(flows: DataFrame, min_ports: int = C.MIN_CLIENT_PORTS) -> DataFrame:
@@ -84,40 +88,48 @@ def collapsed(flows: DataFrame, min_ports: int = C.MIN_CLIENT_PORTS) -> DataFram
     return grouped(oriented).where(F.col("client_ports") >= min_ports)
 
 
-def collapsed_members(flows: DataFrame, min_ports: int = C.MIN_CLIENT_PORTS) -> DataFrame:
-    oriented = fl.orient(flows).where("client.port > 0 and server.port > 0")
-    return members(oriented).join(collapsed(flows, min_ports).select(*GROUP), list(GROUP), "left_semi")
-
-
-#: Protocol stages in their order: name -> (flows -> oriented flows). New protocols register here.
-STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {"modbus": modbus, "http_monitor": http_monitor, "mqtt": mqtt, "opcua": opcua}
-
-
-def run_stages(flows: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]] | None = None, min_ports: int = C.MIN_CLIENT_PORTS) -> tuple[DataFrame, DataFrame]:
+def run_stages(flows: DataFrame, stages: Sequence[Stage] = STAGES, min_ports: int = C.MIN_CLIENT_PORTS) -> tuple[DataFrame, DataFrame]:
     """Edges of all stages with a stage column, and what each stage consumed (canonical_id, stage).
 
-    The consumed table of a stage is what later stages leave out.
+    The protocol stages are decided on each flow's row, so they cost one
+    aggregation together; only the collapsed stage has to look at its groups
+    before it knows its flows.
     """
-    edges, consumed, left = [], [], flows
-    chosen = STAGES if stages is None else stages
-    for name, stage in chosen.items():
-        own = stage(flows if name in ("modbus", "http_monitor") else left)
-        groups = grouped(own)
-        edges.append((groups if name in ("mqtt", "opcua") else accepted(groups)).withColumn("stage", F.lit(name)))
-        used = members(own).select("canonical_id", F.lit(name).alias("stage"))
-        consumed.append(used)
-        left = left.join(used, "canonical_id", "left_anti")
-    edges.append(accepted(collapsed(left, min_ports)).withColumn("stage", F.lit("collapsed")))
-    used = collapsed_members(left, min_ports).select("canonical_id", F.lit("collapsed").alias("stage"))
-    consumed.append(used)
-    alone = left.join(used, "canonical_id", "left_anti").where(policy.interesting())
-    edges.append(individual(alone).withColumn("stage", F.lit("individual")))
-    return _union(edges), _union(consumed)
+    # Each step names its outcome, so that later ones don't repeat its expression.
+    flows = flows.withColumns({"_fine": policy.interesting(), "_taken": F.lit(False)})
+    for s in stages:
+        client, server = s.ends()
+        hit = s.where() if s.checked else s.where() & F.col("_fine")
+        hit = hit if s.always else hit & ~F.col("_taken")
+        flows = flows.withColumns({f"_{s.name}": F.when(hit, F.struct(F.lit(s.name).alias("stage"), client.alias("client"), server.alias("server")))})
+        flows = flows.withColumn("_taken", F.col("_taken") | F.col(f"_{s.name}.client").isNotNull())
+    picks = [F.when(F.col(f"_{s.name}.client").isNotNull(), F.col(f"_{s.name}")) for s in stages]
+    frames, consumed = [], []
+    if picks:
+        staged = flows.withColumn("_pick", F.explode(F.array_compact(F.array(*picks)))).withColumns({c: F.col(f"_pick.{c}") for c in ("stage", "client", "server")})
+        groups = grouped(staged, "stage")
+        checked = [s.name for s in stages if s.checked]
+        frames.append(accepted(groups, ~F.col("stage").isin(checked) if checked else F.lit(True)))
+        consumed.append(staged.select("canonical_id", "stage"))
+    left = fl.orient(flows.where("not _taken"))
+    ported = left.where("client.port > 0 and server.port > 0")
+    groups = grouped(ported).where(F.col("client_ports") >= min_ports)
+    frames.append(accepted(groups).withColumn("stage", F.lit("collapsed")))
+    keys = groups.select(*GROUP, F.lit(True).alias("_collapsed"))
+    named = left.withColumns({"client_ip": F.col("client.ip"), "server_ip": F.col("server.ip"), "server_port": F.col("server.port")})
+    told = named.join(keys, list(GROUP), "left").withColumn("_collapsed", F.coalesce("_collapsed", F.lit(False)) & (F.col("client.port") > 0))
+    consumed.append(told.where("_collapsed").select("canonical_id", F.lit("collapsed").alias("stage")))
+    alone = told.where("(_collapsed is null or not _collapsed) and _fine")
+    frames.append(_alone(alone).withColumn("stage", F.lit("individual")))
+    return _union(frames), _union(consumed)
 
 
 def individual(flows: DataFrame) -> DataFrame:
     """One edge per flow; oriented flows carry client port 0, others their own ports."""
-    oriented = fl.orient(flows)
+    return _alone(fl.orient(flows))
+
+
+def _alone(oriented: DataFrame) -> DataFrame:
     known = F.col("client").isNotNull()
     pick = lambda a, b: F.when(known, F.col(a)).otherwise(F.col(b))
     port = F.when(known, 0).otherwise(F.col("src_port"))

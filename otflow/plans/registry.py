@@ -59,10 +59,10 @@ on_packets(
     lambda p: p.groupBy(F.col("dst_port").alias("port"), X.is_service_port(F.col("dst_port")).alias("is_service"), X.is_ephemeral(F.col("dst_port")).alias("is_ephemeral")).agg(F.count(F.lit(1)).alias("packets")),
 )
 on_flows("policy_interesting", lambda f: f.select("canonical_id", policy.interesting().alias("interesting"), policy.interesting_incremental().alias("incremental")))
-on_flows("group_modbus", lambda f: grouping.grouped(grouping.modbus(f)))
-on_flows("group_http_monitor", lambda f: grouping.grouped(grouping.http_monitor(f)))
-on_flows("group_mqtt", lambda f: grouping.grouped(grouping.mqtt(f)))
-on_flows("group_opcua", lambda f: grouping.grouped(grouping.opcua(f)))
+on_flows("group_modbus", lambda f: grouping.grouped(grouping.stage("modbus").oriented(f)))
+on_flows("group_http_monitor", lambda f: grouping.grouped(grouping.stage("http_monitor").oriented(f)))
+on_flows("group_mqtt", lambda f: grouping.grouped(grouping.stage("mqtt").oriented(f)))
+on_flows("group_opcua", lambda f: grouping.grouped(grouping.stage("opcua").oriented(f)))
 on_flows("group_collapsed", grouping.collapsed)
 on_flows("individual_flows", lambda f: grouping.individual(f.where(policy.interesting())).select("client_ip", "server_ip", "server_port", "protocol", "port_min", "packets", "bytes"))
 on_flows("stage_edges", lambda f: grouping.run_stages(f)[0])
@@ -105,12 +105,12 @@ on_packets("signal_opcua", lambda p: registers.signal_statistics(registers.opcua
 on_packets("signal_mqtt", lambda p: registers.signal_statistics(registers.mqtt_signals(p)))
 
 on_flows("guid_node", graph.endpoint_nodes)
-on_flows("node_dedupe", lambda f: graph.service_nodes(grouping.run_stages(f, {})[0]))
+on_flows("node_dedupe", lambda f: graph.service_nodes(grouping.run_stages(f, ())[0]))
 on_observations("guid_signal", graph.signal_nodes)
 on_observations("read_write_edges", graph.access_edges)
 on_anchors("edge_staging_merge", lambda f, a: graph.merge_staged(graph.staged_edges(f, a)))
 on_flows("summary_before_after", lambda f: graph.summary(f, grouping.run_stages(f)[0]))
-on_flows("cypher_text", lambda f: graph.node_statements(graph.service_nodes(grouping.grouped(grouping.modbus(f))), "NetworkService", 1, {"host": "host", "port": "port", "protocol": "protocol", "service_name": "serviceName", "ip": "ipAddress"}))
+on_flows("cypher_text", lambda f: graph.node_statements(graph.service_nodes(grouping.grouped(grouping.stage("modbus").oriented(f))), "NetworkService", 1, {"host": "host", "port": "port", "protocol": "protocol", "service_name": "serviceName", "ip": "ipAddress"}))
 on_observations("sdt_timeline", timeline.timelines, *SHORT)
 on_observations("value_encoding", lambda o: o.groupBy("series").agg(X.value_text(F.sum("value").cast("double") / 4).alias("quarter_text"), X.value_text(F.max("value").cast("double")).alias("max_text")), *SHORT)
 
