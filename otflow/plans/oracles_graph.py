@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from otflow import constants as C
-from otflow.plans.oracles import FLOWS, ORIENTED, P, _GROUP, _GUID, _HOST, _MATCH, _MODBUS, _OBS, _STAGE_EDGES, _STAGES, _to_port, policy, svc
+from otflow.plans.oracles import _BRUTE, FLOWS, ORIENTED, P, _GROUP, _GUID, _HOST, _MATCH, _MODBUS, _OBS, _STAGE_EDGES, _STAGES, _orient, _to_port, policy, svc
+from otflow.sources.host_view import MANAGED
 
 _SERVICE = "case when port <= 0 then 'Ephemeral Service' " + " ".join(f"when port = {p} then '{n}'" for p, n in C.SERVICE_NAMES.items()) + " else 'Port ' || port end"
 _SIGNAL_GUID = r"'{' || regexp_replace(md5(concat_ws('|', 'ICSSignal', 'modbus', lower(host), '502', unit::varchar, kind, register::varchar)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '}'"
@@ -14,6 +15,11 @@ _FLAGS = " || ".join(f"case when b & {1 << k} <> 0 then '{c}' else '' end" for k
 
 _set = lambda c: f"coalesce(array_to_string(list_sort(list(distinct {c}) filter (where {c} is not null)), ','), '')"
 
+_UNMANAGED = ", ".join(f"'{h}'" for h in sorted(set(C.HOST_NAMES.values()) - set(MANAGED)))
+_PROC = """co as (select ori.*, client_ip || '>' || server_ip || ':' || server_port || '/' || protocol edge, confidence, method, guid process_guid from ori join mt using (canonical_id) join an on an.seq = mt.anchor_seq where client_ip is not null and guid is not null),
+bq as (select edge, process_guid, count(*) matches, min(client_port) port from co group by 1, 2),
+bp as (select edge, process_guid, matches, port from (select *, row_number() over (partition by edge order by matches desc, port, process_guid) r from bq) where r = 1)"""
+
 GRAPH_SQL = {
     "guid_node": f"""with {FLOWS}, n as (select {_HOST('ip')} host, ip, first_us from (select src_ip ip, first_us from fl union all select dst_ip, first_us from fl))
         select host, string_agg(distinct ip, ',' order by ip) addresses, min(first_us) first_us, {_GUID("'NetworkEndpoint'", 'host')} guid from n group by host""",
@@ -51,4 +57,28 @@ GRAPH_SQL = {
           {_set('modbus_registers[1]')} modbus_registers, {_set('http_method')} http_methods, {_set('http_host')} http_hosts, {_set('tls_sni')} tls_snis, count(distinct client_port) client_ports, count(distinct pcap_file) files from q group by 1)
         select * exclude (oa, na), case when oa then na else packet_count - na end forward_packets, packet_count - case when oa then na else packet_count - na end reverse_packets,
           round(case when oa then na else packet_count - na end / packet_count, 6) directionality_ratio, round(payload_bytes / nullif(with_payload, 0), 2) mean_payload, (last_us - first_us) / 1e6 duration_s from s""",
+    "edge_processes": f"""with {_MATCH}, {_PROC} select edge, process_guid, matches, port from bp""",
+    "client_identity": f"""with {_MATCH}, {_PROC}, ed as (select distinct client_ip || '>' || server_ip || ':' || server_port || '/' || protocol edge, client_ip ip from ori where client_ip is not null),
+        q as (select edge, {_HOST('ip')} client_host, process_guid, {_HOST('ip')} in ({_UNMANAGED}) loose from ed left join bp using (edge))
+        select edge, client_host, coalesce(process_guid, case when loose then {_GUID("'Process'", 'client_host', "'placeholder'")} end) guid, case when process_guid is not null then 1.0::double else 0.5::double end confidence,
+          case when process_guid is not null then 'telemetry' else 'placeholder' end kind from q where process_guid is not null or loose""",
+    "telemetry_rollup": f"""with {_MATCH}, {_PROC}, k as (select *, {_HOST('server_ip')} host, server_port port from co), g as (select *, {_SERVICE_GUID} service from k),
+        m as (select process_guid, service, client_port majority_port from (select process_guid, service, client_port, row_number() over (partition by process_guid, service order by count(*) desc, min(first_index)) r from g group by 1, 2, 3) where r = 1)
+        select process_guid, service, count(*) flows, sum(packets)::bigint packets, sum(bytes)::bigint bytes, min(first_us) first_us, max(last_us) last_us, max(confidence) confidence,
+          first(method order by confidence desc, first_index) as method, any_value(majority_port) majority_port from g join m using (process_guid, service) group by 1, 2""",
+    "ownership_edges": f"""with {FLOWS}, s as ({_to_port(502, _MODBUS)}), n as (select distinct {_HOST('dst_ip')} host from (select case when src_port = 502 and dst_port <> 502 then src_ip else dst_ip end dst_ip from s))
+        select {_MODBUS_GUID} src, {_GUID("'NetworkEndpoint'", 'host')} dst, 'LISTENS_ON' rel from n union all select {_GUID("'Process'", 'host', "'placeholder'")}, {_MODBUS_GUID}, 'BINDS' from n where host in ({_UNMANAGED})
+        union all select {_GUID("'Process'", 'host', "'placeholder'")}, {_GUID("'NetworkEndpoint'", 'host')}, 'RUN_ON' from n where host in ({_UNMANAGED})""",
+    "signal_containers": f"""with {_OBS}, r as (select 'client' as role, client_ip ip, register, unit, access, value, ts_us from obs union all select 'server', server_ip, register, unit, access, value, ts_us from obs), h as (select *, {_HOST('ip')} host from r)
+        select role, ip, register, unit, count(*) filter (where access = 'read') reads, count(*) filter (where access = 'write') writes, min(value) min_value, max(value) max_value, min(ts_us) first_us, max(ts_us) last_us,
+          {_GUID("'SignalContainer'", 'any_value(host)', 'register', 'unit')} guid from h group by role, ip, register, unit""",
+    "completeness": f"""with {_BRUTE}, d as (select case when mt.anchor_seq is null then 'missed' else 'false_positive' end || ':' || coalesce(bf.reason, 'no anchor') as counter from mt full join bf using (canonical_id) where mt.anchor_seq is null or bf.anchor_seq is null)
+        select 'flows' as counter, count(*) n from fl union all select 'logged_hosts', count(*) from fl where src_ip in {C.LOGGED_HOSTS} or dst_ip in {C.LOGGED_HOSTS}
+        union all select 'service_ports', count(*) from fl where src_port in {C.VERIFIED_PORTS} or dst_port in {C.VERIFIED_PORTS} union all select 'method:' || method, count(*) from mt group by method union all select counter, count(*) from d group by counter""",
+    "packet_sample": f"""with {P} select * from (select canonical_id, row_number() over (partition by canonical_id order by o) place, packet_index, ts_us from p) where place <= 3""",
+    "asset_scope": f"""with {FLOWS} select canonical_id, src_ip, dst_ip from fl where {_HOST('src_ip')} in ({_UNMANAGED}) or {_HOST('dst_ip')} in ({_UNMANAGED})""",
+    "group_incremental": f"""with {FLOWS}, ok as (select * from fl where packets >= 3), s as ({_orient('ok', False)}) {_GROUP.format(source='s')}""",
+    "signal_attribution": f"""with {_MATCH}, {_PROC}, {_OBS[_OBS.index('mp as'):]}, q as (select *, client_ip || '>' || server_ip || ':502/tcp' edge, {_HOST('server_ip')} host from obs)
+        select process_guid, {_SIGNAL_GUID} signal_guid, access, count(*) n, max(ts_us) last_us from q join bp using (edge) group by 1, 2, 3""",
+    "encoded_decode": f"""with {_OBS} select series, value::bigint as value, n from (select series, value, n, row_number() over (partition by series order by o) r from (select short series, value, count(*) n, min(o) o from obs group by 1, 2)) where r <= 4""",
 }

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from otflow.functions import columns as X
-from otflow.operators import correlate, features, flows, graph, grouping, policy, registers, timeline
+from otflow.operators import correlate, features, flows, graph, grouping, identity, policy, registers, timeline
 from otflow.plans import oracles
 from otflow.plans.oracles_graph import GRAPH_SQL
+from otflow.sources.host_view import hosts
 from otflow.sources.packet_view import packets as packet_view
 from otflow.sources.telemetry_view import anchors as telemetry_anchors
 from otflow.streaming import flows as streaming
@@ -128,3 +129,22 @@ on_observations("summary_merge", lambda o: timeline.merge_summaries(_halves(o)),
 on_packets("best_process", lambda p: correlate.best_process(p.select(F.col("dst_ip").alias("group_id"), F.col("dst_port").alias("port"), F.col("src_mac").alias("process_guid")).where("process_guid <> ''")))
 on_packets("tcp_flag_text", lambda p: p.groupBy(X.tcp_flag_text((F.col("packet_index") % 64).cast("int")).alias("flags")).agg(F.count(F.lit(1)).alias("packets")))
 on_packets("flow_stats", streaming.flow_stats)
+on_anchors("edge_processes", identity.edge_processes)
+on_anchors("client_identity", lambda f, a: identity.client_identities(f, a, hosts(f.sparkSession)))
+on_anchors("telemetry_rollup", identity.telemetry_rollup)
+on_flows("ownership_edges", lambda f: identity.ownership(graph.service_nodes(grouping.grouped(grouping.stage("modbus").oriented(f))), hosts(f.sparkSession)))
+on_observations("signal_containers", identity.containers)
+on_anchors("completeness", identity.completeness)
+on_packets("packet_sample", lambda p: identity.sample(p, 3).select("canonical_id", "place", "packet_index", "ts_us"))
+on_flows("asset_scope", lambda f: policy.in_scope(f, hosts(f.sparkSession).where("not is_managed")).select("canonical_id", "src_ip", "dst_ip"))
+on_flows("group_incremental", lambda f: grouping.grouped(flows.orient(f.where(policy.interesting_incremental()), use_syn=False)))
+
+
+def _attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = _view(spark, sf_dir)
+    assembled = flows.assemble(packets)
+    return identity.signal_attribution(assembled, telemetry_anchors(assembled), registers.observations(packets))
+
+
+QUERIES["signal_attribution"] = _attribution
+on_observations("encoded_decode", lambda o: timeline.decode_counts(registers.top_values(o), "top_values"), *SHORT)
