@@ -107,11 +107,9 @@ def parse_time(text: Column) -> Column:
     """
     bare = F.trim(F.regexp_replace(F.trim(text), r"^datetime\(\s*['\"]?(.*?)['\"]?\s*\)$", "$1"))
     number = bare.try_cast("double")
-    formats = (
-        "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-        "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss",
-    )
-    stamps = [F.unix_micros(F.try_to_timestamp(bare, F.lit(f))) / 1e6 for f in formats]
+    utc = F.concat(F.regexp_replace(bare, "Z$", ""), F.lit("+00:00"))
+    formats = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]xxx", "yyyy-MM-dd HH:mm:ss[.SSSSSS]xxx")
+    stamps = [F.unix_micros(F.try_to_timestamp(utc, F.lit(f))) / 1e6 for f in formats]
     return F.coalesce(F.when(number > 1e12, number / 1000).otherwise(number), *stamps)
 
 

@@ -13,7 +13,7 @@ def _duck_view() -> str:
     text = _VIEW.format(events="events")
     for a, b in (
         ("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"),
-        ("unix_micros(cast(ts as timestamp))", "epoch_us(ts)"),
+        ("unix_micros(from_utc_timestamp(cast(ts as timestamp), current_timezone()))", "epoch_us(ts)"),
         ("element_at(array(", "list_extract(list_value("),
         ("array(named_struct('name', 'value', 'value', cast(v as double) / 4))", "list_value({'name': 'value', 'value': v::double / 4})"),
         ("array(", "list_value("),

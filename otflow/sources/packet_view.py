@@ -8,7 +8,7 @@ _VIEW = """
 with b as (
   select event_id e, user_id % 20 c, cast(get_json_object(props, '$.k') as bigint) k, cast(event_id % 2 as int) d,
     cast(case event_type when 'click' then 502 when 'view' then 80 when 'purchase' then 1883 when 'signup' then 4840 else 8080 end as int) sp,
-    cast(floor(value) as bigint) v, unix_micros(cast(ts as timestamp)) ts_us
+    cast(floor(value) as bigint) v, unix_micros(from_utc_timestamp(cast(ts as timestamp), current_timezone())) ts_us
   from {events}),
 n as (select *, concat('192.168.42.', 10 + c) ci, concat('192.168.43.', 9 + k % 3) si, cast(40000 + k % 4 as int) cp from b)
 select e packet_index, concat('cap', e % 3, '.pcap') pcap_file, ts_us, cast(60 + v as int) size,
@@ -49,6 +49,6 @@ from n
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packet view of sf_dir's events. Session time zone must be UTC."""
+    """The packet view of sf_dir's events, whose times are UTC whatever the session's zone."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return spark.sql(_VIEW, events=events)
