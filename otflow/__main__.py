@@ -32,7 +32,8 @@ def arguments() -> argparse.ArgumentParser:
     a.add_argument("--temporal-tolerance", type=float, default=C.TOLERANCE_S)
     a.add_argument("--disable-process-attribution", action="store_true")
     a.add_argument("--pcap-time-offset", type=float, default=0.0, help="hours added to capture times for correlation")
-    a.add_argument("--observations", default=None, help="Parquet folder of register observations")
+    a.add_argument("--observations", "--signal-db", default=None, help="Parquet folder of register observations")
+    a.add_argument("--summary-fast", "--summary-progress", action="store_true", help="accepted; summaries never measure more than they show")
     a.add_argument("--verify", action="store_true", help="compare with brute force; exit code 1 on a difference")
     return a
 

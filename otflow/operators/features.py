@@ -61,9 +61,12 @@ def mode_first(p: DataFrame, by: str, value: str, out: str) -> DataFrame:
 def distinct_in_order(p: DataFrame, value: Column, out: str, limit: int | None = None, cut: int | None = None) -> DataFrame:
     """Comma list of an edge's distinct values in first-seen order, of at most limit values of at most cut characters."""
     seen = p.select("edge", value.alias("v"), X.order_key().alias("o")).where("v is not null and v <> ''").groupBy("edge", "v").agg(F.min("o").alias("o"))
+    if limit is not None:
+        order = Window.partitionBy("edge").orderBy("o")
+        seen = seen.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit)
     listed = F.array_sort(F.collect_list(F.struct("o", "v")))
     values = F.transform(listed, lambda s: s["v"] if cut is None else F.substring(s["v"], 1, cut))
-    return seen.groupBy("edge").agg(F.array_join(values if limit is None else F.slice(values, 1, limit), ",").alias(out))
+    return seen.groupBy("edge").agg(F.array_join(values, ",").alias(out))
 
 
 def retransmits(p: DataFrame) -> DataFrame:

@@ -65,16 +65,18 @@ def merge_staged(staged: DataFrame) -> DataFrame:
     protocols several read 'mixed'.
     """
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
-    ports = F.sort_array(F.array_distinct(F.flatten(F.collect_list("ports"))))
-    merged = staged.groupBy("src", "dst", "rel").agg(
+    key = ["src", "dst", "rel"]
+    # A set of ports has a bound, a list of all flows' ports has none.
+    ports = staged.select(*key, F.explode("ports").alias("port")).groupBy(*key).agg(F.sort_array(F.collect_set("port")).alias("_ports"))
+    sums = staged.groupBy(*key).agg(
         *[F.sum(c).alias(c) for c in SUMMED],
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
         F.coalesce(F.bool_or("correlated"), F.lit(False)).alias("correlated"),
         last("stage").alias("stage"),
-        ports.alias("_ports"),
         F.sort_array(F.collect_set("protocol")).alias("_protocols"),
     )
+    merged = sums.join(ports, key, "left").withColumn("_ports", F.coalesce("_ports", F.array().cast("array<int>")))
     n = F.size("_ports")
     return merged.select(
         "src", "dst", "rel", *SUMMED, "first_us", "last_us", "correlated", "stage",
@@ -82,7 +84,7 @@ def merge_staged(staged: DataFrame) -> DataFrame:
         F.when(n == 1, F.element_at("_ports", 1).cast("string")).when(n > 1, "aggregated").alias("source_port"),
         F.when((n > 1) & (n <= 8), F.array_join(F.col("_ports").cast("array<string>"), ",")).alias("port_set"),
         F.when(F.size("_protocols") > 1, "mixed").otherwise(F.try_element_at("_protocols", F.lit(1))).alias("protocol"),
-        F.round(F.sum("bytes").over(Window.partitionBy("src", "dst", "rel")) / F.col("flows"), 2).alias("mean_bytes"),
+        F.round(F.col("bytes") / F.col("flows"), 2).alias("mean_bytes"),
     )
 
 
