@@ -93,7 +93,8 @@ def main(argv: list[str] | None = None) -> int:
         per = named.join(assembled.select("canonical_id", "dst_ip", "dst_port", "packets", "bytes"), "canonical_id").groupBy("guid", "image", "dst_ip", "dst_port").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.max("confidence").alias("confidence"))
         linked = per.select(F.col("guid").alias("src"), graph.service_guid(X.host_name(F.col("dst_ip")), F.col("dst_port")).alias("dst"), F.lit("CONNECT_TO").alias("rel"), "packets", "bytes", "confidence", "image")
         statements = statements.unionByName(graph.edge_statements(linked, 5, {"packets": "packetCount", "bytes": "totalBytes", "confidence": "correlationConfidence", "image": "correlatedProcessImage"}))
-    graph.write_text(statements, f"{o.output_cypher}/statements")
+    base = spark.read.text(o.base_cypher, wholetext=True).select(F.lit(0).alias("section"), F.lit("").alias("key"), F.col("value").alias("text"))
+    graph.write_text(base.unionByName(statements), f"{o.output_cypher}/statements")
     return 0
 
 

@@ -119,6 +119,17 @@ def coerce_port(text: Column) -> Column:
     return F.when(t.isNull() | t.isin("", "aggregated", "any", "unknown", "none"), 0).otherwise(t.try_cast("double").cast("int"))
 
 
+def safe_int(text: Column) -> Column:
+    """A number's whole part; empty texts, 'None' and words are null."""
+    return F.trim(text).try_cast("double").cast("long")
+
+
+def safe_bool(text: Column) -> Column:
+    """true, yes, 1 and false, no, 0 in any case; else null."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin("true", "yes", "1"), True).when(t.isin("false", "no", "0"), False)
+
+
 def transport(text: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.trim(text)), F.lit("")), F.lit("tcp"))
 

@@ -79,7 +79,9 @@ STAGES = (
 
 
 def stage(name: str) -> Stage:
-    return next(s for s in STAGES if s.name == name)
+    """The stage of a name; an unknown one takes no flows."""
+    nothing = Stage(name, lambda: F.lit(False), lambda: fl.port_ends((0,)), checked=True)
+    return next((s for s in STAGES if s.name == name), nothing)
 
 
 def collapsed(flows: DataFrame, min_ports: int = C.MIN_CLIENT_PORTS) -> DataFrame:

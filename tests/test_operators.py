@@ -76,10 +76,18 @@ def test_time_and_port_texts(spark):
     assert [r[0] for r in df.select(X.parse_time(F.col("t"))).collect()] == [1704067200.0, 1704067200.0, 1704067200.0, 1704067200.0, 1704067200.5, None, None]
     ports = spark.createDataFrame([(t,) for t in ["any", "502", "80.9", "", None, "x"]], "t string")
     assert [r[0] for r in ports.select(X.coerce_port(F.col("t"))).collect()] == [0, 502, 80, 0, 0, None]
+    cells = spark.createDataFrame([(t,) for t in [" 7.9", "None", "", "TRUE", "no", None]], "t string")
+    assert [tuple(r) for r in cells.select(X.safe_int(F.col("t")), X.safe_bool(F.col("t"))).collect()] == [(7, None), (None, None), (None, None), (None, True), (None, False), (None, None)]
     ips = spark.createDataFrame([(t,) for t in ["1.2.3.4", "256.1.1.1", "a.b.c.d", "1.2.3"]], "t string")
     assert [r[0] for r in ips.select(X.is_ipv4(F.col("t"))).collect()] == [True, False, False, False]
 
 
+def test_unknown_stage_takes_nothing(spark):
+    from otflow.operators import flows, grouping
+
+    assert grouping.stage("other").oriented(flows.assemble(packets(spark, SF))).count() == 0
+
+
 def test_rejected_modbus_group_is_consumed(spark):
     from otflow.operators import flows, grouping
 

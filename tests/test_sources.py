@@ -104,5 +104,6 @@ def test_command_line(spark, folder, tmp_path):
     base = ["--base-cypher", str(tmp_path / "g.cypher"), "--output-cypher", str(tmp_path / "out"), "--pcap-dir", str(folder)]
     assert main([*base, "--observations", str(tmp_path / "obs"), "--cache", str(tmp_path / "cache")]) == 0
     text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "out/statements")).collect())
+    assert text.lstrip().startswith("MERGE (n:NetworkEndpoint {guid: '{e1}'")
     assert "MERGE (n:NetworkEndpoint" in text and "MERGE (n:ICSSignal" in text and "correlatedProcessImage" in text
     assert main([*base, "--verify"]) == 0 and main([*base, "--summary-only"]) == 0
