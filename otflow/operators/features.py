@@ -23,12 +23,11 @@ def edge_packets(packets: DataFrame) -> DataFrame:
     return joined.withColumns({"edge": edge, "side": side})
 
 
-def totals(p: DataFrame) -> DataFrame:
-    """packets, bytes, mean size, times, duration and mean gap of each edge."""
+def _totals() -> list[Column]:
     span = F.max("ts_us") - F.min("ts_us")
     n = F.count(F.lit(1))
     gap = F.floor((2 * span + n - 1).cast("decimal(38,0)") / (2 * (n - 1)).cast("decimal(38,0)"))  # whole microseconds, half up
-    return p.groupBy("edge").agg(
+    return [
         n.alias("packets"),
         F.sum("size").alias("bytes"),
         F.round(F.avg("size"), 2).alias("mean_size"),
@@ -36,19 +35,29 @@ def totals(p: DataFrame) -> DataFrame:
         F.max("ts_us").alias("last_us"),
         (span / 1e6).alias("duration_s"),
         F.when(n > 1, gap.cast("long") / 1e6).otherwise(F.lit(0.0)).alias("mean_gap_s"),
-    )
+    ]
 
 
-def directional(p: DataFrame) -> DataFrame:
-    """Bytes and packets of both sides, and the ratio of bytes out to bytes in."""
+def totals(p: DataFrame) -> DataFrame:
+    """packets, bytes, mean size, times, duration and mean gap of each edge."""
+    return p.groupBy("edge").agg(*_totals())
+
+
+def _directional() -> list[Column]:
     out, back = F.col("side") == "out", F.col("side") == "in"
-    sums = p.groupBy("edge").agg(
-        F.coalesce(F.sum(F.when(out, F.col("size"))), F.lit(0)).alias("bytes_out"),
-        F.coalesce(F.sum(F.when(back, F.col("size"))), F.lit(0)).alias("bytes_in"),
+    out_bytes, in_bytes = (F.coalesce(F.sum(F.when(side, F.col("size"))), F.lit(0)) for side in (out, back))
+    return [
+        out_bytes.alias("bytes_out"),
+        in_bytes.alias("bytes_in"),
         F.count_if(out).alias("packets_out"),
         F.count_if(back).alias("packets_in"),
-    )
-    return sums.withColumn("directionality", F.round(X.directionality(F.col("bytes_out"), F.col("bytes_in")), 6))
+        F.round(X.directionality(out_bytes, in_bytes), 6).alias("directionality"),
+    ]
+
+
+def directional(p: DataFrame) -> DataFrame:
+    """Bytes and packets of both sides, and the ratio of bytes out to bytes in."""
+    return p.groupBy("edge").agg(*_directional())
 
 
 def mode_first(p: DataFrame, by: str, value: str, out: str) -> DataFrame:
@@ -76,22 +85,27 @@ def retransmits(p: DataFrame) -> DataFrame:
     return p.select("edge").distinct().join(counted, "edge", "left").select("edge", F.coalesce("retransmits", F.lit(0).cast("long")).alias("retransmits"))
 
 
-def macs(p: DataFrame) -> DataFrame:
-    """MACs of the first packet from client to server that has both; else the first non-empty ones."""
+def _macs() -> list[Column]:
     both = (F.col("side") == "out") & (F.col("src_mac") != "") & (F.col("dst_mac") != "")
     pair = fl.first_of(F.struct("src_mac", "dst_mac"), both)
-    return p.groupBy("edge").agg(
-        F.coalesce(pair["src_mac"], fl.first_of(F.col("src_mac"), F.col("src_mac") != "")).alias("src_mac"),
-        F.coalesce(pair["dst_mac"], fl.first_of(F.col("dst_mac"), F.col("dst_mac") != "")).alias("dst_mac"),
-    )
+    return [F.coalesce(pair[c], fl.first_of(F.col(c), F.col(c) != "")).alias(c) for c in ("src_mac", "dst_mac")]
+
+
+def macs(p: DataFrame) -> DataFrame:
+    """MACs of the first packet from client to server that has both; else the first non-empty ones."""
+    return p.groupBy("edge").agg(*_macs())
+
+
+def _first_values() -> list[Column]:
+    first = lambda c: fl.first_of(F.col(c), F.col(c).isNotNull())
+    place = F.concat(F.coalesce(first("http_host"), F.lit("")), F.coalesce(first("http_path"), F.lit("")))
+    content = F.coalesce(F.nullif(place, F.lit("")), first("http_content_type"))
+    return [first("http_method").alias("http_method"), first("http_status").alias("http_status"), content.alias("http_content"), first("tls_sni").alias("tls_sni")]
 
 
 def first_values(p: DataFrame) -> DataFrame:
     """The first non-null HTTP method, status, host, path, content type and TLS name; content is host and path, else the type."""
-    first = lambda c: fl.first_of(F.col(c), F.col(c).isNotNull())
-    found = p.groupBy("edge").agg(*[first(c).alias(c) for c in ("http_method", "http_status", "http_host", "http_path", "http_content_type", "tls_sni")])
-    content = F.coalesce(F.nullif(F.concat(F.coalesce("http_host", F.lit("")), F.coalesce("http_path", F.lit(""))), F.lit("")), F.col("http_content_type"))
-    return found.select("edge", "http_method", "http_status", content.alias("http_content"), "tls_sni")
+    return p.groupBy("edge").agg(*_first_values())
 
 
 def mqtt(p: DataFrame) -> DataFrame:
@@ -152,8 +166,8 @@ def client_ports(p: DataFrame) -> DataFrame:
 
 
 def edge_rows(p: DataFrame) -> DataFrame:
-    """The feature row of every edge: all of the above joined on the edge's key."""
-    out = totals(p)
-    for part in (directional(p), mode_first(p, "edge", "high_level_protocol", "protocol_label"), distinct_in_order(p, F.col("tcp_flags"), "tcp_flags"), retransmits(p), macs(p), first_values(p), mean_rtt(p).select("edge", "rtt_ms")):
+    """The feature row of every edge: one aggregation for what sums and firsts tell, joined with what needs an order of its own."""
+    out = p.groupBy("edge").agg(*_totals(), *_directional(), *_macs(), *_first_values())
+    for part in (mode_first(p, "edge", "high_level_protocol", "protocol_label"), distinct_in_order(p, F.col("tcp_flags"), "tcp_flags"), retransmits(p), mean_rtt(p).select("edge", "rtt_ms")):
         out = out.join(part, "edge", "left")
     return out
