@@ -81,4 +81,5 @@ GRAPH_SQL = {
     "signal_attribution": f"""with {_MATCH}, {_PROC}, {_OBS[_OBS.index('mp as'):]}, q as (select *, client_ip || '>' || server_ip || ':502/tcp' edge, {_HOST('server_ip')} host from obs)
         select process_guid, {_SIGNAL_GUID} signal_guid, access, count(*) n, max(ts_us) last_us from q join bp using (edge) group by 1, 2, 3""",
     "encoded_decode": f"""with {_OBS} select series, value::bigint as value, n from (select series, value, n, row_number() over (partition by series order by o) r from (select short series, value, count(*) n, min(o) o from obs group by 1, 2)) where r <= 4""",
+    "traffic_windows": f"""with {P} select ts_us // 3600000000 * 3600000000 start_us, least(src_port, dst_port) port, count(*) packets, sum(size)::bigint bytes from p group by 1, 2""",
 }

@@ -148,3 +148,4 @@ def _attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["signal_attribution"] = _attribution
 on_observations("encoded_decode", lambda o: timeline.decode_counts(registers.top_values(o), "top_values"), *SHORT)
+on_packets("traffic_windows", streaming.traffic_windows)

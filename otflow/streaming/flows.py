@@ -124,3 +124,15 @@ def latest(states: DataFrame) -> DataFrame:
     """The last state of each flow from the tables that run_stats has written."""
     columns = [c for c in states.columns if c not in ("canonical_id", "step", "batch")]
     return states.groupBy("canonical_id").agg(F.max_by(F.struct(*columns), "step").alias("s")).select("canonical_id", "s.*")
+
+
+def traffic_windows(packets: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Packets and bytes per service port in tumbling windows, of a table or a stream.
+
+    late: how far packets may come after the latest one, which lets a stream
+    close its windows; without it every window stays open.
+    """
+    rows = packets.select(F.timestamp_micros("ts_us").alias("at"), "size", F.least("src_port", "dst_port").alias("port"))
+    rows = rows.withWatermark("at", late) if late else rows
+    counted = rows.groupBy(F.window("at", width).alias("w"), "port").agg(F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes"))
+    return counted.select(F.unix_micros("w.start").alias("start_us"), "port", "packets", "bytes")

@@ -110,6 +110,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(json.dumps(r.asDict(), sort_keys=True, default=str) for r in got.select(want.columns).collect()) == sorted(json.dumps(r.asDict(), sort_keys=True, default=str) for r in want.collect())
 
 
+def test_stream_closes_windows(spark, tmp_path):
+    view = packets(spark, SF).orderBy("ts_us")
+    view.coalesce(1).write.parquet(str(tmp_path / "p"))
+    stream = streaming.traffic_windows(spark.readStream.schema(view.schema).parquet(str(tmp_path / "p")), late="1 hour")
+    query = stream.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = set(map(tuple, spark.table("windows").collect()))
+    assert got and got <= set(map(tuple, streaming.traffic_windows(view).collect()))
+
+
 def test_stream_pairs_requests(spark, tmp_path):
     view = packets(spark, SF).where("modbus_function is not null")
     view.coalesce(1).write.parquet(str(tmp_path / "p"))

@@ -32,7 +32,7 @@ def test_frames_and_captures_answer(data, full):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="MERGE (n:A{guid: '\"\;})-[]>,1.5true \n", max_size=200))
+@given(st.text(alphabet="MERGE (n:A{guid: '\"\\;})-[]>,1.5true \n", max_size=200))
 def test_graph_text_answers(text):
     nodes, edges = graph_text.parse(text)
     assert all("guid" in n["props"] for n in nodes) and len(edges) >= 0
