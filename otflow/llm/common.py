@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and return the written table.
 
     This cuts the lineage: a lost executor costs a task's re-read, not the whole
@@ -40,8 +42,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
 
 
 def release(spark: SparkSession) -> None:
@@ -56,13 +60,11 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def discard(written: DataFrame) -> None:
+    """Delete the table that materialize returned, once no later step reads it."""
+    spark = written.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.written_to)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,10 +79,18 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that what is made from one stays small."""
+    """Batches of few rows, so that what is made from one stays small; at the end memory goes back to the system."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory: Python workers are used again by later tasks, and one's peak is not the next one's need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -93,7 +103,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Cache of 64-bit hashes of words, emptied when it has grown to its bound."""
 
-    def __init__(self, seed: int = 0, bound: int = 500_000):
+    def __init__(self, seed: int = 0, bound: int = 200_000):
         super().__init__()
         self.seed, self.bound = seed, bound
 

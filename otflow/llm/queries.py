@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from otflow.llm import bpe, decontaminate, exact_dedup, license_scan, simhash, suffix_dedup, toxicity, training_order, url_filter, warc
-from otflow.llm.common import table
+from otflow.llm.common import shared_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -99,8 +101,8 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = training_order.sequences(table(spark, sf_dir, "documents"), RANKS)
-    return training_order.digests(training_order.ordered(seqs, key=20_240_601))
+    folder = f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"
+    return training_order.materialise(table(spark, sf_dir, "documents"), RANKS, 20_240_601, folder)
 
 
 QUERIES = {

@@ -17,7 +17,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otflow.llm.common import materialize, mix64, slices, utf8
+from otflow.llm.common import discard, materialize, mix64, release, slices, utf8
 
 LENGTH = 256
 ROUNDS = 4
@@ -85,16 +85,21 @@ def sequences(docs: DataFrame, ranks: str, length: int = LENGTH) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, seq_no int, n_tokens int, record binary")
 
 
-def ordered(seqs: DataFrame, key: int, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """seqs with slot and shard, ranged over the shards and sorted by slot in each partition.
+def number(seqs: DataFrame) -> DataFrame:
+    """seqs as a written table, with the partition that wrote a row and the row's place in it."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(seqs.withColumn("part", F.spark_partition_id()).withColumn("row", row), "sequences", "zstd")
 
-    The dense index counts rows within the partitions of the written table and
-    adds the sizes of the partitions before; one count for each partition is
-    all that reaches the driver.
+
+def ordered(numbered: DataFrame, key: int, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """Sequences with slot and shard, ranged over the shards and sorted by slot in each partition.
+
+    The dense index is a row's place in its partition plus the sizes of the
+    partitions before; one count for each partition is all that reaches the
+    driver.
     """
-    spark = seqs.sparkSession
-    written = materialize(seqs.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "sequences")
-    counts = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    spark = numbered.sparkSession
+    counts = sorted((r["part"], r["n"]) for r in numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     total = sum(n for _, n in counts)
     starts = np.cumsum([0, *(n for _, n in counts)])[:-1].tolist()
     first = spark.createDataFrame([(p, int(a)) for (p, _), a in zip(counts, starts)], "part int, first long")
@@ -105,7 +110,7 @@ def ordered(seqs: DataFrame, key: int, shard_records: int = SHARD_RECORDS) -> Da
 
         return pd.Series(feistel(index.to_numpy(), total, key))
 
-    placed = written.join(F.broadcast(first), "part").withColumn("slot", slot(F.col("first") + F.col("row"))).drop("part", "row", "first")
+    placed = numbered.join(F.broadcast(first), "part").withColumn("slot", slot(F.col("first") + F.col("row"))).drop("part", "row", "first")
     placed = placed.withColumn("shard", F.expr(f"slot div {shard_records}"))
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_records)))
     return placed.repartitionByRange(n, "shard").sortWithinPartitions("slot")
@@ -115,51 +120,75 @@ def padded(record: bytes, length: int = LENGTH) -> bytes:
     return record + np.full(length - len(record) // 2, PAD, "<u2").tobytes()
 
 
-def digests(placed: DataFrame, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """slot, doc_id, seq_no, n_tokens, shard, byte_offset and record_sha256 of the padded record."""
+PACKED = "shard long, doc_id array<long>, seq_no array<int>, n_tokens array<int>, data binary"
+
+
+def packed(placed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row per shard: its records at their fixed stride, and for each the document, number and tokens it is of.
+
+    A shard has a fixed number of records, so a row has a bounded size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+
+        def row() -> pa.RecordBatch:
+            ids, numbers, sizes, records = zip(*held)
+            columns = ([shard], [ids], [numbers], [sizes], [b"".join(padded(r, length) for r in records)])
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["shard", "doc_id", "seq_no", "n_tokens", "data"])
+
         for batch in batches:
-            shas = [hashlib.sha256(padded(r, length)).hexdigest() for r in utf8(batch.column(5))]
-            yield pa.record_batch([*batch.columns[:5], pa.array(shas, pa.string())], names=["slot", "doc_id", "seq_no", "n_tokens", "shard", "record_sha256"])
+            for number, *rest, record in zip(*(batch.column(k).to_pylist() for k in range(4)), utf8(batch.column(4))):
+                if number != shard and held:
+                    yield row()
+                    held = []
+                shard = number
+                held.append((*rest, record))
+        if held:
+            yield row()
 
-    rows = placed.select("slot", "doc_id", "seq_no", "n_tokens", "shard", "record")
-    out = rows.mapInArrow(run, "slot long, doc_id long, seq_no int, n_tokens int, shard long, record_sha256 string")
-    return out.withColumn("byte_offset", F.expr(f"(slot % {shard_records}) * {2 * length}"))
+    return placed.select("shard", "doc_id", "seq_no", "n_tokens", "record").mapInArrow(run, PACKED)
 
 
-def write_shards(placed: DataFrame, folder: str, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """Write <folder>/shard-<number>.bin files of fixed-stride records; returns shard, first_slot, records.
+def write_shards(shards: DataFrame, folder: str, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """Write <folder>/shard-<number>.bin files of packed shards; returns a row for each record.
 
-    folder: a URI that every executor reaches (file:// of a shared mount, or a
-    store that pyarrow knows). A shard is written under another name and then
-    moved, so a repeated task leaves the same file.
+    slot, doc_id, seq_no, n_tokens, shard, byte_offset and record_sha256 (of
+    the padded record). folder: a URI that every executor reaches (file:// of a
+    shared mount, or a store that pyarrow knows). A shard is written under
+    another name and then moved, so a repeated task leaves the same file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        out, shard, n, done = None, None, 0, []
-
-        def close():
-            if out is not None:
-                out.close()
+        stride = 2 * length
+        for batch in batches:
+            for shard, ids, numbers, sizes, data in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), utf8(batch.column(4))):
+                with store.open_output_stream(f"{root}/.shard-{shard:08d}") as out:
+                    out.write(data)
                 store.move(f"{root}/.shard-{shard:08d}", f"{root}/shard-{shard:08d}.bin")
-                done.append((shard, shard * shard_records, n))
+                n = len(data) // stride
+                offsets = np.arange(n) * stride
+                shas = [hashlib.sha256(data[a : a + stride]).hexdigest() for a in offsets.tolist()]
+                columns = [pa.array(shard * shard_records + np.arange(n)), ids.values, numbers.values, sizes.values, pa.array(np.full(n, shard)), pa.array(offsets), pa.array(shas)]
+                yield pa.record_batch(columns, names=["slot", "doc_id", "seq_no", "n_tokens", "shard", "byte_offset", "record_sha256"])
 
-        for batch in batches:
-            for number, record in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                if number != shard:
-                    close()
-                    shard, n = number, 0
-                    out = store.open_output_stream(f"{root}/.shard-{shard:08d}")
-                out.write(padded(record, length))
-                n += 1
-        close()
-        columns = list(zip(*done)) or [(), (), ()]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["shard", "first_slot", "records"])
-
-    return placed.select("shard", "record").mapInArrow(run, "shard long, first_slot long, records long")
+    return shards.mapInArrow(run, "slot long, doc_id long, seq_no int, n_tokens int, shard long, byte_offset long, record_sha256 string")
+
+
+def materialise(docs: DataFrame, ranks: str, key: int, folder: str, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """Tokenise docs and write their sequences in training order; returns write_shards' rows.
+
+    Files are written when the result is computed. The table of sequences goes
+    as soon as the packed shards are there.
+    """
+    numbered = number(sequences(docs, ranks, length))
+    shards = materialize(packed(ordered(numbered, key, shard_records), length), "shards", "zstd")
+    discard(numbered)
+    release(docs.sparkSession)
+    return write_shards(shards, folder, length, shard_records)
 
 
 def read_records(folder: str, first_slot: int, n: int, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> Iterator[np.ndarray]:

@@ -74,15 +74,17 @@ def test_feistel_is_a_permutation(n):
 
 
 def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
-    seqs = training_order.sequences(clashing(frame(spark)), queries.RANKS, length=16)
-    placed = training_order.ordered(seqs, key=3, shard_records=32).cache()
+    numbered = training_order.number(training_order.sequences(clashing(frame(spark)), queries.RANKS, length=16))
+    rows = sorted(training_order.ordered(numbered, key=3, shard_records=32).collect(), key=lambda r: r["slot"])
     folder = f"file://{tmp_path}/shards"
-    shards = {r["shard"]: r["records"] for r in training_order.write_shards(placed, folder, length=16, shard_records=32).collect()}
-    rows = sorted(placed.collect(), key=lambda r: r["slot"])
-    assert [r["slot"] for r in rows] == list(range(len(rows))) and sum(shards.values()) == len(rows)
+    written = sorted(training_order.materialise(clashing(frame(spark)), queries.RANKS, 3, folder, length=16, shard_records=32).collect())
+    assert [r["slot"] for r in rows] == [r["slot"] for r in written] == list(range(len(rows)))
+    assert [(r["shard"], r["byte_offset"]) for r in written] == [(k // 32, k % 32 * 32) for k in range(len(rows))]
+    assert sorted((r["doc_id"] or -1, r["seq_no"], r["n_tokens"]) for r in written) == sorted((r["doc_id"] or -1, r["seq_no"], r["n_tokens"]) for r in rows)
     assert os.path.getsize(tmp_path / "shards/shard-00000000.bin") == 32 * 32
     got = list(training_order.read_records(folder, 0, len(rows), length=16, shard_records=32))
-    assert [g.tobytes() for g in got] == [training_order.padded(bytes(r["record"]), 16) for r in rows]
+    assert [hashlib.sha256(g.tobytes()).hexdigest() for g in got] == [r["record_sha256"] for r in written]
+    assert sorted(g.tobytes() for g in got) == sorted(training_order.padded(bytes(r["record"]), 16) for r in rows)
     # Of each document the sequences are its whole text's ids.
     ids = {}
     for r in sorted(rows, key=lambda r: r["seq_no"]):
@@ -91,7 +93,7 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
     for d, t, *_ in documents():
         if t and [e for e, *_ in documents()].count(d) == 1:
             assert np.concatenate(ids[d]).tolist() == codec.encode([t.encode()])[0].tolist()
-    assert training_order.ordered(training_order.sequences(frame(spark, []), queries.RANKS), 1).count() == 0
+    assert training_order.materialise(frame(spark, []), queries.RANKS, 1, folder).count() == 0
 
 
 def rows(records, columns):
