@@ -110,4 +110,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped"), "text_sha256")
     sha = F.sha2(F.encode(normalise(F.col(text_col)), "UTF-8"), 256)
     cond = docs[id_col].cast("long").eqNullSafe(dropped["_dropped"]) & (sha == dropped["text_sha256"])
-    return docs.join(dropped, cond, "left_anti")
+    return docs.join(dropped.hint("merge"), cond, "left_anti")

@@ -1,103 +1,148 @@
 """SimHash near-dedup with pigeonring filtering.
 
-The 64 bits of a fingerprint form a ring of four segments. Where two
-fingerprints differ in at most 3 bits, some segment starts a chain whose first
-l segments differ in at most floor(3 l / 4) bits for every l: none in the
-first, one in the first two, two in three, three in all. Candidates are found
-by the first two segments at once: a fingerprint stands in the bucket of its
-own 32 bits and visits those where one set bit of its second segment is
-cleared. Chains of three and four are then tested before a pair counts.
+The bits of a fingerprint form a ring of m segments. Where two fingerprints
+differ in at most m - 1 bits, some segment starts a chain whose first l
+segments differ in at most floor((m - 1) l / m) bits for every l: none in the
+first, one in the first two, two in three, and so on. Candidates are found by
+the first two segments at once: a fingerprint stands in the bucket of its own
+two and visits those where one set bit of the second is cleared. Longer chains
+are then tested, each within its budget, before a pair counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otflow.llm.common import materialize, release, slices, utf8
+from otflow.llm.common import materialize, mix64, release, slices, utf8
 from otflow.llm.graph import connected_components
 
 SEED = 42
-SHINGLE = 3
-MAX_BITS = 3
-SEGMENTS, WIDTH = 4, 16
 #: Fingerprints of a bucket that are compared in one piece; larger buckets are dealt out in tiles.
 TILE = 4096
 
 
-def fingerprint(text: bytes) -> int:
-    """The SimHash of a text's lower-cased word shingles; 0 without words."""
+@dataclass(frozen=True)
+class Settings:
+    """shingle: words of a feature; long_words: words of so many bytes are two features more each (0: none are).
+
+    seeds: 64-bit parts of a fingerprint; width: bits of a segment, 8 or 16.
+    """
+
+    shingle: int = 3
+    long_words: int = 0
+    seeds: int = 1
+    width: int = 16
+
+    @property
+    def segments(self) -> int:
+        return 64 * self.seeds // self.width
+
+    @property
+    def max_bits(self) -> int:
+        return self.segments - 1
+
+    def budget(self, length: int) -> int:
+        return self.max_bits * length // self.segments
+
+
+#: 3-word shingles, at most 3 of 64 bits.
+CLOSE = Settings()
+#: Pairs of words and longer words, at most 23 of 192 bits. On this corpus's kind of text
+#: that links 99 % of the pairs whose five-word shingles have a similarity of 0.8 or more.
+SIMILAR = Settings(shingle=2, long_words=7, seeds=3, width=8)
+
+
+def feature_hashes(text: bytes, settings: Settings) -> np.ndarray:
+    """XXH64 of a text's lower-cased word shingles, repeats included; of fewer words that of all of them."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     begins = (ends - sizes).tolist()
-    ends = ends[SHINGLE - 1 :].tolist() or [len(joined)]
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends)], np.uint64)
-    set_bits = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every whole text."""
+    ends = ends[settings.shingle - 1 :].tolist() or [len(joined)]
+    hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends)]
+    if settings.long_words:
+        hashes += 2 * [xxh64_intdigest(w, SEED) for w in words if len(w) >= settings.long_words]
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint(text: bytes, settings: Settings = CLOSE) -> bytes:
+    """The SimHash of a text, big-endian: bits that are set in over half of the features' hashes; 0 without words."""
+    hashes = feature_hashes(text, settings)
+    out = b""
+    for seed in range(settings.seeds):
+        own = mix64(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) if seed else hashes
+        set_bits = np.zeros(64, np.int64)
+        for at in range(0, len(own), 1 << 16):
+            bits = np.unpackbits(own[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            set_bits += bits.sum(0, dtype=np.int64)
+        out += np.packbits(2 * set_bits > len(own), bitorder="little").tobytes()[::-1]
+    return out
+
+
+def fingerprints(docs: DataFrame, settings: Settings = CLOSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp (the fingerprint's bytes) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.array([fingerprint(t) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = pa.array([fingerprint(t, settings) for t in utf8(batch.column(1))], pa.binary())
+            yield pa.record_batch([batch.column(0), fps], names=["doc_id", "fp"])
 
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as binary) text")
-    return source.mapInArrow(run, "doc_id long, fp long")
-
-
-def bucket_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of buckets, the fingerprints in them, and whether each stands there or visits."""
-    keys, owners, own = [], [], []
-    for start in range(SEGMENTS):
-        turn = np.uint64(WIDTH * start)
-        ring = (fps << turn) | (fps >> (np.uint64(64) - turn)) if start else fps
-        head = ring >> np.uint64(32)
-        table = np.uint64(start << 32)
-        keys.append(table | head)
-        owners.append(fps)
-        own.append(np.ones(len(fps), bool))
-        for bit in range(WIDTH):
+    return source.mapInArrow(run, "doc_id long, fp binary")
+
+
+def segments_of(fps: list[bytes], settings: Settings) -> np.ndarray:
+    """The segments of fingerprints, one row each."""
+    return np.frombuffer(b"".join(fps), ">u2" if settings.width == 16 else "u1").reshape(len(fps), settings.segments)
+
+
+def bucket_rows(rings: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of buckets, the rows of the fingerprints in them, and whether each stands there or visits."""
+    keys, rows, own = [], [], []
+    every, width = np.arange(len(rings)), np.uint64(settings.width)
+    for start in range(settings.segments):
+        first, second = (rings[:, (start + k) % settings.segments].astype(np.uint64) for k in (0, 1))
+        key = np.uint64(start) << np.uint64(2 * settings.width) | first << width | second
+        keys.append(key)
+        rows.append(every)
+        own.append(np.ones(len(rings), bool))
+        for bit in range(settings.width):
             flag = np.uint64(1 << bit)
-            visitor = (head & flag) != 0
-            keys.append(table | (head[visitor] ^ flag))
-            owners.append(fps[visitor])
-            own.append(np.zeros(int(visitor.sum()), bool))
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(own)
-
-
-def within_chain(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether the chains of one to four segments from start keep within their proportional budgets."""
-    turn = start.astype(np.uint64) * np.uint64(WIDTH)
-    x = a ^ b
-    x = np.where(turn > 0, (x << turn) | (x >> ((np.uint64(64) - turn) & np.uint64(63))), x)
-    good = np.ones(len(x), bool)
-    for length in range(1, SEGMENTS + 1):
-        cut = np.uint64(64 - WIDTH * length)
-        good &= np.bitwise_count(x >> cut) <= MAX_BITS * length // SEGMENTS
-    return good
-
-
-def _links(keys: np.ndarray, fps: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by key that connect what the buckets connect.
-
-    Small buckets give all their links; a large one gives a spanning forest, so
-    that the number of links is in proportion to the rows.
+            visitor = np.flatnonzero(second & flag)
+            keys.append(key[visitor] ^ flag)
+            rows.append(visitor)
+            own.append(np.zeros(len(visitor), bool))
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(own)
+
+
+def within_chains(a: np.ndarray, b: np.ndarray, start: np.ndarray, settings: Settings) -> np.ndarray:
+    """Whether all chains from start keep within their budgets, the whole ring being the last."""
+    alive, total = np.arange(len(b)), np.zeros(len(b), np.int64)
+    for length in range(1, settings.segments + 1):
+        at = (start[alive] + (length - 1)) % settings.segments
+        total += np.bitwise_count((a[0, at] if len(a) == 1 else a[alive, at]) ^ b[alive, at])
+        good = total <= settings.budget(length)
+        alive, total = alive[good], total[good]
+    out = np.zeros(len(b), bool)
+    out[alive] = True
+    return out
+
+
+def _links(keys: np.ndarray, start: np.ndarray, rings: np.ndarray, own: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows sorted by key, as pairs of rows, that connect what the buckets connect.
+
+    Small buckets give all their links, a large one a spanning forest.
     """
     edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     sizes = np.diff(np.append(edges, len(keys)))
@@ -109,93 +154,118 @@ def _links(keys: np.ndarray, fps: np.ndarray, own: np.ndarray) -> tuple[np.ndarr
         if not len(at):
             break
         at = at[own[at] | own[at - gap]]
-        good = within_chain(fps[at], fps[at - gap], keys[at] >> np.uint64(32) & np.uint64(3))
-        left.append(fps[at[good]])
-        right.append(fps[at[good] - gap])
+        at = at[within_chains(rings[at], rings[at - gap], start[at], settings)]
+        left.append(at)
+        right.append(at - gap)
     for at, size in zip(edges[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-        f, o = fps[at : at + size], own[at : at + size]
-        start = np.full(size, keys[at] >> np.uint64(32) & np.uint64(3))
+        f, o, s = rings[at : at + size], own[at : at + size], start[at : at + size]
         group = np.arange(size)
         for i in range(size - 1):
-            near = i + 1 + np.flatnonzero((o[i + 1 :] | o[i]) & within_chain(f[i + 1 :], f[i], start[i + 1 :]))
+            # Rows that a link already connects need no other.
+            maybe = i + 1 + np.flatnonzero((o[i + 1 :] | o[i]) & (group[i + 1 :] != group[i]))
+            near = maybe[within_chains(f[i : i + 1], f[maybe], s[maybe], settings)]
             new, first = np.unique(group[near], return_index=True)
-            first = near[first[new != group[i]]]
-            left.append(np.full(len(first), f[i]))
-            right.append(f[first])
+            left.append(np.full(len(first), at + i))
+            right.append(at + near[first])
             group[np.isin(group, new)] = group[i]
-    return np.concatenate(left or [fps[:0]]), np.concatenate(right or [fps[:0]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(left or [none]), np.concatenate(right or [none])
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links that connect what all of them connect; links of small nodes come first, so batches agree on them."""
+    if not len(u):
+        return u, v
+    pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    kept = []
+    for k, (a, b) in enumerate(pairs.tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            kept.append(k)
+    return pairs[kept, 1], pairs[kept, 0]
 
 
-def near_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
-    """u, v: links between different fingerprints (column fp, distinct) that differ in at most 3 bits.
+def near_links(distinct: DataFrame, settings: Settings = CLOSE, tile: int = TILE) -> DataFrame:
+    """u, v: links between nodes whose fingerprints (columns node long, fp; distinct) differ in at most max_bits bits.
 
     All links of a connected group need not be returned, but enough to connect it.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 20_000):
-            keys, owners, own = bucket_rows(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64)), pa.array(own)], names=["key", "fp", "own"])
+        for batch in slices(batches, 1000):
+            keys, rows, own = bucket_rows(segments_of(batch.column(1).to_pylist(), settings), settings)
+            columns = [pa.array(keys.view(np.int64)), *(c.take(pa.array(rows)) for c in batch.columns), pa.array(own)]
+            yield pa.record_batch(columns, names=["key", "node", "fp", "own"])
 
-    rows = fps.select("fp").mapInArrow(emit, "key long, fp long, own boolean")
+    rows = distinct.select("node", "fp").mapInArrow(emit, "key long, node long, fp binary, own boolean")
     hot = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile), "hot-buckets")
-    release(fps.sparkSession)
+    release(distinct.sparkSession)
     rows = rows.withColumn("tile", F.lit(0).cast("long"))
     if not hot.isEmpty():
         # A hot bucket of b blocks becomes b(b+1)/2 tiles: each pair of blocks meets in one of them.
         tiles = F.expr("transform(sequence(0L, b - 1), y -> least(x, y) * b + greatest(x, y))")
         rows = rows.join(hot, "key", "left").withColumn("b", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)))
-        rows = rows.withColumn("x", F.expr("pmod(xxhash64(fp), b)")).withColumn("tile", F.explode(tiles))
-    placed = rows.select("key", "tile", "fp", "own").repartition("key", "tile").sortWithinPartitions("key", "tile", "fp")
+        rows = rows.withColumn("x", F.expr("pmod(xxhash64(node), b)")).withColumn("tile", F.explode(tiles))
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select("key", "tile", "node", "fp", "own").repartition(n, "key", "tile").sortWithinPartitions("key", "tile", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            batch = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key, place = batch["key"].to_numpy(), batch["tile"].to_numpy()
-            same = (key == key[-1]) & (place == place[-1])
-            cut = int(np.argmax(same))  # rows are sorted: the last group may go on in the next batch
-            rest = batch.slice(cut)
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            key, place = table["key"].to_numpy(), table["tile"].to_numpy()
+            cut = int(np.argmax((key == key[-1]) & (place == place[-1])))  # the last group may go on in the next batch
+            rest = table.slice(cut)
             if cut:
-                yield linked(batch.slice(0, cut))
+                yield linked(table.slice(0, cut))
         if rest is not None:
             yield linked(rest)
 
     def linked(part: pa.Table) -> pa.RecordBatch:
-        key, place, fp = (part[c].to_numpy() for c in ("key", "tile", "fp"))
-        # Tiles of one bucket are told apart by a bit above the key.
-        turn = np.cumsum(np.append(0, (key[1:] == key[:-1]) & (place[1:] != place[:-1])))
-        tag = key.view(np.uint64) | (turn.astype(np.uint64) << np.uint64(36))
-        left, right = _links(tag, fp.view(np.uint64), part["own"].to_numpy())
-        return pa.record_batch([pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], names=["u", "v"])
+        key, place, node = (part[c].to_numpy() for c in ("key", "tile", "node"))
+        group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (place[1:] != place[:-1])))
+        rings = segments_of(part["fp"].to_pylist(), settings)
+        left, right = _links(group, key >> (2 * settings.width), rings, part["own"].to_numpy(), settings)
+        u, v = forest(node[left], node[right])
+        return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return placed.mapInArrow(link, "u long, v long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+def near_groups(docs: DataFrame, settings: Settings = CLOSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex digits), component_id.
 
-    component_id is the smallest doc_id reachable over links of at most 3
-    differing bits, the own one included. Null and empty texts have
+    component_id is the smallest doc_id reachable over links of at most
+    max_bits differing bits, the own one included. Null and empty texts have
     fingerprint zero, linked like any other. Repeated rows stay; a null doc_id
     takes part and gives its component no id. An empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_links(distinct))
-    members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = materialize(fingerprints(docs, settings, id_col, text_col), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialize(distinct, "distinct-fingerprints")
+    roots = connected_components(near_links(distinct, settings)).withColumnRenamed("node", "_node")
+    members = distinct.join(roots, distinct["node"] == roots["_node"], "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     members = materialize(members, "near-groups")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     component = members.join(least, "root").select("fp", "component_id")
-    return prints.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(component, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id, all columns as they were.
 
     Rows without a doc_id can't be told apart and stay.
     """
-    dropped = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
+    dropped = near_groups(docs, settings).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
+    return docs.join(dropped.hint("merge"), docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")

@@ -1,6 +1,7 @@
 """Exact, near and substring dedup against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 
 from otflow.llm import exact_dedup, graph, simhash, suffix_dedup
-from tests.llm.helpers import clashing, documents, frame
+from tests.llm.helpers import clashing, documents, frame, words
 
 
 def norm(text):
@@ -79,25 +80,45 @@ def test_near_groups(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("settings", [simhash.CLOSE, simhash.SIMILAR])
 @pytest.mark.parametrize("tile", [4096, 8])
-def test_near_links_of_dense_fingerprints(spark, tile):
+def test_near_links_of_dense_fingerprints(spark, tile, settings):
     """Many fingerprints within few bits of each other, in small buckets and in tiles."""
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
-    fps = {int(b) for b in base}
-    for b in base:
+    size = settings.seeds * 64
+    fps = set()
+    for _ in range(6):
+        base = int.from_bytes(rng.bytes(size // 8), "big")
+        fps.add(base)
         for _ in range(60):
-            x = int(b)
-            for bit in rng.integers(0, 64, rng.integers(1, 5)):
+            x = base
+            for bit in rng.integers(0, size, rng.integers(1, settings.max_bits + 2)):
                 x ^= 1 << int(bit)
             fps.add(x)
     fps = sorted(fps)
-    signed = [(int(np.uint64(f).astype(np.int64)),) for f in fps]
-    links = simhash.near_links(spark.createDataFrame(signed, "fp long"), tile)
-    unsigned = [(r["u"] % 2**64, r["v"] % 2**64) for r in links.collect()]
-    assert all((a ^ b).bit_count() <= 3 for a, b in unsigned)
-    got = components(fps, lambda a, b, s=set(unsigned): (a, b) in s or (b, a) in s)
-    assert got == components(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    rows = [(k, f.to_bytes(size // 8, "big")) for k, f in enumerate(fps)]
+    links = simhash.near_links(spark.createDataFrame(rows, "node long, fp binary"), settings, tile)
+    found = {(fps[r["u"]], fps[r["v"]]) for r in links.collect()}
+    assert found and all((a ^ b).bit_count() <= settings.max_bits for a, b in found)
+    assert components(fps, lambda a, b: (a, b) in found or (b, a) in found) == components(fps, lambda a, b: (a ^ b).bit_count() <= settings.max_bits)
+
+
+def test_similar_texts_share_a_group(spark):
+    """Of copies with 2 % of their words changed nearly all join their group, and nothing else does."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(40):
+        text = words(1000 + k, 150 + 20 * k).split()
+        rows.append((10 * k, " ".join(text)))
+        for c in range(1, 4):
+            copy = list(text)
+            for _ in range(len(copy) // 50):
+                copy[rng.randrange(len(copy))] = words(rng.randrange(10**6), 1)
+            rows.append((10 * k + c, " ".join(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(frame(spark, [(d, t, "", "", 0) for d, t in rows]), simhash.SIMILAR).collect()}
+    assert all(got[d] in (d, *range(d // 10 * 10, d)) for d in got)
+    assert np.mean([got[d] == d // 10 * 10 for d in got]) > 0.95
+    assert simhash.drop_near_copies(frame(spark)).columns == frame(spark).columns
 
 
 def test_connected_components(spark):
