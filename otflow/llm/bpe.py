@@ -14,6 +14,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -35,6 +36,9 @@ N_STATES = 11
 BLOCK = 64
 #: Code points that are scanned at once.
 CHUNK = 1 << 18
+#: Bytes of a text beyond which it is encoded part by part.
+LONG = 1 << 20
+_CUT = re.compile(rb"(?<=[!-~])[ \t-\r]")
 #: Bytes of a piece up to which merging needs no heap.
 SHORT = 48
 
@@ -151,16 +155,28 @@ def piece_starts(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, np.append(offset[at], len(data)), first
 
 
+def parts(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about CHUNK bytes, cut where a piece surely begins: before white space after a visible character."""
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + CHUNK)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Codec:
     """Encoder and decoder for one rank file."""
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 150_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.vocabulary = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.vocabulary[rank] = piece
-        self.cache: dict[bytes, np.ndarray] = {}
+        # Two generations of at most so many pieces each; what is still used moves to the younger one.
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.bound = cache
 
     def merge(self, piece: bytes) -> list[int]:
@@ -208,10 +224,8 @@ class Codec:
         """The ids of a piece as little-endian unsigned 32-bit integers, from the cache where it has them."""
         found = self.cache.get(piece)
         if found is None:
-            found = np.array(self.merge(piece), "<u4").tobytes()
+            found = self.older.get(piece) or np.array(self.merge(piece), "<u4").tobytes()
             if len(piece) <= 64:
-                if len(self.cache) >= self.bound:
-                    self.cache.clear()
                 self.cache[piece] = found
         return found
 
@@ -221,6 +235,11 @@ class Codec:
         group: list[bytes] = []
         size = 0
         for text in texts:
+            if len(text) > LONG:
+                out += self._encode(group) if group else []
+                out.append(np.concatenate([self._encode([part])[0] for part in parts(text)]))
+                group, size = [], 0
+                continue
             if group and size + len(text) > CHUNK:
                 out += self._encode(group)
                 group, size = [], 0
@@ -231,6 +250,8 @@ class Codec:
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         data, offsets, first = piece_starts(texts)
         offsets = offsets.tolist()
+        if len(self.cache) > self.bound:
+            self.cache, self.older = {}, self.cache
         cache, packed = self.cache, self.packed
         pieces = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
         ids = [cache.get(p) or packed(p) for p in pieces]

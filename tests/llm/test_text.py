@@ -38,6 +38,14 @@ def test_bpe_equals_library(codec, library):
     assert [codec.decode(g).decode() for g in got] == texts
 
 
+def test_bpe_of_long_texts(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", 200)
+    monkeypatch.setattr(bpe, "CHUNK", 40)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab's \n\t.é\u3000\xa01") for _ in range(n)) for n in (199, 201, 3000)] + ["x" * 500, "ok", " " * 400, ""]
+    assert [g.tolist() for g in codec.encode([t.encode() for t in texts])] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_classes_of_all_code_points(codec, library):
     points = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000][::7]
     texts = [f"a{c}1{c}{c}." for c in points]
