@@ -257,7 +257,8 @@ def near_groups(docs: DataFrame, settings: Settings = CLOSE, id_col: str = "doc_
     roots = connected_components(near_links(distinct, settings)).withColumnRenamed("node", "_node")
     members = distinct.join(roots, distinct["node"] == roots["_node"], "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     members = materialize(members, "near-groups")
-    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join has both sides dealt for itself and a large component may be split.
+    least = materialize(members.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     component = members.join(least, "root").select("fp", "component_id")
     return prints.join(component, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
