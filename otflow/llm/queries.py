@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from otflow.llm import bpe, decontaminate, exact_dedup, license_scan, simhash, suffix_dedup, toxicity, training_order, url_filter, warc
 from otflow.llm.common import shared_dir, table
+from otflow.llm.license_texts import TEMPLATES
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -121,12 +122,52 @@ QUERIES = {
     )
 }
 
+#: Words of a text in DuckDB, without regard to ASCII case and punctuation.
+_WORDS = r"""list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"""
+
+#: Five-word shingles of a list w of words; of fewer words all of them.
+_SHINGLES = "list_transform(range(0, greatest(len(w) - 4, least(len(w), 1))), lambda i: array_to_string(w[i + 1:i + 5], ' '))"
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
         with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm from documents),
         k as (select *, first_value(doc_id) over w keep_id, count(*) over (partition by norm) group_size
               from d window w as (partition by norm order by length(t) desc, doc_id))
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) text_sha256 from k""",
+    "op4_decontamination": f"""
+        with t as (select doc_id, {_WORDS} w from documents where doc_id is not null),
+        i as (select item_id, w, len(w) n, least(len(w), 13) k, floor(least(len(w), 13) * 0.2 + 1e-9) lost from (select item_id, {_WORDS} w from benchmark where item_id is not null) where len(w) > 0),
+        dw as (select doc_id, unnest(w) x, generate_subscripts(w, 1) - 1 p from t),
+        iw as (select item_id, unnest(w) x, generate_subscripts(w, 1) - 1 q from i),
+        mt as (select doc_id, item_id, p - q sh, p from dw join iw using (x)),
+        c as (select doc_id, item_id, sh from mt join i using (item_id) group by doc_id, item_id, sh, k, lost having count(*) >= k - lost),
+        st as (select doc_id, item_id, sh, k, lost, unnest(range(greatest(0, sh), least(len(t.w), sh + n) - k + 1)) s from c join i using (item_id) join t using (doc_id)),
+        wn as (select doc_id, item_id, k, s, count(*) matched from st join mt using (doc_id, item_id, sh) where p >= s and p < s + k group by doc_id, item_id, sh, k, lost, s having count(*) >= k - lost)
+        select doc_id, item_id, matched::int matched, k::int "window", s::int "position" from (select *, row_number() over (partition by doc_id, item_id order by matched desc, s) r from wn) where r = 1""",
+    "op5_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
+        w as (select doc_id, p, substr(h, 2 * p + 1, 100) s from (select doc_id, h, unnest(range(0, n - 49)) p from d where n >= 50)),
+        m as (select s, min(doc_id) a from w group by s having min(doc_id) < max(doc_id)),
+        late as (select distinct doc_id, p from w join m using (s) where doc_id > a),
+        isl as (select doc_id, p, sum(case when p <= prev + 50 then 0 else 1 end) over (partition by doc_id order by p) i
+                from (select doc_id, p, lag(p) over (partition by doc_id order by p) prev from late)),
+        runs as (select doc_id, min(p) b, max(p) + 50 e from isl group by doc_id, i),
+        cut as (select doc_id, b, e, lag(e, 1, 0) over (partition by doc_id order by b) done from runs),
+        g as (select doc_id, sum(e - b)::bigint n_removed, count(*) n_spans, max(e) last, string_agg(substr(h, 2 * done + 1, 2 * (b - done)), '' order by b) kept
+              from cut join d using (doc_id) group by doc_id)
+        select doc_id, n::bigint n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) kept_sha256
+        from d left join g using (doc_id)""",
+    "op7_license_scan": f"""
+        with t as (select row_number() over () rid, doc_id, {_WORDS} w from documents),
+        tp as (select name, {_WORDS} w from (values {_TEMPLATES}) v(name, text)),
+        ts as (select name, unnest(list_distinct({_SHINGLES})) s, len(list_distinct({_SHINGLES})) m from tp),
+        g as (select *, case when m <= 4 then 1 else 1 << (floor(log2(m - 1))::int - 1) end b, case when m <= 4 then m else 5 * (1 << (floor(log2(m - 1))::int - 1)) end win from ts),
+        ds as (select rid, doc_id, unnest({_SHINGLES}) s, generate_subscripts({_SHINGLES}, 1) - 1 p from t where len(w) > 0),
+        wn as (select rid, doc_id, name, m, b, j, count(distinct s) c from (select *, unnest(range(greatest(0, (p - win + b) // b), p // b + 1)) j from ds join g using (s)) group by rid, doc_id, name, m, b, j)
+        select doc_id, name license, c::int matched, m::int shingles, c / m containment, (j * b)::int "position"
+        from (select *, row_number() over (partition by rid, name order by c desc, j) r from wn) where r = 1 and c >= 0.8 * m""",
     "op9_warc_revisits": r"""
         with p as (select page_id id, regexp_replace(url, '#.*$', '') bare, sha256(html) sha, strlen(html) size from pages),
         c as (select *, lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) head from p),
