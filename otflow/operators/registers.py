@@ -114,8 +114,8 @@ def run_lengths(obs: DataFrame, keep: int = C.RLE_RUNS) -> DataFrame:
 def acknowledged(obs: DataFrame) -> DataFrame:
     """Writes that were requested, with whether and when a later response of client, server and transaction came.
 
-    The reference point is the next response after the write, found by looking
-    ahead over the same packets instead of updating stored rows.
+    What counts is the next response after the write, found by looking ahead
+    over the same packets instead of updating stored rows.
     """
     order = Window.partitionBy("client_ip", "server_ip", "modbus_transaction_id").orderBy(X.order_key())
     answer = F.first(F.when(~F.col("is_request"), F.col("ts_us")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
