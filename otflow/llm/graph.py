@@ -23,13 +23,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while (state := _state(pairs)) != seen:
         seen = state
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are written, so that the joins deal both sides and a hub's edges may be split.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        links = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        large = materialize(large, "large-stars")
+        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        small = large.join(lower, "u")
+        links = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         before, pairs = pairs, materialize(links.distinct(), "stars")
-        discard(before)
+        for spent in (before, least, large, lower):
+            discard(spent)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
