@@ -11,7 +11,7 @@ are then tested, each within its budget, before a pair counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,13 +31,16 @@ TILE = 4096
 class Settings:
     """shingle: words of a feature; long_words: words of so many bytes are two features more each (0: none are).
 
-    seeds: 64-bit parts of a fingerprint; width: bits of a segment, 8 or 16.
+    seeds: 64-bit parts of a fingerprint; width: bits of a segment, 8 or 16; distinct: repeated features count once;
+    reach: bits in which near_pairs lets the whole ring differ.
     """
 
     shingle: int = 3
     long_words: int = 0
     seeds: int = 1
     width: int = 16
+    distinct: bool = False
+    reach: int = 0
 
     @property
     def segments(self) -> int:
@@ -53,9 +56,13 @@ class Settings:
 
 #: 3-word shingles, at most 3 of 64 bits.
 CLOSE = Settings()
-#: Pairs of words and longer words, at most 23 of 192 bits. On this corpus's kind of text
-#: that links 99 % of the pairs whose five-word shingles have a similarity of 0.8 or more.
+#: Pairs of words and longer words, at most 23 of 192 bits: finds copies whose changed words are scattered.
 SIMILAR = Settings(shingle=2, long_words=7, seeds=3, width=8)
+#: Distinct five-word shingles, at most 64 of 256 bits. At a similarity of 0.8 the cosine of two sets is 0.889 or
+#: more however the edits lie, so 39 bits are expected to differ, with a deviation of 6.
+CANDIDATES = Settings(shingle=5, seeds=4, width=8, distinct=True, reach=64)
+#: Partners of a node in a batch of buckets up to which near_pairs returns all pairs with thin.
+DENSE = 8
 
 
 def feature_hashes(text: bytes, settings: Settings) -> np.ndarray:
@@ -73,12 +80,17 @@ def feature_hashes(text: bytes, settings: Settings) -> np.ndarray:
     hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends)]
     if settings.long_words:
         hashes += 2 * [xxh64_intdigest(w, SEED) for w in words if len(w) >= settings.long_words]
-    return np.array(hashes, np.uint64)
+    out = np.array(hashes, np.uint64)
+    return np.unique(out) if settings.distinct else out
 
 
 def fingerprint(text: bytes, settings: Settings = CLOSE) -> bytes:
     """The SimHash of a text, big-endian: bits that are set in over half of the features' hashes; 0 without words."""
-    hashes = feature_hashes(text, settings)
+    return fingerprint_of(feature_hashes(text, settings), settings)
+
+
+def fingerprint_of(hashes: np.ndarray, settings: Settings) -> bytes:
+    """The SimHash of features' hashes."""
     out = b""
     for seed in range(settings.seeds):
         own = mix64(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) if seed else hashes
@@ -194,19 +206,18 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[kept, 1], pairs[kept, 0]
 
 
-def near_links(distinct: DataFrame, settings: Settings = CLOSE, tile: int = TILE) -> DataFrame:
-    """u, v: links between nodes whose fingerprints (columns node long, fp; distinct) differ in at most max_bits bits.
-
-    All links of a connected group need not be returned, but enough to connect it.
-    """
+def _placed(distinct: DataFrame, settings: Settings, tile: int) -> DataFrame:
+    """key, tile and own, beside the columns of distinct (node, fp and others): rows of buckets, sorted by bucket."""
+    names = distinct.columns
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
-            keys, rows, own = bucket_rows(segments_of(batch.column(1).to_pylist(), settings), settings)
+            keys, rows, own = bucket_rows(segments_of(batch.column("fp").to_pylist(), settings), settings)
             columns = [pa.array(keys.view(np.int64)), *(c.take(pa.array(rows)) for c in batch.columns), pa.array(own)]
-            yield pa.record_batch(columns, names=["key", "node", "fp", "own"])
+            yield pa.record_batch(columns, names=["key", *names, "own"])
 
-    rows = distinct.select("node", "fp").mapInArrow(emit, "key long, node long, fp binary, own boolean")
+    rows = distinct.mapInArrow(emit, f"key long, {types}, own boolean")
     hot = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile), "hot-buckets")
     release(distinct.sparkSession)
     rows = rows.withColumn("tile", F.lit(0).cast("long"))
@@ -216,7 +227,11 @@ def near_links(distinct: DataFrame, settings: Settings = CLOSE, tile: int = TILE
         rows = rows.join(hot, "key", "left").withColumn("b", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)))
         rows = rows.withColumn("x", F.expr("pmod(xxhash64(node), b)")).withColumn("tile", F.explode(tiles))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.select("key", "tile", "node", "fp", "own").repartition(n, "key", "tile").sortWithinPartitions("key", "tile", "node")
+    return rows.select("key", "tile", *names, "own").repartition(n, "key", "tile").sortWithinPartitions("key", "tile", "node")
+
+
+def _by_bucket(placed: DataFrame, linked: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """u, v: what linked finds in tables of whole buckets, given with the number of each row's bucket."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -228,21 +243,98 @@ def near_links(distinct: DataFrame, settings: Settings = CLOSE, tile: int = TILE
             cut = int(np.argmax((key == key[-1]) & (place == place[-1])))  # the last group may go on in the next batch
             rest = table.slice(cut)
             if cut:
-                yield linked(table.slice(0, cut))
+                yield found(table.slice(0, cut))
         if rest is not None:
-            yield linked(rest)
-
-    def linked(part: pa.Table) -> pa.RecordBatch:
-        key, place, node = (part[c].to_numpy() for c in ("key", "tile", "node"))
-        group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (place[1:] != place[:-1])))
-        rings = segments_of(part["fp"].to_pylist(), settings)
-        left, right = _links(group, key >> (2 * settings.width), rings, part["own"].to_numpy(), settings)
-        u, v = forest(node[left], node[right])
+            yield found(rest)
+
+    def found(part: pa.Table) -> pa.RecordBatch:
+        key, place = (part[c].to_numpy() for c in ("key", "tile"))
+        u, v = linked(part, np.cumsum(np.append(0, (key[1:] != key[:-1]) | (place[1:] != place[:-1]))))
         return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return placed.mapInArrow(link, "u long, v long").distinct()
 
 
+def near_links(distinct: DataFrame, settings: Settings = CLOSE, tile: int = TILE) -> DataFrame:
+    """u, v: links between nodes whose fingerprints (columns node long, fp; distinct) differ in at most max_bits bits.
+
+    All links of a connected group need not be returned, but enough to connect it.
+    """
+
+    def linked(part: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node, start = part["node"].to_numpy(), part["key"].to_numpy() >> (2 * settings.width)
+        left, right = _links(group, start, segments_of(part["fp"].to_pylist(), settings), part["own"].to_numpy(), settings)
+        return forest(node[left], node[right])
+
+    return _by_bucket(_placed(distinct.select("node", "fp"), settings, tile), linked)
+
+
+def _pairs(keys: np.ndarray, words: np.ndarray, own: np.ndarray, group: np.ndarray, reach: int, thin: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows of one bucket, but not of one group, whose fingerprints differ in at most reach bits; and whether these are all.
+
+    With thin, a bucket that has given DENSE pairs a row gives from then on only those that connect its rows.
+    """
+
+    def near(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64) <= reach
+
+    edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(edges, len(keys)))
+    left, right, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], True
+    small = np.repeat((sizes > 1) & (sizes <= 64), sizes)
+    rank = np.arange(len(keys)) - np.repeat(edges, sizes)
+    for gap in range(1, min(64, int(sizes.max(initial=1)))):
+        at = np.flatnonzero(small & (rank >= gap))
+        if not len(at):
+            break
+        at = at[(own[at] | own[at - gap]) & (group[at] != group[at - gap])]
+        at = at[near(at, at - gap)]
+        left.append(at)
+        right.append(at - gap)
+    for start, size in zip(edges[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
+        end, given, known = start + size, 0, np.arange(size)
+        for i in range(start, end - 1):
+            dense = thin and given > DENSE * size
+            maybe = (own[i + 1 : end] | own[i]) & (group[i + 1 : end] != group[i])
+            if dense:
+                maybe &= known[i + 1 - start :] != known[i - start]
+                whole = False
+            at = i + 1 + np.flatnonzero(maybe)
+            at = at[near(i, at)]
+            if not len(at):
+                continue
+            new, first = np.unique(known[at - start], return_index=True)
+            known[np.isin(known, new)] = known[i - start]
+            if dense:
+                at = at[first]
+            given += len(at)
+            left.append(np.full(len(at), i))
+            right.append(at)
+    return np.concatenate(left), np.concatenate(right), whole
+
+
+def near_pairs(distinct: DataFrame, settings: Settings = CANDIDATES, tile: int = TILE, thin: bool = False) -> DataFrame:
+    """u, v: the pairs of nodes that share a bucket, are not of one group and differ in at most reach bits.
+
+    distinct has the columns node long, fp and group long. Pairs of more than
+    max_bits bits need a chain's first two segments within their budget; among
+    32 starts nearly all of up to 39 bits have one. With thin, dense batches
+    may give enough pairs to connect their rows instead of all, and the row
+    (-1, -1) says that some did.
+    """
+
+    def linked(part: pa.Table, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node, words = part["node"].to_numpy(), segments_of(part["fp"].to_pylist(), settings).view(np.uint64)
+        left, right, whole = _pairs(bucket, words, part["own"].to_numpy(), part["group"].to_numpy(), settings.reach, thin)
+        u, v = np.maximum(node[left], node[right]), np.minimum(node[left], node[right])
+        pairs = np.unique(np.stack([u, v], 1), axis=0)
+        if not whole or (thin and np.unique(pairs, return_counts=True)[1].max(initial=0) > DENSE):
+            pairs = np.append(np.stack(forest(*pairs.T), 1), [[-1, -1]], 0)
+        return tuple(pairs.T.copy())
+
+    return _by_bucket(_placed(distinct.select("node", "fp", "group"), settings, tile), linked)
+
+
 def near_groups(docs: DataFrame, settings: Settings = CLOSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (hex digits), component_id.
 

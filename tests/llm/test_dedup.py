@@ -181,3 +181,47 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(empty).count() == 0
     assert simhash.near_groups(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def edited(text, other):
+    """Copies of a list of words with one contiguous edit each: appended, truncated, and with a block replaced."""
+    n = len(text)
+    return [text + other[: n * 18 // 100], text[: n * 84 // 100], text[: n // 2] + other[: n * 8 // 100] + text[n // 2 + n * 8 // 100 :]]
+
+
+def jaccard(a, b):
+    a, b = ({" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("thin", [False, True])
+def test_pairs_of_contiguous_edits_are_candidates(spark, thin):
+    rows, want = [], set()
+    for k in range(40):
+        text, other = words(2000 + k, 200 + 10 * k).split(), words(5000 + k, 300).split()
+        copies = [text, *edited(text, other)]
+        want |= {(4 * k + c, 4 * k) for c in (1, 2, 3) if jaccard(" ".join(copies[c]), " ".join(text)) >= 0.8}
+        rows += [(4 * k + c, simhash.fingerprint(" ".join(t).encode(), simhash.CANDIDATES), 4 * k + c) for c, t in enumerate(copies)]
+    nodes = spark.createDataFrame(rows, "node long, fp binary, group long")
+    found = {(r["u"], r["v"]) for r in simhash.near_pairs(nodes, thin=thin).collect()}
+    assert len(want) == 120 and len(found & want) > 0.97 * len(want)
+    assert all(u // 4 == v // 4 for u, v in found)
+
+
+@pytest.mark.parametrize("tile", [4096, 40])
+def test_pairs_of_dense_buckets(spark, tile):
+    """All pairs without thin; with it enough to connect what those connect, and a row that says so."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, 32, np.uint8)
+    fps = []
+    for _ in range(150):
+        fp = np.unpackbits(base)
+        fp[rng.integers(0, 256, 3)] ^= 1
+        fps.append(np.packbits(fp).tobytes())
+    nodes = spark.createDataFrame([(k, f, k) for k, f in enumerate(fps)], "node long, fp binary, group long")
+    found, thin = ({(r["u"], r["v"]) for r in simhash.near_pairs(nodes, tile=tile, thin=t).collect()} for t in (False, True))
+    assert len(found) == 150 * 149 // 2
+    joined = components(list(range(150)), lambda a, b: (b, a) in thin)
+    assert set(joined.values()) == {0} and (-1, -1) in thin and len(thin) < len(found)
+    same = nodes.withColumn("group", nodes["node"] % 2)
+    assert {(u + v) % 2 for u, v in map(tuple, simhash.near_pairs(same, tile=tile).collect())} == {1}
