@@ -7,6 +7,9 @@ first, one in the first two, two in three, and so on. Candidates are found by
 the first two segments at once: a fingerprint stands in the bucket of its own
 two and visits those where one set bit of the second is cleared. Longer chains
 are then tested, each within its budget, before a pair counts.
+
+Where similarity decides (similar_groups), the buckets only propose pairs, and
+the exact Jaccard similarity of their shingles counts.
 """
 
 from __future__ import annotations
@@ -355,10 +358,91 @@ def near_groups(docs: DataFrame, settings: Settings = CLOSE, id_col: str = "doc_
     return prints.join(component, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id, all columns as they were.
+def _texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"coalesce(xxhash64(cast(`{text_col}` as binary)), 0) text_key", f"cast(`{text_col}` as binary) text")
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct five-word shingles."""
+    return feature_hashes(text, CANDIDATES)
+
+
+def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs u, v of nodes whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    nodes has node and the digest and one text_key of its texts. Whole sets
+    are compared; only texts of a pair's ends are read for them.
+    """
+    from xxhash import xxh3_128_digest
+
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = materialize(nodes.join(ends, "node").select("node", "digest", "text_key"), "similar-ends")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            own = [shingles(t) for t in utf8(batch.column(2))]
+            good = [k for k, (h, d) in enumerate(zip(own, batch.column(1).to_pylist())) if xxh3_128_digest(h.tobytes()) == d]
+            yield pa.record_batch([batch.column(0).take(pa.array(good, pa.int64())), pa.array([own[k].tobytes() for k in good], pa.binary())], names=["node", "hashes"])
+
+    held = texts.join(wanted.hint("merge"), "text_key").select("node", "digest", "text")
+    held = materialize(held.mapInArrow(sets, "node long, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "shingles")
+    release(texts.sparkSession)
+    a, b = (held.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_hashes")).hint("merge") for end in ("u", "v"))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(5 * common >= 4 * (len(x) + len(y) - common))
+            yield pa.record_batch(batch.columns[:2], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "u_hashes", "v_hashes").mapInArrow(similar, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, settings: Settings = CANDIDATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, text_key (a hash of its text), component_id.
+
+    Components are those of pairs that near_pairs proposes and whose five-word
+    shingles have a Jaccard similarity of 0.8 or more; texts of equal shingles
+    are one node. component_id is the smallest doc_id of a component. Dense
+    buckets propose few pairs at first; then a second round proposes all that
+    the confirmed ones of the first left unconnected.
+    """
+    from xxhash import xxh3_128_digest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [shingles(t) for t in utf8(batch.column(2))]
+            digests = pa.array([xxh3_128_digest(h.tobytes()) for h in own], pa.binary())
+            yield pa.record_batch([*batch.columns[:2], digests, pa.array([fingerprint_of(h, settings) for h in own], pa.binary())], names=["doc_id", "text_key", "digest", "fp"])
+
+    texts = _texts(docs, id_col, text_col)
+    prints = materialize(texts.mapInArrow(run, "doc_id long, text_key long, digest binary, fp binary"), "fingerprints")
+    nodes = prints.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-shingles")
+    links, grouped = None, nodes.withColumn("group", F.col("node"))
+    for thin in (True, False):
+        pairs = materialize(near_pairs(grouped, settings, thin=thin), "similar-candidates")
+        release(docs.sparkSession)
+        found = materialize(confirm(pairs.where("u >= 0"), nodes, texts), "similar-pairs")
+        release(docs.sparkSession)
+        links = found if links is None else links.unionByName(found)
+        roots = connected_components(links).withColumnRenamed("node", "_node")
+        grouped = nodes.join(roots, nodes["node"] == roots["_node"], "left").withColumn("group", F.coalesce("root", "node")).drop("_node", "root")
+        if pairs.where("u < 0").isEmpty():
+            break
+    members = materialize(grouped.select("digest", "least", "group"), "similar-groups")
+    least = materialize(members.groupBy("group").agg(F.min("least").alias("component_id")), "component-ids")
+    component = members.join(least, "group").select("digest", "component_id")
+    return prints.join(component, "digest").select("doc_id", "text_key", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, settings: Settings = CANDIDATES) -> DataFrame:
+    """The rows of docs that stay: of each component of similar_groups the one with the smallest doc_id, all columns as they were.
 
     Rows without a doc_id can't be told apart and stay.
     """
-    dropped = near_groups(docs, settings).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
+    dropped = similar_groups(docs, settings).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped.hint("merge"), docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")

@@ -225,3 +225,27 @@ def test_pairs_of_dense_buckets(spark, tile):
     assert set(joined.values()) == {0} and (-1, -1) in thin and len(thin) < len(found)
     same = nodes.withColumn("group", nodes["node"] % 2)
     assert {(u + v) % 2 for u, v in map(tuple, simhash.near_pairs(same, tile=tile).collect())} == {1}
+
+
+def test_drop_near_copies_is_whole_and_right(spark):
+    """What stays is what brute force over all pairs of shingle sets leaves: contiguous edits go, related texts of 0.5 to 0.8 stay."""
+    texts = []
+    for k in range(15):
+        text, other = words(3000 + k, 150 + 20 * k).split(), words(7000 + k, 900).split()
+        texts += [text, *edited(text, other), text + other[: len(text) * 40 // 100], text[: len(text) * 70 // 100]]
+    texts = [" ".join(t) for t in texts] + ["X longword", "Y longword", "a b c d e f", "a b c d e g", ""]
+    rows = list(enumerate(texts))
+    linked = components([d for d, _ in rows], lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    got = simhash.drop_near_copies(frame(spark, [(d, t, "", "", 0) for d, t in rows]))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(linked.values()))
+
+
+def test_second_round_finds_what_dense_buckets_left(spark):
+    """A dense family in which most links of a spanning forest are refused."""
+    text, texts = words(77, 400).split(), []
+    for k in range(50):
+        own = text[:300] + words(8000 + k, 100).split()
+        texts += [" ".join(own), " ".join(own[:-20])]
+    linked = components(list(range(100)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, [(d, t, "", "", 0) for d, t in enumerate(texts)])).collect()}
+    assert got == linked and len(set(linked.values())) == 50
