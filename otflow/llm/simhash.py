@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from otflow.llm.common import materialize, mix64, release, slices, utf8
@@ -358,8 +358,12 @@ def near_groups(docs: DataFrame, settings: Settings = CLOSE, id_col: str = "doc_
     return prints.join(component, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("binary"))
+
+
 def _texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"coalesce(xxhash64(cast(`{text_col}` as binary)), 0) text_key", f"cast(`{text_col}` as binary) text")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -402,11 +406,13 @@ def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, settings: Settings = CANDIDATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text_key (a hash of its text), component_id.
+    """One row per document: doc_id, text_key (a hash of its text), component_id, kept.
 
     Components are those of pairs that near_pairs proposes and whose five-word
     shingles have a Jaccard similarity of 0.8 or more; texts of equal shingles
-    are one node. component_id is the smallest doc_id of a component. Dense
+    are one node. component_id is the smallest doc_id of a component, whose row
+    is kept, of several texts of it the one with the smallest text_key; rows
+    that repeat doc_id and text tie, and those without a doc_id are kept. Dense
     buckets propose few pairs at first; then a second round proposes all that
     the confirmed ones of the first left unconnected.
     """
@@ -420,7 +426,8 @@ def similar_groups(docs: DataFrame, settings: Settings = CANDIDATES, id_col: str
 
     texts = _texts(docs, id_col, text_col)
     prints = materialize(texts.mapInArrow(run, "doc_id long, text_key long, digest binary, fp binary"), "fingerprints")
-    nodes = prints.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))
+    nodes = prints.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), F.min(row).alias("least"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-shingles")
     links, grouped = None, nodes.withColumn("group", F.col("node"))
     for thin in (True, False):
@@ -434,15 +441,17 @@ def similar_groups(docs: DataFrame, settings: Settings = CANDIDATES, id_col: str
         if pairs.where("u < 0").isEmpty():
             break
     members = materialize(grouped.select("digest", "least", "group"), "similar-groups")
-    least = materialize(members.groupBy("group").agg(F.min("least").alias("component_id")), "component-ids")
-    component = members.join(least, "group").select("digest", "component_id")
-    return prints.join(component, "digest").select("doc_id", "text_key", "component_id")
+    least = materialize(members.groupBy("group").agg(F.min("least").alias("best")), "component-ids")
+    component = members.join(least, "group").select("digest", "best")
+    kept = F.coalesce(row == F.col("best"), F.lit(True))
+    return prints.join(component, "digest").select("doc_id", "text_key", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, settings: Settings = CANDIDATES) -> DataFrame:
     """The rows of docs that stay: of each component of similar_groups the one with the smallest doc_id, all columns as they were.
 
-    Rows without a doc_id can't be told apart and stay.
+    Rows are matched by doc_id and text. Those without a doc_id can't be told apart and stay.
     """
-    dropped = similar_groups(docs, settings).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped.hint("merge"), docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
+    dropped = similar_groups(docs, settings).where("not kept").select(F.col("doc_id").alias("_dropped"), F.col("text_key").alias("_text_key"))
+    cond = (docs["doc_id"].cast("long") == dropped["_dropped"]) & (_text_key("text") == dropped["_text_key"])
+    return docs.join(dropped.hint("merge"), cond, "left_anti")

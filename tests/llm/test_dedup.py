@@ -249,3 +249,12 @@ def test_second_round_finds_what_dense_buckets_left(spark):
     linked = components(list(range(100)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, [(d, t, "", "", 0) for d, t in enumerate(texts)])).collect()}
     assert got == linked and len(set(linked.values())) == 50
+
+
+def test_drop_near_copies_matches_text(spark):
+    """An unrelated text stays though its doc_id is also that of a near copy; of near copies with one doc_id one stays."""
+    text = words(81, 200)
+    rows = [(1, text), (2, text + " extra"), (2, words(82, 90)), (3, words(83, 200)), (3, words(83, 200) + " extra"), (None, text), (4, None)]
+    left = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(frame(spark, [(d, t, "", "", 0) for d, t in rows])).collect()]
+    assert sum(d == 3 for d, _ in left) == 1
+    assert sorted(map(str, (r for r in left if r[0] != 3))) == sorted(map(str, (rows[0], rows[2], rows[5], rows[6])))
