@@ -1,4 +1,4 @@
-"""Removal of byte strings that repeat across documents, by sparse distributed prefix doubling.
+"""Removal of byte strings that repeat across documents, by anchors with hashed strings in place of prefix doubling.
 
 Sorting every suffix of a corpus would move each byte many times. Only anchors
 are sorted: the positions whose hashed 18-byte gram is the least of some
