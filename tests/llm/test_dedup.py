@@ -80,10 +80,10 @@ def test_near_groups(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("settings", [simhash.CLOSE, simhash.SIMILAR])
-@pytest.mark.parametrize("tile", [4096, 8])
+@pytest.mark.parametrize("settings", [simhash.CLOSE, simhash.Settings(seeds=3, width=8)])
+@pytest.mark.parametrize("tile", [4096, 70, 8])
 def test_near_links_of_dense_fingerprints(spark, tile, settings):
-    """Many fingerprints within few bits of each other, in small buckets and in tiles."""
+    """Many fingerprints within few bits of each other, in small buckets, in those of over 64 rows and in tiles."""
     rng = np.random.default_rng(1)
     size = settings.seeds * 64
     fps = set()
@@ -104,7 +104,7 @@ def test_near_links_of_dense_fingerprints(spark, tile, settings):
 
 
 def test_similar_texts_share_a_group(spark):
-    """Of copies with 2 % of their words changed nearly all join their group, and nothing else does."""
+    """Of copies with 1 % of their words changed nearly all join their group, and nothing else does."""
     rng = random.Random(7)
     rows = []
     for k in range(40):
@@ -112,10 +112,10 @@ def test_similar_texts_share_a_group(spark):
         rows.append((10 * k, " ".join(text)))
         for c in range(1, 4):
             copy = list(text)
-            for _ in range(len(copy) // 50):
+            for _ in range(len(copy) // 100):
                 copy[rng.randrange(len(copy))] = words(rng.randrange(10**6), 1)
             rows.append((10 * k + c, " ".join(copy)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(frame(spark, [(d, t, "", "", 0) for d, t in rows]), simhash.SIMILAR).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, [(d, t, "", "", 0) for d, t in rows])).collect()}
     assert all(got[d] in (d, *range(d // 10 * 10, d)) for d in got)
     assert np.mean([got[d] == d // 10 * 10 for d in got]) > 0.95
     assert simhash.drop_near_copies(frame(spark)).columns == frame(spark).columns
@@ -194,37 +194,45 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("thin", [False, True])
-def test_pairs_of_contiguous_edits_are_candidates(spark, thin):
-    rows, want = [], set()
-    for k in range(40):
-        text, other = words(2000 + k, 200 + 10 * k).split(), words(5000 + k, 300).split()
-        copies = [text, *edited(text, other)]
-        want |= {(4 * k + c, 4 * k) for c in (1, 2, 3) if jaccard(" ".join(copies[c]), " ".join(text)) >= 0.8}
-        rows += [(4 * k + c, simhash.fingerprint(" ".join(t).encode(), simhash.CANDIDATES), 4 * k + c) for c, t in enumerate(copies)]
-    nodes = spark.createDataFrame(rows, "node long, fp binary, group long")
-    found = {(r["u"], r["v"]) for r in simhash.near_pairs(nodes, thin=thin).collect()}
-    assert len(want) == 120 and len(found & want) > 0.97 * len(want)
-    assert all(u // 4 == v // 4 for u, v in found)
+def pairs_of(found):
+    """The pairs of near_pairs, each as (larger, smaller)."""
+    return [(max(p), min(p)) for r in found.collect() for p in zip(r["us"], r["vs"])]
 
 
-@pytest.mark.parametrize("tile", [4096, 40])
+def test_recall_of_candidates(spark, capsys):
+    """Of pairs with contiguous edits and of pairs with changed words, at 0.8 or more, nearly all are candidates."""
+    rng, rows, want = random.Random(11), [], set()
+    for k in range(60):
+        text, other = words(2000 + k, 200 + 10 * k).split(), words(5000 + k, 300).split()
+        scattered = [w if rng.random() > 0.02 else "changed" for w in text]
+        copies = [text, *edited(text, other), scattered]
+        want |= {(5 * k + c, 5 * k) for c in (1, 2, 3, 4) if jaccard(" ".join(copies[c]), " ".join(text)) >= 0.8}
+        rows += [(5 * k + c, simhash.fingerprint(" ".join(t).encode(), simhash.CANDIDATES), 5 * k + c, 5 * k + c) for c, t in enumerate(copies)]
+    found = set(pairs_of(simhash.near_pairs(spark.createDataFrame(rows, "node long, fp binary, group long, block long"))))
+    with capsys.disabled():
+        print(f"recall of near-copy candidates at 0.8 or more: {len(found & want) / len(want):.3f} of {len(want)}")
+    assert len(want) > 200 and len(found & want) > 0.97 * len(want)
+    assert all(u // 5 == v // 5 for u, v in found)
+
+
+@pytest.mark.parametrize("tile", [4096, 70, 40])
 def test_pairs_of_dense_buckets(spark, tile):
-    """All pairs without thin; with it enough to connect what those connect, and a row that says so."""
+    """All pairs that differ in few bits, once each, and none within a group; of nearest ones enough to connect all."""
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 256, 32, np.uint8)
+    base = rng.integers(0, 256, 8 * simhash.CANDIDATES.seeds, np.uint8)
     fps = []
     for _ in range(150):
         fp = np.unpackbits(base)
-        fp[rng.integers(0, 256, 3)] ^= 1
+        fp[rng.integers(0, len(fp), 3)] ^= 1
         fps.append(np.packbits(fp).tobytes())
-    nodes = spark.createDataFrame([(k, f, k) for k, f in enumerate(fps)], "node long, fp binary, group long")
-    found, thin = ({(r["u"], r["v"]) for r in simhash.near_pairs(nodes, tile=tile, thin=t).collect()} for t in (False, True))
-    assert len(found) == 150 * 149 // 2
-    joined = components(list(range(150)), lambda a, b: (b, a) in thin)
-    assert set(joined.values()) == {0} and (-1, -1) in thin and len(thin) < len(found)
+    nodes = spark.createDataFrame([(k, f, k, k % 4) for k, f in enumerate(fps)], "node long, fp binary, group long, block long")
+    found = pairs_of(simhash.near_pairs(nodes, tile=tile))
+    assert len(set(found)) == 150 * 149 // 2 and (tile < 4096 or len(found) == len(set(found)))
+    nearest = {(r["u"], r["v"]) for r in simhash.nearest_pairs(nodes, tile=tile).collect()}
+    assert nearest <= set(found) and len(nearest) < 300
+    assert set(components(list(range(150)), lambda a, b: (b, a) in nearest).values()) == {0}
     same = nodes.withColumn("group", nodes["node"] % 2)
-    assert {(u + v) % 2 for u, v in map(tuple, simhash.near_pairs(same, tile=tile).collect())} == {1}
+    assert {(u + v) % 2 for u, v in pairs_of(simhash.near_pairs(same, tile=tile))} == {1}
 
 
 def test_drop_near_copies_is_whole_and_right(spark):
@@ -240,8 +248,8 @@ def test_drop_near_copies_is_whole_and_right(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(linked.values()))
 
 
-def test_second_round_finds_what_dense_buckets_left(spark):
-    """A dense family in which most links of a spanning forest are refused."""
+def test_second_round_finds_what_nearest_pairs_left(spark):
+    """A dense family in which most nearest pairs are refused."""
     text, texts = words(77, 400).split(), []
     for k in range(50):
         own = text[:300] + words(8000 + k, 100).split()
