@@ -1,7 +1,7 @@
 """Exact dedup by distributed most-significant-digit radix partitioning.
 
 Documents are split by successive byte strings of their normalised text (its
-length, then bytes 0..64, 64..64K, 64K..1M, ...) until a group is a single
+length, then bytes 0..64, 64..1K, 1K..16K, ...) until a group is a single
 document or its text has ended. Groups whose bytes have all been compared are
 equal by comparison; no digest takes part in the decision.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from otflow.llm.common import materialize, release
 
 #: Ends of the digits, in bytes of normalised text. Beyond the last they grow 16-fold.
-DIGIT_ENDS = (64, 1 << 16)
+DIGIT_ENDS = (64, 1 << 10)
 
 WHITE = " \t\n\x0b\f\r"
 
@@ -28,19 +28,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the one with the most code points before normalisation stays,
-    then the smallest doc_id; rows that tie in both (repeated rows) are all kept. Null texts equal empty ones. A null doc_id loses to
-    any other. An empty table gives an empty result. Only the two named columns
-    are read, so further columns don't matter.
+    then the smallest doc_id (a null one comes last), then of rows that repeat
+    both the first of the table, so that one row of a group is kept. keep_id is
+    null where that row has no doc_id. Null texts equal empty ones. An empty
+    table gives an empty result. Only the two named columns are read, so
+    further columns don't matter. docs has to read alike each time, as tables do.
 
     A hot group never meets in one task: groups are found by partially
     aggregated counts, and rows rejoin them by a join that AQE may split.
     """
+    return _groups(docs.withColumn(ROW, F.monotonically_increasing_id()), id_col, text_col).drop("row")
+
+
+#: The column that tells apart rows which repeat each other.
+ROW = "_row of the table"
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """exact_groups of docs with the column ROW, and that as row."""
     norm = normalise(F.col(text_col))
     active = docs.select(
+        F.col(ROW).alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.length(F.coalesce(text_col, F.lit(""))).alias("n"),
         F.encode(norm, "UTF-8").alias("rest"),
     ).select(
+        "row",
         "doc_id",
         "n",
         F.sha2("rest", 256).alias("text_sha256"),
@@ -65,6 +78,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             active.withColumn("digit", digit)
             .join(groups.hint("merge"), ["gid", "digit"], "left")
             .select(
+                "row",
                 "doc_id",
                 "n",
                 "text_sha256",
@@ -80,7 +94,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         release(docs.sparkSession)
         ended = (F.col("size") == 1) | (F.col("left") <= 0)
         done.append(split.where(ended).drop("rest"))
-        active = split.where(~ended).select("doc_id", "n", "text_sha256", "gid", "left", "rest")
+        active = split.where(~ended).select("row", "doc_id", "n", "text_sha256", "gid", "left", "rest")
         depth += 1
         if active.isEmpty():
             break
@@ -89,6 +103,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = out.unionByName(more)
     best = F.coalesce("best", _rank())
     return out.select(
+        "row",
         "doc_id",
         (-best["neg_id"]).alias("keep_id"),
         F.col("size").cast("long").alias("group_size"),
@@ -98,16 +113,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _rank() -> Column:
-    """Most code points, then the smallest doc_id; null ids come last."""
-    return F.struct(F.col("n").alias("n"), (-F.col("doc_id")).alias("neg_id"))
+    """Most code points, then the smallest doc_id, then the first row; null ids come last."""
+    return F.struct(F.col("n").alias("n"), (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups keeps, all columns as they were.
+    """The rows of docs that exact_groups keeps, one of each group, all columns as they were.
 
-    Repeated rows of one doc_id that tie stay together.
+    docs has to read alike each time, as tables do: rows are told apart by their place.
     """
-    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped"), "text_sha256")
-    sha = F.sha2(F.encode(normalise(F.col(text_col)), "UTF-8"), 256)
-    cond = docs[id_col].cast("long").eqNullSafe(dropped["_dropped"]) & (sha == dropped["text_sha256"])
-    return docs.join(dropped.hint("merge"), cond, "left_anti")
+    placed = docs.withColumn(ROW, F.monotonically_increasing_id())
+    dropped = _groups(placed, id_col, text_col).where("not kept").select(F.col("row").alias(ROW))
+    return placed.join(dropped.hint("merge"), ROW, "left_anti").select(*(docs[c] for c in docs.columns))

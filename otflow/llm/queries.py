@@ -133,9 +133,9 @@ _TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v i
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
         with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm from documents),
-        k as (select *, first_value(doc_id) over w keep_id, count(*) over (partition by norm) group_size
+        k as (select *, first_value(doc_id) over w keep_id, count(*) over (partition by norm) group_size, row_number() over w r
               from d window w as (partition by norm order by length(t) desc, doc_id))
-        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) text_sha256 from k""",
+        select doc_id, keep_id, group_size, r = 1 as kept, sha256(norm) text_sha256 from k""",
     "op4_decontamination": f"""
         with t as (select doc_id, {_WORDS} w from documents where doc_id is not null),
         i as (select item_id, w, len(w) n, least(len(w), 13) k, floor(least(len(w), 13) * 0.2 + 1e-9) lost from (select item_id, {_WORDS} w from benchmark where item_id is not null) where len(w) > 0),
