@@ -73,27 +73,69 @@ def test_feistel_is_a_permutation(n):
         assert abs(np.corrcoef(np.arange(n), slots)[0, 1]) < 0.1
 
 
-def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
-    numbered = training_order.number(training_order.sequences(clashing(frame(spark)), queries.RANKS, length=16))
-    rows = sorted(training_order.ordered(numbered, key=3, shard_records=32).collect(), key=lambda r: r["slot"])
+def plain_slot(index, n, key):
+    """The Feistel permutation with cycle-walking in whole numbers."""
+    mask64 = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask64
+        return x ^ x >> 31
+
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = index >> half, index % (1 << half)
+        for k in range(1, training_order.ROUNDS + 1):
+            left, right = right, left ^ (mix(right + mix(k + key & mask64) & mask64) % (1 << half))
+        index = left << half | right
+        if index < n:
+            return index
+
+
+def expected_records(docs, key, length, codec):
+    """(doc_id, seq_no, n_tokens, padded ids) by slot: documents by id and text hash, their sequences in turn."""
+    import xxhash
+
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest(t, 42), "big", signed=True)
+    texts = sorted(((d is not None, d or 0, signed(t.encode()), t.encode(), d) for d, t, *_ in docs if t))
+    flat = []
+    for *_, text, d in texts:
+        ids = codec.encode([text])[0].tolist()
+        flat += [(d, k, len(ids[a : a + length]), (ids[a : a + length] + [training_order.PAD] * length)[:length]) for k, a in enumerate(range(0, len(ids), length))]
+    return {plain_slot(i, len(flat), key): r for i, r in enumerate(flat)}
+
+
+@pytest.mark.parametrize("files, split", [(1, "128m"), (3, "2k"), (7, "128m")])
+def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path, files, split):
+    """Slots depend on data and key only, whatever the number of files and splits, and records are where they say."""
+    docs = documents() + [(61, "ab" * 40_000, "", "", 0), (53, "one", "", "", 0)]
+    clashing(frame(spark, docs)).repartition(files).write.parquet(str(tmp_path / "docs"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.shuffle.partitions", str(files + 1))
     folder = f"file://{tmp_path}/shards"
-    written = sorted(training_order.materialise(clashing(frame(spark)), queries.RANKS, 3, folder, length=16, shard_records=32).collect())
-    assert [r["slot"] for r in rows] == [r["slot"] for r in written] == list(range(len(rows)))
-    assert [(r["shard"], r["byte_offset"]) for r in written] == [(k // 32, k % 32 * 32) for k in range(len(rows))]
-    assert sorted((r["doc_id"] or -1, r["seq_no"], r["n_tokens"]) for r in written) == sorted((r["doc_id"] or -1, r["seq_no"], r["n_tokens"]) for r in rows)
+    written = sorted(training_order.materialise(spark.read.parquet(str(tmp_path / "docs")), queries.RANKS, 3, folder, length=16, shard_records=32).collect())
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    want = expected_records(docs, 3, 16, bpe.codec(queries.RANKS))
+    assert [r["slot"] for r in written] == list(range(len(want)))
+    assert [(r["doc_id"], r["seq_no"], r["n_tokens"]) for r in written] == [want[k][:3] for k in range(len(want))]
+    assert [(r["shard"], r["byte_offset"], r["path"]) for r in written] == [(k // 32, k % 32 * 32, f"{folder}/shard-{k // 32:08d}.bin") for k in range(len(want))]
     assert os.path.getsize(tmp_path / "shards/shard-00000000.bin") == 32 * 32
-    got = list(training_order.read_records(folder, 0, len(rows), length=16, shard_records=32))
+    assert not [f for f in os.listdir(tmp_path / "shards") if f.startswith(".shard") and not f.endswith(".crc")]
+    got = list(training_order.read_records(folder, 0, len(want), length=16, shard_records=32))
+    assert [g.tolist() for g in got] == [want[k][3] for k in range(len(want))]
     assert [hashlib.sha256(g.tobytes()).hexdigest() for g in got] == [r["record_sha256"] for r in written]
-    assert sorted(g.tobytes() for g in got) == sorted(training_order.padded(bytes(r["record"]), 16) for r in rows)
-    # Of each document the sequences are its whole text's ids.
-    ids = {}
-    for r in sorted(rows, key=lambda r: r["seq_no"]):
-        ids.setdefault(r["doc_id"], []).append(np.frombuffer(r["record"], "<u2"))
-    codec = bpe.codec(queries.RANKS)
-    for d, t, *_ in documents():
-        if t and [e for e, *_ in documents()].count(d) == 1:
-            assert np.concatenate(ids[d]).tolist() == codec.encode([t.encode()])[0].tolist()
+
+
+def test_training_order_edge_cases(spark, tmp_path):
+    folder = f"file://{tmp_path}/none"
     assert training_order.materialise(frame(spark, []), queries.RANKS, 1, folder).count() == 0
+    assert training_order.materialise(frame(spark, [(1, None, "", "", 0), (2, "", "", "", 0)]), queries.RANKS, 1, folder).count() == 0
+    wide = tmp_path / "wide.tiktoken"
+    wide.write_text("IQ== 0\nIg== 70000\n")
+    with pytest.raises(ValueError):
+        training_order.sequences(frame(spark), str(wide))
 
 
 def rows(records, columns):
