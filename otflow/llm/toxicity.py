@@ -8,14 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from otflow.llm.common import WordHash, folded_words, mix64, slices, utf8
+from otflow.llm.common import WordHash, folded_words, materialize, mix64, slices, utf8
 
 BITS = 20
-#: Labelled rows that training reads at most; of more, those with the smallest hash of their id.
+#: Labelled texts that training reads at most; of more, those with the smallest hash of id and text.
 MAX_TRAINING_ROWS = 6_000
+#: Slots of all these texts together that reach the driver at most (4 bytes each); texts beyond are left out of training.
+MAX_TRAINING_SLOTS = 30_000_000
 THRESHOLD = 0.3
 #: Bytes of a word's stem; compounding languages repeat stems rather than words.
 STEM = 6
@@ -74,33 +76,56 @@ def fold_column(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Weights:
-    """Train on labelled rows outside the held-out fold, on at most max_rows of them.
+def _text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text).cast("binary"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """doc_id, text_key, toxic: at most max_rows labelled texts of docs outside the held-out fold.
+
+    Labels of documents that are not in docs don't count, and rows that repeat
+    id, text and label count once. A share of the hashes' range is taken first,
+    so that only about as many rows are sorted as are wanted.
+    """
+    usable = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic").where("doc_id is not null and toxic is not null").where(fold_column("doc_id") != 2)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"))
+    found = materialize(texts.join(usable, "doc_id").distinct().withColumn("order", F.xxhash64("doc_id", "text_key")), "labelled")
+    n = found.count()
+    if n > 2 * max_rows:
+        found = found.where(F.pmod("order", F.lit(1 << 30)) < int(2 * max_rows / n * (1 << 30)))
+    return found.orderBy(F.pmod("order", F.lit(1 << 30)), "order", "doc_id", "toxic").limit(max_rows).drop("order")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_slots: int = MAX_TRAINING_SLOTS) -> Weights:
+    """Train on the texts of training_sample, as far as max_slots goes.
 
     Only hashed features of that bounded sample reach the driver. Rows without
     an id or a label don't count; without any labels the model scores 0.5.
     """
-    picked = (
-        labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic")
-        .where("doc_id is not null and toxic is not null")
-        .where(fold_column("doc_id") != 2)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
-        .limit(max_rows)
-    )
-    joined = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text").join(F.broadcast(picked), "doc_id")
+    picked = training_sample(docs, labels, max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
+    joined = texts.join(F.broadcast(picked), ["doc_id", "text_key"]).select("doc_id", "text_key", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for batch in slices(batches):
-            slots = [features(t, words).astype(np.int32).tobytes() for t in utf8(batch.column(1))]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(slots, pa.binary())], names=["doc_id", "toxic", "slots"])
-
-    rows = joined.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, slots binary").toArrow()
-    order = sorted(
-        zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), rows["slots"].to_pylist()),
-        key=lambda r: (zlib.crc32(f"order {r[0]}".encode()), r),
-    )
-    return train_ftrl([(np.frombuffer(s, np.int32).astype(np.int64), t) for _, t, s in order])
+            slots = [features(t, words).astype(np.int32).tobytes() for t in utf8(batch.column(3))]
+            yield pa.record_batch([*batch.columns[:3], pa.array(slots, pa.binary())], names=["doc_id", "text_key", "toxic", "slots"])
+
+    found = joined.mapInArrow(run, "doc_id long, text_key long, toxic int, slots binary").groupBy("doc_id", "text_key", "toxic").agg(F.min("slots").alias("slots"))
+    found = materialize(found.withColumn("n", F.octet_length("slots") / 4), "training-features")
+    sizes = found.select("doc_id", "text_key", "toxic", "n").toArrow().to_pylist()
+    order = sorted((zlib.crc32(f"order {r['doc_id']}".encode()), r["doc_id"], r["text_key"], r["toxic"], int(r["n"])) for r in sizes)
+    last = int(np.searchsorted(np.cumsum([r[4] for r in order]), max_slots, "right"))
+    kept = {r[1:4]: k for k, r in enumerate(order[:last])}
+    if last < len(order):
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame(list(kept), "doc_id long, text_key long, toxic int")), ["doc_id", "text_key", "toxic"])
+    rows = found.select("doc_id", "text_key", "toxic", "slots").toArrow() if kept else None
+    if rows is None:
+        return train_ftrl([])
+    columns = [rows[c].to_pylist() for c in rows.column_names]
+    ranked = sorted(zip(*columns), key=lambda r: kept[r[:3]])
+    return train_ftrl([(np.frombuffer(s, np.int32).astype(np.int64), t) for _, _, t, s in ranked])
 
 
 def score_texts(texts: list[bytes], dense: np.ndarray, intercept: float, words: WordHash, bits: int = BITS) -> np.ndarray:

@@ -47,9 +47,10 @@ def test_bpe_of_long_texts(codec, library, monkeypatch):
 
 
 def test_bpe_classes_of_all_code_points(codec, library):
-    points = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000][::7]
-    texts = [f"a{c}1{c}{c}." for c in points]
-    assert [g.tolist() for g in codec.encode([t.encode() for t in texts])] == library.encode_ordinary_batch(texts)
+    points = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    for at in range(0, len(points), 1 << 16):
+        texts = ["".join(f"a{c}1{c}{c}." for c in points[k : k + 32]) for k in range(at, min(at + (1 << 16), len(points)), 32)]
+        assert [g.tolist() for g in codec.encode([t.encode() for t in texts])] == library.encode_ordinary_batch(texts)
 
 
 def test_scan_equals_stepping():
@@ -96,6 +97,34 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
 
 
+def test_training_sample_is_bounded_and_meets_the_documents(spark):
+    """Labels of absent documents take no place in the sample, and copies of a document no more than one."""
+    docs = frame(spark, [(k, words(k, 30), "", "", 0) for k in range(200)] + [(4, words(4, 30), "", "", 0)] * 40)
+    usable = [k for k in range(200) if toxicity.fold(k) != 2]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(1000 + k, 1) for k in range(5000)] + [(4, 0)] * 3, "doc_id long, toxic int")
+    for most in (10, 60, 10_000):
+        got = toxicity.training_sample(docs, labels, most).collect()
+        assert len(got) == min(most, len(usable)) and {r["doc_id"] for r in got} <= set(usable)
+        assert all(r["toxic"] == r["doc_id"] % 2 for r in got)
+    whole = toxicity.fit(docs, labels, max_rows=1000)
+    assert toxicity.fit(docs, labels, max_rows=1000, max_slots=0).intercept == 0 != whole.intercept
+
+
+def test_toxicity_scores_equal_plain_sums(spark):
+    """Scores are the sums of the weights of a text's slots, counted plainly."""
+    docs = documents()
+    labels = spark.createDataFrame([(d, int(d % 3 == 0)) for d, *_ in docs if d], "doc_id long, toxic int")
+    weights = toxicity.fit(frame(spark), labels)
+    table_, hashes = dict(zip(weights.slots.tolist(), weights.values.tolist())), WordHash()
+    got = toxicity.score(clashing(frame(spark)), weights).collect()
+    want = []
+    for d, t, *_ in docs:
+        slots = set(toxicity.features((t or "").encode(), hashes).tolist())
+        z = weights.intercept + sum(table_.get(s, 0.0) for s in slots)
+        want.append((d, round(float(1 / (1 + np.exp(-z))), 6)))
+    assert sorted(str((r["doc_id"], round(r["score"], 6))) for r in got) == sorted(map(str, want))
+
+
 def test_ftrl_learns_a_sparse_rule():
     rng = np.random.default_rng(1)
     rows = []
