@@ -22,6 +22,8 @@ from otflow.llm.common import WordHash, folded_words, materialize, mix64, slices
 #: Tokens of a window that is compared, and the share of them that must be equal.
 WINDOW = 13
 SIMILARITY = 0.8
+#: Tokens over which the hits of one segment spread at most, so that an alignment never costs more than that.
+SPAN = 256
 #: Bits of the seed filter, whose size doesn't depend on the benchmark's.
 FILTER_BITS = 24
 
@@ -153,8 +155,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             place, value = place[order], np.concatenate(values)[order]
             first = np.cumsum(sizes) - sizes
             ids = batch.column(0).to_pylist()
-            # Hits whose surroundings overlap share a segment.
+            # Hits whose surroundings overlap share a segment, as far as SPAN; every window has all its tokens in each of its hits' segments.
             new = np.append(True, (np.diff(place) > 3 * WINDOW) | (owner[place[1:]] != owner[place[:-1]]))
+            piece = (place - place[new][np.cumsum(new) - 1]) // SPAN
+            new[1:] |= piece[1:] != piece[:-1]
             cuts = np.append(np.flatnonzero(new), len(place)).tolist()
             rows = []
             for a, b in zip(cuts[:-1], cuts[1:]):

@@ -142,19 +142,44 @@ def test_masks_are_lossless(window):
         assert any(not set(hidden) & {p + at for p in mask} for mask in decontaminate.masks(window) for at in range(window - mask[-1]))
 
 
+def plain_words(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c if ord(c) >= 128 or c.isalnum() else " " for c in text or "").split()
+
+
 def brute_leaks(docs, items):
-    hashes = WordHash()
+    """Every window of every text against every window of every item, word by word."""
     out = {}
-    tokens = lambda t: hashes.of(folded_words((t or "").encode()))
     for d, t in docs:
-        text = tokens(t)
+        text = plain_words(t)
         for i, u in items:
-            item = tokens(u)
-            for shift in range(-len(item), len(text)) if len(item) and d is not None and i is not None else ():
-                best = decontaminate.best_window(text, item, shift)
-                if best and (best[0], -best[2]) > (out[d, i][2], -out[d, i][4]) if (d, i) in out else best:
-                    out[d, i] = (d, i, *best)
-    return sorted(map(str, out.values()))
+            item = plain_words(u)
+            k = min(len(item), 13)
+            need = k - int(k * 0.2 + 1e-9)
+            for shift in range(-len(item), len(text)) if item and d is not None and i is not None else ():
+                same = [0 <= p - shift < len(item) and text[p] == item[p - shift] for p in range(len(text))]
+                for p in range(max(0, shift), min(len(text), shift + len(item)) - k + 1):
+                    matched = sum(same[p : p + k])
+                    if matched >= need and (matched, -p) > out.get((d, i), (0, 0)):
+                        out[d, i] = (matched, -p)
+    sizes = {i: min(len(plain_words(u)), 13) for i, u in items}
+    return sorted(str((d, i, m, sizes[i], -p)) for (d, i), (m, p) in out.items())
+
+
+@pytest.mark.parametrize("span", [256, 20])
+def test_leaks_of_long_runs_of_passages(spark, monkeypatch, span):
+    """A text full of passages, in segments of any length."""
+    monkeypatch.setattr(decontaminate, "SPAN", span)
+    passages = [words(750 + k, 30) for k in range(4)]
+    rng = random.Random(5)
+    runs = []
+    for k in range(12):
+        item = passages[k % 4].split()
+        item[rng.randrange(30)] = "changed"
+        runs.append(" ".join(item[rng.randint(0, 3) :]))
+    docs = [(1, " ".join(runs)), (2, " ".join(["same"] * 300)), (3, words(9, 300))]
+    items = [*enumerate(passages), (8, " ".join(["same"] * 40))]
+    got = decontaminate.leaks(frame(spark, [(d, t, "", "", 0) for d, t in docs]), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute_leaks(docs, items)
 
 
 def test_leaks_equal_brute_force(spark):
