@@ -544,8 +544,9 @@ def similar_groups(docs: DataFrame, settings: Settings = CANDIDATES, id_col: str
     first = materialize(nearest_pairs(nodes, settings, hot=hot), "nearest-pairs")
     release(docs.sparkSession)
     # A text that has no nearest one shares no key with another, and needs no more.
-    families = connected_components(first).select("node", F.col("root").alias("family"))
-    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
+    families = materialize(connected_components(first).select("node", F.col("root").alias("family")), "families")
+    # Written, so that the join has both sides dealt for itself and a large family may be split.
+    sizes = materialize(families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")), "family-sizes")
     blocks = families.join(sizes, "family").select("node", F.xxhash64("family", F.expr("pmod(xxhash64(node), n)")).alias("block"))
     blocks = materialize(nodes.join(blocks, "node"), "blocks")
     of = lambda end, name: blocks.select(F.col("node").alias(end), F.col("block").alias(name))
