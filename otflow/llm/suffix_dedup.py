@@ -1,21 +1,21 @@
-"""Removal of byte strings that repeat across documents, by anchors with hashed strings in place of prefix doubling.
-
-Sorting every suffix of a corpus would move each byte many times. Only anchors
-are sorted: the positions whose hashed 18-byte gram is the least of some
-50-byte window. Equal windows choose the same anchors, so every repeated
-50-byte string holds an anchor whose gram repeats. Ranks then grow round by
-round, and what is unique leaves:
-
-1. anchors are sorted by (gram, its surroundings as far as windows reach): an
-   anchor whose whole surroundings also stand in a smaller document is settled;
-2. unsettled anchors that share a gram are sorted together again with their
-   surroundings and ranked by strings of about 34 bytes to the left and right;
-3. what still repeats is ranked by the 50-byte windows themselves.
-
-Rounds 2 and 3 run within the sorted groups of a gram. A gram with very many
-unsettled anchors leaves them and goes on as single windows, which Spark
-aggregates and joins. The hashes are polynomial over whole strings (64 bits,
-and 32 more in round 1).
+"""Removal of byte strings that repeat across documents, by prefix doubling over anchors.
+
+Ranking all suffixes of a corpus would move each byte many times, so positions
+are thinned first: an anchor is a position whose 18-byte gram has the least hash
+of some 50-byte window, and it owns the windows of which it is the leftmost such
+position. Equal windows have equal owners, so only anchors are ranked, by
+strings that grow until they are unique or 50 bytes long:
+
+1. anchors are sorted by gram and by the whole span of bytes that their windows
+   cover. One whose gram is nowhere else leaves; one whose span a smaller
+   document has as well is settled, with all its windows at once;
+2. what is left is ranked by 34 bytes, the gram and the 16 bytes before or after
+   it. Strings of one document leave, the others get a rank;
+3. windows are sorted by pairs of that rank and the 16 bytes that are left of 50.
+
+Hashes only choose anchors and prune in step 1, but for spans: these count as
+equal by 64 bits of the gram and 64 of the span. Steps 2 and 3 compare bytes.
+Groups are aggregated partially and joined back, so no task holds one.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from otflow.llm.common import discard, materialize, mix64, release, slices, utf8
 
 LENGTH = 50
 GRAM = 18
-#: Bytes between an anchor and the far end of the strings of round 2.
-HALF = (LENGTH - GRAM + 1) // 2
-#: Unsettled anchors of one gram that are ranked in one task.
-GROUP_LIMIT = 20_000
+#: Bytes by which strings grow from 18 to 34, and from 34 to 50.
+STEP = (LENGTH - GRAM) // 2
+#: Grams of a window.
+WIDTH = LENGTH - GRAM + 1
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -68,31 +68,36 @@ class Text:
         self._sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up[:n], out=self._sums[1:])
 
-    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of data[b:e] for each pair, equal for equal strings wherever they stand."""
-        return mix64((self._sums[end] - self._sums[begin]) * self._down[begin] + (end - begin).astype(np.uint64))
+    def checks(self, begin: np.ndarray, end: np.ndarray, inside: np.ndarray | int = 0) -> np.ndarray:
+        """A signed hash of data[b:e], and of a place inside it, for each pair: equal for equal strings wherever they stand."""
+        hashes = mix64((self._sums[end] - self._sums[begin]) * self._down[begin] + (end - begin).astype(np.uint64))
+        return mix64(hashes + np.asarray(inside).astype(np.uint64)).view(np.int64)
 
     @cached_property
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions whose gram is the least of some window, and the grams' hashes."""
-        n, width = len(self.bytes), LENGTH - GRAM + 1
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions that own windows, their grams' hashes, and the least and most bytes from such a window's begin to the position."""
+        n = len(self.bytes)
         if n < LENGTH:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         count = n - GRAM + 1
         grams = mix64((self._sums[GRAM:] - self._sums[:count]) * self._down[:count] + np.uint64(GRAM))
-        least = _sliding(grams, width, np.minimum)
-        edge = np.zeros(width - 1, np.uint64)
-        at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams)
-        return at, grams[at]
-
-    def surroundings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What all windows around anchors cover: first byte and end."""
-        return np.maximum(at - (LENGTH - GRAM), 0), np.minimum(at + LENGTH, len(self.bytes))
-
-    def checks(self, at: np.ndarray) -> np.ndarray:
-        """32 bits of the hash of anchors' surroundings and place in them."""
-        begin, end = self.surroundings(at)
-        return (mix64(self.hashes(begin, end) + (at - begin).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        least = _sliding(grams, WIDTH, np.minimum)
+        edge = np.zeros(WIDTH - 1, np.uint64)
+        at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), WIDTH, np.maximum) == grams)
+        grams = grams[at]
+        # A window's owner has no gram as small before it in the window, and no smaller one after it.
+        low, high = np.maximum(at - (n - LENGTH), 0), np.minimum(at, WIDTH - 1)
+        for k in range(1, WIDTH):
+            gap = at[k:] - at[:-k]
+            near = gap < WIDTH
+            if not near.any():
+                break
+            behind = near & (grams[:-k] <= grams[k:])
+            high[k:] = np.where(behind, np.minimum(high[k:], gap - 1), high[k:])
+            ahead = near & (grams[k:] < grams[:-k])
+            low[:-k] = np.where(ahead, np.maximum(low[:-k], WIDTH - gap), low[:-k])
+        own = low <= high
+        return at[own], grams[own], low[own], high[own]
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -105,32 +110,31 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc, info) of the anchors of a batch; info packs check, settled and at.
+    """Rows (key, check, doc, info) of the anchors of a batch; info packs high, low, settled and at.
 
-    Rows of equal gram and surroundings are pre-aggregated: those of a larger
-    document than the batch's smallest are settled here, under a key that
-    spreads them.
+    Rows of equal gram and span are pre-aggregated: those of a larger document
+    than the batch's smallest are settled here, under a key that spreads them.
     """
     for batch in slices(batches, 3000):
-        key, check, doc, at = [], [], [], []
+        key, check, doc, info = [], [], [], []
         for doc_id, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             text = Text(data)
-            places, grams = text.anchors
+            at, grams, low, high = text.anchors
             key.append(grams)
-            check.append(text.checks(places))
-            doc.append(np.full(len(places), doc_id, np.int64))
-            at.append(places)
+            check.append(text.checks(at - high, at - low + LENGTH, high))
+            doc.append(np.full(len(at), doc_id, np.int64))
+            info.append(high << 38 | low << 32 | at)
         if not key:
             continue
-        key, check, doc, at = map(np.concatenate, (key, check, doc, at))
+        key, check, doc, info = map(np.concatenate, (key, check, doc, info))
         order = np.lexsort((doc, check, key))
-        key, check, doc, at = key[order], check[order], doc[order], at[order]
+        key, check, doc, info = key[order], check[order], doc[order], info[order]
         first = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])) if len(key) else np.zeros(0, bool)
         settled = doc > doc[first][np.cumsum(first) - 1]
-        key = np.where(settled, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), key)
-        info = (check.astype(np.int64) << 32) | (settled.astype(np.int64) << 31) | at
-        out = pa.record_batch([pa.array(key.view(np.int64)), pa.array(doc), pa.array(info)], names=["key", "doc", "info"])
-        del key, check, doc, at, order, first, settled, info
+        key = np.where(settled, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (info & 0x7FFFFFFF).astype(np.uint64)), key)
+        info |= settled.astype(np.int64) << 31
+        out = pa.record_batch([pa.array(key.view(np.int64)), pa.array(check), pa.array(doc), pa.array(info)], names=["key", "check", "doc", "info"])
+        del key, check, doc, info, order, first, settled
         yield from slices([out], 100_000)
 
 
@@ -145,17 +149,16 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, doc, info = (batch.column(c).to_numpy() for c in ("key", "doc", "info"))
-        done, check, at = (info >> 31 & 1).astype(bool), (info >> 32).astype(np.int32), (info & 0x7FFFFFFF).astype(np.int32)
+        key, check, doc, info = (batch.column(c).to_numpy() for c in ("key", "check", "doc", "info"))
+        done = (info >> 31 & 1).astype(bool)
         if done.any():
-            n = int(done.sum())
-            yield _settlement(doc[done], at[done], check[done], key[done], np.ones(n, bool))
-            key, check, doc, at = key[~done], check[~done], doc[~done], at[~done]
+            yield _settlement(check[done], doc[done], info[done], np.ones(int(done.sum()), bool))
+            key, check, doc, info = key[~done], check[~done], doc[~done], info[~done]
             if not len(key):
                 continue
         fresh = np.ones(len(key), bool)
         if ghosts is not None:
-            key, check, doc, at, fresh = (np.concatenate(x) for x in zip(ghosts, (key, check, doc, at, fresh)))
+            key, check, doc, info, fresh = (np.concatenate(x) for x in zip(ghosts, (key, check, doc, info, fresh)))
         group = np.append(True, key[1:] != key[:-1])
         kind = group | np.append(True, check[1:] != check[:-1])
         of_group, of_kind = np.cumsum(group) - 1, np.cumsum(kind) - 1
@@ -163,164 +166,105 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.bincount(of_group, kind)[of_group] > 1
         last = of_group == of_group[-1]
         open_ = last & ~many & ~full  # may still turn out to have company
-        yield from _parts(doc, at, check, key, full, fresh & ((full) | (many & ~full)) & ~open_)
+        out = fresh & (full | many) & ~open_
+        if out.any():
+            yield _settlement(check[out], doc[out], info[out], full[out])
         if many[-1]:
             starts = np.flatnonzero(kind & last)[[0, -1]]
-            ghosts = tuple(x[starts] for x in (key, check, doc, at)) + (np.zeros(2, bool),)
+            ghosts = tuple(x[starts] for x in (key, check, doc, info)) + (np.zeros(2, bool),)
         else:
-            ghosts = tuple(x[open_] for x in (key, check, doc, at)) + (np.ones(int(open_.sum()), bool),)
+            ghosts = tuple(x[open_] for x in (key, check, doc, info)) + (np.ones(int(open_.sum()), bool),)
 
 
-def _parts(doc, at, check, key, full, out) -> Iterator[pa.RecordBatch]:
-    if out.any():
-        yield _settlement(doc[out], at[out], check[out], key[out], full[out])
+def _settlement(check, doc, info, full) -> pa.RecordBatch:
+    """doc, the span of the windows that the anchor owns, its place inside, their check, and whether it is settled."""
+    at, low, high = info & 0x7FFFFFFF, info >> 32 & 63, info >> 38
+    columns = [doc, (at - high).astype(np.int32), (at - low + LENGTH).astype(np.int32), high.astype(np.int32), check, full]
+    return pa.record_batch([pa.array(c) for c in columns], names=["doc", "begin", "end", "inside", "check", "full"])
 
 
-def _settlement(doc, at, check, key, full) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(doc), pa.array(at), pa.array(check), pa.array(key, mask=full), pa.array(full)], names=["doc", "at", "check", "key", "full"])
+def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, begin, most, context) of unsettled anchors, once for windows that hold the 34 bytes from the gram on, once for those up to its end.
 
-
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, at, left, context) of unsettled anchors: their surroundings, and how far these reach to the left."""
+    context begins at byte begin with the first of these windows, in which most
+    bytes stand before the 34.
+    """
     for batch in slices(batches, 500):
-        keys, docs, places, lefts, contexts = ([] for _ in range(5))
-        for doc_id, data, at, check, key in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), *(batch.column(k) for k in (2, 3, 4))):
-            at, check, key = (x.values.to_numpy() for x in (at, check, key))
-            inside = at + GRAM <= len(data)
-            at, check, key = at[inside].astype(np.int64), check[inside], key[inside]
-            text = Text(data)
-            own = text.checks(at) == check  # not those of another row with this doc_id
-            at, key = at[own], key[own]
-            begin, end = text.surroundings(at)
-            keys.append(key)
-            docs.append(np.full(len(at), doc_id, np.int64))
-            places.append(at.astype(np.int32))
-            lefts.append((at - begin).astype(np.int8))
-            contexts += [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-        if keys:
-            columns = [pa.array(np.concatenate(c)) for c in (keys, docs, places, lefts)]
-            yield pa.record_batch([*columns, pa.array(contexts, pa.binary())], names=["key", "doc", "at", "left", "context"])
-
-
-def _later(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row whether a row of a smaller document, and whether one of any other document, has its hash."""
-    order = np.lexsort((doc, hashes))
-    h, d = hashes[order], doc[order]
-    first = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-    group = np.cumsum(first) - 1
-    least, most = d[first], d[np.append(first[1:], True)] if len(d) else d
-    late, shared = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    late[order], shared[order] = d > least[group], (most > least)[group]
-    return late, shared
-
-
-def _windows(text: Text, base: np.ndarray, size: np.ndarray, left: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, offset and hash of the windows that begin offset bytes before the rows' anchors."""
-    begin = left[rows, None] - offsets[None, :]
-    row, column = np.nonzero((begin >= 0) & (begin + LENGTH <= size[rows, None]))
-    at = base[rows[row]] + begin[row, column]
-    return rows[row], offsets[column], text.hashes(at, at + LENGTH)
-
-
-def _joined(contexts: list[bytes]) -> tuple[Text, np.ndarray, np.ndarray]:
-    size = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    return Text(b"".join(contexts)), np.cumsum(size) - size, size
-
-
-def _ranked(key: np.ndarray, doc: np.ndarray, at: np.ndarray, left: np.ndarray, contexts: list[bytes]) -> pa.RecordBatch:
-    """(doc, at, end, check) of the runs of bytes to remove, from whole groups of a gram."""
-    text, base, size = _joined(contexts)
-    salt = mix64(key.view(np.uint64))
-    rows, offsets, hashes = [], [], []
-    for lo, hi, reach in ((left - HALF, left + GRAM, np.arange(HALF, LENGTH - GRAM + 1)), (left, left + LENGTH - HALF + 1, np.arange(HALF))):
-        fits = np.flatnonzero((lo >= 0) & (hi <= size))
-        _, shared = _later(text.hashes(base[fits] + lo[fits], base[fits] + hi[fits]) ^ salt[fits], doc[fits])
-        row, offset, found = _windows(text, base, size, left, fits[shared], reach)
-        rows.append(row)
-        offsets.append(offset)
-        hashes.append(found)
-    row, offset, found = map(np.concatenate, (rows, offsets, hashes))
-    late, _ = _later(found ^ salt[row], doc[row])
-    row, offset = row[late], offset[late]
-    order = np.lexsort((offset, row))
-    row, offset = row[order], offset[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)) if len(row) else np.zeros(0, bool)
-    first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)) if len(row) else np.zeros(0, np.int64)
-    row, near, far = row[first], offset[first], offset[last]
-    begin, end = at[row] - far, at[row] - near + LENGTH
-    shift = base[row] + left[row] - at[row]
-    check = (text.hashes(begin + shift, end + shift) & np.uint64(0x7FFFFFFF)).astype(np.int32)
-    return pa.record_batch([pa.array(doc[row]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(check)], names=["doc", "at", "end", "check"])
-
-
-def _rank_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_ranked over batches sorted by key; the last group of a batch waits for the next one."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        key = table["key"].to_numpy()
-        cut = int(np.argmax(key == key[-1]))
-        rest = table.slice(cut)
-        if cut:
-            yield _ranked(*_columns(table.slice(0, cut)))
-    if rest is not None:
-        yield _ranked(*_columns(rest))
-
-
-def _columns(table: pa.Table) -> tuple:
-    numbers = [table[c].to_numpy().astype(np.int64) for c in ("key", "doc", "at", "left")]
-    return (*numbers, table["context"].to_pylist())
+        docs, begins, mosts, contexts = ([] for _ in range(4))
+        for doc_id, data, *found in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), *(batch.column(k) for k in range(2, 6))):
+            begin, end, inside, check = (x.values.to_numpy().astype(np.int64) for x in found)
+            whole = end <= len(data)
+            begin, end, inside, check = begin[whole], end[whole], inside[whole], check[whole]
+            own = Text(data).checks(begin, end, inside) == check  # not those of another row with this doc_id
+            begin, end, inside = begin[own], end[own], inside[own]
+            at, low, high = begin + inside, inside - (end - begin - LENGTH), inside
+            for least, most, ahead in ((low, np.minimum(high, STEP - 1), 0), (np.maximum(low, STEP), high, STEP)):
+                side = np.flatnonzero(least <= most)
+                first, until = at[side] - most[side], at[side] - least[side] + LENGTH
+                docs.append(np.full(len(side), doc_id, np.int64))
+                begins.append(first.astype(np.int32))
+                mosts.append((most[side] - ahead).astype(np.int8))
+                contexts += [data[a:b] for a, b in zip(first.tolist(), until.tolist())]
+        if docs:
+            columns = [pa.array(np.concatenate(c)) for c in (docs, begins, mosts)]
+            yield pa.record_batch([*columns, pa.array(contexts, pa.binary())], names=["doc", "begin", "most", "context"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, doc, at) of all windows around anchors of hot grams."""
+    """(rank, w0, w1, doc, begin, check) of the windows of contexts: the rank of their 34 bytes and how many stand before these, and the other 16 bytes."""
     for batch in slices(batches, 5000):
-        _, doc, at, left, contexts = _columns(pa.Table.from_batches([batch]))
-        text, base, size = _joined(contexts)
-        row, offset, hashes = _windows(text, base, size, left, np.arange(len(doc)), np.arange(LENGTH - GRAM + 1))
-        yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(doc[row]), pa.array((at[row] - offset).astype(np.int32))], names=["hash", "doc", "at"])
-
-
-def _hot_windows(contexts: DataFrame) -> DataFrame:
-    """(doc, at, end, check) from the windows of hot grams, by partial aggregation and a join that may be split."""
-    windows = materialize(contexts.mapInArrow(_window_rows, "hash long, doc long, at int"), "windows")
-    least = windows.groupBy("hash").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("hash", "a")
-    check = F.col("hash").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("check")
-    return windows.join(least, "hash").where("doc > a").select("doc", "at", (F.col("at") + LENGTH).alias("end"), check)
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """doc, at, end, check: where removal is due in document doc.
-
-    With an end the bytes from at to end (check is 31 bits of their hash), else
-    the surroundings of the anchor at byte at (check is that of Text.checks).
-    """
+        contexts = batch.column(3).to_pylist()
+        size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+        base, n = np.cumsum(size) - size, size - LENGTH + 1
+        text = Text(b"".join(contexts))
+        row = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = base[row] + step
+        before = batch.column(2).to_numpy().astype(np.int64)[row] - step
+        rest = np.arange(LENGTH - GRAM - STEP)
+        places = at[:, None] + rest + np.where(rest < before[:, None], 0, GRAM + STEP)
+        words = text.bytes[places].view(np.int64)
+        ranks = batch.column(4).to_numpy()[row] * (STEP + 1) + before
+        begin = (batch.column(1).to_numpy()[row] + step).astype(np.int32)
+        columns = [ranks, np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]), batch.column(0).to_numpy()[row], begin, text.checks(at, at + LENGTH)]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["rank", "w0", "w1", "doc", "begin", "check"])
+
+
+def _shared(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys that rows of several documents have, each with the smallest of these documents."""
+    return rows.groupBy(*key).agg(F.min("doc").alias("least"), F.max("doc").alias("_most")).where(F.col("least") < F.col("_most")).drop("_most")
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, begin, end, inside and check: where removal is due in document doc; check is that of Text.checks."""
     spark = docs.sparkSession
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as binary) text").where("doc_id is not null")
-    rows = source.mapInArrow(_anchor_rows, "key long, doc long, info long")
+    rows = source.mapInArrow(_anchor_rows, "key long, check long, doc long, info long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(n, "key").sortWithinPartitions("key", F.shiftright("info", 32), "doc")
-    ranked = materialize(rows.mapInArrow(_first_round, "doc long, at int, check int, key long, full boolean"), "anchors")
+    rows = rows.repartition(n, "key").sortWithinPartitions("key", "check", "doc")
+    ranked = materialize(rows.mapInArrow(_first_round, "doc long, begin int, end int, inside int, check long, full boolean"), "anchors")
     release(spark)
 
     # Only positions and hashes are gathered for a document, fewer than its bytes.
-    wanted = ranked.where("not full").groupBy("doc").agg(F.collect_list(F.struct("at", "check", "key")).alias("wanted"))
-    texts = source.join(wanted.hint("merge"), source["doc_id"] == wanted["doc"]).select("doc_id", "text", "wanted.at", "wanted.check", "wanted.key")
-    contexts = materialize(texts.mapInArrow(_context_rows, "key long, doc long, at int, left byte, context binary"), "contexts")
+    wanted = ranked.where("not full").groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "inside", "check")).alias("wanted"))
+    texts = source.join(wanted.hint("merge"), source["doc_id"] == wanted["doc"]).select("doc_id", "text", "wanted.begin", "wanted.end", "wanted.inside", "wanted.check")
+    halves = materialize(texts.mapInArrow(_half_rows, "doc long, begin int, most byte, context binary"), "halves")
+    release(spark)
+
+    ranked_by = halves.withColumn("half", F.expr(f"substring(context, most + 1, {GRAM + STEP})"))
+    ranks = materialize(_shared(ranked_by.select("half", "doc"), "half").drop("least").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    release(spark)
+    met = ranked_by.join(ranks.hint("merge"), "half").select("doc", "begin", "most", "context", "rank")
+    windows = materialize(met.mapInArrow(_window_rows, "rank long, w0 long, w1 long, doc long, begin int, check long"), "windows")
+    discard(halves), discard(ranks)
     release(spark)
 
-    hot = materialize(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("key"), "hot-grams")
-    some_hot = not hot.isEmpty()
-    cold = contexts.join(hot, "key", "left_anti") if some_hot else contexts
-    runs = cold.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_rank_rows, "doc long, at int, end int, check int")
-    if some_hot:
-        runs = runs.unionByName(_hot_windows(contexts.join(hot, "key", "left_semi")))
-    runs = materialize(runs, "runs")
-    discard(contexts)
+    least = materialize(_shared(windows.select("rank", "w0", "w1", "doc"), "rank", "w0", "w1"), "repeated-windows")
+    late = windows.join(least.hint("merge"), ["rank", "w0", "w1"]).where("doc > least")
+    late = materialize(late.select("doc", "begin", (F.col("begin") + LENGTH).alias("end"), F.lit(0).alias("inside"), "check"), "late-windows")
+    discard(windows), discard(least)
     release(spark)
-    return ranked.where("full").select("doc", "at", F.lit(None).cast("int").alias("end"), "check").unionByName(runs)
+    return ranked.where("full").drop("full").unionByName(late)
 
 
 def _removed(data: bytes, entries) -> np.ndarray:
@@ -328,23 +272,16 @@ def _removed(data: bytes, entries) -> np.ndarray:
     n = len(data)
     cover = np.zeros(n + 1, np.int64)
     if entries is not None and n >= LENGTH:
-        text = Text(data)
-        at, end, check = (entries.field(k) for k in range(3))
-        anchor = end.is_null().to_numpy(zero_copy_only=False)
-        at, end, check = at.to_numpy().astype(np.int64), end.fill_null(0).to_numpy().astype(np.int64), check.to_numpy()
-        own = anchor & (at + GRAM <= n)
-        p = at[own]
-        p = p[text.checks(p) == check[own]]
-        begin, until = text.surroundings(p)
-        own = ~anchor & (end <= n)
-        b, e = at[own], end[own]
-        good = (text.hashes(b, e) & np.uint64(0x7FFFFFFF)).astype(np.int32) == check[own]
-        np.add.at(cover, np.concatenate([begin, b[good]]), 1)
-        np.add.at(cover, np.concatenate([until, e[good]]), -1)
+        begin, end, inside, check = (entries.field(k).to_numpy().astype(np.int64) for k in range(4))
+        whole = end <= n
+        begin, end, inside, check = begin[whole], end[whole], inside[whole], check[whole]
+        own = Text(data).checks(begin, end, inside) == check  # not those of another row with this doc_id
+        np.add.at(cover, begin[own], 1)
+        np.add.at(cover, end[own], -1)
     return np.cumsum(cover)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept.
 
     Every byte goes that a 50-byte string covers which also starts in a document
@@ -354,7 +291,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of rows that share one, none is smaller. Further columns are not read.
     """
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as binary) text")
-    entries = repeated(docs, id_col, text_col, group_limit).groupBy("doc").agg(F.collect_list(F.struct("at", "end", "check")).alias("entries"))
+    entries = repeated(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "inside", "check")).alias("entries"))
     joined = source.join(entries.hint("merge"), source["doc_id"] == entries["doc"], "left").select("doc_id", "text", "entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
