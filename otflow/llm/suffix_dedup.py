@@ -211,7 +211,7 @@ def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rank, w0, w1, doc, begin, check) of the windows of contexts: the rank of their 34 bytes and how many stand before these, and the other 16 bytes."""
+    """(rank, w0, w1, doc, place) of the windows of contexts: the rank of their 34 bytes and how many stand before these, the other 16 bytes, and where it begins with 32 bits of its check."""
     for batch in slices(batches, 5000):
         contexts = batch.column(3).to_pylist()
         size = np.fromiter(map(len, contexts), np.int64, len(contexts))
@@ -225,9 +225,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = at[:, None] + rest + np.where(rest < before[:, None], 0, GRAM + STEP)
         words = text.bytes[places].view(np.int64)
         ranks = batch.column(4).to_numpy()[row] * (STEP + 1) + before
-        begin = (batch.column(1).to_numpy()[row] + step).astype(np.int32)
-        columns = [ranks, np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]), batch.column(0).to_numpy()[row], begin, text.checks(at, at + LENGTH)]
-        yield pa.record_batch([pa.array(c) for c in columns], names=["rank", "w0", "w1", "doc", "begin", "check"])
+        place = text.checks(at, at + LENGTH) << 32 | (batch.column(1).to_numpy()[row] + step)
+        columns = [ranks, np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]), batch.column(0).to_numpy()[row], place]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["rank", "w0", "w1", "doc", "place"])
 
 
 def _shared(rows: DataFrame, *key: str) -> DataFrame:
@@ -236,7 +236,10 @@ def _shared(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, begin, end, inside and check: where removal is due in document doc; check is that of Text.checks."""
+    """doc, begin, end, inside and check: where removal is due in document doc.
+
+    check is that of Text.checks, or where inside is -1 its lower 32 bits with no place inside.
+    """
     spark = docs.sparkSession
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as binary) text").where("doc_id is not null")
     rows = source.mapInArrow(_anchor_rows, "key long, check long, doc long, info long")
@@ -255,13 +258,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ranks = materialize(_shared(ranked_by.select("half", "doc"), "half").drop("least").withColumn("rank", F.monotonically_increasing_id()), "ranks")
     release(spark)
     met = ranked_by.join(ranks.hint("merge"), "half").select("doc", "begin", "most", "context", "rank")
-    windows = materialize(met.mapInArrow(_window_rows, "rank long, w0 long, w1 long, doc long, begin int, check long"), "windows")
+    windows = materialize(met.mapInArrow(_window_rows, "rank long, w0 long, w1 long, doc long, place long"), "windows")
     discard(halves), discard(ranks)
     release(spark)
 
     least = materialize(_shared(windows.select("rank", "w0", "w1", "doc"), "rank", "w0", "w1"), "repeated-windows")
     late = windows.join(least.hint("merge"), ["rank", "w0", "w1"]).where("doc > least")
-    late = materialize(late.select("doc", "begin", (F.col("begin") + LENGTH).alias("end"), F.lit(0).alias("inside"), "check"), "late-windows")
+    begin = F.col("place").bitwiseAND(0x7FFFFFFF).cast("int")
+    late = materialize(late.select("doc", begin.alias("begin"), (begin + LENGTH).alias("end"), F.lit(-1).alias("inside"), F.shiftright("place", 32).alias("check")), "late-windows")
     discard(windows), discard(least)
     release(spark)
     return ranked.where("full").drop("full").unionByName(late)
@@ -275,7 +279,8 @@ def _removed(data: bytes, entries) -> np.ndarray:
         begin, end, inside, check = (entries.field(k).to_numpy().astype(np.int64) for k in range(4))
         whole = end <= n
         begin, end, inside, check = begin[whole], end[whole], inside[whole], check[whole]
-        own = Text(data).checks(begin, end, inside) == check  # not those of another row with this doc_id
+        found = Text(data).checks(begin, end, np.maximum(inside, 0))
+        own = np.where(inside < 0, found << 32 >> 32, found) == check  # not those of another row with this doc_id
         np.add.at(cover, begin[own], 1)
         np.add.at(cover, end[own], -1)
     return np.cumsum(cover)[:n] > 0
