@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,21 +14,47 @@ from otflow.streaming import flows as streaming
 SF = "/root/testdata/sf0.001"
 
 
-def test_door_keeps_corners():
-    door = timeline.Door()
-    for t, v in [(0, 0), (1, 0), (2, 0), (3, 9), (3, 5), (4, 9)]:
-        door.put(float(t), float(v))
-    assert door.finish() == [(0.0, 0.0), (2.0, 0.0), (3.0, 9.0), (4.0, 9.0)]
-    assert timeline.encode(door.stored) == "@0.000|0.00:0,2.00:0,3.00:9,4.00:9"
+def plain_corners(points, tolerance=1.0, limit=100):
+    """Corners by their definition: every point against every accepted one since the last corner."""
+    found, since = [], []
+    for i, (t, v) in enumerate(points):
+        if not found:
+            found, since = [(t, v)], []
+        elif t > found[-1][0]:
+            t0, v0 = found[-1]
+            fits = all(v0 + (y - tolerance - v0) / (x - t0) * (t - t0) - tolerance <= v <= v0 + (y + tolerance - v0) / (x - t0) * (t - t0) + tolerance for x, y in since)
+            if fits:
+                since.append((t, v))
+            else:
+                found, since = found + since[-1:] + [(t, v)], []
+        if len(found) > limit:
+            return plain_corners(found + points[i + 1 :], 2 * tolerance, limit)
+    return found + since[-1:], tolerance
+
+
+def test_corners():
+    points = [(0, 0), (1, 0), (2, 0), (3, 9), (3, 5), (4, 9)]
+    closed = timeline.Corners().after(np.array(points, float)).closed()
+    assert closed == [(0.0, 0.0), (2.0, 0.0), (3.0, 9.0), (4.0, 9.0)]
+    assert timeline.encode(closed) == "@0.000|0.00:0,2.00:0,3.00:9,4.00:9"
     assert timeline.decode("@0.000|0.00:0,2.00:x,3.00:9") == [(0.0, 0.0), (3.0, 9.0)]
     assert timeline.encode([]) is None and timeline.encode([(1.0, 2.5)]) == "@1.000|0:2.500"
 
 
-def test_door_doubles_its_tolerance():
-    door = timeline.Door(limit=10)
-    for t in range(200):
-        door.put(float(t), float(t % 2 * 5))
-    assert len(door.finish()) <= 11 and door.doublings >= 1 and door.tolerance == 2.0**door.doublings
+@pytest.mark.parametrize("limit", [4, 10, 100])
+@pytest.mark.parametrize("piece", [1, 7, 1024])
+def test_corners_equal_their_definition(monkeypatch, limit, piece):
+    """However a series is cut into batches and pieces, and with limits that are passed more than once."""
+    monkeypatch.setattr(timeline, "PIECE", piece)
+    rng = np.random.default_rng(limit)
+    for n in (0, 1, 2, 30, 300):
+        points = np.stack([np.cumsum(rng.integers(0, 3, n)) / 2, np.cumsum(rng.integers(-3, 4, n)) * 1.0], 1)
+        want, tolerance = plain_corners([tuple(p) for p in points.tolist()], limit=limit)
+        state = timeline.Corners(limit=limit)
+        for part in np.split(points, sorted(rng.integers(0, n + 1, 3))):
+            state = state.after(part)
+        assert (state.closed(), state.tolerance) == (want, tolerance)
+        assert len(state.closed()) <= limit + 1 and state.tolerance == 2.0**state.doublings
 
 
 def test_timelines_equal_model(spark):
@@ -35,8 +62,8 @@ def test_timelines_equal_model(spark):
     got = {r["series"]: r for r in timeline.timelines(obs).collect()}
     want = {}
     for r in obs.orderBy("ts_us", "pcap_file", "packet_index").collect():
-        want.setdefault(r["series"], timeline.Door()).put(r["ts_us"] / 1e6, float(r["value"]))
-    assert {k: timeline.encode(d.finish()) for k, d in want.items()} == {k: r["timeline"] for k, r in got.items()}
+        want.setdefault(r["series"], []).append((r["ts_us"] / 1e6, float(r["value"])))
+    assert {k: timeline.encode(plain_corners(p)[0]) for k, p in want.items()} == {k: r["timeline"] for k, r in got.items()}
 
 
 def test_merged_summaries(spark):

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,11 +41,8 @@ def test_graph_text_answers(text):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 10**6), st.integers(-1000, 1000)), max_size=300), st.integers(2, 50))
-def test_doors_are_bounded_and_ordered(points, limit):
-    door = timeline.Door(limit=limit)
-    for t, v in sorted(points):
-        door.put(float(t), float(v))
-    stored = door.finish()
+def test_corners_are_bounded_and_ordered(points, limit):
+    stored = timeline.Corners(limit=limit).after(np.array(sorted(points), float).reshape(-1, 2)).closed()
     assert len(stored) <= limit + 1
     assert all(a[0] <= b[0] for a, b in zip(stored, stored[1:]))
     assert set(stored) <= {(float(t), float(v)) for t, v in points}
