@@ -57,10 +57,11 @@ def captures(pages: DataFrame) -> DataFrame:
     """
     page = pages.select(F.col("page_id").alias("id"), "url", F.sha2("html", 256).alias("sha"), F.octet_length("html").cast("string").alias("size"))
     full = page.select(
-        (2 * F.col("id")).alias("record_id"),
+        (2 * F.col("id")).cast("string").alias("record_id"),
         F.col("url").alias("uri"),
         F.col("id").alias("ts"),
         F.lit("response").alias("kind"),
+        F.lit(200).alias("status"),
         F.create_map(
             F.lit("etag"), F.substring("sha", 1, 16), F.lit("last-modified"), F.concat(F.lit("day "), F.expr("id div 86400")),
             F.lit("content-length"), F.col("size"), F.lit("cache-control"), F.lit("no-cache"),
@@ -70,10 +71,11 @@ def captures(pages: DataFrame) -> DataFrame:
     etag = F.when(F.col("id") % 5 == 0, "changed").when((F.col("id") % 7 == 0) | (F.col("id") % 11 == 0), None).otherwise(F.concat(F.lit("W/"), F.substring("sha", 1, 16)))
     modified = F.when((F.col("id") % 7 == 0) & (F.col("id") % 11 != 0), F.concat(F.lit("day "), F.expr("id div 86400")))
     again = page.select(
-        (2 * F.col("id") + 1).alias("record_id"),
+        (2 * F.col("id") + 1).cast("string").alias("record_id"),
         F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("uri"),
         (F.col("id") + 43200).alias("ts"),
         F.lit("revisit").alias("kind"),
+        F.lit(304).alias("status"),
         F.map_filter(
             F.create_map(
                 F.lit("etag"), etag, F.lit("last-modified"), modified, F.lit("content-length"), F.lit("0"),
@@ -90,8 +92,8 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
     header = lambda name: F.col("headers")[name]
     return found.select(
-        F.expr("record_id div 2").alias("page_id"),
-        F.expr("response_id div 2").alias("response_page_id"),
+        F.expr("cast(record_id as long) div 2").alias("page_id"),
+        F.expr("cast(response_id as long) div 2").alias("response_page_id"),
         "canonical_url",
         "outcome",
         header("etag").alias("etag"),

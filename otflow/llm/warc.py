@@ -7,7 +7,7 @@ agree, the response's headers are updated by those that a 304 may carry.
 
 from __future__ import annotations
 
-import io
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +20,9 @@ from otflow.llm.common import materialize
 #: Headers that a 304 answer may update.
 UPDATABLE = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
-RECORD_SCHEMA = "record_id string, uri string, ts timestamp, kind string, status int, headers map<string,string>, body binary"
+RECORD_SCHEMA = "record_id string, uri string, ts timestamp, kind string, status int, headers map<string,string>, body binary, body_sha256 string"
+#: Bytes that are decompressed at a time, that a record's head may have, and that a batch of records holds before it is given on.
+CHUNK, HEAD, BATCH = 1 << 20, 1 << 16, 1 << 24
 
 
 def canonical_url(url: Column) -> Column:
@@ -35,9 +37,11 @@ def canonical_url(url: Column) -> Column:
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """Each revisit with the response that it repeats.
 
-    captures: record_id long, uri string, ts long, kind ('response' or
-    'revisit'; other kinds are left out), headers map (lower-case names),
-    body_sha256 string; further columns are left out.
+    captures: record_id string, uri string, ts (seconds or a timestamp), kind
+    ('response' or 'revisit'; other kinds are left out), status int, headers map
+    (lower-case names), body_sha256 string, as read_warc gives them; further
+    columns are left out. A response is a full one if its status is 200; those
+    of partial content, redirects and errors are none.
     Returns record_id, canonical_url, response_id, outcome, headers, body_sha256
     with outcome one of
     - resolved: ETags equal, or without an ETag in the revisit equal Last-Modified;
@@ -45,6 +49,7 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     - mismatch: validators differ; response_id stays, headers are the revisit's;
     - missing: no earlier response; also for a null uri or ts.
     Only responses of an earlier ts count; of equal ts the largest record_id.
+    Rows that repeat each other give rows each; an empty table gives none.
 
     Rows are ranged over (URL, ts), so a hot URL spreads over many partitions;
     each partition fills forward by itself, and only URLs that cross a
@@ -53,8 +58,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     spark = captures.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     is_response = F.col("kind") == "response"
-    rows = captures.where(F.col("kind").isin("response", "revisit")).select(
-        F.col("record_id").cast("long").alias("record_id"),
+    rows = captures.where((is_response & (F.col("status") == 200)) | (F.col("kind") == "revisit")).select(
+        F.col("record_id").cast("string").alias("record_id"),
         canonical_url(F.col("uri")).alias("url"),
         F.col("ts").cast("long").alias("ts"),
         is_response.alias("full"),
@@ -106,52 +111,122 @@ def _head(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return first, {k.strip().lower(): v.strip() for k, colon, v in fields if colon}, rest
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or of gzip members; a truncated last record is left out."""
-    if data[:2] == b"\x1f\x8b":
-        plain = io.BytesIO()
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            plain.write(member.decompress(data))
-            data = member.unused_data
-        data = plain.getvalue()
+def _plain(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """Pieces of a file's plain bytes, and whether what comes next can't belong to the same record.
+
+    A gzip member that is damaged ends at its last good piece; reading goes on
+    with the next member that can be told.
+    """
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), CHUNK):
+            yield data[at : at + CHUNK], False
+        return
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", at)) >= 0:
-        _, fields, _ = _head(data[at : end + 4])
-        size = int(fields.get("content-length", "0"))
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            return
-        at = end + 4 + size
-        status, headers, body = None, {}, block
-        if "application/http" in fields.get("content-type", ""):
-            line, headers, body = _head(block)
-            code = line.split(" ")[1:2]
-            status = int(code[0]) if code and code[0].isdigit() else None
-        yield {
-            "record_id": fields.get("warc-record-id"),
-            "uri": fields.get("warc-target-uri"),
-            "date": fields.get("warc-date"),
-            "kind": fields.get("warc-type"),
-            "status": status,
-            "headers": headers,
-            "body": body,
-        }
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under path, one row each, by RECORD_SCHEMA."""
+    while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+        member, rest, begin = zlib.decompressobj(31), data[at : at + CHUNK], at
+        at += len(rest)
+        try:
+            while not member.eof and rest:
+                yield member.decompress(rest, CHUNK), False
+                rest = member.unconsumed_tail
+                if not rest and not member.eof:
+                    rest = data[at : at + CHUNK]
+                    at += len(rest)
+            at -= len(member.unused_data)
+        except zlib.error:
+            at = begin + 3
+        yield b"", True
+
+
+def parse_warc(data: bytes) -> Iterator[dict]:
+    """Records of a WARC file, plain or of gzip members, one at a time.
+
+    What can't be read has the kind 'malformed' and nothing else: a record
+    without a usable Content-Length, one that is cut short, a damaged gzip
+    member. Reading goes on with the next record that can be told.
+    """
+    buffer, mark = bytearray(), b"WARC/"
+    for piece, ends in _plain(data):
+        buffer += piece
+        while True:
+            begin = buffer.find(mark)
+            if begin < 0:
+                del buffer[: max(0, len(buffer) - len(mark) + 1)]
+                break
+            begin += len(mark) - 5
+            end = buffer.find(b"\r\n\r\n", begin)
+            if end < 0 and len(buffer) - begin <= HEAD:
+                break
+            size = None
+            if 0 <= end - begin <= HEAD:
+                _, fields, _ = _head(bytes(buffer[begin : end + 4]))
+                size = fields.get("content-length", "0")
+                size = int(size) if size.isascii() and size.isdigit() else None
+            if size is None:
+                yield MALFORMED
+                del buffer[: begin + 5]
+                mark = b"\r\n\r\nWARC/"  # what is left of the record may name one
+                continue
+            if len(buffer) < end + 4 + size:
+                break
+            block = bytes(buffer[end + 4 : end + 4 + size])
+            del buffer[: end + 4 + size]
+            mark = b"WARC/"
+            yield _record(fields, block)
+        if ends:
+            if buffer.find(mark) >= 0:
+                yield MALFORMED
+            buffer.clear()
+            mark = b"WARC/"
+    if buffer.find(mark) >= 0:
+        yield MALFORMED
+
+
+MALFORMED = {"record_id": None, "uri": None, "date": None, "kind": "malformed", "status": None, "headers": {}, "body": None, "body_sha256": None}
+
+
+def _record(fields: dict[str, str], block: bytes) -> dict:
+    status, headers, body = None, {}, block
+    if "application/http" in fields.get("content-type", ""):
+        line, headers, body = _head(block)
+        code = line.split(" ")[1:2]
+        status = int(code[0]) if code and code[0].isascii() and code[0].isdigit() and len(code[0]) < 10 else None
+    return {
+        "record_id": fields.get("warc-record-id"),
+        "uri": fields.get("warc-target-uri"),
+        "date": fields.get("warc-date"),
+        "kind": fields.get("warc-type"),
+        "status": status,
+        "headers": headers,
+        "body": body,
+        "body_sha256": hashlib.sha256(body).hexdigest(),
+    }
+
+
+def read_warc(spark: SparkSession, path: str, malformed: bool = False) -> DataFrame:
+    """The records of all WARC files under path, one row each, by RECORD_SCHEMA.
+
+    With malformed there is also a row of that kind for each record that can't
+    be read. A task holds a file as it is stored (at most 2 GB) and one batch
+    of records. An unreadable date gives a null ts.
+    """
+    types = [("record_id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("kind", pa.string()), ("status", pa.int32())]
+    types += [("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary()), ("body_sha256", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                found = list(parse_warc(content.as_py()))
-                if found:
-                    yield pa.RecordBatch.from_pylist(
-                        [r | {"headers": list(r["headers"].items())} for r in found],
-                        pa.schema([("record_id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("kind", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())]),
-                    )
+                held, size = [], 0
+                for record in parse_warc(content.as_py()):
+                    if malformed or record["kind"] != MALFORMED["kind"]:
+                        held.append(record | {"headers": list(record["headers"].items())})
+                        size += len(record["body"] or b"") + 1000
+                    if size > BATCH:
+                        yield pa.RecordBatch.from_pylist(held, pa.schema(types))
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, pa.schema(types))
 
     raw = spark.read.format("binaryFile").load(path).select("content")
     schema = RECORD_SCHEMA.replace("ts timestamp", "date string")
-    return raw.mapInArrow(run, schema).select("record_id", "uri", F.try_to_timestamp("date").alias("ts"), "kind", "status", "headers", "body")
+    return raw.mapInArrow(run, schema).select("record_id", "uri", F.try_to_timestamp("date").alias("ts"), "kind", "status", "headers", "body", "body_sha256")

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ from otflow.llm.common import materialize, table
 from tests.llm.helpers import clashing, documents, frame
 
 SF = "/root/testdata/sf0.001"
-CAPTURE = "record_id long, uri string, ts long, kind string, headers map<string,string>, body_sha256 string"
+CAPTURE = "record_id string, uri string, ts long, kind string, status int, headers map<string,string>, body_sha256 string"
 
 
 @pytest.mark.parametrize("partitions", ["1", "4", "13"])
@@ -24,17 +25,18 @@ def test_revisits_equal_plain_lookup(spark, partitions):
         uri = f"HTTP://Host{'' if rng.random() < 0.4 else rng.integers(0, 5)}.test:80/a#f{k}"
         kind = ["response", "revisit", "metadata"][int(rng.integers(0, 5)) % 3]
         headers = {"etag": f"e{rng.integers(0, 3)}", "x": "1", "date": str(k)} if rng.random() < 0.7 else {"last-modified": f"m{rng.integers(0, 2)}"} if rng.random() < 0.5 else {}
-        rows.append((k, uri if rng.random() < 0.97 else None, int(rng.integers(0, 60)) if rng.random() < 0.97 else None, kind, headers, f"b{k}" if kind == "response" else None))
+        status = [200, 200, 206, 404, None][int(rng.integers(0, 5))] if kind == "response" else 304
+        rows.append((f"<urn:{k}>", uri if rng.random() < 0.97 else None, int(rng.integers(0, 60)) if rng.random() < 0.97 else None, kind, status, headers, f"b{k}" if kind == "response" else None))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     got = {r["record_id"]: r for r in warc.resolve_revisits(clashing(spark.createDataFrame(rows, CAPTURE))).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", before)
     canonical = lambda u: u and u.split("#")[0].lower().replace(":80/", "/")
-    for k, uri, ts, kind, headers, _ in rows:
+    for k, uri, ts, kind, _, headers, _ in rows:
         if kind != "revisit":
             assert k not in got
             continue
-        earlier = [(t, i, h, b) for i, u, t, what, h, b in rows if what == "response" and None not in (u, t, uri, ts) and canonical(u) == canonical(uri) and t < ts]
+        earlier = [(t, i, h, b) for i, u, t, what, code, h, b in rows if what == "response" and code == 200 and None not in (u, t, uri, ts) and canonical(u) == canonical(uri) and t < ts]
         hit = max(earlier, key=lambda r: r[:2], default=None)
         want = "missing"
         if hit:
@@ -63,6 +65,65 @@ def test_read_warc(spark, tmp_path):
     assert rows[0]["ts"].year == 2024
 
 
+def test_files_to_resolved_revisits(spark, tmp_path):
+    """From files to headers: a 404 and a 206 between a full response and its revisit don't stand in for it."""
+    at = lambda k: f"2024-01-01T00:00:{k:02d}Z"
+    one = record("response", "http://A.test:80/x", b"HTTP/1.1 200 OK\r\nETag: v1\r\nContent-Type: text/html\r\n\r\nbody", at(1))
+    gone = record("response", "http://a.test/x", b"HTTP/1.1 404 Not Found\r\n\r\nno", at(2))
+    part = record("response", "http://a.test/x", b"HTTP/1.1 206 Partial Content\r\nETag: v1\r\n\r\nbo", at(3))
+    again = record("revisit", "http://a.test/x#f", b"HTTP/1.1 304 Not Modified\r\nETag: W/v1\r\nExpires: never\r\n\r\n", at(4))
+    early = record("revisit", "http://a.test/x", b"HTTP/1.1 304 Not Modified\r\n\r\n", at(0))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, (one, gone, again))))
+    (tmp_path / "b.warc").write_bytes(part + early)
+    got = {r["outcome"]: r for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert set(got) == {"resolved", "missing"}
+    hit = got["resolved"]
+    assert (hit["record_id"], hit["response_id"], hit["canonical_url"]) == ("<http://a.test/x#f>", "<http://A.test:80/x>", "http://a.test/x")
+    assert hit["headers"] == {"etag": "W/v1", "content-type": "text/html", "expires": "never"}
+    assert hit["body_sha256"] == hashlib.sha256(b"body").hexdigest()
+
+
+GOOD = record("response", "http://a/", b"HTTP/1.1 200 OK\r\n\r\nbody")
+
+
+def with_length(text):
+    head, _, rest = GOOD.partition(b"\r\n\r\n")
+    return re.sub(rb"Content-Length: \d+", b"Content-Length: " + text, head) + b"\r\n\r\n" + rest
+
+
+@pytest.mark.parametrize(
+    "data, good, bad",
+    [
+        (with_length(b"many") + GOOD, 1, 1),
+        (with_length(b"-7") + GOOD, 1, 1),
+        (with_length("\u0663".encode()) + GOOD, 1, 1),
+        (GOOD + with_length(b"99999"), 1, 1),
+        (GOOD + b"WARC/1.0\r\n" + b"x" * 70_000 + b"\r\n\r\n" + GOOD, 2, 1),
+        (gzip.compress(GOOD) + gzip.compress(GOOD)[:-30] + gzip.compress(GOOD), 2, 1),
+        (gzip.compress(GOOD)[:20] + b"\xff" * 30 + gzip.compress(GOOD), 1, 0),
+        (gzip.compress(GOOD) + gzip.compress(GOOD)[:40], 1, None),
+        (gzip.compress(GOOD + GOOD + GOOD[:80]), 2, 1),
+        (gzip.compress(GOOD * 3), 3, 0),
+        (b"", 0, 0),
+        (b"no record", 0, 0),
+        (b"\x1f\x8b", 0, 0),
+    ],
+)
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_malformed_records(monkeypatch, data, good, bad, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    found = list(warc.parse_warc(data))
+    kept = [r for r in found if r["kind"] != "malformed"]
+    assert len(kept) == good and all(r["body"] == b"body" for r in kept)
+    assert len(found) - len(kept) >= (bad or 0)
+
+
+def test_malformed_rows_are_counted(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(with_length(b"-7") + GOOD)
+    assert [r["kind"] for r in warc.read_warc(spark, str(tmp_path)).collect()] == ["response"]
+    assert sorted(r["kind"] for r in warc.read_warc(spark, str(tmp_path), malformed=True).collect()) == ["malformed", "response"]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     slots = training_order.feistel(np.arange(n), n, key=9)
