@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from otflow.llm import bpe, decontaminate, license_scan, toxicity, url_filter
 from otflow.llm.common import WordHash, folded_words, table
@@ -254,10 +255,75 @@ def test_url_rules_and_parts(spark):
         assert rows[k]["verdict"] == (rule[1] if rule else "allow") or not rule
 
 
-def test_url_model_tells_classes_apart(spark):
+def plain_difference(text, counts):
+    """The models' difference with counts in plain dictionaries."""
+    total = 0.0
+    data = [0] * url_filter.ORDER + list(text) + [1]
+    for at in range(url_filter.ORDER, len(data)):
+        logs = []
+        for kind in (0, 1):
+            p = 1 / 256
+            for k in range(url_filter.ORDER + 1):
+                context = tuple(data[at - k : at])
+                p = (counts.get((kind, context, data[at]), 0) + url_filter.BACKOFF * p) / (counts.get((kind, context), 0) + url_filter.BACKOFF)
+            logs.append(np.log(p))
+        total += logs[1] - logs[0]
+    return total / (len(text) + 1) if text else 0.0
+
+
+def test_url_scores_equal_plain_model(spark, monkeypatch):
+    """Scores against counts in dictionaries, in batches of any size."""
+    monkeypatch.setattr(url_filter, "BATCH_ROWS", 7)
+    monkeypatch.setattr(url_filter, "BATCH_BYTES", 200)
+    rng = random.Random(6)
+    urls = [f"http://{words(k, 1)}.example.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['de', 'fr', 'en', 'es'])}/{words(rng.randrange(9), 1)}" for k in range(60)]
+    urls += [None, "", "nothing", "http://x.org/" + "y" * 3000, urls[0], urls[0]]
+    pages = spark.createDataFrame([(k, u, "clash", "clash") for k, u in enumerate(urls)], "page_id long, url string, batch string, score string")
+    counts = {}
+    parts = {r["page_id"]: (r["host"] + r["path"]).encode() for r in pages.select("page_id", *(c.alias(n) for c, n in zip(url_filter.host_path(F.col("url")), ("host", "path")))).collect()}
+    held = {r["text"].encode() for r in url_filter._examples(pages, None).where("held").collect()}
+    for k, u in enumerate(urls):
+        rule, text = plain_rule(u)[2], parts[k]
+        if rule and text not in held:
+            data = [0] * url_filter.ORDER + list(text) + [1]
+            for at in range(url_filter.ORDER, len(data)):
+                for n in range(url_filter.ORDER + 1):
+                    for key in ((int(rule[1] == "block"), tuple(data[at - n : at])), (int(rule[1] == "block"), tuple(data[at - n : at]), data[at])):
+                        counts[key] = counts.get(key, 0) + 1
+    model = url_filter.fit(pages)
+    rows = url_filter.judge(pages, model).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        assert r["score"] == pytest.approx(plain_difference(parts[r["page_id"]], counts), abs=1e-9)
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if parts[r["page_id"]] and r["score"] > model.threshold else "allow")
+
+
+def test_url_model_carries_verdicts_over(spark):
+    """Held-out URLs of the rules are told apart, whichever fifth is held out, and so are labels of any other kind."""
     pages = table(spark, SF.replace("0.001", "0.1"), "pages")
-    rows = [r for r in url_filter.judge(pages, url_filter.fit(pages)).collect() if r["rule"] is None]
-    bad = lambda r: any(t in r["host"] for t in url_filter.REJECTED_TERMS)
-    assert np.mean([(r["verdict"] == "block") == bad(r) for r in rows]) > 0.98 and any(map(bad, rows))
+    host, path = url_filter.host_path(F.col("url"))
+    for rejected in (url_filter.by_rules(host, path), F.contains(path, F.lit("html"))):
+        unseen = F.pmod(F.xxhash64("page_id"), F.lit(4)) == 0
+        model = url_filter.fit(pages, F.when(~unseen, rejected))
+        truth = {r["page_id"]: r["rejected"] for r in pages.where(unseen).select("page_id", rejected.alias("rejected")).collect()}
+        scored = url_filter.scores(pages.select("page_id", F.concat(host, path).alias("text")), model.counts, "page_id").collect()
+        right = [(r["score"] > model.threshold) == truth[r["page_id"]] for r in scored if truth.get(r["page_id"]) is not None]
+        assert len(right) > 100 and np.mean(right) > 0.95
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge(empty, url_filter.fit(empty)).count() == 0
+
+
+def test_url_counts_grow_with_the_input(spark):
+    sizes = [url_filter.fit(table(spark, SF.replace("0.001", s), "pages")).counts.count() for s in ("0.001", "0.01", "0.1")]
+    assert sizes[0] < sizes[1] < sizes[2]
+
+
+def test_url_rules_that_tie(spark):
+    """Of equally long rules a block wins, and the longest comes first."""
+    rules = (("allow", "a.com", "/x"), ("block", "com", "/x/y"), ("block", "a.com", "/xy"), ("allow", "a.com", "/xy"))
+    pages = spark.createDataFrame([("http://a.com/x/y",), ("http://a.com/xyz",), ("http://b.com/x/y",)], "url string")
+    host, path = url_filter.host_path(F.col("url"))
+    name, verdict = url_filter.rule_for(host, path, rules)
+    assert [r[0] for r in pages.select(verdict).collect()] == ["block", "block", "block"]
+    assert [r[0] for r in pages.select(name).collect()] == ["com/x/y", "a.com/xy", "com/x/y"]
