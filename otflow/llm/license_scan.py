@@ -7,6 +7,11 @@ shingles, one beginning at each block. Any run as long as the template lies in
 one such window, and a window that holds 80 % of the template then has a
 Jaccard similarity of at least 0.33. With 32 bands of one row such a window is
 missed with a probability under 3e-6.
+
+A band's value of a window is looked up among the templates' values of that
+band, so the cost of a text doesn't depend on the number of templates. Texts
+without any shingle of a template have no window that a band could retrieve,
+and are left out before.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ CONTAINMENT = 0.8
 BANDS = 32
 WINDOW_BLOCKS = 5
 NOTHING = np.uint32(0xFFFFFFFF)
+#: Leading bits of a shingle that are tried before the shingle itself.
+MEMBER_BITS = 20
 
 
 def shingles(tokens: np.ndarray) -> np.ndarray:
@@ -74,14 +81,39 @@ class Templates:
         return dict(sorted(out.items()))
 
     @cached_property
-    def bands(self) -> np.ndarray:
-        """The least value of each template (row) in each band (column)."""
-        return np.array([[band_values(found, b).min() for b in range(BANDS)] for _, found in self.sets], np.uint32)
+    def lookup(self) -> dict[tuple[int, int, int], tuple[np.ndarray, dict[int, list[int]]]]:
+        """For each band, block and window length the templates' least values, sorted, and the templates that have each."""
+        out = {}
+        for (block, window), members in self.by_geometry.items():
+            for band in range(BANDS):
+                of: dict[int, list[int]] = {}
+                for t in members:
+                    of.setdefault(int(band_values(self.sets[t][1], band).min()), []).append(t)
+                out[band, block, window] = (np.array(sorted(of), np.uint32), of)
+        return out
+
+    @cached_property
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        """All templates' shingles, sorted, and which leading bits they have."""
+        found = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for _, x in self.sets)]))
+        bits = np.zeros(1 << MEMBER_BITS, bool)
+        bits[found >> np.uint64(64 - MEMBER_BITS)] = True
+        return found, bits
+
+    def members(self, hashes: np.ndarray) -> bool:
+        """Whether any of the shingles is one of a template."""
+        found, bits = self.known
+        maybe = hashes[bits[hashes >> np.uint64(64 - MEMBER_BITS)]]
+        return bool(len(maybe)) and bool((found[np.minimum(np.searchsorted(found, maybe), len(found) - 1)] == maybe).any())
 
 
 def scan_texts(texts: list[bytes], templates: Templates, words: WordHash) -> list[tuple[int, int, int, int]]:
     """(text, template, shingles matched, first shingle of the window) of the best window of each match."""
     runs = [shingles(words.of(folded_words(t))) for t in texts]
+    kept = [k for k, run in enumerate(runs) if templates.members(run)]
+    if not kept:
+        return []
+    runs = [runs[k] for k in kept]
     grid = max((g[0] for g in templates.by_geometry), default=1)
     # Each text begins on the coarsest block's edge, so windows don't depend on what stands before it.
     room = np.array([-(-len(r) // grid) * grid for r in runs], np.int64)
@@ -92,21 +124,21 @@ def scan_texts(texts: list[bytes], templates: Templates, words: WordHash) -> lis
     for at, run in zip(first.tolist(), runs):
         hashes[at : at + len(run)] = run
         filled[at : at + len(run)] = True
-    if not filled.any():
-        return []
     found: set[tuple[int, int]] = set()
     for band in range(BANDS):
         level = np.where(filled, band_values(hashes, band), NOTHING)
         size = 1
-        for (block, window), members in templates.by_geometry.items():
+        for block, window in templates.by_geometry:
             while size < block:
                 level, size = level.reshape(-1, 2).min(1), size * 2
             reach = window // block
             least = level[: len(level) - reach + 1]
             for k in range(1, reach):
                 least = np.minimum(least, level[k : k + len(least)])
-            for t in members:
-                found.update((t, at * block) for at in np.flatnonzero(least == templates.bands[t, band]).tolist())
+            values, of = templates.lookup[band, block, window]
+            hits = np.flatnonzero(values[np.minimum(np.searchsorted(values, least), len(values) - 1)] == least)
+            for at, value in zip(hits.tolist(), least[hits].tolist()):
+                found.update((t, at * block) for t in of[value])
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for t, at in sorted(found):
         k = int(np.searchsorted(first, at, "right")) - 1
@@ -116,7 +148,7 @@ def scan_texts(texts: list[bytes], templates: Templates, words: WordHash) -> lis
         matched = len(np.intersect1d(runs[k][begin : begin + window], template))
         if matched >= CONTAINMENT * len(template) and matched > best.get((k, t), (0, 0))[0]:
             best[k, t] = (matched, begin)
-    return [(k, t, matched, begin) for (k, t), (matched, begin) in sorted(best.items())]
+    return [(kept[k], t, matched, begin) for (k, t), (matched, begin) in sorted(best.items())]
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

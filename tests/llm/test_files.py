@@ -239,3 +239,14 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in got} == want
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in got)
+
+
+def test_shared_folder_is_required_on_clusters():
+    from types import SimpleNamespace
+
+    from otflow.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))

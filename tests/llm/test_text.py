@@ -206,6 +206,27 @@ def test_leaks_of_empty_tables(spark):
     assert decontaminate.drop_leaking(frame(spark), no_items).count() == len(documents())
 
 
+def plain_shingles(text):
+    w = plain_words(text)
+    return [" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))]
+
+
+def brute_licenses(docs, templates):
+    """Every template against every window of its grid, as sets of word runs."""
+    want = []
+    for d, t in docs:
+        run = plain_shingles(t)
+        for name, text in templates.items():
+            template = set(plain_shingles(text))
+            m = len(template)
+            block = 1 if m <= 4 else 2 ** (int(np.log2(m - 1)) - 1)
+            hits = [(len(set(run[a : a + (m if m <= 4 else 5 * block)]) & template), -a) for a in range(0, len(run), block)]
+            best = max(hits, default=(0, 0))
+            if template and best[0] >= 0.8 * m:
+                want.append((d, name, best[0], m, best[0] / m, -best[1]))
+    return sorted(map(str, want))
+
+
 def test_license_scan_equals_brute_force(spark):
     texts = list(TEMPLATES.values())
     rng = random.Random(2)
@@ -217,19 +238,27 @@ def test_license_scan_equals_brute_force(spark):
         docs.append((k, words(k, 30 + k) + "\n" + " ".join(found).upper() + "\n" + words(k + 1, 20)))
     docs += [(90, None), (91, ""), (92, "MIT"), (93, " ".join(texts)), (94, texts[0] * 50), (None, texts[0]), (90, texts[0])]
     got = license_scan.scan(clashing(frame(spark, [(d, t, "", "", 0) for d, t in docs]))).collect()
-    hashes, known, want = WordHash(), license_scan.Templates(TEMPLATES), []
-    for d, t in docs:
-        run = license_scan.shingles(hashes.of(folded_words((t or "").encode())))
-        for name, template in known.sets:
-            block, window = license_scan.geometry(len(template))
-            hits = [(len(np.intersect1d(run[a : a + window], template)), -a) for a in range(0, len(run), block)]
-            best = max(hits, default=(0, 0))
-            if best[0] >= 0.8 * len(template):
-                want.append((d, name, best[0], len(template), best[0] / len(template), -best[1]))
-    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want)) and len(want) > 40
+    want = brute_licenses(docs, TEMPLATES)
+    assert sorted(str(tuple(r)) for r in got) == want and len(want) > 40
     assert license_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_license_scan_with_other_templates(spark):
+    """Many templates that no table holds, of all lengths, some within others, whole and with words changed."""
+    rng = random.Random(9)
+    templates = {f"t{k}": words(3000 + k, rng.choice((1, 3, 5, 6, 8, 9, 12, 20, 40, 90, 200))) for k in range(200)}
+    templates |= {"within": templates["t7"] + " " + words(1, 12), "empty": ""}
+    docs = []
+    for k in range(80):
+        name = f"t{rng.randrange(200)}"
+        found = templates[name].split()
+        for _ in range(len(found) // 50):
+            found[rng.randrange(len(found))] = "changed"
+        docs.append((k, words(k, rng.randrange(200)) + " " + " ".join(found) + ". " + words(k + 1, 50)))
+    got = license_scan.scan(frame(spark, [(d, t, "", "", 0) for d, t in docs]), templates).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_licenses(docs, templates) and len(got) >= 60
+
+
 def plain_rule(url):
     host = path = ""
     if url and "://" in url:
