@@ -44,6 +44,12 @@ def candidates(flows: DataFrame, anchors: DataFrame) -> DataFrame:
 
     Tiers: 0 exact, 1 exact reversed, 2 service, 3 service reversed.
     """
+    wanted, keys = flow_keys(flows), anchor_keys(anchors)
+    return wanted.join(keys, _same(wanted, keys)).groupBy("canonical_id", "anchor_seq").agg(F.min("tier").alias("tier"))
+
+
+def flow_keys(flows: DataFrame, *more: Column) -> DataFrame:
+    """One row per tier under which a flow looks for anchors: canonical_id, more columns, tier and the key's columns."""
     none = F.lit(None).cast("int")
     look = lambda tier, kind, a, ap, b, bp: F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), F.col(a).alias("a"), ap.alias("ap"), F.col(b).alias("b"), F.col(bp).alias("bp"), F.lower("protocol").alias("proto"))
     looks = F.array(
@@ -52,10 +58,24 @@ def candidates(flows: DataFrame, anchors: DataFrame) -> DataFrame:
         look(2, "service", "src_ip", none, "dst_ip", "dst_port"),
         look(3, "service", "dst_ip", none, "src_ip", "src_port"),
     )
-    wanted = flows.select("canonical_id", F.explode(looks).alias("k")).select("canonical_id", "k.*")
-    keys = anchor_keys(anchors)
-    same = [wanted[c] == keys[c] for c in ("kind", "a", "b", "bp", "proto")] + [wanted["ap"].eqNullSafe(keys["ap"])]
-    return wanted.join(keys, same).groupBy("canonical_id", "anchor_seq").agg(F.min("tier").alias("tier"))
+    return flows.select("canonical_id", *more, F.explode(looks).alias("k")).select("*", "k.*").drop("k")
+
+
+def _same(wanted: DataFrame, keys: DataFrame) -> list[Column]:
+    return [wanted[c] == keys[c] for c in ("kind", "a", "b", "bp", "proto")] + [wanted["ap"].eqNullSafe(keys["ap"])]
+
+
+KEY = ("kind", "a", "ap", "b", "bp", "proto")
+
+
+def met_sessions(flows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The first anchor, with place and time of the session, for each key of a flow and port of its ends: at most eight rows for a flow."""
+    # Of the anchors with one key and session port only the first can win, so a flow meets one row for each of its keys and ports.
+    ports = anchors.select("anchor_seq", F.posexplode("sessions").alias("place", "s")).select("anchor_seq", "place", F.col("s.port").alias("port"), F.col("s.ts_us").alias("ts_us"))
+    keys = anchor_keys(anchors).join(ports, "anchor_seq").groupBy(*KEY, "port").agg(F.min(F.struct("anchor_seq", "place", "ts_us")).alias("first"))
+    wanted = flow_keys(flows, F.col("first_us"), F.array("src_port", "dst_port").alias("ports"))
+    wanted = wanted.withColumns({"side": F.explode(F.array(F.lit(0), F.lit(1)))}).withColumn("port", F.get("ports", F.col("side"))).drop("ports")
+    return wanted.join(keys, [*_same(wanted, keys), wanted["port"] == keys["port"]])
 
 
 def session_matches(flows: DataFrame, anchors: DataFrame, tolerance_s: float = C.TOLERANCE_S, offset_s: float = 0.0) -> DataFrame:
@@ -66,20 +86,17 @@ def session_matches(flows: DataFrame, anchors: DataFrame, tolerance_s: float = C
     looked up first. Confidence is 1.0 within the tolerance of the session's
     time, else 0.9.
     """
-    sessions = anchors.where(has_sessions()).select("anchor_seq", "sessions")
-    found = candidates(flows, anchors).join(sessions, "anchor_seq").join(flows.select("canonical_id", "src_port", "dst_port", "first_us"), "canonical_id")
-    at = lambda port: F.array_position(F.transform("sessions", lambda s: s["port"]), F.col(port))
-    place = F.coalesce(F.nullif(at("src_port"), F.lit(0)), F.nullif(at("dst_port"), F.lit(0)))
-    hit = found.withColumn("place", place).where("place is not null")
-    order = Window.partitionBy("canonical_id").orderBy("tier", "anchor_seq")
-    first = hit.withColumn("r", F.row_number().over(order)).where("r = 1")
-    near = F.abs(F.col("first_us") + int(offset_s * 1e6) - F.element_at("sessions", F.col("place").cast("int"))["ts_us"]) <= int(tolerance_s * 1e6)
-    return first.select("canonical_id", "anchor_seq", "tier", F.when(near, 1.0).otherwise(0.9).alias("confidence"), F.when(near, "session_port_exact").otherwise("session_port_match").alias("method"))
+    met = met_sessions(flows, anchors)
+    best = met.groupBy("canonical_id").agg(F.min(F.struct("tier", "first.anchor_seq", "side", "first.ts_us", "first_us")).alias("best")).select("canonical_id", "best.*")
+    near = F.abs(F.col("first_us") + int(offset_s * 1e6) - F.col("ts_us")) <= int(tolerance_s * 1e6)
+    return best.select("canonical_id", "anchor_seq", "tier", F.when(near, 1.0).otherwise(0.9).alias("confidence"), F.when(near, "session_port_exact").otherwise("session_port_match").alias("method"))
 
 
 def correlation_stats(flows: DataFrame, anchors: DataFrame) -> DataFrame:
     """One row: attempts, correlated, without candidates."""
-    tried = flows.select("canonical_id").join(candidates(flows, anchors).select("canonical_id").distinct().withColumn("c", F.lit(1)), "canonical_id", "left")
+    wanted, keys = flow_keys(flows), anchor_keys(anchors).select(*KEY).distinct()
+    known = wanted.join(keys, _same(wanted, keys), "left_semi").select("canonical_id").distinct().withColumn("c", F.lit(1))
+    tried = flows.select("canonical_id").join(known, "canonical_id", "left")
     tried = tried.join(session_matches(flows, anchors).select("canonical_id", "confidence"), "canonical_id", "left")
     return tried.agg(F.count(F.lit(1)).alias("attempts"), F.count("confidence").alias("correlated"), F.count_if(F.col("c").isNull()).alias("no_candidates"), F.count_if(F.col("confidence") == 1.0).alias("exact"))
 
@@ -123,13 +140,18 @@ def process_lookup(connections: DataFrame, anchors: DataFrame, require_port: boo
         )
     )
     wanted = connections.select("conn_id", F.col("src_port").alias("own_port"), F.explode(looks).alias("k")).select("conn_id", "own_port", "k.*")
-    met = wanted.join(both, ["by_host", "a", "b", "bp", "proto"])
+    # A connection meets one row for its key, and one for its key and port: the first anchors of those.
+    key = ("by_host", "a", "b", "bp", "proto")
+    any_port = both.groupBy(*key).agg(F.min("anchor_seq").alias("anchor_seq"))
+    ports = F.array_union(F.array("src_port"), F.transform("sessions", lambda x: x["port"]))
+    same_port = both.select(*key, "anchor_seq", F.explode(ports).alias("own_port")).where("own_port > 0").groupBy(*key, "own_port").agg(F.min("anchor_seq").alias("anchor_seq"))
     forward = F.col("stage").isin(0, 2)
-    exact = forward & (F.col("own_port") > 0) & ((F.col("src_port") == F.col("own_port")) | F.array_contains(F.transform("sessions", lambda x: x["port"]), F.col("own_port")))
+    exact = wanted.where(forward).join(same_port, [*key, "own_port"]).withColumn("later", F.lit(0))
+    other = wanted.join(any_port, list(key)).withColumn("later", F.lit(1))
     if require_port:
-        met = met.where(~forward | (F.col("own_port") <= 0) | exact)
-    order = Window.partitionBy("conn_id").orderBy("stage", (~exact).cast("int"), "anchor_seq")
-    best = met.withColumn("r", F.row_number().over(order)).where("r = 1").select("conn_id", "stage", "anchor_seq")
+        other = other.where(~forward | (F.col("own_port") <= 0))
+    met = exact.select("conn_id", "stage", "later", "anchor_seq").unionByName(other.select("conn_id", "stage", "later", "anchor_seq"))
+    best = met.groupBy("conn_id").agg(F.min(F.struct("stage", "later", "anchor_seq")).alias("best")).select("conn_id", "best.stage", "best.anchor_seq")
     return best.join(good.select("anchor_seq", "process"), "anchor_seq").select("conn_id", "stage", "anchor_seq", F.col("process.guid").alias("process_guid"), F.col("process.image").alias("process_image"))
 
 

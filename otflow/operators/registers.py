@@ -114,11 +114,13 @@ def run_lengths(obs: DataFrame, keep: int = C.RLE_RUNS) -> DataFrame:
 def acknowledged(obs: DataFrame) -> DataFrame:
     """Writes that were requested, with whether and when a later response of client, server and transaction came.
 
-    What counts is the next response after the write, found by looking ahead
-    over the same packets instead of updating stored rows.
+    What counts is the next response after the write: going backwards it is the
+    last one seen, so the frame only grows. Writes without a transaction id are
+    never acknowledged, and share no group.
     """
-    order = Window.partitionBy("client_ip", "server_ip", "modbus_transaction_id").orderBy(X.order_key())
-    answer = F.first(F.when(~F.col("is_request"), F.col("ts_us")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    alone = F.when(F.col("modbus_transaction_id").isNull(), F.struct("pcap_file", "packet_index"))
+    order = Window.partitionBy("client_ip", "server_ip", "modbus_transaction_id", alone).orderBy(X.order_key().desc())
+    answer = F.last(F.when(~F.col("is_request"), F.col("ts_us")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return obs.withColumn("response_us", answer).where("is_request and access = 'write'").select("series", "modbus_transaction_id", "ts_us", "packet_index", "value", "response_us", F.col("response_us").isNotNull().alias("acknowledged"))
 
 

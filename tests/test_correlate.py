@@ -80,3 +80,24 @@ def test_verifier_finds_what_sessions_miss(spark):
 def test_coverage_of_no_anchors(spark):
     (r,) = correlate.session_coverage(anchors(spark, (1, A, 0, B, 502, [], True)).where("false")).collect()
     assert (r["anchors"], r["with_sessions"], r["coverage"]) == (0, 0, None)
+
+
+def test_one_hot_service_costs_rows_in_proportion(spark):
+    """Thousands of flows and anchors between one client and one service: each flow meets a few rows, and the right ones."""
+    n = 3000
+    flows = spark.createDataFrame([(f"f{k}", A, 30000 + k % 2000, B, 502, "tcp", k * 1_000_000, k * 1_000_000 + 1) for k in range(n)], FLOW)
+    many = [(k, A, 0, B, 502, "TCP", [(30000 + (7 * k) % 2500, k * 1_000_000), (30000 + k % 40, 0)], ("g", "i", 1, None, None)) for k in range(n)]
+    found = spark.createDataFrame(many, ANCHOR)
+    assert correlate.met_sessions(flows, found).count() <= 8 * n
+    first = {}
+    for k, *_, sessions, _ in many:
+        for port, ts in sessions:
+            first.setdefault(port, (k, ts))
+    got = {r["canonical_id"]: (r["anchor_seq"], r["confidence"]) for r in correlate.session_matches(flows, found).collect()}
+    want = {}
+    for k in range(n):
+        if hit := first.get(30000 + k % 2000):
+            want[f"f{k}"] = (hit[0], 1.0 if abs(k * 1_000_000 - hit[1]) <= 60_000_000 else 0.9)
+    assert got == want
+    named = correlate.process_lookup(flows.withColumnRenamed("canonical_id", "conn_id"), found).collect()
+    assert {r["conn_id"]: r["anchor_seq"] for r in named} == {f"f{k}": first.get(30000 + k % 2000, (0,))[0] for k in range(n)}
