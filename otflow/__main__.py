@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from otflow import constants as C
 from otflow.functions import columns as X
-from otflow.operators import correlate, flows, graph, grouping, policy, registers
+from otflow.operators import augment, correlate, flows, graph, grouping, policy, registers
 from otflow.sources import assets, graph_text
 from otflow.sources.pcap import PcapSource
 from otflow.streaming import flows as streaming
@@ -51,50 +51,44 @@ def packets_of(spark: SparkSession, o: argparse.Namespace):
     return spark.read.parquet(o.cache)
 
 
+def known_hosts(spark: SparkSession, inventory):
+    """hostname, ip, is_managed: the inventory, or without one the addresses with fixed names, none of them managed."""
+    if inventory is not None:
+        return inventory
+    return spark.createDataFrame([(name, ip, False) for ip, name in C.HOST_NAMES.items()], "hostname string, ip string, is_managed boolean")
+
+
 def main(argv: list[str] | None = None) -> int:
     o = arguments().parse_args(argv)
     spark = SparkSession.builder.appName("otflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    packets = flows.without_ignored(packets_of(spark, o))
+    packets = flows.without_ignored(packets_of(spark, o)).persist()
     if o.streaming:
         stream = spark.readStream.format("pcap").option("path", o.pcap_dir).load()
         streaming.run_stats(stream, f"{o.output_cypher}/flow_stats", f"{o.output_cypher}/_checkpoint")
     nodes, edges = graph_text.read_graph(spark, o.base_cypher)
     anchors = graph_text.telemetry(nodes, edges)
     assembled = flows.assemble(packets)
+    inventory = None
     if o.assets:
-        inventory = assets.read_assets(spark, o.assets)
-        assembled = policy.in_scope(assembled, inventory.select(F.explode("ip_addresses").alias("ip")))
+        inventory = assets.read_assets(spark, o.assets).select("hostname", F.explode("ip_addresses").alias("ip"), "is_managed")
+        assembled = policy.in_scope(assembled, inventory.select("ip"))
     matches = correlate.session_matches(assembled, anchors, o.temporal_tolerance, o.pcap_time_offset * 3600).where(F.col("confidence") >= o.min_correlation_confidence)
     if o.verify:
         found = correlate.verify(assembled, anchors).groupBy("verdict", "reason").count().collect()
         for r in found:
             print(r["verdict"], r["reason"], r["count"])
         return int(any(r["verdict"] == "false_positive" or r["reason"] == "session_port" for r in found))
-    groups, _ = grouping.run_stages(assembled.join(matches, "canonical_id", "left_anti"), min_ports=o.min_aggregation_threshold)
     if o.summary_only:
+        groups, _ = grouping.run_stages(assembled.join(matches, "canonical_id", "left_anti"), min_ports=o.min_aggregation_threshold)
         graph.summary(assembled, groups).show(truncate=False, vertical=True)
         return 0
-    services = graph.service_nodes(groups)
-    endpoints = graph.endpoint_nodes(assembled)
-    host = X.host_name(F.col("server_ip"))
-    links = groups.select(
-        graph.endpoint_guid(X.host_name(F.col("client_ip"))).alias("src"), graph.service_guid(host, F.col("server_port")).alias("dst"), F.lit("CONNECT_TO").alias("rel"),
-        "packets", "bytes", "flows", "first_us", "last_us", F.lit(False).alias("correlated"), "stage", "protocol", F.array("port_min", "port_max").alias("ports"), F.monotonically_increasing_id().alias("seq"),
-    )
-    obs = registers.observations(packets)
     if o.observations:
-        obs.write.mode("overwrite").partitionBy("access").parquet(o.observations)
-    statements = graph.node_statements(endpoints, "NetworkEndpoint", 1, {"host": "hostname", "addresses": "ipAddresses"})
-    statements = statements.unionByName(graph.node_statements(services, "NetworkService", 2, {"host": "host", "port": "port", "protocol": "protocol", "service_name": "serviceName", "ip": "ipAddress"}))
-    statements = statements.unionByName(graph.edge_statements(graph.merge_staged(links), 4, {"packets": "packetCount", "bytes": "totalBytes", "flows": "canonicalCount", "unique_ports": "uniqueSourcePorts", "source_port": "SourcePort", "protocol": "Protocol", "stage": "highLevelProtocol"}))
-    statements = statements.unionByName(graph.node_statements(graph.signal_nodes(obs), "ICSSignal", 3, {"signal_key": "signalKey", "samples": "valueSamples"}))
-    if not o.disable_process_attribution:
-        named = matches.join(anchors.where(correlate.valid_process()).select("anchor_seq", F.col("process.guid").alias("guid"), F.col("process.image").alias("image")), "anchor_seq")
-        per = named.join(assembled.select("canonical_id", "dst_ip", "dst_port", "packets", "bytes"), "canonical_id").groupBy("guid", "image", "dst_ip", "dst_port").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.max("confidence").alias("confidence"))
-        linked = per.select(F.col("guid").alias("src"), graph.service_guid(X.host_name(F.col("dst_ip")), F.col("dst_port")).alias("dst"), F.lit("CONNECT_TO").alias("rel"), "packets", "bytes", "confidence", "image")
-        statements = statements.unionByName(graph.edge_statements(linked, 5, {"packets": "packetCount", "bytes": "totalBytes", "confidence": "correlationConfidence", "image": "correlatedProcessImage"}))
+        registers.observations(packets).write.mode("overwrite").partitionBy("access").parquet(o.observations)
+    with X.naming(augment.names_of(nodes, inventory)):
+        hosts = known_hosts(spark, inventory)
+        found = augment.statements(packets, assembled, anchors, hosts, matches, o.min_aggregation_threshold, not o.disable_process_attribution)
     base = spark.read.text(o.base_cypher, wholetext=True).select(F.lit(0).alias("section"), F.lit("").alias("key"), F.col("value").alias("text"))
-    graph.write_text(base.unionByName(statements), f"{o.output_cypher}/statements")
+    graph.write_text(base.unionByName(found), f"{o.output_cypher}/statements")
     return 0
 
 

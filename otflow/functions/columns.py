@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,8 +85,23 @@ def service_name(port: Column) -> Column:
     return F.when(port <= 0, "Ephemeral Service").otherwise(F.coalesce(map_of(C.SERVICE_NAMES, port), F.concat(F.lit("Port "), port.cast("string"))))
 
 
+#: Host names by address that expressions are built with; bounded by an inventory's size.
+_names: ContextVar[dict[str, str]] = ContextVar("names", default=C.HOST_NAMES)
+
+
+@contextlib.contextmanager
+def naming(names: dict[str, str]) -> Iterator[None]:
+    """Within it host_name uses these names."""
+    token = _names.set(names)
+    try:
+        yield
+    finally:
+        _names.reset(token)
+
+
 def host_name(ip: Column) -> Column:
-    return F.coalesce(map_of(C.HOST_NAMES, ip), ip)
+    """The name of an address, or the address itself."""
+    return F.coalesce(map_of(_names.get(), ip), ip)
 
 
 def register_type(function: Column) -> Column:

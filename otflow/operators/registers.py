@@ -146,7 +146,7 @@ def opcua_signals(packets: DataFrame) -> DataFrame:
     agree = F.col("asked.opcua_operation") == F.col("opcua_operation")
     nodes = F.when(F.col("to_server"), F.col("opcua_node_ids")).when(agree, F.col("asked.opcua_node_ids"))
     rows = p.where("opcua_values is not null").withColumn("pair", F.explode(F.arrays_zip(nodes.alias("node"), F.col("opcua_values").alias("value"))))
-    rows = rows.where("pair.node is not null and pair.value is not null").select(F.col("pair.node").alias("node"), F.col("opcua_operation").alias("access"), F.col("pair.value").alias("value"), "ts_us", "pcap_file", "packet_index")
+    rows = rows.where("pair.node is not null and pair.value is not null").select(F.col("pair.node").alias("node"), F.col("opcua_operation").alias("access"), F.col("pair.value").alias("value"), "ts_us", "pcap_file", "packet_index", "src_ip", "dst_ip", "src_port", "dst_port")
     tag = X.display_tag(F.col("node"))
     return rows.where(~F.col("node").startswith("ns=0;") & ~F.col("node").startswith("ns=1;") & ~tag.startswith("TD_")).withColumn("series", tag)
 
@@ -155,7 +155,7 @@ def mqtt_signals(packets: DataFrame) -> DataFrame:
     """One row per numeric field of a published message; to the broker is a write, from it a read."""
     rows = packets.where("mqtt_packet_type = 'PUBLISH' and mqtt_topic is not null").withColumn("f", F.explode("mqtt_payload_values"))
     access = F.when(F.col("dst_port").isin(*C.MQTT_PORTS), "write").otherwise("read")
-    return rows.select(F.concat_ws(".", "mqtt_topic", "f.name").alias("series"), access.alias("access"), F.col("f.value").alias("value"), "ts_us", "pcap_file", "packet_index").where("not isnan(value) and abs(value) < double('infinity')")
+    return rows.select(F.concat_ws(".", "mqtt_topic", "f.name").alias("series"), access.alias("access"), F.col("f.value").alias("value"), "ts_us", "pcap_file", "packet_index", "src_ip", "dst_ip", "src_port", "dst_port").where("not isnan(value) and abs(value) < double('infinity')")
 
 
 def signal_statistics(rows: DataFrame) -> DataFrame:

@@ -97,13 +97,39 @@ def test_assets(spark, tmp_path):
     assert [(r["hostname"], r["ip_addresses"], r["is_managed"]) for r in rows] == [("H", ["1.1.1.1", "2.2.2.2"], False), ("K", ["3.3.3.3"], True)]
 
 
+def written(path):
+    """The text of all files in the order of their names."""
+    return "".join(f.read_text() for f in sorted(path.glob("part-*")))
+
+
 def test_command_line(spark, folder, tmp_path):
     from otflow.__main__ import main
+    from otflow.operators import augment
 
     (tmp_path / "g.cypher").write_text(GRAPH)
     base = ["--base-cypher", str(tmp_path / "g.cypher"), "--output-cypher", str(tmp_path / "out"), "--pcap-dir", str(folder)]
     assert main([*base, "--observations", str(tmp_path / "obs"), "--cache", str(tmp_path / "cache")]) == 0
-    text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "out/statements")).collect())
+    text = written(tmp_path / "out/statements")
     assert text.lstrip().startswith("MERGE (n:NetworkEndpoint {guid: '{e1}'")
-    assert "MERGE (n:NetworkEndpoint" in text and "MERGE (n:ICSSignal" in text and "correlatedProcessImage" in text
+    places = [text.index(h) for h in augment.HEADINGS]
+    assert places == sorted(places)
+    signal = text[places[4] : places[5]]
+    assert "ICSSignal" in signal and "EXPOSED_ON" in signal and "valueRLE: '5:1,6:1,7:1,8:1'" in signal and "valueTimeline: '@" in signal and "meanValue: 6.5" in signal
+    assert "LISTENS_ON" in text[places[2] : places[3]] and "OBSERVED" in text[places[5] : places[6]]
+    assert "image: 'placeholder'" in text[places[6] : places[7]] and "RUN_ON" in text[places[7] : places[8]] and "BINDS" in text[places[7] : places[8]]
+    related = text[places[8] :]
+    assert "-[r:READ_SIGNAL]->" in related and "correlationMethod" in related and "{p1}" in related
     assert main([*base, "--verify"]) == 0 and main([*base, "--summary-only"]) == 0
+
+
+def test_statements_without_telemetry(spark, folder, tmp_path):
+    """Edges of unmanaged hosts start at their placeholders and carry a feature row; names come from the export."""
+    from otflow.__main__ import main
+
+    (tmp_path / "g.cypher").write_text("MERGE (n:NetworkEndpoint {guid: '{e9}', hostname: 'Pump-9', ipAddresses: ['192.168.43.9']});")
+    base = ["--base-cypher", str(tmp_path / "g.cypher"), "--output-cypher", str(tmp_path / "out"), "--pcap-dir", str(folder)]
+    assert main([*base, "--min-aggregation-threshold", "1"]) == 0
+    text = written(tmp_path / "out/statements")
+    assert "hostname: 'Pump-9'" in text and "hostname: 'PLC-01'" not in text
+    related = text[text.index("// PCAP-Inferred Network Relationships") :]
+    assert "meanSize" in related and "tcpFlags" in related and "attribution: 'placeholder'" in related and "READ_SIGNAL" in related
