@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from otflow.functions import columns as X
 from otflow.operators import correlate, features, flows, graph, grouping, identity, policy, registers, timeline
 from otflow.plans import oracles
+from otflow.plans.oracles_decode import DECODE_SQL
 from otflow.plans.oracles_graph import GRAPH_SQL
+from otflow.sources.frame_view import decoded
 from otflow.sources.host_view import hosts
 from otflow.sources.packet_view import packets as packet_view
 from otflow.sources.telemetry_view import anchors as telemetry_anchors
 from otflow.streaming import flows as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | GRAPH_SQL
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | GRAPH_SQL | DECODE_SQL
 
 
 def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,3 +151,16 @@ def _attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["signal_attribution"] = _attribution
 on_observations("encoded_decode", lambda o: timeline.decode_counts(registers.top_values(o), "top_values"), *SHORT)
 on_packets("traffic_windows", streaming.traffic_windows)
+
+
+def on_frames(name: str, condition: str, *columns: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: decoded(spark, sf_dir).where(condition).selectExpr("tcp_seq", *columns)
+
+
+_HEAD = ("tcp_ack", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "high_level_protocol", "tcp_flags", "ip_layer_index", "ip_layer_count", "src_mac", "dst_mac")
+on_frames("decode_headers", "true", *_HEAD)
+on_frames("decode_modbus", "modbus_function is not null", "modbus_function function", "modbus_unit_id unit", "modbus_transaction_id transaction", "array_join(modbus_registers, ',') registers", "array_join(modbus_register_values, ',') values")
+on_frames("decode_http", "http_method is not null or http_status is not null", "http_method", "http_path", "http_host", "http_status", "http_content_type")
+on_frames("decode_mqtt", "mqtt_packet_type is not null", "mqtt_packet_type", "mqtt_topic", "mqtt_qos", "mqtt_retain", "mqtt_packet_id", "mqtt_client_id", "mqtt_keepalive", "mqtt_payload_values[0].value value")
+on_frames("decode_opcua", "opcua_message_type is not null", "opcua_message_type", "opcua_chunk_type", "opcua_endpoint_url", "opcua_secure_channel_id", "opcua_security_policy_uri")
+on_frames("decode_tls", "443 in (src_port, dst_port)", "tls_sni")
