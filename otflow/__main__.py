@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from otflow import constants as C
 from otflow.functions import columns as X
 from otflow.operators import augment, correlate, flows, graph, grouping, policy, registers
-from otflow.sources import assets, graph_text
-from otflow.sources.pcap import PcapSource
+from otflow.sources import assets, graph_text, pcap
 from otflow.streaming import flows as streaming
 
 
@@ -24,6 +23,7 @@ def arguments() -> argparse.ArgumentParser:
     a.add_argument("--force-rebuild", action="store_true")
     a.add_argument("--assets", default=None)
     a.add_argument("--packet-limit", type=int, default=None, help="frames per capture")
+    a.add_argument("--total-packet-limit", type=int, default=None, help="packets of all captures together")
     a.add_argument("--backend", choices=("plain", "full"), default="plain")
     a.add_argument("--streaming", action="store_true")
     a.add_argument("--summary-only", action="store_true")
@@ -39,15 +39,12 @@ def arguments() -> argparse.ArgumentParser:
 
 
 def packets_of(spark: SparkSession, o: argparse.Namespace):
-    spark.dataSource.register(PcapSource)
-    read = spark.read.format("pcap").option("path", o.pcap_dir).option("backend", o.backend)
-    if o.packet_limit:
-        read = read.option("packetLimit", o.packet_limit)
+    found = pcap.read_captures(spark, o.pcap_dir, o.packet_limit, o.backend == "full", o.total_packet_limit)
     if not o.cache:
-        return read.load()
+        return found
     path = spark._jvm.org.apache.hadoop.fs.Path(o.cache)
     if o.force_rebuild or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        read.load().write.mode("overwrite").partitionBy("pcap_file").parquet(o.cache)
+        found.write.mode("overwrite").partitionBy("pcap_file").parquet(o.cache)
     return spark.read.parquet(o.cache)
 
 
@@ -63,8 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("otflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     packets = flows.without_ignored(packets_of(spark, o)).persist()
     if o.streaming:
-        stream = spark.readStream.format("pcap").option("path", o.pcap_dir).load()
-        streaming.run_stats(stream, f"{o.output_cypher}/flow_stats", f"{o.output_cypher}/_checkpoint")
+        streaming.run_stats(pcap.stream_captures(spark, o.pcap_dir, o.backend == "full"), f"{o.output_cypher}/flow_stats", f"{o.output_cypher}/_checkpoint")
     nodes, edges = graph_text.read_graph(spark, o.base_cypher)
     anchors = graph_text.telemetry(nodes, edges)
     assembled = flows.assemble(packets)

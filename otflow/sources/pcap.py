@@ -1,8 +1,10 @@
-"""Captures as a Spark data source: spark.read.format("pcap") and readStream of the same.
+"""Captures as tables and streams of packets.
 
-Options: path (a folder or file), packetLimit (per file), backend ('plain' or
-'full'). One input partition per file; records decode in batches, and a file
-that breaks off gives the packets before.
+read_captures and stream_captures read any store that Spark's file sources
+reach; spark.read.format("pcap") reads a folder that every executor has under
+the same path. Options: path (a folder or file), packetLimit (per file), backend
+('plain' or 'full'). A file is one task; its records decode in batches, and a
+file that breaks off gives the packets before.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -100,11 +104,20 @@ class PcapSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PcapReader(schema, self.options)
 
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return PcapStreamReader(schema, self.options)
+
+def _batches(name: str, data: bytes, limit: int | None, full: bool, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """packet_rows in batches of bounded size."""
+    rows = []
+    for row in packet_rows(name, data, limit, full):
+        rows.append(row)
+        if len(rows) == BATCH:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, arrow)
 
 
-class _Decoding:
+class PcapReader(DataSourceReader):
     def __init__(self, schema: StructType, options):
         self.schema = schema
         self.path = options["path"]
@@ -112,50 +125,37 @@ class _Decoding:
         self.limit = int(limit) if limit else None
         self.full = options.get("backend", "plain") == "full"
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        arrow, rows = to_arrow_schema(self.schema), []
-        with open(partition.value, "rb") as f:
-            data = f.read()
-        for row in packet_rows(os.path.basename(partition.value), data, self.limit, self.full):
-            rows.append(row)
-            if len(rows) == BATCH:
-                yield pa.RecordBatch.from_pylist(rows, arrow)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, arrow)
-
-
-class PcapReader(_Decoding, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(f) for f in capture_files(self.path)]
 
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        with open(partition.value, "rb") as f:
+            data = f.read()
+        yield from _batches(os.path.basename(partition.value), data, self.limit, self.full, to_arrow_schema(self.schema))
 
-class PcapStreamReader(_Decoding, DataSourceStreamReader):
-    """Whole files are the stream's steps; the offset is how many of the sorted files have been read."""
-
-    def initialOffset(self) -> dict:
-        return {"files": 0}
 
-    def latestOffset(self) -> dict:
-        return {"files": len(capture_files(self.path))}
+def _decoded(files: DataFrame, limit: int | None, full: bool) -> DataFrame:
+    arrow = to_arrow_schema(StructType.fromDDL(PACKET))
 
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition(f) for f in capture_files(self.path)[start["files"] : end["files"]]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from _batches(name, content.as_py(), limit, full, arrow)
 
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, PACKET)
 
-def read_captures(spark, path: str):
-    """The same rows from any store that Spark reads, by its own file source."""
-    from pyspark.sql import functions as F
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+def read_captures(spark: SparkSession, path: str, limit: int | None = None, full: bool = False, total: int | None = None) -> DataFrame:
+    """The packets of all captures under path. limit: frames per file; total: packets of all files together, in order of file and place."""
+    least = min((n for n in (limit, total) if n is not None), default=None)
+    found = _decoded(spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").load(path), least, full)
+    return found if total is None else found.orderBy("pcap_file", "packet_index").limit(total)
 
-    arrow = to_arrow_schema(StructType.fromDDL(PACKET))
 
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = list(packet_rows(name, content))
-                for at in range(0, len(rows), BATCH):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + BATCH], arrow)
+def stream_captures(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
+    """The same as a stream of files, whose log remembers every file by name, whatever the names' order.
 
-    return raw.mapInArrow(run, PACKET)
+    As with any file stream a capture has to appear complete, by a move.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return _decoded(files.option("pathGlobFilter", "*.pcap*").load(path), None, full)

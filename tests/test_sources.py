@@ -64,6 +64,22 @@ def test_pcap_source(spark, folder):
     assert len(rows) == 12 and {r["pcap_file"] for r in rows} == {"a.pcap", "b.pcapng"}
     assert read.option("packetLimit", 3).load().count() == 6
     assert sorted(map(str, pcap.read_captures(spark, str(folder)).collect())) == sorted(map(str, rows))
+    assert pcap.read_captures(spark, str(folder), limit=3).count() == 6
+    first = pcap.read_captures(spark, str(folder), total=9).collect()
+    assert [(r["pcap_file"], r["packet_index"]) for r in first] == [("a.pcap", k) for k in range(8)] + [("b.pcapng", 0)]
+
+
+def test_stream_reads_each_file_once(spark, folder, tmp_path_factory):
+    """Also one whose name comes before those that were read already."""
+    from otflow.streaming import flows as streaming
+
+    out, log = (str(tmp_path_factory.mktemp("stream") / name) for name in ("stats", "log"))
+    streaming.run_stats(pcap.stream_captures(spark, str(folder)), out, log)
+    (folder / "0.pcap").write_bytes(capture(frames(3)))
+    streaming.run_stats(pcap.stream_captures(spark, str(folder)), out, log)
+    streaming.run_stats(pcap.stream_captures(spark, str(folder)), out, log)
+    (state,) = streaming.latest(spark.read.parquet(out)).collect()
+    assert state["packet_count"] == pcap.read_captures(spark, str(folder)).count() == 18
 
 
 def test_register_observations(spark, folder):
