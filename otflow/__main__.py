@@ -60,7 +60,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("otflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     packets = flows.without_ignored(packets_of(spark, o)).persist()
     if o.streaming:
-        streaming.run_stats(pcap.stream_captures(spark, o.pcap_dir, o.backend == "full"), f"{o.output_cypher}/flow_stats", f"{o.output_cypher}/_checkpoint")
+        stream = pcap.stream_captures(spark, o.pcap_dir, o.backend == "full")
+        streaming.run_stats(stream, f"{o.output_cypher}/flow_stats", f"{o.output_cypher}/_checkpoint")
+        streaming.run_graph(flows.without_ignored(stream), f"{o.output_cypher}/stream", f"{o.output_cypher}/_checkpoint_graph")
     nodes, edges = graph_text.read_graph(spark, o.base_cypher)
     anchors = graph_text.telemetry(nodes, edges)
     assembled = flows.assemble(packets)

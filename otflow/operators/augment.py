@@ -109,10 +109,11 @@ def _camel(name: str) -> str:
     return first + "".join(p.capitalize() for p in rest)
 
 
-EDGE_PROPERTIES = {
+EDGE_PROPERTIES_OF_GROUPS = {
     "packets": "packetCount", "bytes": "totalBytes", "flows": "canonicalCount", "unique_ports": "uniqueSourcePorts", "source_port": "SourcePort", "port_min": "sourcePortMin", "port_max": "sourcePortMax",
-    "port_set": "sourcePortSet", "mean_bytes": "meanBytesPerFlow", "protocol": "Protocol", "stage": "highLevelProtocol", "confidence": "correlationConfidence", "kind": "attribution",
+    "port_set": "sourcePortSet", "mean_bytes": "meanBytesPerFlow", "protocol": "Protocol", "stage": "highLevelProtocol",
 }
+EDGE_PROPERTIES = EDGE_PROPERTIES_OF_GROUPS | {"confidence": "correlationConfidence", "kind": "attribution"}
 
 
 def relationships(packets: DataFrame, flows: DataFrame, anchors: DataFrame, identities: DataFrame, groups: DataFrame) -> DataFrame:

@@ -149,3 +149,18 @@ def test_statements_without_telemetry(spark, folder, tmp_path):
     assert "hostname: 'Pump-9'" in text and "hostname: 'PLC-01'" not in text
     related = text[text.index("// PCAP-Inferred Network Relationships") :]
     assert "meanSize" in related and "tcpFlags" in related and "attribution: 'placeholder'" in related and "READ_SIGNAL" in related
+
+
+def test_streamed_graph_equals_that_of_the_whole(spark, folder, tmp_path_factory):
+    """Captures that come in two steps give the graph of all of them, with sums over both."""
+    from otflow.operators import flows as fl
+    from otflow.streaming import flows as streaming
+
+    out = tmp_path_factory.mktemp("graph")
+    for n in (6, 9):
+        (folder / f"{n}.pcap").write_bytes(capture(frames(n)))
+        streaming.run_graph(pcap.stream_captures(spark, str(folder)), str(out / "g"), str(out / "log"))
+    whole = streaming.graph_statements(fl.assemble(pcap.read_captures(spark, str(folder))))
+    want = [r["text"] for r in whole.orderBy("section", "key").collect()]
+    assert written(out / "g/statements") == "".join(t + "\n" for t in want)
+    assert any("CONNECT_TO" in t and "packetCount: 42" in t for t in want) and any("LISTENS_ON" in t for t in want)
