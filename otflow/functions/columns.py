@@ -75,6 +75,18 @@ def signal_guid(protocol: Column, host: Column, port: Column, *ids: Column) -> C
     return F.concat(F.lit("{"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit("}"))
 
 
+def running_guid(*parts: Column) -> Column:
+    """The UUID text that running flows' endpoints have: md5 of the parts joined by ':', without braces, in their own case."""
+    h = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def inferred_service_port(src_port: Column, dst_port: Column) -> Column:
+    """The service port of a packet of a running flow: Modbus on either side, else a port under 1024, the target's first; else null."""
+    modbus = (src_port == C.MODBUS_PORT) | (dst_port == C.MODBUS_PORT)
+    return F.when(modbus, C.MODBUS_PORT).when(dst_port < 1024, dst_port).when(src_port < 1024, src_port)
+
+
 def map_of(values: dict, key: Column) -> Column:
     """values[key], or null, from a literal map."""
     pairs = [F.lit(x) for kv in sorted(values.items()) for x in kv]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from otflow import constants as C
-from otflow.plans.oracles import _BRUTE, FLOWS, ORIENTED, P, _GROUP, _GUID, _HOST, _MATCH, _MODBUS, _OBS, _STAGE_EDGES, _STAGES, _orient, _to_port, policy, svc
+from otflow.plans.oracles import _BRUTE, _MQ, FLOWS, ORIENTED, P, _GROUP, _GUID, _HOST, _MATCH, _MODBUS, _OBS, _STAGE_EDGES, _STAGES, _orient, _to_port, policy, svc
 from otflow.sources.host_view import MANAGED
 
 _SERVICE = "case when port <= 0 then 'Ephemeral Service' " + " ".join(f"when port = {p} then '{n}'" for p, n in C.SERVICE_NAMES.items()) + " else 'Port ' || port end"
@@ -82,4 +82,11 @@ GRAPH_SQL = {
         select process_guid, {_SIGNAL_GUID} signal_guid, access, count(*) n, max(ts_us) last_us from q join bp using (edge) group by 1, 2, 3""",
     "encoded_decode": f"""with {_OBS} select series, value::bigint as value, n from (select series, value, n, row_number() over (partition by series order by o) r from (select short series, value, count(*) n, min(o) o from obs group by 1, 2)) where r <= 4""",
     "traffic_windows": f"""with {P} select ts_us // 3600000000 * 3600000000 start_us, least(src_port, dst_port) port, count(*) packets, sum(size)::bigint bytes from p group by 1, 2""",
+    "service_port_inferred": f"with {P} select case when 502 in (src_port, dst_port) then 502 when dst_port < 1024 then dst_port when src_port < 1024 then src_port end port, count(*) packets from p group by 1",
+    "guid_running": rf"""with {P}, n as (select distinct unnest([src_ip, dst_ip]) ip from p)
+        select ip, regexp_replace(md5('NetworkEndpoint:' || {_HOST('ip')}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') guid from n""",
+    "signal_mqtt_encoded": f"""with {_MQ}, r as (select series, run, count(*) n from (select *, sum(case when value is distinct from prev then 1 else 0 end) over (partition by series order by o) run from
+          (select series, value, o, lag(value) over (partition by series order by o) prev from sg)) group by 1, 2),
+        b as (select series, bit_count(bit_or(1::ubigint << (trunc(value)::bigint & 63)::ubigint))::int buckets from sg group by 1)
+        select series, count(*) runs, round(sum(n) / count(*), 2) ratio, count(*) > 200 truncated, any_value(buckets) buckets from r join b using (series) group by 1""",
 }

@@ -164,3 +164,11 @@ on_frames("decode_http", "http_method is not null or http_status is not null", "
 on_frames("decode_mqtt", "mqtt_packet_type is not null", "mqtt_packet_type", "mqtt_topic", "mqtt_qos", "mqtt_retain", "mqtt_packet_id", "mqtt_client_id", "mqtt_keepalive", "mqtt_payload_values[0].value value")
 on_frames("decode_opcua", "opcua_message_type is not null", "opcua_message_type", "opcua_chunk_type", "opcua_endpoint_url", "opcua_secure_channel_id", "opcua_security_policy_uri")
 on_frames("decode_tls", "443 in (src_port, dst_port)", "tls_sni")
+on_packets("service_port_inferred", lambda p: p.groupBy(X.inferred_service_port(F.col("src_port"), F.col("dst_port")).alias("port")).agg(F.count(F.lit(1)).alias("packets")))
+on_packets("guid_running", lambda p: p.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct().select("ip", X.running_guid(F.lit("NetworkEndpoint"), X.host_name(F.col("ip"))).alias("guid")))
+on_packets("signal_mqtt_encoded", lambda p: _float_encodings(registers.mqtt_signals(p)))
+
+
+def _float_encodings(rows: DataFrame) -> DataFrame:
+    """Runs and distinct values of float signals."""
+    return registers.run_lengths(rows).select("series", "runs", "ratio", "truncated").join(registers.bucket_distinct(rows), "series")
