@@ -114,8 +114,9 @@ def _head(block: bytes) -> tuple[str, dict[str, str], bytes]:
 def _plain(data: bytes) -> Iterator[tuple[bytes, bool]]:
     """Pieces of a file's plain bytes, and whether what comes next can't belong to the same record.
 
-    A gzip member that is damaged ends at its last good piece; reading goes on
-    with the next member that can be told.
+    Of a gzip member that is damaged the last piece is left out, which is all
+    of it where it has a chunk's size; reading goes on with the next member that
+    can be told.
     """
     if data[:2] != b"\x1f\x8b":
         for at in range(0, len(data), CHUNK):
@@ -123,17 +124,22 @@ def _plain(data: bytes) -> Iterator[tuple[bytes, bool]]:
         return
     at = 0
     while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
-        member, rest, begin = zlib.decompressobj(31), data[at : at + CHUNK], at
+        member, rest, begin, held = zlib.decompressobj(31), data[at : at + CHUNK], at, b""
         at += len(rest)
         try:
             while not member.eof and rest:
-                yield member.decompress(rest, CHUNK), False
-                rest = member.unconsumed_tail
+                piece = member.decompress(rest, CHUNK)
+                yield held, False
+                held, rest = piece, member.unconsumed_tail
                 if not rest and not member.eof:
                     rest = data[at : at + CHUNK]
                     at += len(rest)
-            at -= len(member.unused_data)
         except zlib.error:
+            pass
+        if member.eof:
+            yield held, False
+            at -= len(member.unused_data)
+        else:
             at = begin + 3
         yield b"", True
 
