@@ -7,6 +7,7 @@ so truncated input gives what was complete before.
 from __future__ import annotations
 
 import ipaddress
+import socket
 import json
 import math
 import struct
@@ -92,7 +93,7 @@ def _ip(at: Cursor, kind: int, layer: int, full: bool) -> list[dict]:
         at.take(8)
         protocol = at.u8()
         at.take(2)
-        src, dst = (str(ipaddress.IPv4Address(at.take(4))) for _ in range(2))
+        src, dst = (socket.inet_ntoa(at.take(4)) for _ in range(2))
         at.at = head
         at.take(4 * (first & 15))
     elif kind == 0x86DD and full:
