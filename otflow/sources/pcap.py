@@ -145,10 +145,21 @@ def _decoded(files: DataFrame, limit: int | None, full: bool) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, PACKET)
 
 
+def _pattern(spark: SparkSession, path: str) -> str:
+    """path itself if it is a file, else a pattern of the captures right in it; other folders there don't matter."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path if store.exists(at) and store.getFileStatus(at).isFile() else f"{path.rstrip('/')}/*.pcap*"
+
+
 def read_captures(spark: SparkSession, path: str, limit: int | None = None, full: bool = False, total: int | None = None) -> DataFrame:
-    """The packets of all captures under path. limit: frames per file; total: packets of all files together, in order of file and place."""
+    """The packets of all captures in the folder path, or of one file. limit: frames per file; total: packets of all files together, in order of file and place."""
     least = min((n for n in (limit, total) if n is not None), default=None)
-    found = _decoded(spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").load(path), least, full)
+    pattern = _pattern(spark, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], PACKET)
+    found = _decoded(spark.read.format("binaryFile").load(pattern), least, full)
     return found if total is None else found.orderBy("pcap_file", "packet_index").limit(total)
 
 
@@ -158,4 +169,4 @@ def stream_captures(spark: SparkSession, path: str, full: bool = False) -> DataF
     As with any file stream a capture has to appear complete, by a move.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    return _decoded(files.option("pathGlobFilter", "*.pcap*").load(path), None, full)
+    return _decoded(files.load(_pattern(spark, path)), None, full)

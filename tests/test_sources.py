@@ -65,6 +65,9 @@ def test_pcap_source(spark, folder):
     assert read.option("packetLimit", 3).load().count() == 6
     assert sorted(map(str, pcap.read_captures(spark, str(folder)).collect())) == sorted(map(str, rows))
     assert pcap.read_captures(spark, str(folder), limit=3).count() == 6
+    assert pcap.read_captures(spark, str(folder / "b.pcapng")).count() == 4
+    (folder / "empty/x=1").mkdir(parents=True)
+    assert pcap.read_captures(spark, str(folder / "empty")).count() == 0 and pcap.read_captures(spark, str(folder)).count() == 12
     first = pcap.read_captures(spark, str(folder), total=9).collect()
     assert [(r["pcap_file"], r["packet_index"]) for r in first] == [("a.pcap", k) for k in range(8)] + [("b.pcapng", 0)]
 
