@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from otflow.llm.common import materialize, mix64, release, slices, utf8
+from otflow.llm.common import give_back, materialize, mix64, release, slices, utf8
 from otflow.llm.graph import connected_components
 
 SEED = 42
@@ -287,6 +287,7 @@ def _by_bucket(placed: DataFrame, linked: Callable[[pa.Table, np.ndarray], tuple
                 yield found(table.slice(0, cut))
         if rest is not None:
             yield found(rest)
+        give_back()
 
     def found(part: pa.Table) -> pa.RecordBatch:
         key, place = (part[c].to_numpy() for c in ("key", "tile"))
