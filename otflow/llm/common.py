@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MASK64 = (1 << 64) - 1
+#: Spark's setting that drops a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +44,17 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     """Write df as Parquet into the shared folder and return the written table.
 
     This cuts the lineage: a lost executor costs a task's re-read, not the whole
-    history. Shuffle files of finished steps are given back afterwards.
+    history. Spark drops the shuffle files of the write as it ends, so the next
+    step's disk doesn't depend on when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)
     written.written_to = path
     return written

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -202,6 +203,29 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path, files, split):
     assert [hashlib.sha256(g.tobytes()).hexdigest() for g in got] == [r["record_sha256"] for r in written]
 
 
+def shuffle_files(spark) -> int:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).getName().startswith("shuffle_") for k in range(files.size()))
+
+
+def test_training_order_drops_a_steps_shuffle_files_before_the_next(spark, tmp_path, monkeypatch):
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    before, seen = shuffle_files(spark), []
+
+    def ordered(*args, plain=training_order.ordered):
+        until = time.time() + 5
+        while shuffle_files(spark) > before and time.time() < until:
+            time.sleep(0.05)
+        seen.append(shuffle_files(spark) - before)
+        return plain(*args)
+
+    monkeypatch.setattr(training_order, "ordered", ordered)
+    training_order.materialise(frame(spark), queries.RANKS, 3, f"file://{tmp_path}/out", 16, 8)
+    assert len(seen) == 1 and seen[0] <= 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_training_order_edge_cases(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert training_order.materialise(frame(spark, []), queries.RANKS, 1, folder).count() == 0
