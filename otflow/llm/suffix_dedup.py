@@ -15,14 +15,15 @@ strings that grow until they are unique or 50 bytes long:
 
 Hashes only choose anchors and prune in step 1, but for spans: these count as
 equal by 64 bits of the gram and 64 of the span. Steps 2 and 3 compare bytes.
-Groups are aggregated partially and joined back, so no task holds one.
+Groups are aggregated partially and joined back, so no task holds one. Equal
+strings fall in the same pass, so steps run in passes that share out the disk.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,9 @@ GRAM = 18
 STEP = (LENGTH - GRAM) // 2
 #: Grams of a window.
 WIDTH = LENGTH - GRAM + 1
+#: Passes of step 1, a power of two, and of steps 2 and 3. Each takes the grams or 34-byte strings whose hashes end alike, so that only their share lies on disk.
+ANCHOR_PASSES = 2
+WINDOW_PASSES = 4
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -109,8 +113,8 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(out[: len(out) - width + reach], out[width - reach :]) if reach < width else out
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, check, doc, info) of the anchors of a batch; info packs high, low, settled and at.
+def _anchor_rows(batches: Iterator[pa.RecordBatch], turn: int = 0, passes: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows (key, check, doc, info) of the anchors of a batch that a pass takes; info packs high, low, settled and at.
 
     Rows of equal gram and span are pre-aggregated: those of a larger document
     than the batch's smallest are settled here, under a key that spreads them.
@@ -120,6 +124,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             text = Text(data)
             at, grams, low, high = text.anchors
+            mine = (grams & np.uint64(passes - 1)) == turn
+            at, grams, low, high = at[mine], grams[mine], low[mine], high[mine]
             key.append(grams)
             check.append(text.checks(at - high, at - low + LENGTH, high))
             doc.append(np.full(len(at), doc_id, np.int64))
@@ -242,33 +248,38 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     spark = docs.sparkSession
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as binary) text").where("doc_id is not null")
-    rows = source.mapInArrow(_anchor_rows, "key long, check long, doc long, info long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(n, "key").sortWithinPartitions("key", "check", "doc")
-    ranked = materialize(rows.mapInArrow(_first_round, "doc long, begin int, end int, inside int, check long, full boolean"), "anchors")
-    release(spark)
+    passes = []
+    for turn in range(ANCHOR_PASSES):
+        rows = source.mapInArrow(partial(_anchor_rows, turn=turn, passes=ANCHOR_PASSES), "key long, check long, doc long, info long")
+        rows = rows.repartition(n, "key").sortWithinPartitions("key", "check", "doc")
+        passes.append(materialize(rows.mapInArrow(_first_round, "doc long, begin int, end int, inside int, check long, full boolean"), "anchors", "zstd"))
+        release(spark)
+    ranked = reduce(DataFrame.unionByName, passes)
 
     # Only positions and hashes are gathered for a document, fewer than its bytes.
     wanted = ranked.where("not full").groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "inside", "check")).alias("wanted"))
     texts = source.join(wanted.hint("merge"), source["doc_id"] == wanted["doc"]).select("doc_id", "text", "wanted.begin", "wanted.end", "wanted.inside", "wanted.check")
-    halves = materialize(texts.mapInArrow(_half_rows, "doc long, begin int, most byte, context binary"), "halves")
+    halves = materialize(texts.mapInArrow(_half_rows, "doc long, begin int, most byte, context binary"), "halves", "zstd")
     release(spark)
 
-    ranked_by = halves.withColumn("half", F.expr(f"substring(context, most + 1, {GRAM + STEP})"))
-    ranks = materialize(_shared(ranked_by.select("half", "doc"), "half").drop("least").withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    release(spark)
-    met = ranked_by.join(ranks.hint("merge"), "half").select("doc", "begin", "most", "context", "rank")
-    windows = materialize(met.mapInArrow(_window_rows, "rank long, w0 long, w1 long, doc long, place long"), "windows")
-    discard(halves), discard(ranks)
-    release(spark)
-
-    least = materialize(_shared(windows.select("rank", "w0", "w1", "doc"), "rank", "w0", "w1"), "repeated-windows")
-    late = windows.join(least.hint("merge"), ["rank", "w0", "w1"]).where("doc > least")
+    halved = halves.withColumn("half", F.expr(f"substring(context, most + 1, {GRAM + STEP})"))
     begin = F.col("place").bitwiseAND(0x7FFFFFFF).cast("int")
-    late = materialize(late.select("doc", begin.alias("begin"), (begin + LENGTH).alias("end"), F.lit(-1).alias("inside"), F.shiftright("place", 32).alias("check")), "late-windows")
-    discard(windows), discard(least)
-    release(spark)
-    return ranked.where("full").drop("full").unionByName(late)
+    entries = [ranked.where("full").drop("full")]
+    for turn in range(WINDOW_PASSES):
+        mine = halved.where(F.pmod(F.xxhash64("half"), F.lit(WINDOW_PASSES)) == turn)
+        ranks = materialize(_shared(mine.select("half", "doc"), "half").drop("least").withColumn("rank", F.monotonically_increasing_id()), "ranks", "zstd")
+        met = mine.join(ranks.hint("merge"), "half").select("doc", "begin", "most", "context", "rank")
+        windows = materialize(met.mapInArrow(_window_rows, "rank long, w0 long, w1 long, doc long, place long"), "windows", "zstd")
+        discard(ranks)
+        least = materialize(_shared(windows.select("rank", "w0", "w1", "doc"), "rank", "w0", "w1"), "repeated-windows", "zstd")
+        late = windows.join(least.hint("merge"), ["rank", "w0", "w1"]).where("doc > least")
+        late = late.select("doc", begin.alias("begin"), (begin + LENGTH).alias("end"), F.lit(-1).alias("inside"), F.shiftright("place", 32).alias("check"))
+        entries.append(materialize(late, "late-windows", "zstd"))
+        discard(windows), discard(least)
+        release(spark)
+    discard(halves)
+    return reduce(DataFrame.unionByName, entries)
 
 
 def _removed(data: bytes, entries) -> np.ndarray:

@@ -162,6 +162,27 @@ def test_remove_repeats(spark):
     assert sorted(map(str, map(tuple, got))) == brute_repeats(docs)
 
 
+def test_no_step_of_remove_repeats_holds_more_than_its_share(spark, monkeypatch):
+    passage = words(7, 4000)
+    docs = frame(spark, [(k, f"{words(100 + k, 500)} {passage[k:]} {words(200 + k, 500)}", None, None, None) for k in range(4)])
+    plain, rows = suffix_dedup.materialize, {}
+
+    def counted(df, label, *args):
+        written = plain(df, label, *args)
+        rows.setdefault(label, []).append(written.count())
+        return written
+
+    monkeypatch.setattr(suffix_dedup, "materialize", counted)
+    digests = lambda: sorted(suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect())
+    got = digests()
+    for label, share in (("anchors", 0.6), ("windows", 0.5)):
+        assert sum(rows[label]) > 20 and max(rows[label]) <= share * sum(rows[label]), (label, rows[label])
+    for name, passes in (("ANCHOR_PASSES", 1), ("WINDOW_PASSES", 1)):
+        monkeypatch.setattr(suffix_dedup, name, passes)
+    rows.clear()
+    assert got == digests() and len(rows["windows"]) == len(rows["anchors"]) == 1
+
+
 def test_first_round_carries_groups_over_batches():
     """The same settlements however the sorted rows are cut into batches."""
     import pyarrow as pa
