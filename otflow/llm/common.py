@@ -61,7 +61,7 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that no live DataFrame needs.
+    """Let Spark delete the shuffle files that no live DataFrame needs, and return what the driver's Python has freed.
 
     What a step leaves behind in the driver is found garbage by the second
     collection only.
@@ -70,6 +70,7 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
+    give_back()
 
 
 def discard(written: DataFrame) -> None:

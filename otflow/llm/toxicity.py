@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from otflow.llm.common import WordHash, folded_words, materialize, mix64, slices, utf8
+from otflow.llm.common import WordHash, folded_words, give_back, materialize, mix64, slices, utf8
 
 BITS = 20
 #: Labelled texts that training reads at most; of more, those with the smallest hash of id and text.
@@ -120,12 +120,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, m
     kept = {r[1:4]: k for k, r in enumerate(order[:last])}
     if last < len(order):
         found = found.join(F.broadcast(docs.sparkSession.createDataFrame(list(kept), "doc_id long, text_key long, toxic int")), ["doc_id", "text_key", "toxic"])
-    rows = found.select("doc_id", "text_key", "toxic", "slots").toArrow() if kept else None
-    if rows is None:
-        return train_ftrl([])
-    columns = [rows[c].to_pylist() for c in rows.column_names]
-    ranked = sorted(zip(*columns), key=lambda r: kept[r[:3]])
-    return train_ftrl([(np.frombuffer(s, np.int32).astype(np.int64), t) for _, _, t, s in ranked])
+    rows = _rows(found, kept) if kept else []
+    del sizes, order, kept
+    weights = train_ftrl(rows)
+    del rows
+    give_back()
+    return weights
+
+
+def _rows(found: DataFrame, kept: dict) -> list[tuple[np.ndarray, int]]:
+    """Slots and label of each row in the order of kept; the slots stay where Arrow holds them, 4 bytes each."""
+    table = found.select("doc_id", "text_key", "toxic", "slots").toArrow()
+    keys = list(zip(*(table[c].to_pylist() for c in ("doc_id", "text_key", "toxic"))))
+    slots = [np.frombuffer(s.as_buffer(), np.int32) for s in table["slots"]]
+    return [(slots[k], keys[k][2]) for k in sorted(range(len(keys)), key=lambda k: kept[keys[k]])]
 
 
 def score_texts(texts: list[bytes], dense: np.ndarray, intercept: float, words: WordHash, bits: int = BITS) -> np.ndarray:

@@ -1,6 +1,7 @@
 """BPE, toxicity, decontamination, licenses and URLs against libraries, brute force and held-out accuracy."""
 
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -111,6 +112,26 @@ def test_training_sample_is_bounded_and_meets_the_documents(spark):
     assert toxicity.fit(docs, labels, max_rows=1000, max_slots=0).intercept == 0 != whole.intercept
 
 
+def test_training_holds_no_copies_of_its_slots_in_the_driver(spark, monkeypatch):
+    docs = frame(spark, [(k, words(k, 3000), "en", "src", None) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    found = {}
+
+    def measured(rows):
+        found.update(held=tracemalloc.get_traced_memory()[0] - before, slots=sum(len(s) for s, _ in rows), labels=sorted(t for _, t in rows))
+        return toxicity.Weights(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0)
+
+    monkeypatch.setattr(toxicity, "train_ftrl", measured)
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        toxicity.fit(docs, labels)
+    finally:
+        tracemalloc.stop()
+    assert found["slots"] > 300_000 and found["labels"] == sorted(k % 2 for k in range(60) if toxicity.fold(k) != 2)
+    assert found["held"] < 3 * found["slots"]  # Arrow's own 4 bytes a slot aren't traced; copies took 12
+
+
 def test_toxicity_scores_equal_plain_sums(spark):
     """Scores are the sums of the weights of a text's slots, counted plainly."""
     docs = documents()
