@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from otflow.llm import bpe, decontaminate, exact_dedup, license_scan, simhash, suffix_dedup, toxicity, training_order, url_filter, warc
+from otflow.llm import bpe, decontaminate, exact_dedup, filter_audit, license_scan, mixing, prefix_trie, simhash, suffix_dedup, toxicity, training_order, url_filter, warc
 from otflow.llm.common import shared_dir, table
 from otflow.llm.license_texts import TEMPLATES
 
@@ -108,6 +108,18 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(table(spark, sf_dir, "documents"), RANKS, 20_240_601, folder)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,6 +133,9 @@ QUERIES = {
         op8_toxicity,
         op9_warc_revisits,
         op10_training_order,
+        op11_prefix_trie,
+        op12_source_mix,
+        op13_filter_audit,
     )
 }
 
@@ -189,4 +204,48 @@ ORACLE_SQL = {
             case when outcome in ('resolved', 'unchecked') then rsize::varchar else '0' end content_length,
             case when outcome in ('resolved', 'unchecked') then rsha end body_sha256
         from s""",
+    "op11_prefix_trie": r"""
+        with crc as (select list(v order by i) crc from (select i, list_reduce(list_prepend(i, range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) v from range(256) r(i))),
+        t as (select conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) p
+              from conversations where conv_id is not null),
+        o as (select c, list({'r': r, 'x': x} order by p) l from t group by c),
+        h as (select c, l, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::varchar, ''), lambda s: ascii(s)::bigint)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 4 h from o, crc),
+        b as (select h.c, list_concat(case when h > 0 then coalesce(f.l[1:h], []) else [] end, h.l[h + 1:]) l from h left join o f on f.c = h.c - h.c % 20),
+        m as (select c, d, l[1:d] k, len(l) n from (select c, l, unnest(range(0, len(l) + 1)) d from b)),
+        g as (select min(c) conv_id, d depth, case when d = 0 then [] else k end k, count(*) n_convs, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where d = n), '')) ends_sha256 from m group by 2, 3),
+        mk as (select m.c, m.d, g.conv_id from m join g on m.d = g.depth and (m.d = 0 or m.k = g.k)),
+        e as (select g.*, a.conv_id parent_conv_id, case when depth > 0 then len(regexp_extract_all(k[depth].x, '[^\x20\x09-\x0D]+')) else 0 end words from g left join mk a on a.c = g.conv_id and a.d = g.depth - 1),
+        ch as (select parent_conv_id conv_id, depth - 1 depth, count(*) n_children from e where depth > 0 group by 1, 2),
+        v as (select e.*, coalesce(n_children, 0) n_children from e left join ch using (conv_id, depth)),
+        s as (select a.conv_id, a.d depth, sum((n_children = 0)::int)::bigint n_leaves, sum((n_convs - 1) * words)::bigint saved_tokens from v join mk a on a.c = v.conv_id and a.d <= v.depth group by 1, 2)
+        select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from v join s using (conv_id, depth)""",
+    "op12_source_mix": r"""
+        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size from documents),
+        s as (select source, sum(size) z from d group by source),
+        w as (select *, [1, 2, 3][(row_number() over (order by source nulls last) - 1) % 3 + 1]::hugeint w from s),
+        c as (select *, coalesce(sum(3 * z) over p, 0) zb, coalesce(sum(w) over p, 0) wb, sum(z) over () t, sum(w) over () ws
+              from w window p as (order by z * (6 // w), source nulls last rows between unbounded preceding and 1 preceding)),
+        e as (select *, w * zb + 3 * z * (ws - wb) <= w * t stops from c),
+        g as (select *, t - coalesce(sum(3 * z) filter (where stops) over (), 0) rest, greatest(ws - coalesce(sum(w) filter (where stops) over (), 0), 1) lft from e),
+        a as (select source, z, case when stops then (3 * z)::double else w::double * rest::double / lft::double end target,
+                case when z = 0 then 0 when stops then 3 * 1099511627776::hugeint else w * rest * 1099511627776 // (lft * z) end e,
+                ('0x' || substr(sha256('mix:' || coalesce('=' || source, '')), 1, 10))::hugeint u from g),
+        r as (select d.*, z, target, e, u, row_number() over (partition by d.source order by size, doc_id nulls first)::hugeint i from d join a on d.source is not distinct from a.source)
+        select doc_id, size::bigint size, z::bigint source_size, target, (size * ((i * e + u) // 1099511627776 - ((i - 1) * e + u) // 1099511627776))::bigint taken from r""",
+    "op13_filter_audit": r"""
+        with d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+        lb as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by doc_id),
+        f as (select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+                + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+                + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int bits from d left join lb using (doc_id)),
+        c as (select part, bits, count(*) n, sum(good) g, sum(toxic) x from f group by part, bits),
+        l as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+        o as (select a.x || b.x || c.x || d.x || e.x o from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s as (select o, step, 1 << (ascii(substr(o, step, 1)) - 65) bit, list_sum(list_prepend(0, list_transform(range(1, step), lambda k: 1 << (ascii(substr(o, k::int, 1)) - 65)))) gone
+              from (select o, unnest(range(1, 6))::int step from o)),
+        r as (select part, o filter_order, step, bit, sum(case when bits & gone = 0 and bits & bit = 0 then n else 0 end)::bigint kept, sum(case when bits & gone = 0 and bits & bit > 0 then n else 0 end)::bigint removed,
+                sum(case when bits & gone > 0 and bits & bit > 0 then n else 0 end)::bigint redundant, sum(case when bits = bit then n else 0 end)::bigint unique_fails,
+                sum(case when bits & gone = 0 and bits & bit > 0 then g else 0 end)::bigint good_lost, sum(case when bits & gone = 0 and bits & bit > 0 then x else 0 end)::bigint toxic_lost
+              from (select o, step, bit, gone::int gone from s) s cross join c group by part, o, step, bit)
+        select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint shapley from r""",
 }
