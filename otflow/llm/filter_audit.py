@@ -29,8 +29,8 @@ FILTERS: dict[str, Callable[[bytes, int, list[bytes]], bool]] = {
 _UPPER, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 #: The filter that removes repeats of a smaller id's text.
 REPEATS = "E"
-#: Bytes of text that a task keeps before it gives its chains on.
-HELD_BYTES = 1 << 26
+#: Bytes of text that a task keeps before it gives its chains on, and documents that a partition takes on average, at most.
+HELD_BYTES, DOCUMENTS_EACH = 1 << 26, 50_000
 
 Filters = dict[str, Callable[[bytes, int, list[bytes]], bool]]
 
@@ -85,10 +85,11 @@ def masks(docs: DataFrame, filters: Filters = FILTERS) -> DataFrame:
     Each task keeps chains of what it has read, up to HELD_BYTES, so of rows
     that share a text only the smallest id's travels with it; a group of copies
     costs one text a task. Partitions then take them sorted by fingerprint,
-    through Spark's external sort, and hold one chain at a time.
+    through Spark's external sort, and hold one chain at a time. There are as
+    many as Spark's setting says, or as the table's rows ask for.
     """
     repeat = 1 << len(filters)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCUMENTS_EACH)
 
     def route(rows: Iterator[tuple]) -> Iterator[tuple]:
         from xxhash import xxh64_intdigest
