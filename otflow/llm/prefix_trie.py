@@ -55,8 +55,10 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     A conversation c starts with the first h turns of c - c % 20, if there, and
     goes on with its own after the first h. ends tells its last turn.
     """
-    ranked = running_sums(turns_of(conversations), "conv", ["turn", "role", "text_digest"], ["one"], "trie-turns")
+    told = materialize(turns_of(conversations), "trie-told")
+    ranked = running_sums(told, "conv", ["turn", "role", "text_digest"], ["one"], "trie-turns")
     placed = materialize(ranked.select("conv", F.col("one_upto").alias("p"), "role", "text_digest", "words"), "trie-places")
+    discard(told)
     discard(ranked.written)
     turn = F.struct("p", "role", "text_digest", "words")
     first = (F.col("conv") % FAMILY == 0) & (F.col("p") <= MAX_HEAD)
@@ -83,12 +85,14 @@ def members(turns: DataFrame) -> DataFrame:
     """
     element = lambda seed: F.xxhash64(F.lit(seed), "place", "role", "text_digest")
     rows = turns.select("conv", "place", "words", "ends", element(1).alias("a"), element(2).alias("b"))
+    rows = materialize(rows, "trie-turns")
     summed = running_sums(rows, "conv", ["place"], ["a", "b"], "trie-keys")
     keyed = summed.select(
         "conv", F.col("place").alias("depth"), "words", "ends",
         F.col("a_upto").alias("k1"), F.col("b_upto").alias("k2"), F.col("a_before").alias("p1"), F.col("b_before").alias("p2"),
     )
     written = materialize(keyed, "trie-members")
+    discard(rows)
     discard(summed.written)
     return written
 

@@ -36,7 +36,8 @@ def running_sums(df: DataFrame, by: str, order: list[str], sums: list[str], labe
     group's rows, nulls first; rows equal in them come in any order. sums: long
     columns without nulls; sums wrap around at 64 bits, as numpy's do.
 
-    Rows are ranged over (by, order), so that a hot group spreads over many
+    df runs twice, as Spark samples it for the ranges; give a written one where
+    that costs. Rows are ranged over (by, order), so that a hot group spreads over many
     tasks, and written with sums within each range. The driver then learns one
     row a range, its last group and that group's sums, and a second pass adds
     what earlier ranges hold of a range's first group.
