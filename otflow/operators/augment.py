@@ -74,11 +74,15 @@ def float_rows(packets: DataFrame) -> DataFrame:
 
 
 def signal_summary(rows: DataFrame, statistics: DataFrame) -> DataFrame:
-    """guid, host and all that is told of each series: statistics, distinct and top values, runs and timeline."""
+    """guid, host and all that is told of each series: statistics, distinct and top values, runs and timeline.
+
+    Counted and run are whole values; the timeline keeps the values as they are.
+    """
+    whole = registers.quantised(rows)
     named = rows.groupBy(F.col("series").alias("guid")).agg(F.min("host").alias("host"), F.min("name").alias("name"), F.min("protocol").alias("protocol"))
     lines = timeline.timelines(rows).select("series", "timeline", "points", "tolerance", F.col("ratio").alias("timeline_ratio"))
     out = statistics
-    for part in (registers.bucket_distinct(rows), registers.top_values(rows), registers.run_lengths(rows), lines):
+    for part in (registers.bucket_distinct(whole), registers.top_values(whole), registers.run_lengths(whole), lines):
         out = out.join(part, "series", "left")
     return named.join(out.withColumnRenamed("series", "guid"), "guid")
 
@@ -116,27 +120,46 @@ EDGE_PROPERTIES_OF_GROUPS = {
 EDGE_PROPERTIES = EDGE_PROPERTIES_OF_GROUPS | {"confidence": "correlationConfidence", "kind": "attribution"}
 
 
+def staged_relationships(known: DataFrame) -> DataFrame:
+    """The merged edges of the stages' groups; known: groups with src, dst, edge, confidence and kind."""
+    # Stages don't overlap within a pair of ends and a time, so their order is that of the stage's name and first packet.
+    order = F.struct("first_us", "stage", "edge")
+    return graph.merge_staged(known.select("src", "dst", F.lit("CONNECT_TO").alias("rel"), "packets", "bytes", "flows", "first_us", "last_us", F.lit(False).alias("correlated"), "stage", "protocol", F.array("port_min", "port_max").alias("ports"), order.alias("seq")))
+
+
+def known_groups(groups: DataFrame, identities: DataFrame) -> DataFrame:
+    """Groups whose client has an identity, as edges from its process (src) to a service (dst)."""
+    edge = identity.edge_key("client_ip", "server_ip", "server_port")
+    named = groups.withColumns({"edge": edge, "dst": graph.service_guid(X.host_name(F.col("server_ip")), F.col("server_port"))})
+    return named.join(identities.select("edge", F.col("guid").alias("src"), "confidence", "kind"), "edge")
+
+
+def existing_edges(flows: DataFrame, anchors: DataFrame, staged: DataFrame) -> DataFrame:
+    """Updates of edges that telemetry has already: src, dst, rel and what its flows tell.
+
+    Where an edge of the stages has the same ends, that one stays and the
+    update is left out, as the staged edge creates or updates the edge itself.
+    """
+    rollup = identity.telemetry_rollup(flows, anchors).select(F.col("process_guid").alias("src"), F.col("service").alias("dst"), F.lit("CONNECT_TO").alias("rel"), "flows", "packets", "bytes", "confidence", "method", F.col("majority_port").cast("string").alias("source_port"))
+    return rollup.join(staged.select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti")
+
+
 def relationships(packets: DataFrame, flows: DataFrame, anchors: DataFrame, identities: DataFrame, groups: DataFrame) -> DataFrame:
     """Statements of CONNECT_TO edges from a client's process to a service.
 
-    What telemetry correlates is told once, as an update of its edge; an edge of
-    the stages between the same ends is left out then. Each edge carries the
-    feature row of its most frequent client and service pair.
+    What telemetry correlates is told as an update of its edge, unless an edge of
+    the stages has the same ends. Each edge carries the feature row of its most
+    frequent client and service pair.
     """
-    rollup = identity.telemetry_rollup(flows, anchors).select(F.col("process_guid").alias("src"), F.col("service").alias("dst"), F.lit("CONNECT_TO").alias("rel"), "flows", "packets", "bytes", "confidence", "method", F.col("majority_port").cast("string").alias("source_port"))
-    edge = identity.edge_key("client_ip", "server_ip", "server_port")
-    host = X.host_name(F.col("server_ip"))
-    known = groups.withColumns({"edge": edge, "dst": graph.service_guid(host, F.col("server_port"))}).join(identities.select("edge", F.col("guid").alias("src"), "confidence", "kind"), "edge")
-    # Stages don't overlap within a pair of ends and a time, so their order is that of the stage's name and first packet.
-    order = F.struct("first_us", "stage", "edge")
-    staged = known.select("src", "dst", F.lit("CONNECT_TO").alias("rel"), "packets", "bytes", "flows", "first_us", "last_us", F.lit(False).alias("correlated"), "stage", "protocol", F.array("port_min", "port_max").alias("ports"), order.alias("seq"))
+    known = known_groups(groups, identities)
     told = known.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"), F.min("kind").alias("kind"), F.max_by("edge", F.struct("packets", "edge")).alias("edge"))
     rows = features.edge_rows(features.edge_packets(packets))
     extra = [c for c in rows.columns if c not in ("edge", "packets", "bytes", "protocol", "first_us", "last_us")]
-    merged = graph.merge_staged(staged).join(rollup.select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti")
-    merged = merged.join(told, ["src", "dst"]).join(rows.select("edge", *extra), "edge", "left")
+    staged = staged_relationships(known)
+    updates = existing_edges(flows, anchors, staged)
+    merged = staged.join(told, ["src", "dst"]).join(rows.select("edge", *extra), "edge", "left")
     names = EDGE_PROPERTIES | {c: _camel(c) for c in extra}
-    return graph.edge_statements(merged, RELATIONSHIPS, names).unionByName(graph.edge_statements(rollup, RELATIONSHIPS, {"flows": "canonicalCount", "packets": "packetCount", "bytes": "totalBytes", "confidence": "correlationConfidence", "method": "correlationMethod", "source_port": "SourcePort"}))
+    return graph.edge_statements(merged, RELATIONSHIPS, names).unionByName(graph.edge_statements(updates, RELATIONSHIPS, {"flows": "canonicalCount", "packets": "packetCount", "bytes": "totalBytes", "confidence": "correlationConfidence", "method": "correlationMethod", "source_port": "SourcePort"}))
 
 
 def accesses(rows: DataFrame, identities: DataFrame) -> DataFrame:

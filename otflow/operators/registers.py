@@ -75,9 +75,15 @@ def state_changes(obs: DataFrame) -> DataFrame:
     return obs.where(F.col("kind").isin("coil", "discreteInput")).withColumn("changed", (F.col("value") != last)).groupBy("series").agg(F.count_if("changed").alias("changes"))
 
 
-def bucket_distinct(obs: DataFrame, value: Column | None = None) -> DataFrame:
-    """Number of used buckets of 64, an estimate of distinct values that is full at 64."""
-    v = F.col("value").cast("long") if value is None else value
+def quantised(rows: DataFrame) -> DataFrame:
+    """rows with whole values, halves to the even neighbour: the form in which float signals are counted and run."""
+    return rows.withColumn("value", F.rint("value").cast("long"))
+
+
+def bucket_distinct(obs: DataFrame) -> DataFrame:
+    """Number of used buckets of 64 of whole values, an estimate of distinct ones that is full at 64; -1 counts as -2."""
+    v = F.col("value").cast("long")
+    v = F.when(v == -1, -2).otherwise(v)
     bit = F.expr("1L").cast("long")
     bucket = F.call_function("shiftleft", bit, F.pmod(v, F.lit(64)).cast("int"))
     return obs.groupBy("series").agg(F.bit_count(F.bit_or(bucket)).cast("int").alias("buckets"))

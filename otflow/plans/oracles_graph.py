@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from otflow import constants as C
 from otflow.plans.oracles import _BRUTE, _MQ, FLOWS, ORIENTED, P, _GROUP, _GUID, _HOST, _MATCH, _MODBUS, _OBS, _STAGE_EDGES, _STAGES, _orient, _to_port, policy, svc
 from otflow.sources.host_view import MANAGED
@@ -85,8 +87,24 @@ GRAPH_SQL = {
     "service_port_inferred": f"with {P} select case when 502 in (src_port, dst_port) then 502 when dst_port < 1024 then dst_port when src_port < 1024 then src_port end port, count(*) packets from p group by 1",
     "guid_running": rf"""with {P}, n as (select distinct unnest([src_ip, dst_ip]) ip from p)
         select ip, regexp_replace(md5('NetworkEndpoint:' || {_HOST('ip')}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') guid from n""",
-    "signal_mqtt_encoded": f"""with {_MQ}, r as (select series, run, count(*) n from (select *, sum(case when value is distinct from prev then 1 else 0 end) over (partition by series order by o) run from
-          (select series, value, o, lag(value) over (partition by series order by o) prev from sg)) group by 1, 2),
-        b as (select series, bit_count(bit_or(1::ubigint << (trunc(value)::bigint & 63)::ubigint))::int buckets from sg group by 1)
-        select series, count(*) runs, round(sum(n) / count(*), 2) ratio, count(*) > 200 truncated, any_value(buckets) buckets from r join b using (series) group by 1""",
+    "signal_mqtt_encoded": f"""with {_MQ}, q as (select series, round_even(value, 0)::bigint as value, o from sg),
+        r as (select series, run, count(*) n from (select *, sum(case when value is distinct from prev then 1 else 0 end) over (partition by series order by o) run from
+          (select series, value, o, lag(value) over (partition by series order by o) prev from q)) group by 1, 2),
+        b as (select series, bit_count(bit_or(1::ubigint << (case when value = -1 then -2 else value end & 63)::ubigint))::int buckets from q group by 1),
+        t as (select series, string_agg(value || ':' || n, ',' order by n desc, value) top_values from (select series, value, n, row_number() over (partition by series order by first) k from
+          (select series, value, count(*) n, min(o) first from q group by 1, 2)) where k <= 4 group by 1)
+        select series, count(*) runs, round(sum(n) / count(*), 2) ratio, count(*) > 200 truncated, any_value(buckets) buckets, any_value(top_values) top_values from r join b using (series) join t using (series) group by 1""",
 }
+
+
+def _inner(name: str) -> str:
+    """The part of a query that builds on matches and processes."""
+    return "with " + GRAPH_SQL[name].removeprefix(f"with {_MATCH}, {_PROC}, ")
+
+
+#: The stages' steps over flows that telemetry doesn't name.
+_LEFT_STAGES = re.sub(r"\bfl\b", "flx", _STAGES.removeprefix(FLOWS))
+
+GRAPH_SQL["existing_edges"] = f"""with {_MATCH}, {_PROC}, flx as (select * from fl where canonical_id not in (select canonical_id from mt)){_LEFT_STAGES}, ci as ({_inner('client_identity')}), ru as ({_inner('telemetry_rollup')}),
+    ed as (select *, {_HOST('server_ip')} host, server_port port, client_ip || '>' || server_ip || ':' || server_port || '/' || protocol edge from ({_STAGE_EDGES})), st as (select distinct guid src, {_SERVICE_GUID} dst from ed join ci using (edge))
+    select process_guid src, service dst, 'CONNECT_TO' rel, flows, packets, bytes, confidence, method, majority_port::varchar source_port from ru where not exists (select 1 from st where st.src = process_guid and st.dst = service)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from otflow.functions import columns as X
-from otflow.operators import correlate, features, flows, graph, grouping, identity, policy, registers, timeline
+from otflow.operators import augment, correlate, features, flows, graph, grouping, identity, policy, registers, timeline
 from otflow.plans import oracles
 from otflow.plans.oracles_decode import DECODE_SQL
 from otflow.plans.oracles_graph import GRAPH_SQL
@@ -170,5 +170,17 @@ on_packets("signal_mqtt_encoded", lambda p: _float_encodings(registers.mqtt_sign
 
 
 def _float_encodings(rows: DataFrame) -> DataFrame:
-    """Runs and distinct values of float signals."""
-    return registers.run_lengths(rows).select("series", "runs", "ratio", "truncated").join(registers.bucket_distinct(rows), "series")
+    """Runs, distinct and top values of float signals."""
+    whole = registers.quantised(rows)
+    return registers.run_lengths(whole).select("series", "runs", "ratio", "truncated").join(registers.bucket_distinct(whole), "series").join(registers.top_values(whole), "series")
+
+
+def _existing(flows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Updates of edges that telemetry has, where no edge of the stages for other flows has their ends."""
+    left = flows.join(correlate.session_matches(flows, anchors), "canonical_id", "left_anti")
+    groups, _ = grouping.run_stages(left)
+    known = augment.known_groups(groups, identity.client_identities(flows, anchors, hosts(flows.sparkSession)))
+    return augment.existing_edges(flows, anchors, augment.staged_relationships(known))
+
+
+on_anchors("existing_edges", _existing)
