@@ -164,24 +164,29 @@ def protocol_name(row: dict) -> str:
 
 
 def details(row: dict) -> dict:
-    """The columns of the one protocol that a packet's ports or content tell."""
-    payload, ports = row["payload"], (row["src_port"], row["dst_port"])
+    """The columns of the one protocol that a packet's ports or content tell, and that protocol's name."""
     out: dict = {"high_level_protocol": protocol_name(row)}
-    if row["protocol"] != "tcp" or not payload:
+    if row["protocol"] != "tcp" or not row["payload"]:
         return out
+    return out | content(row["payload"], row["src_port"], row["dst_port"])
+
+
+def content(payload: bytes, src_port: int, dst_port: int) -> dict:
+    """The columns that the content of a TCP packet tells."""
+    ports = (src_port, dst_port)
     if C.MODBUS_PORT in ports:
-        return out | modbus(payload, ports[1] == C.MODBUS_PORT)
+        return modbus(payload, dst_port == C.MODBUS_PORT)
     if found := mqtt(payload, *ports):
-        return out | found
+        return found
     if set(ports) & set(C.MQTT_PORTS):
-        return out
+        return {}
     if C.OPCUA_PORT in ports or opcua_is_certain(payload):
-        return out | opcua(payload)
+        return opcua(payload)
     if is_http(payload):
-        return out | http(payload)
+        return http(payload)
     if {443, 8443} & set(ports):
-        return out | {"tls_sni": sni(payload)}
-    return out
+        return {"tls_sni": sni(payload)}
+    return {}
 
 
 def http(payload: bytes) -> dict:

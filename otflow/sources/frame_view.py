@@ -102,6 +102,6 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = list(zip(*(batch.column(c).to_pylist() for c in ("e", "k", "v", "ts_us"))))
             for n, at in enumerate(range(0, len(found), 1000)):
                 content = capture([(ts, frame(e, k, v)) for e, k, v, ts in found[at : at + 1000]], "<>"[n % 2])
-                yield pa.RecordBatch.from_pylist(list(pcap.packet_rows("events.pcap", content)), arrow)
+                yield from pcap.packet_batches("events.pcap", [content], arrow)
 
     return rows.mapInArrow(run, PACKET)
