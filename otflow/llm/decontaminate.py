@@ -8,6 +8,7 @@ substituted words are found as well.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -16,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType
 
 from otflow.llm.common import WordHash, folded_words, materialize, mix64, slices, utf8
 
@@ -131,16 +134,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     where that begins, the first of several. Null and empty texts leak nothing;
     rows without an id are not judged; repeated rows give the same rows once.
     """
+    source = docs.selectExpr("cast(doc_id as long) id", "cast(text as binary) text").where("id is not null")
+    return _leaks(source, benchmark).withColumnRenamed("id", "doc_id")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """leaks of docs with an id of any type and a text; without an id a text is known by its SHA-256, in binary."""
+    named = "id" in docs.columns
+    kind = docs.schema["id"].dataType if named else BinaryType()
     items, found = item_seeds(benchmark)
     sizes = [r["n"] for r in items.select(F.least(F.size("tokens"), F.lit(WINDOW)).alias("n")).distinct().collect()]
     used = sorted({m for n in sizes for m in masks(n)})
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(found)))
+    arrow = to_arrow_type(kind)
     low, margin = np.uint64((1 << FILTER_BITS) - 1), WINDOW - 1
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = WordHash(), np.unpackbits(shared.value).view(bool)
         for batch in slices(batches, 500):
-            tokens, owner, sizes = _tokens(utf8(batch.column(1)), words)
+            texts = utf8(batch.column("text"))
+            tokens, owner, sizes = _tokens(texts, words)
             places, values = [], []
             for mask in used:
                 at, own = seeds(tokens, owner, mask)
@@ -154,7 +167,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             order = np.argsort(place, kind="stable")
             place, value = place[order], np.concatenate(values)[order]
             first = np.cumsum(sizes) - sizes
-            ids = batch.column(0).to_pylist()
+            ids = batch.column("id").to_pylist() if named else None
             # Hits whose surroundings overlap share a segment, as far as SPAN; every window has all its tokens in each of its hits' segments.
             new = np.append(True, (np.diff(place) > 3 * WINDOW) | (owner[place[1:]] != owner[place[:-1]]))
             piece = (place - place[new][np.cumsum(new) - 1]) // SPAN
@@ -165,16 +178,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 doc = owner[place[a]]
                 begin = max(first[doc], place[a] - margin)
                 end = min(first[doc] + sizes[doc], place[b - 1] + WINDOW + margin)
-                rows.append((ids[doc], int(begin - first[doc]), tokens[begin:end].view(np.int64), value[a:b].view(np.int64), (place[a:b] - begin).astype(np.int32)))
-            names, types = ["doc_id", "begin", "tokens", "seeds", "places"], (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                name = ids[doc] if named else hashlib.sha256(texts[doc]).digest()
+                rows.append((name, int(begin - first[doc]), tokens[begin:end].view(np.int64), value[a:b].view(np.int64), (place[a:b] - begin).astype(np.int32)))
+            names, types = ["id", "begin", "tokens", "seeds", "places"], (arrow, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text").where("doc_id is not null")
-    segments = source.mapInArrow(segment, "doc_id long, begin int, tokens array<long>, seeds array<long>, places array<int>")
+    segments = docs.mapInArrow(segment, f"id {kind.simpleString()}, begin int, tokens array<long>, seeds array<long>, places array<int>")
     segments = materialize(segments, "segments")
-    hits = segments.select("doc_id", "begin", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("doc_id", "begin", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("at"))
-    aligned = hits.join(found, "seed").select("doc_id", "begin", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
-    pairs = aligned.join(segments.select("doc_id", "begin", F.col("tokens").alias("text")), ["doc_id", "begin"]).join(items, "item_id")
+    hits = segments.select("id", "begin", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("id", "begin", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("at"))
+    aligned = hits.join(found, "seed").select("id", "begin", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    pairs = aligned.join(segments.select("id", "begin", F.col("tokens").alias("text")), ["id", "begin"]).join(items, "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,11 +197,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if best:
                     out.append((doc, item, best[0], best[1], begin + best[2]))
             if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "matched", "window", "position"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (arrow, pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["id", "item_id", "matched", "window", "position"])
 
-    checked = pairs.select("doc_id", "item_id", "begin", "shift", "text", "tokens").mapInArrow(verify, "doc_id long, item_id long, matched int, window int, position int")
+    checked = pairs.select("id", "item_id", "begin", "shift", "text", "tokens").mapInArrow(verify, f"id {kind.simpleString()}, item_id long, matched int, window int, position int")
     best = F.max(F.struct("matched", "window", (-F.col("position")).alias("back"))).alias("best")
-    return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.matched", "best.window", (-F.col("best.back")).alias("position"))
+    return checked.groupBy("id", "item_id").agg(best).select("id", "item_id", "best.matched", "best.window", (-F.col("best.back")).alias("position"))
 
 
 def best_window(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -206,6 +219,11 @@ def best_window(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item, all columns as they were."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(bad.hint("merge"), docs["doc_id"].cast("long") == bad["_leaking"], "left_anti")
+    """The rows of docs whose text leaks no item, all columns as they were.
+
+    Texts decide, told by their SHA-256: rows with one text all go or stay,
+    whatever their doc_ids are, null and repeated ones included. Null and empty
+    texts stay.
+    """
+    bad = _leaks(docs.select(F.col("text").cast("binary").alias("text")), benchmark).select(F.col("id").alias("_leaking")).distinct()
+    return docs.join(bad.hint("merge"), F.unhex(F.sha2(docs["text"].cast("binary"), 256)) == bad["_leaking"], "left_anti")

@@ -148,44 +148,50 @@ def parse_warc(data: bytes) -> Iterator[dict]:
     """Records of a WARC file, plain or of gzip members, one at a time.
 
     What can't be read has the kind 'malformed' and nothing else: a record
-    without a usable Content-Length, one that is cut short, a damaged gzip
-    member. Reading goes on with the next record that can be told.
+    without a usable Content-Length, which is one that ends where the file, the
+    member or the next record's line begins; one that is cut short; a damaged
+    gzip member. Reading goes on with the next record that can be told, which
+    may lie within the length that a malformed one claims.
     """
-    buffer, mark = bytearray(), b"WARC/"
+    buffer, mark = bytearray(), LINE
     for piece, ends in _plain(data):
         buffer += piece
-        while True:
-            begin = buffer.find(mark)
-            if begin < 0:
-                del buffer[: max(0, len(buffer) - len(mark) + 1)]
-                break
-            begin += len(mark) - 5
-            end = buffer.find(b"\r\n\r\n", begin)
-            if end < 0 and len(buffer) - begin <= HEAD:
-                break
-            size = None
-            if 0 <= end - begin <= HEAD:
-                _, fields, _ = _head(bytes(buffer[begin : end + 4]))
-                size = fields.get("content-length", "0")
-                size = int(size) if size.isascii() and size.isdigit() else None
-            if size is None:
-                yield MALFORMED
-                del buffer[: begin + 5]
-                mark = b"\r\n\r\nWARC/"  # what is left of the record may name one
-                continue
-            if len(buffer) < end + 4 + size:
-                break
-            block = bytes(buffer[end + 4 : end + 4 + size])
-            del buffer[: end + 4 + size]
-            mark = b"WARC/"
-            yield _record(fields, block)
+        mark = yield from _drained(buffer, mark, ends)
         if ends:
-            if buffer.find(mark) >= 0:
-                yield MALFORMED
             buffer.clear()
-            mark = b"WARC/"
-    if buffer.find(mark) >= 0:
-        yield MALFORMED
+            mark = LINE
+    yield from _drained(buffer, mark, True)
+
+
+#: How a record begins, and how one does after another one's block.
+LINE, NEXT = b"WARC/", b"\r\n\r\nWARC/"
+
+
+def _drained(buffer: bytearray, mark: bytes, final: bool) -> Iterator[dict]:
+    """The records that a buffer holds whole, which are taken off it; returns by what the next one is told."""
+    while (begin := buffer.find(mark)) >= 0:
+        begin += len(mark) - len(LINE)
+        end = buffer.find(b"\r\n\r\n", begin)
+        if end < 0 and len(buffer) - begin <= HEAD and not final:
+            return mark
+        fields, stop = {}, None
+        if 0 <= end - begin <= HEAD:
+            _, fields, _ = _head(bytes(buffer[begin : end + 4]))
+            size = fields.get("content-length", "0")
+            stop = end + 4 + int(size) if size.isascii() and size.isdigit() and len(size) < 19 else None
+        if stop is not None and len(buffer) < stop + len(NEXT) and not final:
+            return mark
+        if stop is not None and stop <= len(buffer) and LINE.startswith(bytes(buffer[stop : stop + len(NEXT)]).lstrip(b"\r\n")[: len(LINE)]):
+            block = bytes(buffer[end + 4 : stop])
+            del buffer[:stop]
+            mark = LINE
+            yield _record(fields, block)
+        else:
+            yield MALFORMED
+            del buffer[: begin + len(LINE)]
+            mark = NEXT  # what is left of the record may name one
+    del buffer[: max(0, len(buffer) - len(mark) + 1)]
+    return mark
 
 
 MALFORMED = {"record_id": None, "uri": None, "date": None, "kind": "malformed", "status": None, "headers": {}, "body": None, "body_sha256": None}

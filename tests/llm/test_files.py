@@ -103,6 +103,10 @@ def with_length(text):
         (with_length(b"-7") + GOOD, 1, 1),
         (with_length("\u0663".encode()) + GOOD, 1, 1),
         (GOOD + with_length(b"99999"), 1, 1),
+        (GOOD + with_length(b"99999") + GOOD + GOOD, 3, 1),
+        (GOOD + with_length(b"%d" % (len(GOOD) + 40)) + GOOD + GOOD, 3, 1),
+        (GOOD + with_length(b"3") + GOOD, 2, 1),
+        (with_length(b"9" * 40) + GOOD, 1, 1),
         (GOOD + b"WARC/1.0\r\n" + b"x" * 70_000 + b"\r\n\r\n" + GOOD, 2, 1),
         (zipped(GOOD) + zipped(GOOD)[:-30] + zipped(GOOD), 2, 0),
         (zipped(GOOD)[:20] + b"\xff" * 30 + zipped(GOOD), 1, 0),

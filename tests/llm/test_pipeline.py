@@ -91,11 +91,22 @@ def test_near_stage(spark, rows, folder):
 
 
 def test_decontamination_stage(spark, rows, folder):
-    short = [r for r in rows if len(r[1] or "") < 20_000]  # word by word, brute force takes its time
-    bad = {d for d in {int(x.strip("(").split(",")[0]) for x in brute_leaks([r[:2] for r in short if r[0] and r[0] >= 2000 or r[0] in (50, 51, 53)], ITEMS)}}
+    short = [(k, r[1]) for k, r in enumerate(rows) if len(r[1] or "") < 20_000]  # word by word, brute force takes its time
+    short = [(k, t) for k, t in short if (rows[k][0] or 0) >= 2000 or rows[k][0] in (50, 51, 53)]
+    bad = {int(x.strip("(").split(",")[0]) for x in brute_leaks(short, ITEMS)}
     got = plain(STAGES["decontamination"](spark, clashing(spark.read.parquet(f"{folder}/documents.parquet")), folder))
-    assert {3000, 3001, 3002, 3003, 3004} <= bad
-    assert got == sorted(((d, t) for d, t, *_ in rows if d not in bad), key=str)
+    assert {3000, 3001, 3002, 3003, 3004} <= {rows[k][0] for k in bad}
+    leaking = {rows[k][1] for k in bad}
+    assert got == sorted(((d, t) for d, t, *_ in rows if t not in leaking), key=str)
+
+
+def test_texts_leak_whatever_their_ids(spark):
+    from otflow.llm import decontaminate
+
+    item = words(77, 20)
+    docs = [(1, words(1, 40)), (1, f"{words(2, 9)} {item}"), (None, item), (None, words(3, 30)), (2, item), (2, item), (3, None), (4, ""), (5, words(4, 30)), (5, words(4, 30))]
+    kept = decontaminate.drop_leaking(clashing(frame(spark, [(d, t, "en", "s", 0) for d, t in docs])), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted((str(d), str(t)) for d, t in docs if item not in (t or ""))
 
 
 def test_bpe_stage(spark, rows, folder):
