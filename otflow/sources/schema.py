@@ -9,6 +9,3 @@ opcua_message_type string, opcua_chunk_type string, opcua_message_size long, opc
 opcua_security_policy_uri string, opcua_service_type string, opcua_operation string, opcua_request_id long, opcua_node_ids array<string>, opcua_values array<double>,
 modbus_function int, modbus_unit_id int, modbus_registers array<int>, modbus_read_registers array<int>, modbus_write_registers array<int>,
 modbus_register_values array<int>, modbus_transaction_id int"""
-
-NODE = "seq long, guid string, label string, host string, ips array<string>, props map<string,string>"
-EDGE = "seq long, src string, dst string, rel string, props map<string,string>"
