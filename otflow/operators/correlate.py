@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from otflow import constants as C
 from otflow.functions import columns as X
+from otflow.operators import intervals
 
 
 def valid_process() -> Column:
@@ -162,23 +163,36 @@ def best_process(found: DataFrame) -> DataFrame:
     return counts.withColumn("r", F.row_number().over(order)).where("r = 1").select("group_id", "process_guid", "matches", "port")
 
 
+def windows(anchors: DataFrame) -> DataFrame:
+    """anchors with first_us and last_us, their time window: of one time alone it is that time, without any there is none."""
+    have = {c: F.col(c) if c in anchors.columns else F.lit(None).cast("long") for c in ("first_us", "last_us")}
+    return anchors.withColumns({"first_us": F.coalesce(have["first_us"], have["last_us"]), "last_us": F.coalesce(have["last_us"], have["first_us"])})
+
+
 def brute_force(flows: DataFrame, anchors: DataFrame, tolerance_s: float = C.TOLERANCE_S) -> DataFrame:
     """The verifier's matches: either address direction, the server's port and protocol, then a session port or overlapping times.
 
-    The equality part of the condition is a join key, so this stays a hash or
-    merge join; times are the residual condition.
+    The first anchor of a flow that has a session with one of its ports, or
+    whose window, widened by the tolerance, overlaps the flow's. Ports are
+    looked up among the first anchors of each port, windows by
+    intervals.first_overlaps, so that a pair that many flows and anchors share
+    doesn't meet row by row.
     """
     sp, dp = F.col("src_port"), F.col("dst_port")
     server = F.when(X.is_service_port(dp), dp).when(X.is_service_port(sp), sp).otherwise(dp)
-    own = flows.select("canonical_id", "first_us", "last_us", F.array("src_port", "dst_port").alias("ports"), F.least("src_ip", "dst_ip").alias("x"), F.greatest("src_ip", "dst_ip").alias("y"), server.alias("port"), F.lower("protocol").alias("proto"))
-    theirs = anchors.select("anchor_seq", F.least("src_ip", "dst_ip").alias("x"), F.greatest("src_ip", "dst_ip").alias("y"), F.col("dst_port").alias("port"), F.lower("protocol").alias("proto"), "sessions")
-    met = own.join(theirs, ["x", "y", "port", "proto"])
-    by_port = F.arrays_overlap("ports", F.transform("sessions", lambda s: s["port"]))
-    tol = int(tolerance_s * 1e6)
-    times = F.transform("sessions", lambda s: s["ts_us"])
-    overlap = (F.array_min(times) - tol <= F.col("last_us")) & (F.array_max(times) + tol >= F.col("first_us"))
-    hits = met.where(has_sessions() & (by_port | overlap))
-    return hits.groupBy("canonical_id").agg(F.min_by(F.when(by_port, "session_port").otherwise("temporal"), "anchor_seq").alias("reason"), F.min("anchor_seq").alias("anchor_seq"))
+    key = ["x", "y", "server", "proto"]
+    ends = [F.least("src_ip", "dst_ip").alias("x"), F.greatest("src_ip", "dst_ip").alias("y")]
+    own = flows.select(F.col("canonical_id").alias("id"), "first_us", "last_us", F.array("src_port", "dst_port").alias("ports"), *ends, server.alias("server"), F.lower("protocol").alias("proto"))
+    theirs = windows(anchors).select(F.col("anchor_seq").alias("seq"), *ends, F.col("dst_port").alias("server"), F.lower("protocol").alias("proto"), "sessions", "first_us", "last_us")
+    first = theirs.select("seq", *key, F.explode("sessions.port").alias("port")).groupBy(*key, "port").agg(F.min("seq").alias("seq"))
+    by_port = own.select("id", *key, F.explode(F.array_distinct("ports")).alias("port")).join(first, [*key, "port"]).groupBy("id").agg(F.min("seq").alias("port_seq"))
+    wide = int(tolerance_s * 1e6)
+    spans = own.select("id", F.col("first_us").alias("begin"), F.col("last_us").alias("end"), *key)
+    by_time = intervals.first_overlaps(spans, theirs.select("seq", (F.col("first_us") - wide).alias("begin"), (F.col("last_us") + wide).alias("end"), *key), key)
+    hits = by_port.join(by_time, "id", "full_outer")
+    anchor = F.least("port_seq", "seq")
+    reason = F.when(F.col("port_seq") == anchor, "session_port").otherwise("temporal")
+    return hits.select(F.col("id").alias("canonical_id"), reason.alias("reason"), anchor.alias("anchor_seq"))
 
 
 def verify(flows: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -141,6 +141,7 @@ _HTTP = f"""select edge, http_method, http_status, coalesce(nullif(coalesce(h, '
 _ANCHORS = f"""{ORIENTED},
 an as (select first_index seq, client_ip sip, case when first_index % 2 = 0 then client_port else 0 end sport, server_ip dip, server_port dport, protocol proto,
     case when first_index % 15 <> 0 then client_port end ses_port, first_us + case when first_index % 4 = 0 then 120000000 else 0 end ses_us,
+    case when first_index % 5 < 3 then first_us + (first_index % 7 - 3) * 50000000 end win_first, case when first_index % 5 < 2 then (first_index % 4) * 40000000 else 0 end win_size,
     case when first_index % 5 <> 0 then 'g' || (first_index % 7) end guid, case when first_index % 5 <> 0 then 'image' || (first_index % 7) end image
   from ori where client_ip is not null and first_index % 3 = 0)"""
 _CAND = f"""{_ANCHORS},
@@ -155,8 +156,8 @@ mt as (select canonical_id, seq anchor_seq, tier, case when near then 1.0::doubl
    from cand join an using (seq) join fl using (canonical_id) where ses_port is not null and (ses_port = src_port or ses_port = dst_port)) where r = 1)"""
 _BRUTE = f"""{_MATCH},
 bf as (select canonical_id, arg_min(case when byport then 'session_port' else 'temporal' end, seq) reason, min(seq) anchor_seq from
-  (select canonical_id, seq, (ses_port = src_port or ses_port = dst_port) byport, ses_us - 60000000 <= last_us and ses_us + 60000000 >= first_us near
-   from fl join an on protocol = proto and ses_port is not null and ((src_ip = sip and dst_ip = dip) or (src_ip = dip and dst_ip = sip))
+  (select canonical_id, seq, coalesce(ses_port = src_port or ses_port = dst_port, false) byport, coalesce(win_first - 60000000 <= last_us and win_first + win_size + 60000000 >= first_us, false) near
+   from fl join an on protocol = proto and ((src_ip = sip and dst_ip = dip) or (src_ip = dip and dst_ip = sip))
      and dport = case when {svc('dst_port')} then dst_port when {svc('src_port')} then src_port else dst_port end) where byport or near group by 1)"""
 
 _HOST = lambda c: "case " + " ".join(f"when {c} = '{ip}' then '{h}'" for ip, h in C.HOST_NAMES.items()) + f" else {c} end"

@@ -316,6 +316,7 @@ def telemetry(nodes: DataFrame, edges: DataFrame, rels: tuple[str, ...] = ("CONN
     is_process = F.lower("src_label") == "process"
     own = lambda n: F.when(is_process, F.col("src_props")[n])
     process = F.struct(F.when(is_process, F.col("src")).alias("guid"), own("image").alias("image"), own("processId").try_cast("int").alias("pid"), own("user").alias("user"), own("computer").alias("computer"))
+    seen = lambda *names: (X.parse_time(prop(*names)) * 1e6).cast("long")
     rows = e.select(
         F.col("seq").alias("anchor_seq"),
         F.coalesce(prop("SourceIp", "sourceIp"), "src_node_ip").alias("src_ip"),
@@ -325,5 +326,7 @@ def telemetry(nodes: DataFrame, edges: DataFrame, rels: tuple[str, ...] = ("CONN
         X.transport(F.coalesce(prop("Protocol", "protocol"), dst("protocol"))).alias("protocol"),
         sessions.alias("sessions"),
         process.alias("process"),
+        seen("firstSeen", "FirstSeen", "timestamp").alias("first_us"),
+        seen("lastSeen", "LastSeen", "timestamp").alias("last_us"),
     )
     return rows.where("src_ip is not null and dst_ip is not null and dst_port > 0")

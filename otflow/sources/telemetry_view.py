@@ -21,6 +21,7 @@ def anchors(flows: DataFrame) -> DataFrame:
     process = F.struct(
         F.when(n % 5 != 0, text("g")).alias("guid"), F.when(n % 5 != 0, text("image")).alias("image"), (n % 7).cast("int").alias("pid"), F.lit("svc").alias("user"), F.lit(None).cast("string").alias("computer")
     )
+    opened = F.when(n % 5 < 3, F.col("first_us") + (n % 7 - 3) * 50_000_000)
     return known.select(
         n.alias("anchor_seq"),
         F.col("client.ip").alias("src_ip"),
@@ -30,4 +31,6 @@ def anchors(flows: DataFrame) -> DataFrame:
         "protocol",
         F.when(n % 15 == 0, F.array().cast("array<struct<port:int,ts_us:bigint>>")).otherwise(F.array(session)).alias("sessions"),
         process.alias("process"),
+        opened.alias("first_us"),
+        F.when(n % 5 < 2, opened + (n % 4) * 40_000_000).alias("last_us"),
     )

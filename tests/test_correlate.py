@@ -1,8 +1,11 @@
 """Correlation and process lookup on crafted flows and anchors."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from otflow.operators import correlate, identity
+from otflow.operators import correlate, identity, intervals
 
 FLOW = "canonical_id string, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, first_us long, last_us long"
 ANCHOR = (
@@ -68,7 +71,7 @@ def test_best_process(spark):
 
 
 def test_verifier_finds_what_sessions_miss(spark):
-    late = anchors(spark, (1, A, 0, B, 502, [(50000, 100_000_500)], True))
+    late = anchors(spark, (1, A, 0, B, 502, [(50000, 100_000_500)], True)).withColumn("first_us", F.lit(100_000_500).cast("long"))
     (r,) = correlate.verify(flow(spark), late).collect()
     assert (r["verdict"], r["reason"]) == ("missed", "temporal")
     exact = anchors(spark, (1, A, 0, B, 502, [(40001, 100_000_000)], True))
@@ -101,3 +104,60 @@ def test_one_hot_service_costs_rows_in_proportion(spark):
     assert got == want
     named = correlate.process_lookup(flows.withColumnRenamed("canonical_id", "conn_id"), found).collect()
     assert {r["conn_id"]: r["anchor_seq"] for r in named} == {f"f{k}": first.get(30000 + k % 2000, (0,))[0] for k in range(n)}
+
+
+SPAN = "id long, begin long, end long, k string"
+
+
+def spans_and_windows(seed):
+    """Spans and windows of all sizes: points, parts of a bin, years, ends that touch by a microsecond, nulls and reversed ones."""
+    rng = random.Random(seed)
+    sizes = [0, 1, 1000, 1 << 26, (1 << 26) - 1, 10**9, 10**12, 10**15]
+    places = [0, 1 << 26, 5 << 26, 1_700_000_000_000_000, -(3 << 26)]
+
+    def rows(n):
+        out = []
+        for k in range(n):
+            begin = rng.choice(places) + rng.choice([0, 1, -1, rng.randrange(1 << 28)])
+            end = begin + rng.choice([*sizes, rng.randrange(1 << 30), -5])
+            out.append((k, *rng.choice([(begin, end)] * 12 + [(None, end), (begin, None)]), rng.choice(["a", "a", "b", None])))
+        return out
+
+    return rows(150), [(900 - s, b, e, k) for s, b, e, k in rows(120)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlaps_equal_nested_loops(spark, seed):
+    spans, held = spans_and_windows(seed)
+    got = intervals.first_overlaps(spark.createDataFrame(spans, SPAN), spark.createDataFrame(held, SPAN.replace("id", "seq")), ["k"])
+    want = {}
+    for i, b, e, k in spans:
+        hits = [s for s, x, y, j in held if None not in (b, e, x, y, k, j) and k == j and b <= e and x <= y and x <= e and b <= y]
+        if hits:
+            want[i] = min(hits)
+    assert {r["id"]: r["seq"] for r in got.collect()} == want and len(want) > 30
+
+
+def test_touching_ends_overlap(spark):
+    held = spark.createDataFrame([(1, 100, 200, "k")], SPAN.replace("id", "seq"))
+    spans = spark.createDataFrame([(1, 0, 100, "k"), (2, 200, 300, "k"), (3, 0, 99, "k"), (4, 201, 300, "k"), (5, 120, 130, "k"), (6, 0, 1 << 50, "k")], SPAN)
+    assert {r["id"] for r in intervals.first_overlaps(spans, held, ["k"]).collect()} == {1, 2, 5, 6}
+
+
+def test_hot_pair_of_windows_costs_rows_in_proportion(spark):
+    """Windows of days over flows of one pair of hosts: 2,000 times 2,000 overlaps, each flow meets less than a hundred rows."""
+    n, day = 2000, 86_400_000_000
+    flows = spark.createDataFrame([(f"f{k}", A, 30000 + k, B, 502, "tcp", 30 * day + k * 1_000_000_000, 30 * day + k * 1_000_000_000 + 5_000_000) for k in range(n)], FLOW)
+    many = [(n - k, A, 0, B, 502, "TCP", [], ("g", "i", 1, None, None), k * day // 100, 60 * day - k) for k in range(n)]
+    found = correlate.brute_force(flows, spark.createDataFrame(many, ANCHOR + ", first_us long, last_us long"))
+    assert [tuple(r) for r in found.groupBy("reason", "anchor_seq").count().collect()] == [("temporal", 1, n)]
+    execution = found._jdf.queryExecution()
+    assert "NestedLoop" not in execution.executedPlan().toString() and "CartesianProduct" not in execution.executedPlan().toString()
+
+
+def test_one_time_alone_is_the_window(spark):
+    rows = anchors(spark, (1, A, 0, B, 502, [], True))
+    for column, at, hit in (("first_us", 100_001_000 + 60_000_000, True), ("last_us", 100_001_001 + 60_000_000, False), ("last_us", 40_000_000, True), ("first_us", 39_999_999, False)):
+        told = rows.withColumn(column, F.lit(at).cast("long"))
+        assert correlate.brute_force(flow(spark), told).count() == hit
+    assert correlate.brute_force(flow(spark), rows).count() == 0
