@@ -118,13 +118,19 @@ on_observations("sdt_timeline", timeline.timelines, *SHORT)
 on_observations("value_encoding", lambda o: o.groupBy("series").agg(X.value_text(F.sum("value").cast("double") / 4).alias("quarter_text"), X.value_text(F.max("value").cast("double")).alias("max_text")), *SHORT)
 
 
+def summaries(obs: DataFrame) -> DataFrame:
+    """All that is told of each series, in the columns that merge_summaries takes."""
+    lines = timeline.timelines(obs).select("series", "timeline", "points", "tolerance")
+    out = registers.statistics(obs)
+    for part in (registers.state_changes(obs), registers.bucket_distinct(obs), registers.top_values(obs), registers.run_lengths(obs).drop("ratio"), lines):
+        out = out.join(part, "series", "left")
+    return out.select("series", *timeline.SUMMARY)
+
+
 def _halves(obs: DataFrame) -> DataFrame:
     """Summaries of the even and the odd packets, to be merged again."""
-    parts = []
-    for k in (0, 1):
-        half = obs.where(F.col("packet_index") % 2 == k)
-        parts.append(registers.statistics(half).join(timeline.timelines(half).select("series", "timeline"), "series"))
-    return parts[0].unionByName(parts[1])
+    even, odd = (summaries(obs.where(F.col("packet_index") % 2 == k)) for k in (0, 1))
+    return even.unionByName(odd)
 
 
 on_observations("summary_merge", lambda o: timeline.merge_summaries(_halves(o)), *SHORT)

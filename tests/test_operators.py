@@ -66,15 +66,57 @@ def test_timelines_equal_model(spark):
     assert {k: timeline.encode(plain_corners(p)[0]) for k, p in want.items()} == {k: r["timeline"] for k, r in got.items()}
 
 
+def plain_merge(parts):
+    """Summaries of one series, merged one after another."""
+    known = lambda c: [p[c] for p in parts if p[c] is not None]
+    samples = sum(p["samples"] for p in parts)
+    late = max(parts, key=lambda p: (p["last_us"], p["last_value"]))
+    best = max(parts, key=lambda p: (p["points"] or 0, p["buckets"] or 0, p["runs"] or 0, p["samples"], p["rle"] or ""))
+    tops = {}
+    for text in known("top_values"):
+        for part in text.split(","):
+            value, n = map(int, part.split(":"))
+            tops[value] = tops.get(value, 0) + n
+    points = sorted({(round(t * 1e6) / 1e6, v) for text in known("timeline") for t, v in timeline.decode(text)})
+    corners, tolerance = plain_corners(points, min(p["tolerance"] for p in parts if p["timeline"]))
+    out = {c: sum(known(c)) if known(c) else None for c in ("reads", "writes", "samples", "changes")}
+    out |= {c: max(known(c), default=None) for c in ("max_value", "buckets", "last_us", "last_write_us")}
+    out |= {"min_value": min(known("min_value")), "last_value": late["last_value"], "last_function": max(parts, key=lambda p: (p["last_us"], p["last_function"]))["last_function"]}
+    out |= {"functions": ",".join(map(str, sorted({int(f) for p in parts for f in p["functions"].split(",")}))), "truncated": any(known("truncated"))}
+    out |= {"top_values": ",".join(f"{v}:{n}" for v, n in sorted(tops.items(), key=lambda x: (-x[1], x[0]))[:4]), "rle": best["rle"], "runs": best["runs"], "ratio": round(samples / best["runs"] + 1e-9, 2)}
+    return out | {"timeline": timeline.encode(corners), "points": len(corners), "tolerance": tolerance, "timeline_ratio": round(samples / len(corners) + 1e-9, 2)}
+
+
 def test_merged_summaries(spark):
+    """Summaries of six kinds of packets merged, against a loop over them, and counts against those of all packets."""
+    from functools import reduce
+
     from otflow.plans import registry
 
     obs = registers.with_series(registers.observations(packets(spark, SF)), "server_ip", "register", "kind")
+    parts = reduce(lambda a, b: a.unionByName(b), [registry.summaries(obs.where(F.col("packet_index") % 6 == k)) for k in range(6)]).persist()
+    by_series = {}
+    for r in parts.collect():
+        by_series.setdefault(r["series"], []).append(r.asDict())
+    got = {r["series"]: r.asDict() for r in timeline.merge_summaries(parts).collect()}
     whole = {r["series"]: r for r in registers.statistics(obs).collect()}
-    for r in registry.QUERIES["summary_merge"](spark, SF).collect():
-        w = whole[r["series"]]
-        assert (r["reads"], r["writes"], r["samples"], r["min_value"], r["max_value"], r["last_value"], r["functions"]) == tuple(w[k] for k in ("reads", "writes", "samples", "min_value", "max_value", "last_value", "functions"))
-        assert r["mean_value"] == pytest.approx(w["mean_value"], abs=0.002)
+    assert set(got) == set(by_series) == set(whole) and max(map(len, by_series.values())) > 3
+    for series, r in got.items():
+        want = plain_merge(by_series[series])
+        assert {c: r[c] for c in want} == want
+        assert r["mean_value"] == pytest.approx(whole[series]["mean_value"], abs=0.002)
+        assert (r["samples"], r["min_value"], r["max_value"], r["last_value"]) == tuple(whole[series][c] for c in ("samples", "min_value", "max_value", "last_value"))
+
+
+def test_float_signals_are_counted_in_whole_values(spark):
+    """Halves go to the even neighbour, in runs, buckets and top values."""
+    values = [1.2, 1.4, 1.6, 2.5, -0.5, 0.4, 0.5, 1.5, -1.2, -2.4]
+    rows = spark.createDataFrame([("s", v, k, "f", k) for k, v in enumerate(values)], "series string, value double, ts_us long, pcap_file string, packet_index long")
+    whole = registers.quantised(rows)
+    assert [r["value"] for r in whole.orderBy("ts_us").collect()] == [round(v) for v in values] == [1, 1, 2, 2, 0, 0, 0, 2, -1, -2]
+    assert registers.run_lengths(whole).first()["rle"] == "1:2,2:2,0:3,2:1,-1:1,-2:1"
+    assert registers.top_values(whole).first()["top_values"] == "0:3,2:3,1:2,-1:1"
+    assert registers.bucket_distinct(whole).first()["buckets"] == len({hash(round(v)) & 63 for v in values}) == 4
 
 
 @pytest.mark.parametrize(
