@@ -163,9 +163,102 @@ def protocol_name(row: dict) -> str:
     return row["protocol"].upper()
 
 
-def details(row: dict) -> dict:
+def dns_name(data: bytes, at: int) -> tuple[str, int]:
+    """A name of a DNS message and the place after it; pointers lead to earlier places only, so none goes in circles."""
+    labels, after, least = [], None, at
+    while True:
+        if at >= len(data):
+            raise Short
+        size = data[at]
+        if size >= 0xC0:
+            if at + 2 > len(data):
+                raise Short
+            to = (size & 0x3F) << 8 | data[at + 1]
+            if to >= least:
+                raise Short
+            after, at, least = after or at + 2, to, to
+        elif size >= 0x40 or at + 1 + size > len(data):
+            raise Short
+        elif not size:
+            return ".".join(labels), after or at + 1
+        else:
+            labels.append(data[at + 1 : at + 1 + size].decode("latin-1"))
+            at += 1 + size
+
+
+def dns_message(payload: bytes) -> dict | None:
+    """A DNS message: id, response, operation, code, questions (name, type) and answers (name, type); None if it is none.
+
+    All four sections have to be there; what a datagram cuts off doesn't count
+    as a message unless the header says so.
+    """
+    try:
+        at = Cursor(payload)
+        ident, flags, *counts = (at.u16() for _ in range(6))
+        out: dict = {"id": ident, "response": bool(flags >> 15), "operation": flags >> 11 & 15, "code": flags & 15, "questions": [], "answers": []}
+        for _ in range(counts[0]):
+            name, at.at = dns_name(payload, at.at)
+            out["questions"].append((name, at.u16()))
+            at.take(2)
+        for k in range(sum(counts[1:])):
+            name, at.at = dns_name(payload, at.at)
+            kind = at.u16()
+            at.take(6)
+            at.take(at.u16())
+            if k < counts[1]:
+                out["answers"].append((name, kind))
+    except Short:
+        return out if len(payload) >= 12 and flags >> 9 & 1 else None
+    return out if sum(counts) else None
+
+
+#: Packet types of the NetBIOS session service.
+NETBIOS_TYPES = (0x00, 0x81, 0x82, 0x83, 0x84, 0x85)
+
+
+def netbios_session(payload: bytes) -> tuple[int, bytes] | None:
+    """Type and body of a NetBIOS session packet, as far as the segment holds it; None if it is none."""
+    if len(payload) < 4 or payload[0] not in NETBIOS_TYPES or payload[1] > 1:
+        return None
+    size = (payload[1] & 1) << 16 | int.from_bytes(payload[2:4], "big")
+    return payload[0], payload[4 : 4 + size]
+
+
+def smb_command(body: bytes) -> int | None:
+    """The command of an SMB header of the first version; None if there is none. Later versions begin otherwise."""
+    return body[4] if len(body) >= 32 and body[:4] == b"\xffSMB" else None
+
+
+def full_protocol_name(row: dict) -> str:
+    """The application protocol as the full backend tells it: by its message, then by port, the source's first, then by content."""
+    payload, sp, dp, tcp = row["payload"], row["src_port"], row["dst_port"], row["protocol"] == "tcp"
+    ports = {sp, dp}
+    if (53 in ports and dns_message(payload[2:] if tcp else payload)) or (ports == {5353} and not tcp and dns_message(payload)):
+        return "DNS"
+    http = tcp and (payload.startswith(HTTP_METHODS[:-1]) or any(v in payload[:32] for v in (b"HTTP/1.", b"HTTP/2.")))
+    if http and ports & {80, 8080}:
+        return "HTTP"
+    if tcp and ports & {139, 445} and (session := netbios_session(payload)):
+        return "NetBIOS" if smb_command(session[1]) is None else "SMB"
+    tls = tcp and len(payload) > 5 and is_tls(payload)
+    for port in (sp, dp):
+        if name := PORT_PROTOCOLS.get(port):
+            return "HTTPS" if name == "HTTP" and tls else name
+    if tcp and payload:
+        if mqtt(payload, sp, dp).get("mqtt_packet_type_code") is not None:
+            return "MQTT"
+        if opcua_is_certain(payload):
+            return "OPCUA"
+        if http:
+            return "HTTP"
+        if tls:
+            return "TLS"
+    return row["protocol"].upper()
+
+
+def details(row: dict, full: bool = False) -> dict:
     """The columns of the one protocol that a packet's ports or content tell, and that protocol's name."""
-    out: dict = {"high_level_protocol": protocol_name(row)}
+    out: dict = {"high_level_protocol": full_protocol_name(row) if full else protocol_name(row)}
     if row["protocol"] != "tcp" or not row["payload"]:
         return out
     return out | content(row["payload"], row["src_port"], row["dst_port"])

@@ -28,6 +28,8 @@ _NAMES = np.array(["", *sorted(set(decode.PORT_PROTOCOLS.values()))], object)
 _BY_PORT = np.zeros(65536, np.uint8)
 for _port, _name in decode.PORT_PROTOCOLS.items():
     _BY_PORT[_port] = np.flatnonzero(_NAMES == _name)[0]
+#: Ports whose messages the full backend reads.
+_TELLING = (53, 80, 139, 445, 5353, 8080)
 _HTTP = int(np.flatnonzero(_NAMES == "HTTP")[0])
 #: First bytes by which contents may tell their protocol off its ports: MQTT's CONNECT, OPC UA's HEL and OPN, HTTP, TLS.
 _FIRST_UA = np.isin(np.arange(256), list(b"HO"))
@@ -152,7 +154,7 @@ def table(name: str, data: bytes, starts: np.ndarray, sizes: np.ndarray, times:
         first_byte[k] = content[0] if content else 0
     part = lambda k: contents[k] if k in contents else data[payload[k] : payload[k] + size[k]]
     if wanted.has("high_level_protocol"):
-        columns["high_level_protocol"] = _protocols(columns, code, size, first_byte, part)
+        columns["high_level_protocol"] = (_full_protocols if full else _protocols)(columns, code, size, first_byte, part)
     return _batch(name, len(at), columns, code, _details(columns, code, size, first_byte, part, wanted), schema, wanted)
 
 
@@ -184,6 +186,17 @@ def _protocols(columns: dict[str, np.ndarray], code: np.ndarray, size: np.ndarra
     return out
 
 
+def _full_protocols(columns: dict[str, np.ndarray], code: np.ndarray, size: np.ndarray, first_byte: np.ndarray, part) -> np.ndarray:
+    """decode.full_protocol_name of each row; contents are looked at where they may tell more than ports, or ports tell nothing."""
+    sp, dp = columns["src_port"].astype(np.int64), columns["dst_port"].astype(np.int64)
+    by_port = np.where(_BY_PORT[sp] > 0, _BY_PORT[sp], _BY_PORT[dp])
+    out = np.where(by_port > 0, _NAMES[by_port], np.array(["", "TCP", "UDP", "OTHER"], object)[code])
+    closer = np.isin(sp, _TELLING) | np.isin(dp, _TELLING) | ((by_port == 0) & (code == _TCP))
+    for k in np.flatnonzero(closer & (size > 0)).tolist():
+        out[k] = decode.full_protocol_name({"payload": part(k), "src_port": int(sp[k]), "dst_port": int(dp[k]), "protocol": str(_PROTOCOLS[code[k]])})
+    return out
+
+
 def _details(columns: dict[str, np.ndarray], code: np.ndarray, size: np.ndarray, first_byte: np.ndarray, part, wanted: Wanted) -> dict[str, dict[int, object]]:
     """Columns of contents: of each its values by row. Only contents that may give a wanted column are decoded."""
     sp, dp = columns["src_port"].astype(np.int64), columns["dst_port"].astype(np.int64)

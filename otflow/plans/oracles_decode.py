@@ -27,4 +27,6 @@ DECODE_SQL = {
     + """select e tcp_seq, if(back = 0, 'HEL', 'OPN') opcua_message_type, 'F' opcua_chunk_type, if(back = 0, 'opc.tcp://host' || k || ':4840', null) opcua_endpoint_url,
       if(back = 1, e, null) opcua_secure_channel_id, if(back = 1, 'policy-' || (k % 4), null) opcua_security_policy_uri from n where kind = 4""",
     "decode_tls": _FRAMES + "select e tcp_seq, if(back = 0, 's' || k || '.example.net', null) tls_sni from n where kind = 5",
+    "decode_names": """select event_id, ['UDP', 'NetBIOS', 'SMB', 'Modbus', 'DNS'][k % 5 + 1] plain, ['DNS', 'SMB', 'NetBIOS', 'SSH', 'DNS'][k % 5 + 1] "full"
+      from (select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events)""",
 }

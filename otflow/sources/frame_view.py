@@ -105,3 +105,37 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield from pcap.packet_batches("events.pcap", [content], arrow)
 
     return rows.mapInArrow(run, PACKET)
+
+
+def _named(k: int) -> tuple[int, int, int, bytes]:
+    """Transport, ports and content whose protocol the two backends name in their own ways."""
+    question = struct.pack(">6H", k, 0, 1, 0, 0, 0) + bytes((3,)) + b"plc" + bytes((5,)) + b"local" + struct.pack(">BHH", 0, 1, 1)
+    session = lambda body: struct.pack(">HH", 0, len(body)) + body
+    return (
+        (17, 5353, 5353, question),
+        (6, 40000 + k, 139, session(b"\xffSMB\x72" + bytes(27))),
+        (6, 445, 40000 + k, session(b"\xfeSMB" + bytes(60))),
+        (6, 22, 502, b""),
+        (6, 40000 + k, 53, struct.pack(">H", len(question)) + question),
+    )[k % 5]
+
+
+def names_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, plain and full: the protocol of a frame of each event as either backend names it."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id e", "cast(get_json_object(props, '$.k') as bigint) k")
+    arrow = to_arrow_schema(StructType.fromDDL(PACKET))
+    wanted = pcap.Wanted(frozenset(("ts_us", "high_level_protocol")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frames = []
+            for e, k in zip(batch.column("e").to_pylist(), batch.column("k").to_pylist()):
+                transport, sp, dp, content = _named(k)
+                ports = struct.pack(">HH", sp, dp)
+                body = ports + (struct.pack(">HH", 8 + len(content), 0) if transport == 17 else struct.pack(">IIBBHHH", 1, 1, 5 << 4, 24, 0, 0, 0)) + content
+                frames.append((e, bytes(12) + b"\x08\0" + struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, 64, transport, 0) + bytes((10, 0, 0, 1, 10, 0, 0, 2)) + body))
+            content = capture(frames, "<")
+            plain, full = (pa.Table.from_batches(pcap.packet_batches("events.pcap", [content], arrow, None, which, wanted), arrow).combine_chunks() for which in (False, True))
+            yield from pa.table([plain["ts_us"], plain["high_level_protocol"], full["high_level_protocol"]], names=["event_id", "plain", "full"]).to_batches()
+
+    return rows.mapInArrow(run, "event_id long, plain string, full string")

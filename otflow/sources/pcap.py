@@ -49,7 +49,7 @@ def packet_rows(name: str, data: bytes, limit: int | None = None, full: bool = F
         if limit is not None and index >= limit:
             return
         for row in decode.frames(frame, full):
-            row |= decode.details(row)
+            row |= decode.details(row, full)
             row.pop("payload")
             yield row | {"pcap_file": name, "packet_index": index, "ts_us": ts_us}
 

@@ -150,8 +150,8 @@ def test_columns_equal_frames(full):
     assert by_columns(data, full, limit=50) == plain(data, full, 50)
 
 
-payloads = st.one_of(st.binary(max_size=90), st.builds(lambda a, b: a + b, st.sampled_from([b"MSGF", b"HELF", b"OPNF", b"\x10", b"\x30", b"GET / ", b"HTTP/1.1 200 ", b"\x16\x03\x01", bytes(7)]), st.binary(max_size=60)))
-ports = st.sampled_from([502, 1883, 8883, 4840, 443, 8443, 80, 8080, 53, 5, 40000])
+payloads = st.one_of(st.binary(max_size=90), st.builds(lambda a, b: a + b, st.sampled_from([b"MSGF", b"HELF", b"OPNF", b"\x10", b"\x30", b"GET / ", b"HTTP/1.1 200 ", b"\x16\x03\x01", bytes(7), b"\0\0\0\x24\xffSMB", b"\0\7\1\0\0\1\0\0\0\0\0\0\1a\0\0\1\0\1"]), st.binary(max_size=60)))
+ports = st.sampled_from([502, 1883, 8883, 4840, 443, 8443, 80, 8080, 53, 5353, 139, 445, 5, 40000])
 
 
 @settings(max_examples=150, deadline=None)

@@ -140,3 +140,48 @@ def test_sni():
     body = b"\3\3" + b"\0" * 32 + b"\0" + struct.pack(">H", 2) + b"\0\1" + b"\1\0" + struct.pack(">H", len(extension)) + extension
     hello = b"\x16\3\1" + struct.pack(">H", len(body) + 4) + b"\1" + struct.pack(">I", len(body))[1:] + body
     assert decode.sni(hello) == "host" and decode.sni(hello[:40]) is None and decode.is_tls(hello)
+
+
+def dns(names, pointers=True, answers=0, flags=0x0100, ident=7):
+    """A message of questions, with answers whose names point at the first question's."""
+    def name(text):
+        return b"".join(bytes((len(p),)) + p.encode() for p in text.split(".")) + b"\0"
+
+    body = b"".join(name(n) + struct.pack(">HH", 1, 1) for n in names)
+    body += b"".join((b"\xc0\x0c" if pointers else name(names[0])) + struct.pack(">HHIH", 5, 1, 60, 4) + b"data" for _ in range(answers))
+    return struct.pack(">6H", ident, flags, len(names), answers, 0, 0) + body
+
+
+def test_dns_messages():
+    found = decode.dns_message(dns(["plc.example.net", "b"], answers=2, flags=0x8183))
+    assert found == {"id": 7, "response": True, "operation": 0, "code": 3, "questions": [("plc.example.net", 1), ("b", 1)], "answers": [("plc.example.net", 5)] * 2}
+    whole = dns(["plc.example.net"], answers=1)
+    assert all(decode.dns_message(whole[:n]) is None for n in range(len(whole)))
+    assert decode.dns_message(dns(["a.b"], flags=0x0300)[:14])["questions"] == []  # cut off, and says so
+    circle = struct.pack(">6H", 1, 0, 1, 0, 0, 0) + b"\xc0\x0c" + bytes(4)
+    ahead = struct.pack(">6H", 1, 0, 1, 0, 0, 0) + b"\xc0\x0e\xc0\x0c" + bytes(4)
+    assert decode.dns_message(circle) is None and decode.dns_message(ahead) is None and decode.dns_message(bytes(12)) is None
+
+
+def named(payload, sp, dp, protocol="tcp"):
+    row = {"payload": payload, "src_port": sp, "dst_port": dp, "protocol": protocol}
+    return decode.protocol_name(row), decode.full_protocol_name(row)
+
+
+def test_full_names_differ_from_plain_ones():
+    smb = b"\xffSMB\x72" + bytes(27)
+    session = lambda body: b"\0\0" + struct.pack(">H", len(body)) + body
+    assert named(dns(["a"]), 5353, 5353, "udp") == ("UDP", "DNS")
+    assert named(dns(["a"]), 5353, 5354, "udp") == ("UDP", "UDP")
+    assert named(struct.pack(">H", 19) + dns(["a"]), 22, 53) == ("DNS", "DNS")
+    assert named(b"", 22, 502) == ("Modbus", "SSH")  # the source's port comes first
+    assert named(session(smb), 139, 50000) == ("NetBIOS", "SMB")
+    assert named(session(b"\xfeSMB" + bytes(60)), 50000, 445) == ("SMB", "NetBIOS")
+    assert named(b"\x85\0\0\0", 50000, 445) == ("SMB", "NetBIOS")
+    assert named(b"plain", 50000, 445) == ("SMB", "SMB")
+    assert named(b"\x16\x03\x01\0\1\2", 80, 50000) == ("HTTPS", "HTTPS")
+    assert named(b"\x16\x03\x01", 80, 50000) == ("HTTPS", "HTTP")
+    assert named(b"PATCH /x HTTP/1.1\r\n", 9, 9) == ("HTTP", "HTTP")
+    assert named(b"PATCH /" + b"x" * 40 + b" HTTP/1.1\r\n", 9, 9) == ("HTTP", "TCP")
+    assert named(b"answer HTTP/1.1 200", 9, 9) == ("TCP", "HTTP")
+    assert named(b"", 67, 68, "udp") == ("DHCP", "DHCP") and named(b"", 9, 502, "udp") == ("Modbus", "Modbus")
