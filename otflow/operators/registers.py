@@ -68,11 +68,38 @@ def statistics(obs: DataFrame) -> DataFrame:
     )
 
 
-def state_changes(obs: DataFrame) -> DataFrame:
-    """Changes between successive values of coils and discrete inputs."""
-    order = Window.partitionBy("series").orderBy(X.order_key())
-    last = F.lag("value").over(order)
-    return obs.where(F.col("kind").isin("coil", "discreteInput")).withColumn("changed", (F.col("value") != last)).groupBy("series").agg(F.count_if("changed").alias("changes"))
+#: Microseconds of a slot of time, within which a task looks at a series row by row.
+SLOT = 3_600_000_000
+
+
+def slot_runs(obs: DataFrame, slot_us: int = SLOT) -> DataFrame:
+    """Runs of equal successive values within slots of time: series, slot, run (from 1), value and n."""
+    order = Window.partitionBy("series", "slot").orderBy(X.order_key())
+    placed = obs.withColumn("slot", F.floor(F.col("ts_us") / slot_us))
+    new = (F.row_number().over(order) == 1) | ~F.col("value").eqNullSafe(F.lag("value").over(order))
+    marked = placed.withColumn("run", F.sum(F.when(new, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("series", "slot", "run").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def run_edges(runs: DataFrame) -> DataFrame:
+    """How the slots of a series meet: series, slot, goes_on (1 if its first run goes on that of the slot before), before (runs up to there), after and total.
+
+    A slot is summed up by its first and last value and its number of runs, and
+    such sums add up in the order of slots; so a series of any length costs one
+    row a slot here, and tasks of even size before.
+    """
+    edges = runs.groupBy("series", "slot").agg(F.min_by("value", "run").alias("first"), F.max_by("value", "run").alias("last"), F.max("run").alias("n"))
+    order = Window.partitionBy("series").orderBy("slot")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    goes_on = F.when((F.row_number().over(order) > 1) & F.col("first").eqNullSafe(F.lag("last").over(order)), 1).otherwise(0)
+    summed = edges.withColumn("goes_on", goes_on).withColumn("after", F.sum(F.col("n") - F.col("goes_on")).over(upto))
+    return summed.select("series", "slot", "goes_on", (F.col("after") - F.col("n") + F.col("goes_on")).alias("before"), "after", F.max("after").over(Window.partitionBy("series")).alias("total"))
+
+
+def state_changes(obs: DataFrame, slot_us: int = SLOT) -> DataFrame:
+    """Changes between successive values of coils and discrete inputs: one less than their runs."""
+    states = obs.where(F.col("kind").isin("coil", "discreteInput"))
+    return run_edges(slot_runs(states, slot_us)).groupBy("series").agg((F.max("total") - 1).alias("changes"))
 
 
 def quantised(rows: DataFrame) -> DataFrame:
@@ -98,23 +125,26 @@ def top_values(obs: DataFrame, n: int = C.TOP_VALUES) -> DataFrame:
     return kept.groupBy("series").agg(F.array_join(F.transform(listed, lambda s: F.concat(s["value"].cast("string"), F.lit(":"), s["n"].cast("string"))), ",").alias("top_values"))
 
 
-def run_lengths(obs: DataFrame, keep: int = C.RLE_RUNS) -> DataFrame:
+def run_lengths(obs: DataFrame, keep: int = C.RLE_RUNS, slot_us: int = SLOT) -> DataFrame:
     """Runs of equal successive values as 'value:length,...', the last keep of them.
 
-    Runs are counted before they are listed, so a list has at most keep entries.
+    Runs are found within slots of time and joined where slots meet; only slots
+    that hold some of the last ones are listed, so a list has at most keep
+    entries.
     """
-    order = Window.partitionBy("series").orderBy(X.order_key())
-    marked = obs.withColumn("new", (~F.col("value").eqNullSafe(F.lag("value").over(order))).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("series", "run").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("n"))
-    total = runs.groupBy("series").agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("samples"))
-    kept = runs.join(total, "series").where(F.col("run") > F.col("runs") - keep)
+    runs = slot_runs(obs, slot_us)
+    edges = run_edges(runs)
+    samples = obs.groupBy("series").agg(F.count(F.lit(1)).alias("samples"))
+    late = edges.where(F.col("after") > F.col("total") - keep)
+    placed = runs.join(late, ["series", "slot"]).select("series", "value", "n", "total", (F.col("before") + F.col("run") - F.col("goes_on")).alias("run"))
+    # The first of the last runs may begin in a slot before them, which then has it as its own last one.
+    kept = placed.where(F.col("run") > F.col("total") - keep).groupBy("series", "run").agg(F.first("value").alias("value"), F.sum("n").alias("n"), F.first("total").alias("total"))
     listed = F.array_sort(F.collect_list(F.struct("run", "value", "n")))
-    return kept.groupBy("series").agg(
+    texts = kept.groupBy("series").agg(
         F.array_join(F.transform(listed, lambda s: F.concat(s["value"].cast("string"), F.lit(":"), s["n"].cast("string"))), ",").alias("rle"),
-        F.first("runs").alias("runs"),
-        F.round(F.first("samples") / F.first("runs"), 2).alias("ratio"),
-        (F.first("runs") > keep).alias("truncated"),
+        F.first("total").alias("runs"),
     )
+    return texts.join(samples, "series").select("series", "rle", "runs", F.round(F.col("samples") / F.col("runs"), 2).alias("ratio"), (F.col("runs") > keep).alias("truncated"))
 
 
 def acknowledged(obs: DataFrame) -> DataFrame:

@@ -208,3 +208,25 @@ def test_plans_stay_in_the_jvm(spark):
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     plan = registry.QUERIES["service_port_flag"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "value" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("slot_us", [1, 7, 50, 10_000])
+@pytest.mark.parametrize("keep", [1, 5, 200])
+def test_runs_are_the_same_whatever_the_slots(spark, slot_us, keep):
+    from itertools import groupby
+
+    rng = np.random.default_rng(slot_us + keep)
+    rows, series = [], {}
+    for name, n, values in (("long", 400, 2), ("one value", 90, 1), ("single", 1, 3), ("gaps", 60, 3)):
+        times = np.sort(rng.integers(-100, 3000, n)) if name == "gaps" else np.sort(rng.integers(0, 400, n))
+        for k, t in enumerate(times.tolist()):
+            value = int(rng.integers(0, values))
+            rows.append((name, "coil", value, t, "f", k))
+            series.setdefault(name, []).append(value)
+    obs = spark.createDataFrame(rows, "series string, kind string, value int, ts_us long, pcap_file string, packet_index long").repartition(5)
+    want = {}
+    for name, values in series.items():
+        runs = [(v, len(list(g))) for v, g in groupby(values)]
+        want[name] = (",".join(f"{v}:{n}" for v, n in runs[-keep:]), len(runs), len(runs) > keep)
+    assert {r["series"]: (r["rle"], r["runs"], r["truncated"]) for r in registers.run_lengths(obs, keep, slot_us).collect()} == want
+    assert {r["series"]: r["changes"] for r in registers.state_changes(obs, slot_us).collect()} == {k: v[1] - 1 for k, v in want.items()}
