@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
         streaming.run_graph(flows.without_ignored(stream), f"{o.output_cypher}/stream", f"{o.output_cypher}/_checkpoint_graph")
     nodes, edges = graph_text.read_graph(spark, o.base_cypher)
     anchors = graph_text.telemetry(nodes, edges)
-    assembled = flows.assemble(packets)
+    assembled = flows.assemble(packets).persist()
     inventory = None
     if o.assets:
         inventory = assets.read_assets(spark, o.assets).select("hostname", F.explode("ip_addresses").alias("ip"), "is_managed")

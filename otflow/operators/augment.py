@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,7 @@ def signal_summary(rows: DataFrame, statistics: DataFrame) -> DataFrame:
     """
     whole = registers.quantised(rows)
     named = rows.groupBy(F.col("series").alias("guid")).agg(F.min("host").alias("host"), F.min("name").alias("name"), F.min("protocol").alias("protocol"))
+    whole = whole.persist(StorageLevel.MEMORY_AND_DISK)
     lines = timeline.timelines(rows).select("series", "timeline", "points", "tolerance", F.col("ratio").alias("timeline_ratio"))
     out = statistics
     for part in (registers.bucket_distinct(whole), registers.top_values(whole), registers.run_lengths(whole), lines):
@@ -117,6 +119,8 @@ EDGE_PROPERTIES_OF_GROUPS = {
     "packets": "packetCount", "bytes": "totalBytes", "flows": "canonicalCount", "unique_ports": "uniqueSourcePorts", "source_port": "SourcePort", "port_min": "sourcePortMin", "port_max": "sourcePortMax",
     "port_set": "sourcePortSet", "mean_bytes": "meanBytesPerFlow", "protocol": "Protocol", "stage": "highLevelProtocol",
 }
+#: Features whose properties aren't named like their columns.
+FEATURE_PROPERTIES = {"mean_size": "avgPacketSize", "duration_s": "durationSeconds", "mean_gap_s": "meanInterArrivalPacketTime", "directionality": "directionalityIndex", "tls_sni": "tlsSNI"}
 EDGE_PROPERTIES = EDGE_PROPERTIES_OF_GROUPS | {"confidence": "correlationConfidence", "kind": "attribution"}
 
 
@@ -155,10 +159,10 @@ def relationships(packets: DataFrame, flows: DataFrame, anchors: DataFrame, iden
     told = known.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"), F.min("kind").alias("kind"), F.max_by("edge", F.struct("packets", "edge")).alias("edge"))
     rows = features.edge_rows(features.edge_packets(packets))
     extra = [c for c in rows.columns if c not in ("edge", "packets", "bytes", "protocol", "first_us", "last_us")]
-    staged = staged_relationships(known)
+    staged = staged_relationships(known).persist(StorageLevel.MEMORY_AND_DISK)
     updates = existing_edges(flows, anchors, staged)
     merged = staged.join(told, ["src", "dst"]).join(rows.select("edge", *extra), "edge", "left")
-    names = EDGE_PROPERTIES | {c: _camel(c) for c in extra}
+    names = EDGE_PROPERTIES | {c: _camel(c) for c in extra} | FEATURE_PROPERTIES
     return graph.edge_statements(merged, RELATIONSHIPS, names).unionByName(graph.edge_statements(updates, RELATIONSHIPS, {"flows": "canonicalCount", "packets": "packetCount", "bytes": "totalBytes", "confidence": "correlationConfidence", "method": "correlationMethod", "source_port": "SourcePort"}))
 
 
@@ -170,13 +174,19 @@ def accesses(rows: DataFrame, identities: DataFrame) -> DataFrame:
 
 
 def statements(packets: DataFrame, flows: DataFrame, anchors: DataFrame, hosts: DataFrame, matches: DataFrame, min_ports: int = C.MIN_CLIENT_PORTS, attribute: bool = True) -> DataFrame:
-    """section, key and text of all statements. hosts: hostname, ip, is_managed; matches: flows that telemetry names already."""
-    groups, _ = grouping.run_stages(flows.join(matches, "canonical_id", "left_anti"), min_ports=min_ports)
-    everything, _ = grouping.run_stages(flows, min_ports=1)
-    identities = identity.client_identities(flows, anchors if attribute else anchors.limit(0), hosts)
-    modbus, floats = modbus_rows(packets), float_rows(packets)
+    """section, key and text of all statements. hosts: hostname, ip, is_managed; matches: flows that telemetry names already.
+
+    What several sections read is kept, in memory or on disk, so that it is
+    neither planned nor computed for each of them anew.
+    """
+    kept = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+    flows, anchors, matches = kept(flows), kept(anchors), kept(matches)
+    groups = kept(grouping.run_stages(flows.join(matches, "canonical_id", "left_anti"), min_ports=min_ports)[0])
+    everything = grouping.run_stages(flows, min_ports=1)[0]
+    identities = kept(identity.client_identities(flows, anchors if attribute else anchors.limit(0), hosts))
+    modbus, floats = kept(modbus_rows(packets)), kept(float_rows(packets))
     endpoints = graph.endpoint_nodes(flows).withColumn("internal", F.exists(F.split("addresses", ","), X.is_internal))
-    services = graph.service_nodes(everything)
+    services = kept(graph.service_nodes(everything))
     names = {"host": "hostname", "addresses": "ipAddresses"}
     containers = identity.containers(modbus)
     loose = hosts.groupBy(F.col("hostname").alias("host")).agg(F.bool_or("is_managed").alias("m")).where("not m").join(endpoints.select("host"), "host", "left_semi")

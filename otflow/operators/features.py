@@ -165,9 +165,55 @@ def client_ports(p: DataFrame) -> DataFrame:
     return found.select("edge", F.size("ports").cast("long").alias("n_ports"), F.array_join(F.slice(F.col("ports"), 1, 8).cast("array<string>"), ",").alias("port_set"))
 
 
+#: Lists of an edge's row: column, condition, and how many values of how many characters they hold.
+LISTED = {
+    "tcp_flags": ("tcp_flags", "true", None, None),
+    "mqtt_packet_types": ("mqtt_packet_type", "true", 8, None),
+    "mqtt_topics": ("mqtt_topic", "mqtt_packet_type is not null", 8, 120),
+    "mqtt_client_ids": ("mqtt_client_id", "mqtt_packet_type is not null", 4, None),
+    "opcua_message_types": ("opcua_message_type", "true", 8, None),
+    "opcua_chunk_types": ("opcua_chunk_type", "opcua_message_type is not null", 3, None),
+    "opcua_endpoint_urls": ("opcua_endpoint_url", "opcua_message_type is not null", 4, 200),
+    "opcua_security_policies": ("opcua_security_policy_uri", "opcua_message_type is not null", 4, None),
+}
+
+
+def _shortened(cut: int):
+    return lambda v: F.substring(v, 1, cut)
+
+
+def listed_values(p: DataFrame) -> DataFrame:
+    """The lists of LISTED, each of distinct values in first-seen order, by one aggregation over (edge, list, value)."""
+    told = [F.when(F.expr(condition) & (F.col(column) != ""), F.struct(F.lit(name).alias("name"), F.col(column).alias("v"))) for name, (column, condition, _, _) in LISTED.items()]
+    seen = p.select("edge", X.order_key().alias("o"), F.explode(F.array_compact(F.array(*told))).alias("f")).groupBy("edge", "f.name", "f.v").agg(F.min("o").alias("o"))
+    order = Window.partitionBy("edge", "name").orderBy("o")
+    most = F.create_map(*[F.lit(x) for name, (_, _, limit, _) in LISTED.items() if limit for x in (name, limit)])
+    kept = seen.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.coalesce(most[F.col("name")], F.col("r")))
+    lists = []
+    for name, (_, _, _, cut) in LISTED.items():
+        values = F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct("r", "v"))))
+        texts = values["v"] if cut is None else F.transform(values["v"], _shortened(cut))
+        lists.append(F.when(F.size(values) > 0, F.array_join(texts, ",")).alias(name))
+    return kept.groupBy("edge").agg(*lists)
+
+
+def _protocol_counts() -> list[Column]:
+    """Counts of an edge's row that only edges with such packets have."""
+    m, u = F.col("mqtt_packet_type"), F.col("opcua_message_type")
+    numbers = lambda c, of, n: F.array_join(F.slice(F.sort_array(F.collect_set(F.when(of.isNotNull(), F.col(c)))), 1, n).cast("array<string>"), ",")
+    mqtt_ = {
+        "mqtt_qos_levels": numbers("mqtt_qos", m, 3),
+        "mqtt_publish_count": F.count_if(m == "PUBLISH"),
+        "mqtt_subscribe_count": F.count_if(m.isin("SUBSCRIBE", "UNSUBSCRIBE")),
+        "mqtt_retain_seen": F.coalesce(F.bool_or(F.when(m.isNotNull(), F.col("mqtt_retain"))), F.lit(False)),
+    }
+    opcua_ = {"opcua_secure_channel_ids": numbers("opcua_secure_channel_id", u, 8)} | {f"opcua_{name}_count": F.count_if(u == kind) for name, kind in (("open", "OPN"), ("msg", "MSG"), ("close", "CLO"))}
+    return [F.when(F.count(of) > 0, value).alias(name) for of, columns in ((m, mqtt_), (u, opcua_)) for name, value in columns.items()]
+
+
 def edge_rows(p: DataFrame) -> DataFrame:
-    """The feature row of every edge: one aggregation for what sums and firsts tell, joined with what needs an order of its own."""
-    out = p.groupBy("edge").agg(*_totals(), *_directional(), *_macs(), *_first_values())
-    for part in (mode_first(p, "edge", "high_level_protocol", "protocol_label"), distinct_in_order(p, F.col("tcp_flags"), "tcp_flags"), retransmits(p), mean_rtt(p).select("edge", "rtt_ms")):
+    """The feature row of every edge: one aggregation for what sums and firsts tell, one for its lists, joined with what needs an order of its own."""
+    out = p.groupBy("edge").agg(*_totals(), *_directional(), *_macs(), *_first_values(), *_protocol_counts())
+    for part in (mode_first(p, "edge", "high_level_protocol", "protocol_label"), listed_values(p), retransmits(p), mean_rtt(p).select("edge", "rtt_ms")):
         out = out.join(part, "edge", "left")
     return out

@@ -200,6 +200,14 @@ _STAGE_EDGES = " union all ".join(
       packets, bytes, layer, first_us, last_us, 'individual' from l5"""]
 )
 
+_MQTT_ROW = f"""with c as (select edge, coalesce(string_agg(distinct mqtt_qos::varchar, ',' order by mqtt_qos::varchar), '') mqtt_qos_levels, count(*) filter (where mqtt_packet_type = 'PUBLISH') mqtt_publish_count,
+      count(*) filter (where mqtt_packet_type in ('SUBSCRIBE', 'UNSUBSCRIBE')) mqtt_subscribe_count, coalesce(bool_or(mqtt_retain), false) mqtt_retain_seen from e where mqtt_packet_type is not null group by 1)
+    select * from c left join {_listed('mqtt_packet_type', 'mqtt_packet_types', 8)} using (edge) left join {_listed('mqtt_topic', 'mqtt_topics', 8)} using (edge) left join {_listed('mqtt_client_id', 'mqtt_client_ids', 4)} using (edge)"""
+_OPCUA_ROW = f"""with c as (select edge, coalesce(string_agg(distinct opcua_secure_channel_id::varchar, ',' order by opcua_secure_channel_id::varchar), '') opcua_secure_channel_ids,
+      count(*) filter (where opcua_message_type = 'OPN') opcua_open_count, count(*) filter (where opcua_message_type = 'MSG') opcua_msg_count, count(*) filter (where opcua_message_type = 'CLO') opcua_close_count from e where opcua_message_type is not null group by 1)
+    select * from c left join {_listed('opcua_message_type', 'opcua_message_types', 8)} using (edge) left join {_listed('opcua_chunk_type', 'opcua_chunk_types', 3)} using (edge)
+      left join {_listed('opcua_endpoint_url', 'opcua_endpoint_urls', 4)} using (edge) left join {_listed('opcua_security_policy_uri', 'opcua_security_policies', 4)} using (edge)"""
+
 ORACLE_SQL = {
     "flow_assembly": f"with {FLOWS} select canonical_id, src_ip, src_port, dst_ip, dst_port, protocol, first_us, last_us, packets, bytes from fl",
     "flow_normalized": f"with {P} select case when (src_ip, src_port) <= (dst_ip, dst_port) then src_ip else dst_ip end ip_a, case when (src_ip, src_port) <= (dst_ip, dst_port) then src_port else dst_port end port_a, count(*) packets from p group by 1, 2",
@@ -232,8 +240,9 @@ ORACLE_SQL = {
     "client_ports": f"""with {EDGES}, q as (select distinct edge, case side when 'out' then src_port else dst_port end port from e where side is not null)
         select edge, count(*) n_ports, string_agg(port::varchar, ',' order by port) filter (where r <= 8) port_set from (select *, row_number() over (partition by edge order by port) r from q) group by 1""",
     "majority_port": f"""with {EDGES} select edge, port from (select edge, port, row_number() over (partition by edge order by count(*) desc, min(o)) r from (select edge, o, case side when 'out' then src_port else dst_port end port from e where side is not null) group by 1, 2) where r = 1""",
-    "edge_features": f"""with {EDGES}, {_RTT} select t.*, d.* exclude (edge), protocol_label, f.tcp_flags, retransmits, src_mac, dst_mac, http_method, http_status, http_content, tls_sni, rtt_ms from ({_TOTALS}) t
-        left join ({_DIRECTIONAL}) d using (edge) left join ({_DOMINANT}) using (edge) left join {_listed('tcp_flags', 'tcp_flags')} f using (edge) left join ({_RETRANS}) using (edge) left join ({_MACS}) using (edge) left join ({_HTTP}) using (edge) left join rtt using (edge)""",
+    "edge_features": f"""with {EDGES}, {_RTT} select t.*, d.* exclude (edge), protocol_label, f.tcp_flags, retransmits, src_mac, dst_mac, http_method, http_status, http_content, tls_sni, rtt_ms, m.* exclude (edge), u.* exclude (edge) from ({_TOTALS}) t
+        left join ({_DIRECTIONAL}) d using (edge) left join ({_DOMINANT}) using (edge) left join {_listed('tcp_flags', 'tcp_flags')} f using (edge) left join ({_RETRANS}) using (edge) left join ({_MACS}) using (edge) left join ({_HTTP}) using (edge) left join rtt using (edge)
+        left join ({_MQTT_ROW}) m using (edge) left join ({_OPCUA_ROW}) u using (edge)""",
     "corr_candidates": f"with {_CAND} select canonical_id, seq anchor_seq, tier from cand",
     "corr_exact": f"with {_CAND} select canonical_id, seq anchor_seq from cand where tier < 2",
     "corr_service_endpoint": f"with {_CAND} select canonical_id, seq anchor_seq from cand where tier >= 2",

@@ -151,7 +151,7 @@ def test_statements_without_telemetry(spark, folder, tmp_path):
     text = written(tmp_path / "out/statements")
     assert "hostname: 'Pump-9'" in text and "hostname: 'PLC-01'" not in text
     related = text[text.index("// PCAP-Inferred Network Relationships") :]
-    assert "meanSize" in related and "tcpFlags" in related and "attribution: 'placeholder'" in related and "READ_SIGNAL" in related
+    assert "avgPacketSize" in related and "tcpFlags" in related and "attribution: 'placeholder'" in related and "READ_SIGNAL" in related
 
 
 def test_streamed_graph_equals_that_of_the_whole(spark, folder, tmp_path_factory):
