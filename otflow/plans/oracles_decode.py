@@ -29,4 +29,8 @@ DECODE_SQL = {
     "decode_tls": _FRAMES + "select e tcp_seq, if(back = 0, 's' || k || '.example.net', null) tls_sni from n where kind = 5",
     "decode_names": """select event_id, ['UDP', 'NetBIOS', 'SMB', 'Modbus', 'DNS'][k % 5 + 1] plain, ['DNS', 'SMB', 'NetBIOS', 'SSH', 'DNS'][k % 5 + 1] "full"
       from (select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events)""",
+    "decode_opcua_services": """select event_id, 'MSG' opcua_message_type, 7 + k % 2 opcua_secure_channel_id, ['ReadRequest', 'WriteRequest', 'ReadResponse'][k % 3 + 1] opcua_service_type,
+        ['read', 'write', null][k % 3 + 1] opcua_operation, case k % 3 when 0 then 'ns=3;s=tag' || (k % 4) || ',ns=3;s=tag' || ((k + 1) % 4) when 1 then 'ns=3;s=tag' || (k % 4) else '' end nodes,
+        [0, 1, 2][k % 3 + 1]::int n_values, case k % 3 when 1 then v / 2 when 2 then v / 4 end first_value, null::double second_value
+      from (select event_id, cast(json_extract_string(props, '$.k') as bigint) k, abs(floor(value))::bigint v from events)""",
 }

@@ -12,7 +12,7 @@ from otflow.operators import augment, correlate, features, flows, graph, groupin
 from otflow.plans import oracles
 from otflow.plans.oracles_decode import DECODE_SQL
 from otflow.plans.oracles_graph import GRAPH_SQL
-from otflow.sources.frame_view import decoded, names_told
+from otflow.sources.frame_view import decoded, names_told, services_told
 from otflow.sources.host_view import hosts
 from otflow.sources.packet_view import packets as packet_view
 from otflow.sources.telemetry_view import anchors as telemetry_anchors
@@ -171,6 +171,7 @@ on_frames("decode_mqtt", "mqtt_packet_type is not null", "mqtt_packet_type", "mq
 on_frames("decode_opcua", "opcua_message_type is not null", "opcua_message_type", "opcua_chunk_type", "opcua_endpoint_url", "opcua_secure_channel_id", "opcua_security_policy_uri")
 on_frames("decode_tls", "443 in (src_port, dst_port)", "tls_sni")
 QUERIES["decode_names"] = names_told
+QUERIES["decode_opcua_services"] = services_told
 on_packets("service_port_inferred", lambda p: p.groupBy(X.inferred_service_port(F.col("src_port"), F.col("dst_port")).alias("port")).agg(F.count(F.lit(1)).alias("packets")))
 on_packets("guid_running", lambda p: p.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct().select("ip", X.running_guid(F.lit("NetworkEndpoint"), X.host_name(F.col("ip"))).alias("guid")))
 on_packets("signal_mqtt_encoded", lambda p: _float_encodings(registers.mqtt_signals(p)))

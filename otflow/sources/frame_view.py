@@ -120,6 +120,45 @@ def _named(k: int) -> tuple[int, int, int, bytes]:
     )[k % 5]
 
 
+def _segment(transport: int, sp: int, dp: int, content: bytes) -> bytes:
+    """An untagged frame of one TCP or UDP segment."""
+    body = struct.pack(">HH", sp, dp) + (struct.pack(">HH", 8 + len(content), 0) if transport == 17 else struct.pack(">IIBBHHH", 1, 1, 5 << 4, 24, 0, 0, 0)) + content
+    return bytes(12) + b"\x08\0" + struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, 64, transport, 0) + bytes((10, 0, 0, 1, 10, 0, 0, 2)) + body
+
+
+def _service(e: int, k: int, v: int) -> bytes:
+    """An OPC UA message: a read of two nodes, a write to one, or the answer to a read."""
+    node = lambda n: struct.pack("<BH", 3, 3) + _text(f"tag{n % 4}", "<i")
+    none, extension = struct.pack("<i", -1), bytes(3)
+    number = lambda x: struct.pack("<BBd", 1, 11, x)
+    asked = bytes(2) + bytes(16) + none + bytes(4) + extension
+    kind, body = (
+        (631, asked + bytes(12) + struct.pack("<i", 2) + b"".join(node(n) + struct.pack("<I", 13) + none + bytes(2) + none for n in (k, k + 1))),
+        (673, asked + struct.pack("<i", 1) + node(k) + struct.pack("<I", 13) + none + number(v / 2)),
+        (634, bytes(16) + bytes(1) + struct.pack("<i", 0) + extension + struct.pack("<i", 2) + number(v / 4) + struct.pack("<BI", 2, 0x80000000)),
+    )[k % 3]
+    message = struct.pack("<I8xIBBH", 7 + k % 2, e, 1, 0, kind) + body
+    return b"MSGF" + struct.pack("<I", 8 + len(message)) + message
+
+
+def services_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an OPC UA message of each event is read as, from and to the server's port."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id e", "cast(get_json_object(props, '$.k') as bigint) k", "cast(abs(floor(value)) as bigint) v")
+    arrow = to_arrow_schema(StructType.fromDDL(PACKET))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(*(batch.column(c).to_pylist() for c in ("e", "k", "v")))
+            frames = [(e, _segment(6, *((4840, 40000) if k % 3 == 2 else (40000, 4840)), _service(e, k, v))) for e, k, v in found]
+            yield from pcap.packet_batches("events.pcap", [capture(frames, ">")], arrow)
+
+    told = rows.mapInArrow(run, PACKET)
+    return told.selectExpr(
+        "opcua_request_id event_id", "opcua_message_type", "opcua_secure_channel_id", "opcua_service_type", "opcua_operation", "array_join(opcua_node_ids, ',') nodes",
+        "size(opcua_values) n_values", "try_element_at(opcua_values, 1) first_value", "try_element_at(opcua_values, 2) second_value",
+    )
+
+
 def names_told(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, plain and full: the protocol of a frame of each event as either backend names it."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id e", "cast(get_json_object(props, '$.k') as bigint) k")
@@ -130,10 +169,7 @@ def names_told(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             frames = []
             for e, k in zip(batch.column("e").to_pylist(), batch.column("k").to_pylist()):
-                transport, sp, dp, content = _named(k)
-                ports = struct.pack(">HH", sp, dp)
-                body = ports + (struct.pack(">HH", 8 + len(content), 0) if transport == 17 else struct.pack(">IIBBHHH", 1, 1, 5 << 4, 24, 0, 0, 0)) + content
-                frames.append((e, bytes(12) + b"\x08\0" + struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, 64, transport, 0) + bytes((10, 0, 0, 1, 10, 0, 0, 2)) + body))
+                frames.append((e, _segment(*_named(k))))
             content = capture(frames, "<")
             plain, full = (pa.Table.from_batches(pcap.packet_batches("events.pcap", [content], arrow, None, which, wanted), arrow).combine_chunks() for which in (False, True))
             yield from pa.table([plain["ts_us"], plain["high_level_protocol"], full["high_level_protocol"]], names=["event_id", "plain", "full"]).to_batches()
