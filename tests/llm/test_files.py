@@ -9,6 +9,7 @@ import time
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from otflow.llm import bpe, queries, training_order, warc
 from otflow.llm.common import materialize, table
@@ -259,6 +260,13 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_reads_whole_tables(spark, name):
     df = queries.QUERIES[name](spark, SF)
+    if name == "op11_prefix_trie":  # every conversation is a member of the root
+        assert df.where("depth = 0").first()["n_convs"] == table(spark, SF, "conversations").select("conv_id").distinct().count()
+        return
+    if name == "op13_filter_audit":  # what the steps of an order remove and leave is all there is
+        one = df.where("filter_order = 'ABCDE'").groupBy().agg(F.sum("removed"), F.sum(F.expr("if(step = 5, kept, 0)"))).first()
+        assert sum(one) == table(spark, SF, "documents").count()
+        return
     key = "page_id" if "page_id" in df.columns else "doc_id"
     whole = {r[0] for r in table(spark, SF, "pages" if key == "page_id" else "documents").select(key).collect()}
     found = {r[0] for r in df.select(key).collect()}
