@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from otflow import constants as C
-from otflow.plans.oracles import _BRUTE, _MQ, FLOWS, ORIENTED, P, _GROUP, _GUID, _HOST, _MATCH, _MODBUS, _OBS, _STAGE_EDGES, _STAGES, _orient, _to_port, policy, svc
+from otflow.plans.oracles import _BRUTE, _MQ, FLOWS, ORIENTED, P, _GROUP, _GUID, _HOST, _MATCH, _MODBUS, _OBS, _STAGE_EDGES, _STAGES, _UA, _orient, _to_port, policy, svc
 from otflow.sources.host_view import MANAGED
 
 _SERVICE = "case when port <= 0 then 'Ephemeral Service' " + " ".join(f"when port = {p} then '{n}'" for p, n in C.SERVICE_NAMES.items()) + " else 'Port ' || port end"
@@ -108,3 +108,14 @@ _LEFT_STAGES = re.sub(r"\bfl\b", "flx", _STAGES.removeprefix(FLOWS))
 GRAPH_SQL["existing_edges"] = f"""with {_MATCH}, {_PROC}, flx as (select * from fl where canonical_id not in (select canonical_id from mt)){_LEFT_STAGES}, ci as ({_inner('client_identity')}), ru as ({_inner('telemetry_rollup')}),
     ed as (select *, {_HOST('server_ip')} host, server_port port, client_ip || '>' || server_ip || ':' || server_port || '/' || protocol edge from ({_STAGE_EDGES})), st as (select distinct guid src, {_SERVICE_GUID} dst from ed join ci using (edge))
     select process_guid src, service dst, 'CONNECT_TO' rel, flows, packets, bytes, confidence, method, majority_port::varchar source_port from ru where not exists (select 1 from st where st.src = process_guid and st.dst = service)"""
+
+#: Guids of float signals, of their protocol, host, port and name.
+_FLOAT_GUID = r"'{' || regexp_replace(md5(concat_ws('|', 'ICSSignal', proto, lower(host), port::varchar, series)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '}'"
+_ENDS = lambda port: f"case when dst_port = {port} then src_ip else dst_ip end client_ip, case when dst_port = {port} then dst_ip else src_ip end server_ip"
+GRAPH_SQL["access_by_process"] = f"""with {_MATCH}, {_PROC}, {_OBS[_OBS.index('mp as'):]}, ci as ({_inner('client_identity')}),
+    mq as (select 'mqtt' proto, 1883 port, mqtt_topic || '.' || mqtt_payload_values[1].name series, case when dst_port = 1883 then 'write' else 'read' end as access, ts_us, {_ENDS(1883)} from p where mqtt_packet_type = 'PUBLISH'),
+    {_UA[_UA.index('ua as'):].replace('access, value, o', 'access, value, o, ts_us, src_ip, dst_ip, dst_port').replace('value, o from up', 'value, o, ts_us, src_ip, dst_ip, dst_port from up')},
+    al as (select {_SIGNAL_GUID} dst, client_ip || '>' || server_ip || ':502/tcp' edge, access, ts_us from (select *, {_HOST('server_ip')} host from obs) union all
+      select {_FLOAT_GUID}, client_ip || '>' || server_ip || ':' || port || '/tcp', access, ts_us from (select *, {_HOST('server_ip')} host from
+        (select proto, port, series, access, ts_us, client_ip, server_ip from mq union all select 'opcua', 4840, series, access, ts_us, {_ENDS(4840)} from sg)))
+    select guid src, dst, case when access = 'read' then 'READ_SIGNAL' else 'WRITE_SIGNAL' end rel, count(*) n, max(ts_us) last_us from al join ci using (edge) group by 1, 2, 3"""

@@ -155,6 +155,19 @@ def _attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["signal_attribution"] = _attribution
+
+
+def _accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """READ_SIGNAL and WRITE_SIGNAL edges from each client's process, or its stand-in, to registers and float signals."""
+    packets = _view(spark, sf_dir)
+    assembled = flows.assemble(packets)
+    identities = identity.client_identities(assembled, telemetry_anchors(assembled), hosts(spark))
+    keys = ("series", "edge", "access", "ts_us")
+    told = augment.modbus_rows(packets).select(*keys).unionByName(augment.float_rows(packets).select(*keys))
+    return augment.accesses(told, identities)
+
+
+QUERIES["access_by_process"] = _accesses
 on_observations("encoded_decode", lambda o: timeline.decode_counts(registers.top_values(o), "top_values"), *SHORT)
 on_packets("traffic_windows", streaming.traffic_windows)
 
