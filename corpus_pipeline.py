@@ -15,27 +15,30 @@ from otflow.llm.queries import RANKS
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold; trained on the labelled ones among docs."""
+    """Documents whose toxicity score is under the threshold; trained on the labelled ones among docs.
+
+    Null and empty texts are scored like any; rows that repeat each other go or stay together.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts; null texts equal empty ones, and of rows that repeat each other one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar fingerprints."""
+    """One document of each component of texts with a similarity of 0.8 or more, told by their shingles; rows are matched by id and text."""
     return simhash.drop_near_copies(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item; texts decide, so null ids and repeated rows don't matter."""
     return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left; a null text has no tokens."""
     return bpe.round_trip(docs, RANKS)
 
 
