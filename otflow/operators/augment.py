@@ -35,13 +35,17 @@ SIGNAL_PROPERTIES = {
 def names_of(nodes: DataFrame, inventory: DataFrame | None = None) -> dict[str, str]:
     """Host names by address: the inventory's, else those of the graph's endpoints, else the fixed ones.
 
-    One entry for each address of an inventory or export reaches the driver;
-    of several names the first in order counts.
+    One entry for each address of an inventory or export reaches the driver. Of
+    several names in a graph the last statement's counts, in an inventory the
+    first in order.
     """
-    told = nodes.where("label = 'NetworkEndpoint' and host is not null").select(F.explode("ips").alias("ip"), "host")
+    told = nodes.where("label = 'NetworkEndpoint' and host is not null").select(F.explode("ips").alias("ip"), "host", "seq")
+    found = [told.groupBy("ip").agg(F.max_by("host", F.struct("seq", "host")).alias("host"))]
+    if inventory is not None:
+        found.append(inventory.where("hostname is not null").groupBy("ip").agg(F.min("hostname").alias("host")))
     out = dict(C.HOST_NAMES)
-    for source in (told, *([inventory.select("ip", F.col("hostname").alias("host")).where("host is not null")] if inventory is not None else [])):
-        out |= {r["ip"]: r["host"] for r in source.groupBy("ip").agg(F.min("host").alias("host")).collect()}
+    for source in found:
+        out |= {r["ip"]: r["host"] for r in source.collect()}
     return out
 
 

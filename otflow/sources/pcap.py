@@ -229,22 +229,22 @@ def read_captures(spark: SparkSession, path: str, limit: int | None = None, full
     return found if total is None else found.orderBy("pcap_file", "packet_index").limit(total)
 
 
-def _decoded(files: DataFrame, full: bool) -> DataFrame:
+def _decoded(files: DataFrame, full: bool, limit: int | None) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(PACKET))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from packet_batches(name, [content.as_py()], arrow, None, full)
+                yield from packet_batches(name, [content.as_py()], arrow, limit, full)
 
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, PACKET)
 
 
-def stream_captures(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
-    """The same as a stream of files, whose log remembers every file by name, whatever the names' order.
+def stream_captures(spark: SparkSession, path: str, full: bool = False, limit: int | None = None) -> DataFrame:
+    """The same as a stream of files, with at most limit frames of each, whose log remembers every file by name, whatever the names' order.
 
     As with any file stream a capture has to appear complete, by a move; one of
     a stream is a task, and has 2 GB at most.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    return _decoded(files.load(_pattern(spark, path)), full)
+    return _decoded(files.load(_pattern(spark, path)), full, limit)

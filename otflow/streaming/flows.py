@@ -11,7 +11,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from otflow import constants as C
 from otflow.functions import columns as X
-from otflow.operators import augment, graph, grouping, policy
 from otflow.operators import flows as fl
 
 
@@ -137,30 +136,3 @@ def traffic_windows(packets: DataFrame, width: str = "1 hour", late: str | None
     rows = rows.withWatermark("at", late) if late else rows
     counted = rows.groupBy(F.window("at", width).alias("w"), "port").agg(F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes"))
     return counted.select(F.unix_micros("w.start").alias("start_us"), "port", "packets", "bytes")
-
-
-def graph_statements(states: DataFrame) -> DataFrame:
-    """section, key and text of the graph that running flows (the last states of flows.assemble) tell.
-
-    Endpoints, services with their hosts, and one edge for each client host and
-    service. Orientation goes by service ports, as SYNs of running flows may
-    have been missed. Statements are idempotent, so each run's may be applied
-    after those of the run before.
-    """
-    wanted = fl.orient(states.where(policy.interesting_incremental()), use_syn=False)
-    edges = grouping.grouped(wanted).withColumn("stage", X.service_name(F.col("server_port")))
-    host = X.host_name(F.col("server_ip"))
-    links = edges.select(
-        graph.endpoint_guid(X.host_name(F.col("client_ip"))).alias("src"), graph.service_guid(host, F.col("server_port")).alias("dst"), F.lit("CONNECT_TO").alias("rel"), "packets", "bytes", "flows",
-        "first_us", "last_us", F.lit(False).alias("correlated"), "stage", "protocol", F.array("port_min", "port_max").alias("ports"), F.struct("first_us", "client_ip", "server_ip", "server_port").alias("seq"),
-    )
-    nodes = graph.node_statements(graph.endpoint_nodes(states), "NetworkEndpoint", augment.ENDPOINTS, {"host": "hostname", "addresses": "ipAddresses"})
-    services = augment.attached(graph.service_nodes(edges), "NetworkService", augment.SERVICES, {"host": "host", "port": "port", "protocol": "protocol", "service_name": "serviceName", "ip": "ipAddress"}, graph.endpoint_guid(F.col("host")), "NetworkEndpoint", "(n)-[:LISTENS_ON]->(m)", update=False)
-    return nodes.unionByName(services).unionByName(graph.edge_statements(graph.merge_staged(links), augment.RELATIONSHIPS, augment.EDGE_PROPERTIES_OF_GROUPS))
-
-
-def run_graph(packets: DataFrame, folder: str, checkpoint: str) -> None:
-    """Assemble a stream's flows as far as it goes now, and write the graph of all flows seen so far under folder."""
-    run_stats(packets, f"{folder}/flows", checkpoint, fl.assemble)
-    states = latest(packets.sparkSession.read.parquet(f"{folder}/flows"))
-    graph.write_text(graph_statements(states), f"{folder}/statements")

@@ -154,16 +154,26 @@ def test_statements_without_telemetry(spark, folder, tmp_path):
     assert "avgPacketSize" in related and "tcpFlags" in related and "attribution: 'placeholder'" in related and "READ_SIGNAL" in related
 
 
-def test_streamed_graph_equals_that_of_the_whole(spark, folder, tmp_path_factory):
-    """Captures that come in two steps give the graph of all of them, with sums over both."""
-    from otflow.operators import flows as fl
-    from otflow.streaming import flows as streaming
+def test_streamed_command_line(spark, folder, tmp_path_factory):
+    """Captures that come in two runs: the second tells the sums over both, in the order of sections, after the export's own text."""
+    from otflow.__main__ import main
+    from otflow.streaming import graph_steps
 
     out = tmp_path_factory.mktemp("graph")
+    (out / "g.cypher").write_text(GRAPH)
     for n in (6, 9):
         (folder / f"{n}.pcap").write_bytes(capture(frames(n)))
-        streaming.run_graph(pcap.stream_captures(spark, str(folder)), str(out / "g"), str(out / "log"))
-    whole = streaming.graph_statements(fl.assemble(pcap.read_captures(spark, str(folder))))
-    want = [r["text"] for r in whole.orderBy("section", "key").collect()]
-    assert written(out / "g/statements") == "".join(t + "\n" for t in want)
-    assert any("CONNECT_TO" in t and "packetCount: 42" in t for t in want) and any("LISTENS_ON" in t for t in want)
+        assert main(["--base-cypher", str(out / "g.cypher"), "--output-cypher", str(out / "o"), "--pcap-dir", str(folder), "--streaming", "--packet-limit", "14"]) == 0
+    text = written(out / "o/statements")
+    assert text.startswith(GRAPH)
+    places = [text.index(h) for h in graph_steps.HEADINGS]
+    assert places == sorted(places)
+    # Two files of 8 and 4 packets, then one of 12 and one of 18, which is read up to 14.
+    assert "packetCount: 38" in text[places[1] : places[2]] and "READ_SIGNAL" in text[places[2] : places[3]] and "LISTENS_ON" in text[places[4] : places[5]]
+
+
+def test_last_statement_names_an_address(spark, tmp_path):
+    from otflow.operators import augment
+
+    (tmp_path / "g.cypher").write_text("".join(f"MERGE (n:NetworkEndpoint {{guid: '{{e{k}}}', hostname: '{name}', ipAddresses: ['10.9.9.9']}});\n" for k, name in enumerate(("B", "C", "A"))))
+    assert augment.names_of(graph_text.read_graph(spark, str(tmp_path / "g.cypher"))[0])["10.9.9.9"] == "A"
