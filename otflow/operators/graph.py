@@ -149,6 +149,6 @@ def edge_statements(edges: DataFrame, section: int, names: dict[str, str]) -> Da
     return edges.select(F.lit(section).alias("section"), F.concat_ws("|", "src", "dst", "rel").alias("key"), text.alias("text"))
 
 
-def write_text(statements: DataFrame, path: str, parts: int = 8) -> None:
-    """Write statements in the order of section and key, as text files whose names keep that order."""
-    statements.repartitionByRange(parts, "section", "key").sortWithinPartitions("section", "key").select("text").write.mode("overwrite").text(path)
+def write_text(statements: DataFrame, path: str) -> None:
+    """Write statements in the order of section and key, as text files whose names keep that order; how many depends on their size."""
+    statements.repartitionByRange("section", "key").sortWithinPartitions("section", "key").select("text").write.mode("overwrite").text(path)

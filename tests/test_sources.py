@@ -177,3 +177,18 @@ def test_last_statement_names_an_address(spark, tmp_path):
 
     (tmp_path / "g.cypher").write_text("".join(f"MERGE (n:NetworkEndpoint {{guid: '{{e{k}}}', hostname: '{name}', ipAddresses: ['10.9.9.9']}});\n" for k, name in enumerate(("B", "C", "A"))))
     assert augment.names_of(graph_text.read_graph(spark, str(tmp_path / "g.cypher"))[0])["10.9.9.9"] == "A"
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_statements_keep_their_order_in_any_number_of_files(spark, tmp_path, coalesced):
+    from otflow.operators import graph
+
+    rows = [(k % 7, f"{k * 7919 % 1000:04}", f"s{k % 7} {k * 7919 % 1000:04}") for k in range(1000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        graph.write_text(spark.createDataFrame(rows, "section int, key string, text string"), str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = len(list((tmp_path / "t").glob("part-*")))
+    assert files == 1 if coalesced == "true" else files > 1
+    assert written(tmp_path / "t").split("\n")[:-1] == [r[2] for r in sorted(rows)]
