@@ -23,14 +23,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property, partial, reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otflow.llm.common import discard, materialize, mix64, release, slices, utf8
+from otflow.llm.common import discard, materialize, mix64, release, slices
 
 LENGTH = 50
 GRAM = 18
@@ -42,6 +42,11 @@ WIDTH = LENGTH - GRAM + 1
 ANCHOR_PASSES = 2
 WINDOW_PASSES = 4
 
+#: Bytes of the documents that are hashed at once, so that numpy's calls are few and their arrays stay in a core's cache.
+BLOCK = 1 << 16
+#: Bits for the places in a block and the window that follows it.
+_PLACES = np.uint64(2 * BLOCK - 1)
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -63,45 +68,47 @@ _powers = _Powers()
 
 
 class Text:
-    """Hashes of the strings of one document."""
+    """Hashes of the strings of some bytes, those of one document or of several in a row."""
 
-    def __init__(self, data: bytes):
-        self.bytes = np.frombuffer(data, np.uint8)
-        n = len(self.bytes)
+    def __init__(self, data: np.ndarray):
+        self.bytes = data
+        n = len(data)
         up, self._down = _powers.upto(n + 1)
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up[:n], out=self._sums[1:])
+        sums = self.bytes.astype(np.uint64)
+        sums += np.uint64(1)
+        sums *= up[:n]
+        np.cumsum(sums, out=self._sums[1:])
 
     def checks(self, begin: np.ndarray, end: np.ndarray, inside: np.ndarray | int = 0) -> np.ndarray:
         """A signed hash of data[b:e], and of a place inside it, for each pair: equal for equal strings wherever they stand."""
         hashes = mix64((self._sums[end] - self._sums[begin]) * self._down[begin] + (end - begin).astype(np.uint64))
         return mix64(hashes + np.asarray(inside).astype(np.uint64)).view(np.int64)
 
-    @cached_property
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions that own windows, their grams' hashes, and the least and most bytes from such a window's begin to the position."""
-        n = len(self.bytes)
-        if n < LENGTH:
+    def anchors(self, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions that own windows of the documents between offsets, their grams' hashes, and the first and last window of each.
+
+        Hashes are compared but for their lowest bits, which tell the place, so the
+        leftmost least one of a window is one minimum. Owners never go back, so an
+        owner's windows are one run.
+        """
+        count = len(self.bytes) - LENGTH + 1
+        if count < 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        count = n - GRAM + 1
-        grams = mix64((self._sums[GRAM:] - self._sums[:count]) * self._down[:count] + np.uint64(GRAM))
-        least = _sliding(grams, WIDTH, np.minimum)
-        edge = np.zeros(WIDTH - 1, np.uint64)
-        at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), WIDTH, np.maximum) == grams)
-        grams = grams[at]
-        # A window's owner has no gram as small before it in the window, and no smaller one after it.
-        low, high = np.maximum(at - (n - LENGTH), 0), np.minimum(at, WIDTH - 1)
-        for k in range(1, WIDTH):
-            gap = at[k:] - at[:-k]
-            near = gap < WIDTH
-            if not near.any():
-                break
-            behind = near & (grams[:-k] <= grams[k:])
-            high[k:] = np.where(behind, np.minimum(high[k:], gap - 1), high[k:])
-            ahead = near & (grams[k:] < grams[:-k])
-            low[:-k] = np.where(ahead, np.maximum(low[:-k], WIDTH - gap), low[:-k])
-        own = low <= high
-        return at[own], grams[own], low[own], high[own]
+        grams = mix64((self._sums[GRAM:] - self._sums[:-GRAM]) * self._down[:-GRAM] + np.uint64(GRAM))
+        owner = np.empty(count, np.int64)
+        for a in range(0, count, BLOCK):
+            some = grams[a : a + BLOCK + WIDTH - 1]
+            least = _sliding(some & ~_PLACES | np.arange(len(some), dtype=np.uint64), WIDTH, np.minimum)
+            owner[a : a + BLOCK] = (least & _PLACES).view(np.int64) + a
+        # The last 49 bytes of a document begin no window.
+        outside = (offsets[1:, None] - np.arange(1, LENGTH)).ravel()
+        owner[outside[(outside >= 0) & (outside < count)]] = -1
+        first = np.append(0, np.flatnonzero(owner[1:] != owner[:-1]) + 1)
+        last = np.append(first[1:], count) - 1
+        at = owner[first]
+        own = at >= 0
+        return at[own], grams[at[own]], first[own], last[own]
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -113,6 +120,23 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(out[: len(out) - width + reach], out[width - reach :]) if reach < width else out
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of a binary column, their bytes in a row and the offsets of each: documents of BLOCK bytes together, or one that is longer."""
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    wide = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    if not len(texts):
+        return
+    offsets = np.frombuffer(offsets, wide, len(texts) + 1, texts.offset * wide().itemsize).astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, "right")) - 1)
+        yield slice(a, b), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], turn: int = 0, passes: int = 1) -> Iterator[pa.RecordBatch]:
     """Rows (key, check, doc, info) of the anchors of a batch that a pass takes; info packs high, low, settled and at.
 
@@ -121,22 +145,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], turn: int = 0, passes: int =
     """
     for batch in slices(batches, 3000):
         key, check, doc, info = [], [], [], []
-        for doc_id, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+        docs = batch.column(0).to_numpy()
+        for rows, data, offsets in _blocks(batch.column(1)):
             text = Text(data)
-            at, grams, low, high = text.anchors
-            mine = (grams & np.uint64(passes - 1)) == turn
-            at, grams, low, high = at[mine], grams[mine], low[mine], high[mine]
+            found = text.anchors(offsets)
+            mine = (found[1] & np.uint64(passes - 1)) == turn
+            at, grams, first, last = (x[mine] for x in found)
+            row = np.searchsorted(offsets, at, "right") - 1
             key.append(grams)
-            check.append(text.checks(at - high, at - low + LENGTH, high))
-            doc.append(np.full(len(at), doc_id, np.int64))
-            info.append(high << 38 | low << 32 | at)
+            check.append(text.checks(first, last + LENGTH, at - first))
+            doc.append(docs[rows][row])
+            info.append((at - first) << 38 | (at - last) << 32 | (at - offsets[row]))
         if not key:
             continue
         key, check, doc, info = map(np.concatenate, (key, check, doc, info))
-        order = np.lexsort((doc, check, key))
+        order = np.argsort(check)
         key, check, doc, info = key[order], check[order], doc[order], info[order]
         first = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])) if len(key) else np.zeros(0, bool)
-        settled = doc > doc[first][np.cumsum(first) - 1]
+        settled = doc > np.minimum.reduceat(doc, np.flatnonzero(first))[np.cumsum(first) - 1] if len(key) else first
         key = np.where(settled, mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (info & 0x7FFFFFFF).astype(np.uint64)), key)
         info |= settled.astype(np.int64) << 31
         out = pa.record_batch([pa.array(key.view(np.int64)), pa.array(check), pa.array(doc), pa.array(info)], names=["key", "check", "doc", "info"])
@@ -189,6 +215,27 @@ def _settlement(check, doc, info, full) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c) for c in columns], names=["doc", "begin", "end", "inside", "check", "full"])
 
 
+def _lists(*columns: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many values each row has, and all rows' values of columns of lists that are as long; null counts as none."""
+    counts = columns[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return counts, [x.flatten().to_numpy().astype(np.int64) for x in columns]
+
+
+def _fields(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The same of a column of lists of structs."""
+    flat = column.flatten()
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), [flat.field(k).to_numpy().astype(np.int64) for k in range(flat.type.num_fields)]
+
+
+def _own(text: Text, offsets: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, inside: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, ...]:
+    """row, begin, end and inside of the spans that are of their row's text and not of another row with its doc_id, by places in a block."""
+    whole = end <= np.diff(offsets)[row]
+    row, begin, end, inside, check = row[whole], begin[whole] + offsets[row[whole]], end[whole] + offsets[row[whole]], inside[whole], check[whole]
+    found = text.checks(begin, end, np.maximum(inside, 0))
+    own = np.where(inside < 0, found << 32 >> 32, found) == check
+    return row[own], begin[own], end[own], inside[own]
+
+
 def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, begin, most, context) of unsettled anchors, once for windows that hold the 34 bytes from the gram on, once for those up to its end.
 
@@ -197,20 +244,21 @@ def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in slices(batches, 500):
         docs, begins, mosts, contexts = ([] for _ in range(4))
-        for doc_id, data, *found in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), *(batch.column(k) for k in range(2, 6))):
-            begin, end, inside, check = (x.values.to_numpy().astype(np.int64) for x in found)
-            whole = end <= len(data)
-            begin, end, inside, check = begin[whole], end[whole], inside[whole], check[whole]
-            own = Text(data).checks(begin, end, inside) == check  # not those of another row with this doc_id
-            begin, end, inside = begin[own], end[own], inside[own]
+        ids = batch.column(0).to_numpy()
+        counts, wanted = _lists(*(batch.column(k) for k in range(2, 6)))
+        until = np.append(0, np.cumsum(counts))
+        for rows, data, offsets in _blocks(batch.column(1)):
+            begin, end, inside, check = (x[until[rows.start] : until[rows.stop]] for x in wanted)
+            row, begin, end, inside = _own(Text(data), offsets, np.repeat(np.arange(len(offsets) - 1), counts[rows]), begin, end, inside, check)
             at, low, high = begin + inside, inside - (end - begin - LENGTH), inside
+            whole = data.tobytes()
             for least, most, ahead in ((low, np.minimum(high, STEP - 1), 0), (np.maximum(low, STEP), high, STEP)):
                 side = np.flatnonzero(least <= most)
-                first, until = at[side] - most[side], at[side] - least[side] + LENGTH
-                docs.append(np.full(len(side), doc_id, np.int64))
-                begins.append(first.astype(np.int32))
+                first, last = at[side] - most[side], at[side] - least[side] + LENGTH
+                docs.append(ids[rows][row[side]])
+                begins.append((first - offsets[row[side]]).astype(np.int32))
                 mosts.append((most[side] - ahead).astype(np.int8))
-                contexts += [data[a:b] for a, b in zip(first.tolist(), until.tolist())]
+                contexts += [whole[a:b] for a, b in zip(first.tolist(), last.tolist())]
         if docs:
             columns = [pa.array(np.concatenate(c)) for c in (docs, begins, mosts)]
             yield pa.record_batch([*columns, pa.array(contexts, pa.binary())], names=["doc", "begin", "most", "context"])
@@ -222,7 +270,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = batch.column(3).to_pylist()
         size = np.fromiter(map(len, contexts), np.int64, len(contexts))
         base, n = np.cumsum(size) - size, size - LENGTH + 1
-        text = Text(b"".join(contexts))
+        text = Text(np.frombuffer(b"".join(contexts), np.uint8))
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = base[row] + step
@@ -282,19 +330,29 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return reduce(DataFrame.unionByName, entries)
 
 
-def _removed(data: bytes, entries) -> np.ndarray:
-    """Whether each byte of a document is removed."""
+def _removed(data: np.ndarray, offsets: np.ndarray, *spans: np.ndarray) -> np.ndarray:
+    """Whether each byte of a block is removed; spans: row, begin, end, inside and check of the removals that are due."""
     n = len(data)
-    cover = np.zeros(n + 1, np.int64)
-    if entries is not None and n >= LENGTH:
-        begin, end, inside, check = (entries.field(k).to_numpy().astype(np.int64) for k in range(4))
-        whole = end <= n
-        begin, end, inside, check = begin[whole], end[whole], inside[whole], check[whole]
-        found = Text(data).checks(begin, end, np.maximum(inside, 0))
-        own = np.where(inside < 0, found << 32 >> 32, found) == check  # not those of another row with this doc_id
-        np.add.at(cover, begin[own], 1)
-        np.add.at(cover, end[own], -1)
-    return np.cumsum(cover)[:n] > 0
+    if not len(spans[0]):
+        return np.zeros(n, bool)
+    _, begin, end, _ = _own(Text(data), offsets, *spans)
+    return np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n] > 0
+
+
+def _results(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> list[pa.Array]:
+    """n_bytes, n_removed, n_spans, kept_sha256, spans and kept of the documents of a block."""
+    n, size = len(data), len(offsets) - 1
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begin = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone[:-1])))
+    end = np.flatnonzero(gone & (edge[1:] | ~np.append(gone[1:], False))) + 1
+    removed, at = np.append(0, np.cumsum(gone))[offsets], np.searchsorted(begin, offsets)
+    spans = np.stack([begin, end], 1) - np.repeat(offsets[:-1], np.diff(at))[:, None]
+    left, cuts = data[~gone].tobytes(), offsets - removed
+    shas = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    kept = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(left)])
+    runs = pa.ListArray.from_arrays(pa.array((2 * at).astype(np.int32)), pa.array(spans.ravel()))
+    return [pa.array(np.diff(offsets)), pa.array(np.diff(removed)), pa.array(np.diff(at)), pa.array(shas, pa.string()), runs, kept]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,14 +370,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
-            out: list[list] = [[] for _ in range(6)]
-            for data, found in zip(utf8(batch.column(1)), batch.column(2)):
-                gone = _removed(data, found.values if found.is_valid else None)
-                steps = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                for column, value in zip(out, (len(data), int(gone.sum()), len(steps) // 2, hashlib.sha256(kept).hexdigest(), steps.tolist(), kept)):
-                    column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary())
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+            counts, (begin, end, inside, check) = _fields(batch.column(2))
+            until, out = np.append(0, np.cumsum(counts)), []
+            for rows, data, offsets in _blocks(batch.column(1)):
+                row = np.repeat(np.arange(len(offsets) - 1), counts[rows])
+                due = (x[until[rows.start] : until[rows.stop]] for x in (begin, end, inside, check))
+                out.append(_results(data, offsets, _removed(data, offsets, row, *due)))
+            if out:
+                columns = [pa.concat_arrays(c) for c in zip(*out)]
+                yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -183,6 +184,36 @@ def test_no_step_of_remove_repeats_holds_more_than_its_share(spark, monkeypatch)
     assert got == digests() and len(rows["windows"]) == len(rows["anchors"]) == 1
 
 
+def test_short_documents_are_hashed_together(monkeypatch):
+    """A batch costs numpy's calls for its bytes, not for its rows, and gives each document's anchors as if it were alone."""
+    import pyarrow as pa
+
+    rng, plain, seen = random.Random(5), suffix_dedup.Text, []
+
+    def text(data):
+        seen.append(len(data))
+        return plain(data)
+
+    monkeypatch.setattr(suffix_dedup, "Text", text)
+    passage = words(8, 300).encode()
+    texts = [passage[k : k + rng.randrange(400)] for k in range(300)] + [None, b"", b"x" * 49, b"y" * 50, b"ab" * 90, words(9, 4000).encode()]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+    def rows(batches, **kwargs):
+        seen.clear()
+        out = [r for part in suffix_dedup._anchor_rows(batches, **kwargs) for r in part.to_pylist()]
+        return sorted((r["doc"], r["info"] & ~(1 << 31), r["check"]) for r in out)
+
+    alone = rows(batch.slice(k, 1) for k in range(len(texts)))
+    assert alone and rows([batch]) == alone and len(seen) < 10
+    assert sorted(rows([batch], turn=0, passes=2) + rows([batch], turn=1, passes=2)) == alone
+    # Of each document, every window has one owner.
+    covered = Counter((d, w) for d, info, _ in alone for w in range((info & 0x7FFFFFFF) - (info >> 38), (info & 0x7FFFFFFF) - (info >> 32 & 63) + 1))
+    assert covered == Counter((d, w) for d, t in enumerate(texts) for w in range(len(t or b"") - 49))
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 256)  # a document of many blocks, the same anchors
+    assert rows([batch.slice(5)]) == [r for r in alone if r[0] >= 5]
+
+
 def test_first_round_carries_groups_over_batches():
     """The same settlements however the sorted rows are cut into batches."""
     import pyarrow as pa
