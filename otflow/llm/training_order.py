@@ -28,6 +28,8 @@ ROUNDS = 4
 SHARD_RECORDS = 1 << 14
 #: Id that fills up a document's last sequence; the first free id of the 50k vocabularies.
 PAD = 50_256
+#: A special token that is never allowed: where a text has it, it is text.
+UNUSED = "<|endoftext|>"
 
 
 def feistel(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -63,7 +65,9 @@ def _encoder(path: str):
     import tiktoken
     from public_tokenizers import PATTERN
 
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+    ranks = _ranks(path)
+    # No call allows the special token. Without any, tiktoken looks for the empty text and so stops at each character of a text.
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={UNUSED: max(ranks.values()) + 1})
 
 
 def sequences(docs: DataFrame, ranks: str, length: int = LENGTH) -> DataFrame:

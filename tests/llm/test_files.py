@@ -208,6 +208,21 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path, files, split):
     assert [hashlib.sha256(g.tobytes()).hexdigest() for g in got] == [r["record_sha256"] for r in written]
 
 
+def test_encoder_seeks_no_empty_text():
+    """tiktoken's search for special tokens doesn't stop at each character, and their texts are texts."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    own = training_order._encoder(queries.RANKS)
+    plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=training_order._ranks(queries.RANKS), special_tokens={})
+    assert own.special_tokens_set and "" not in own.special_tokens_set
+    marks = [*own.special_tokens_set, "<|", "|>", "endoftext"]
+    texts = [t for _, t, *_ in documents() if t] + [f"{a}{b} x{a}\n{b}é" for a in marks for b in marks] + ["".join(marks) * 50, marks[0] * 300]
+    for t in texts:
+        got = own.encode_to_numpy(t, disallowed_special=())
+        assert got.tolist() == plain.encode_ordinary(t) and own.decode_bytes(got.tolist()) == t.encode()
+
+
 def shuffle_files(spark) -> int:
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     return sum(files.apply(k).getName().startswith("shuffle_") for k in range(files.size()))
